@@ -1,6 +1,6 @@
 """Quality rules with thresholds that adapt to each language and source; DataFrame functions only.
 
-Each document gets counts from its whole text. Mergeable KLL quantile sketches of four ratios are built for every
+Each document gets counts from its whole text. Mergeable KLL quantile sketches of its ratios are built for every
 (lang, source), merged to a sketch for each language and for all documents, and turned into upper fences: third quartile
 plus ``spread`` times the distance between the quartiles, and never closer to the third quartile than a small tolerance.
 A group of fewer than ``min_group`` documents takes its language's fences, a language of fewer takes those of all
@@ -20,8 +20,10 @@ SYMBOLS = "#*$%&|<>"
 #: ratio -> (SQL over the counts, the least distance of a fence from the third quartile)
 RATIOS = {
     "symbol_ratio": ("n_symbols / greatest(n_words, 1)", 0.10),
-    "dup_line_ratio": ("n_dup_lines / greatest(n_lines, 1)", 0.20),
+    # a few lines more in the divisor, so that one repeat among three lines is no verdict
+    "dup_line_ratio": ("n_dup_lines / (n_lines + 4)", 0.30),
     "repeat_ratio": ("n_repeat_words / greatest(n_words, 1)", 0.20),
+    "echo_ratio": ("n_echo / greatest(n_words, 1)", 0.20),
     "upper_ratio": ("n_upper / greatest(word_chars, 1)", 0.25),
 }
 
@@ -39,7 +41,6 @@ transform(array(transform(sequence(1, size(w) - 7), i -> xxhash64(slice(w, i, 8)
 def counts(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source) and the counts of each row's whole text."""
     text = F.coalesce("text", F.lit(""))
-    bare = F.translate(text, ASCII_SPACE, "")
     d = docs.select("doc_id", "lang", "source", text.alias("t"))
     d = d.select(
         "doc_id",
@@ -62,6 +63,7 @@ def counts(docs: DataFrame) -> DataFrame:
         F.expr(f"if(size(w) < 8, 0L, {REPEATS})").alias("n_repeat_words"),
         F.col("l.n").cast("long").alias("n_lines"),
         "n_upper",
+        F.expr("size(filter(w, (x, i) -> x = get(w, i - 1)))").cast("long").alias("n_echo"),
     )
 
 
