@@ -22,7 +22,7 @@ RATIOS = {
     "symbol_ratio": ("n_symbols / greatest(n_words, 1)", 0.10),
     # a few lines more in the divisor, so that one repeat among three lines is no verdict
     "dup_line_ratio": ("n_dup_lines / (n_lines + 4)", 0.30),
-    "repeat_ratio": ("n_repeat_words / greatest(n_words, 1)", 0.20),
+    "repeat_ratio": ("n_repeat_words / greatest(n_words, 1)", 0.30),
     "echo_ratio": ("n_echo / greatest(n_words, 1)", 0.20),
     "upper_ratio": ("n_upper / greatest(word_chars, 1)", 0.25),
 }
