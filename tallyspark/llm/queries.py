@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import lines, quality, simhash
+from . import attribution, bpe, lines, mpeg, packing, quality, simhash
 
 
 def queries():
     return {
+        "op2_byte_bpe": bpe.op2,
+        "op3_packing": packing.op3,
+        "op6_mpeg_audio": mpeg.op6,
         "op7_simhash": simhash.op7,
         "op8_line_dedup": lines.op8,
         "op9_quality_rules": quality.op9,
+        "op10_section_tokens": attribution.op10,
     }
 
 
