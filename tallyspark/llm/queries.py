@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import attribution, bpe, lines, mpeg, packing, quality, simhash
+from . import attribution, bpe, lines, mpeg, packing, quality, simhash, substrings, toxicity
 
 
 def queries():
     return {
+        "op1_toxicity": toxicity.op1,
         "op2_byte_bpe": bpe.op2,
         "op3_packing": packing.op3,
+        "op4_substring_dedup": substrings.op4,
         "op6_mpeg_audio": mpeg.op6,
         "op7_simhash": simhash.op7,
         "op8_line_dedup": lines.op8,
