@@ -3,7 +3,8 @@
 Line keys become 128-bit hashes, range-partitioned by (key, document) and sorted by document and position within. One
 streaming pass over each range emits the positions to drop. A key that crosses the edge of a range with fewer documents
 than the threshold is left pending with its count, and the counts of all ranges are summed before it is decided, so a
-hot key spreads over as many tasks as its rows need.
+hot key spreads over as many tasks as its rows need. With ``keep_first`` the first occurrence, by document and position,
+stays; without it a key that is shared goes everywhere.
 
 Defined cases: null or empty text is one empty line; keys shorter than ``min_chars`` never drop; rows with a null
 doc_id count as one document; rows that repeat a doc_id with another text are treated by themselves but count once;
@@ -32,7 +33,7 @@ def line_rows(keyed: DataFrame, min_chars: int = 1) -> DataFrame:
     return lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "tkey", "pos")
 
 
-def _stream(threshold: int):
+def _stream(threshold: int, keep_first: bool = False):
     """Sorted (h1, h2, doc_id, tkey, pos) -> rows to drop and, at the edges of a range, counts still to be summed."""
 
     def rows(cols, take, n, pending):
@@ -42,12 +43,15 @@ def _stream(threshold: int):
 
     def each(batches):
         first, held, key, docs, last = True, [], None, 0, None  # of the run that is open
+        lead, lead_at = None, None  # its first row, where that may stay
 
         def close(edge):
             # nothing is known to follow: below the threshold only an edge run stays pending
             if docs < threshold and edge:
                 for cols in held:
                     yield rows(cols, (0, len(cols[0])), 0, True)
+            if edge and lead is not None:  # whether it is the first of all ranges is decided with the counts
+                yield rows(lead, (0, 1), 0, True)
             if edge and key is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((None, pa.int64()), (None, pa.int64()), (None, pa.int32()), (key[0], pa.int64()), (key[1], pa.int64()), (docs, pa.int32()), (True, pa.bool_()))], ["doc_id", "tkey", "pos", "h1", "h2", "n", "pending"])
 
@@ -57,6 +61,7 @@ def _stream(threshold: int):
             cols = batch.columns
             a, b = cols[0].to_numpy(), cols[1].to_numpy()
             d = cols[2].fill_null(np.iinfo(np.int64).min).to_numpy()
+            tkeys, spots = cols[3].to_numpy(), cols[4].to_numpy()
             start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             end = np.r_[start[1:], len(a)]
             new_doc = np.r_[True, d[1:] != d[:-1]]
@@ -74,13 +79,18 @@ def _stream(threshold: int):
                     elif r > 0:
                         first = False
                     held, key, docs = [], k, int(count[r])
+                    if keep_first:
+                        lead, lead_at = [c.slice(s, 1) for c in cols], (d[s], cols[3][s].as_py(), cols[4][s].as_py())
+                own = np.arange(s, e)
+                if lead is not None:  # rows that repeat the first row go its way
+                    own = own[(d[s:e] != lead_at[0]) | (tkeys[s:e] != lead_at[1]) | (spots[s:e] != lead_at[2])]
                 if docs >= threshold:
                     for h in held:
                         yield rows(h, (0, len(h[0])), 0, False)
                     held = []
-                    drop[s:e] = True
-                else:
-                    held.append([c.slice(s, e - s) for c in cols])
+                    drop[own] = True
+                elif len(own):
+                    held.append([c.take(pa.array(own)) for c in cols])
                 last = d[e - 1]
             if drop.any():
                 yield rows(cols, pa.array(drop), 0, False)
@@ -90,13 +100,17 @@ def _stream(threshold: int):
     return each
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """(doc_id, tkey, drop): the sorted positions of the lines to drop, for documents that lose any."""
     lines = line_rows(with_key(docs), min_chars)
-    found = stage(lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos").mapInArrow(_stream(min_docs), DROP), "lines")
+    found = stage(lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "tkey", "pos").mapInArrow(_stream(min_docs, keep_first), DROP), "lines")
     pending = found.where("pending")
     full = pending.where("pos is null").groupBy("h1", "h2").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
     late = pending.where("pos is not null").join(full, ["h1", "h2"], "left_semi")
+    if keep_first:
+        at = F.struct("doc_id", "tkey", "pos")
+        stays = late.groupBy("h1", "h2").agg(F.min(at).alias("stays"))
+        late = late.join(stays, ["h1", "h2"]).where(~at.eqNullSafe(F.col("stays")))
     hits = found.where("not pending").select("doc_id", "tkey", "pos").unionByName(late.select("doc_id", "tkey", "pos"))
     return hits.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
@@ -111,10 +125,10 @@ def read_bitmap(bitmap: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n).astype(bool)
 
 
-def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """(doc_id, tkey, n_lines, n_dropped, keep): a compressed bit for each line, 1 where it stays. No text is returned or shuffled."""
     sizes = with_key(docs).select("doc_id", "tkey", (F.char_length(F.coalesce("text", F.lit(""))) - F.char_length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) + 1).cast("long").alias("n_lines"))
-    gone = dropped_lines(docs, min_docs, min_chars)
+    gone = dropped_lines(docs, min_docs, min_chars, keep_first)
     both = sizes.alias("s").join(gone.alias("g"), F.col("s.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("s.tkey") == F.col("g.tkey")), "left").select("s.doc_id", "s.tkey", "n_lines", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
 
     def each(batches):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, bpe, lines, mpeg, packing, quality, simhash, substrings, toxicity
+from . import attribution, bpe, lines, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_byte_bpe": bpe.op2,
         "op3_packing": packing.op3,
         "op4_substring_dedup": substrings.op4,
+        "op5_recurrent_lm": recurrent.op5,
         "op6_mpeg_audio": mpeg.op6,
         "op7_simhash": simhash.op7,
         "op8_line_dedup": lines.op8,

@@ -275,6 +275,21 @@ def toxicity(docs: DataFrame, lexicon: tuple[dict, dict, frozenset]) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, score double, n_hits long, n_quoted long")
 
 
+def with_score(docs: DataFrame, lexicon: tuple[dict, dict, frozenset]) -> DataFrame:
+    """All columns of docs and _score, the score of each row's whole text."""
+    kept: list[Scorer] = []
+    at = docs.columns.index("text")
+
+    def each(batches):
+        if not kept:
+            kept.append(Scorer(*lexicon))
+        for b in batches:
+            score = pa.array([kept[0].score(t)[0] for t in b.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, score], [*b.schema.names, "_score"])
+
+    return docs.mapInArrow(each, docs.withColumn("_score", F.lit(0.0)).schema)
+
+
 def held_out(doc_id="doc_id", mod: int = 5, rest: int = 0):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest, F.lit(False))
 
