@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -24,36 +25,41 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import Cache, runs
+from .bpe import runs
 from .common import documents, stage
 
 VOCAB, CAPACITY, GRAIN, END = "word_bpe_49k.json", 2048, 256, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
-class Words:
-    """Ids of whole texts by a tokenizer that never joins what white space separates, a cached word at a time."""
+class Words(dict):
+    """Ids, as little-endian uint32 bytes, of words by a tokenizer that never joins what white space separates.
 
-    def __init__(self, name: str = VOCAB, cache: int = 400_000):
+    Words are kept in two generations of at most `size` each; the older one is dropped whole. The model lower-cases, so
+    words are looked up in lower case.
+    """
+
+    def __init__(self, name: str = VOCAB, size: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(public_tokenizers.path(name))
         self.model.encode_special_tokens = True
-        self.cache = Cache(cache)
+        self.size, self.old = size, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("I", self.model.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes; the model lower-cases, so words are looked up in lower case."""
-        parts = [t.encode().lower().split() for t in texts]
-        new = sorted(self.cache.missing({w for p in parts for w in p}))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            got = self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.cache.young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
-        ids = self.cache.young.__getitem__
-        out = [b"".join(map(ids, p)) for p in parts]
-        self.cache.trim()
-        return out
+        """Ids of each whole text as little-endian uint32 bytes."""
+        return [b"".join(map(self.__getitem__, t.encode().lower().split())) for t in texts]
 
 
 def cuts(n: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[int]:
@@ -90,29 +96,46 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, end: i
 
 def difference(lengths: np.ndarray, windows: int) -> np.ndarray:
     """The window of each piece by multiway differencing."""
-    # a partial partition: its sums in falling order and, for each sum, a node of the tree of what it holds
+    # a partial partition: its sums, negated, in rising order and, for each sum, a node of the tree of what it holds
     parts, tree = {}, [(-1, -1)] * len(lengths)
     heap = [(-int(n), i) for i, n in enumerate(lengths)]
-    for i, n in enumerate(lengths):
-        sums, held = np.zeros(windows, np.int64), np.full(windows, -1)
-        sums[0], held[0] = n, i
-        parts[i] = (sums, held)
     heapq.heapify(heap)
     nxt = len(lengths)
+
+    def whole(i):
+        if i not in parts:
+            sums, held = np.zeros(windows, np.int64), np.full(windows, -1)
+            sums[0], held[0] = -lengths[i], i
+            return sums, held
+        return parts.pop(i)
+
     while len(heap) > 1:
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        (sa, ha), (sb, hb) = parts.pop(a), parts.pop(b)
-        sums, other = sa + sb[::-1], hb[::-1]
-        held = np.where(ha < 0, other, ha)
-        for k in np.flatnonzero((ha >= 0) & (other >= 0)):
-            held[k] = len(tree)
-            tree.append((int(ha[k]), int(other[k])))
-        order = np.argsort(-sums, kind="stable")
-        parts[nxt] = (sums[order], held[order])
-        heapq.heappush(heap, (int(sums[order[-1]] - sums[order[0]]), nxt))
+        if a not in parts:
+            a, b = b, a
+        sums, held = whole(a)
+        if b not in parts:  # a single piece goes on the smallest sum, which then moves up to its place
+            x, node = sums[-1] - lengths[b], b
+            if held[-1] >= 0:
+                node = len(tree)
+                tree.append((int(held[-1]), b))
+            k = int(np.searchsorted(sums[:-1], x, side="right"))
+            sums[k + 1 :], held[k + 1 :] = sums[k:-1], held[k:-1]
+            sums[k], held[k] = x, node
+        else:
+            sb, hb = whole(b)
+            sums, other = sums + sb[::-1], hb[::-1]
+            new = np.where(held < 0, other, held)
+            for k in np.flatnonzero((held >= 0) & (other >= 0)):
+                new[k] = len(tree)
+                tree.append((int(held[k]), int(other[k])))
+            order = np.argsort(sums, kind="stable")
+            sums, held = sums[order], new[order]
+        parts[nxt] = (sums, held)
+        heapq.heappush(heap, (int(sums[0] - sums[-1]), nxt))
         nxt += 1
     window = np.zeros(len(lengths), np.int64)
-    for w, node in enumerate(parts[heap[0][1]][1]):
+    for w, node in enumerate(whole(heap[0][1])[1]):
         todo = [int(node)] if node >= 0 else []
         while todo:
             x = todo.pop()
