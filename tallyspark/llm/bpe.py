@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: A space before white space of any kind or the end.
+WIDE_SPACE = regex.compile(r" (?:[\s\x1C-\x1F\x85]|\Z)").search
 
 #: One contraction a word and step. A row knows its id, the next row's id and the next row's position; `gone` is the
 #: right half of the pair that merges, whose own next row the merged row takes over.
@@ -54,11 +56,10 @@ class Cache:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
-    def missing(self, keys):
-        for k in keys:
-            if k not in self.young and (v := self.old.get(k)) is not None:
-                self.young[k] = v
-        return keys - self.young.keys()
+    def missing(self, keys: set) -> set:
+        lack = keys.difference(self.young)
+        self.young.update((k, self.old[k]) for k in lack if k in self.old)
+        return lack.difference(self.young)
 
     def trim(self):
         if len(self.young) > self.size:
@@ -113,10 +114,13 @@ class Codec:
         for t in texts:
             # the pattern never joins what stands on both sides of a space that another character than white space
             # follows, so such chunks are encoded by themselves; texts with other runs of white space stay whole
-            p = t.split(" ")
-            p[1:] = [" " + x for x in p[1:]]
-            parts.append(p if all(x[1:2].strip() for x in set(p[1:])) else [t])
-        self.learn({x for p in parts for x in p})
+            if WIDE_SPACE(t):
+                parts.append([t])
+            else:
+                p = t.split(" ")
+                p[1:] = [" " + x for x in p[1:]]
+                parts.append(p)
+        self.learn(set().union(*parts))
         got = self.chunks.young.__getitem__
         out = [b"".join(map(got, p)) for p in parts]
         self.pieces.trim()
@@ -192,6 +196,23 @@ def decode(encoded: DataFrame, name: str = RANKS) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(each, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, name: str = RANKS) -> DataFrame:
+    """(doc_id, ids, decoded) of each row's whole text: encode() and decode() in one pass of one worker."""
+
+    def each(batches):
+        c = codec(name)
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for s, e in runs([len(t) + 1 for t in texts], 2_000_000):
+                got = [np.frombuffer(x, "<i4") for x in c.encode(texts[s:e])]
+                off = np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(got)))
+                out = [d for i, j in runs([len(x) + 1 for x in got], 500_000) for d in c.decode(got[i:j])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), ids, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, ids array<int>, decoded binary")
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
-    d = decode(encode(documents(spark, sf_dir)))
+    d = round_trip(documents(spark, sf_dir))
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
