@@ -1,7 +1,7 @@
 """Byte-level BPE by DuckDB's recursive queries inside each partition, and decoding by an ordered aggregation.
 
 Token-position rows of the distinct pieces of text join the merge table, and every word contracts its leftmost pair of
-minimum rank until no pair is left. A worker keeps the ids of pieces it has met in two bounded generations, so each is
+minimum rank until no pair is left. A worker keeps the ids of pieces and chunks it has met in two bounded generations, so each is
 contracted about once a worker. Decoding joins (document, position, id) rows to the vocabulary and aggregates the bytes
 in order of position.
 
@@ -69,7 +69,7 @@ class Cache:
 class Codec:
     """The merge table and the vocabulary in an in-memory DuckDB of one thread."""
 
-    def __init__(self, name: str = RANKS, pattern: str = public_tokenizers.PATTERN, words: int = 20_000, cache: int = 250_000):
+    def __init__(self, name: str = RANKS, pattern: str = public_tokenizers.PATTERN, words: int = 20_000, cache: int = 400_000):
         ranks = read_ranks(name)
         self.words, self.find = words, regex.compile(pattern).findall
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
@@ -79,7 +79,7 @@ class Codec:
         self.load("merges", pa.table({"l": l, "r": r, "merged": m}))
         # a byte is kept as the character of its number, so that text aggregates can join bytes
         self.load("vocab", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "s": [t.decode("latin-1") for t in ranks]}))
-        self.pieces, self.chunks = Cache(cache), Cache(cache)
+        self.known = Cache(cache)
 
     def load(self, name, table):
         self.con.register("given", table)
@@ -100,13 +100,15 @@ class Codec:
         return [flat[a:b].tobytes() for a, b in zip(cut, cut[1:])]
 
     def learn(self, chunks: set[str]):
-        """Fill the caches for these chunks of text."""
-        new = {c: self.find(c) for c in self.chunks.missing(chunks)}
-        words = sorted(self.pieces.missing({p for ps in new.values() for p in ps}))
+        """Fill the cache for these chunks of text; a piece is a chunk of one piece, so both share it."""
+        known = self.known
+        new = {c: self.find(c) for c in known.missing(chunks)}
+        words = sorted(known.missing(set().union(*new.values())))
         for i in range(0, len(words), self.words):
             part = words[i : i + self.words]
-            self.pieces.young.update(zip(part, self.contract([p.encode() for p in part])))
-        self.chunks.young.update((c, b"".join(map(self.pieces.young.__getitem__, ps))) for c, ps in new.items())
+            known.young.update(zip(part, self.contract([p.encode() for p in part])))
+        got = known.young.__getitem__
+        known.young.update([(c, b"".join(map(got, ps))) for c, ps in new.items() if len(ps) != 1])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian int32 bytes."""
@@ -121,10 +123,9 @@ class Codec:
                 p[1:] = [" " + x for x in p[1:]]
                 parts.append(p)
         self.learn(set().union(*parts))
-        got = self.chunks.young.__getitem__
+        got = self.known.young.__getitem__
         out = [b"".join(map(got, p)) for p in parts]
-        self.pieces.trim()
-        self.chunks.trim()
+        self.known.trim()
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
