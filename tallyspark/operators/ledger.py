@@ -43,16 +43,10 @@ def in_bucket(name: str):
 
 
 def financials(routed: DataFrame, *keys: str) -> DataFrame:
-    """Sums of a group's rows by bucket, result, margin, counts and quality. One shuffle on the keys after partial sums."""
-    g = routed.groupBy(*keys).agg(
-        in_bucket("revenue").alias("revenue"),
-        in_bucket("cost").alias("cost"),
-        in_bucket("unclassified").alias("unclassified"),
-        in_bucket("excluded").alias("excluded"),
-        F.count("*").alias("n_allocations"),
-        F.countDistinct("batch_id").alias("n_batches"),
-        F.size(F.array_sort(F.collect_set("currency"))).alias("n_currencies"),
-    )
+    """Sums of a group's rows by bucket, result, margin, counts and quality. Batches are summed first, so distinct counts see a row for each batch."""
+    buckets = ("revenue", "cost", "unclassified", "excluded")
+    one = routed.groupBy(*keys, "batch_id", "currency").agg(*(in_bucket(b).alias(b) for b in buckets), F.count("*").alias("n_allocations"))
+    g = one.groupBy(*keys).agg(*(F.sum(b).alias(b) for b in buckets), F.sum("n_allocations").alias("n_allocations"), F.countDistinct("batch_id").alias("n_batches"), F.countDistinct("currency").alias("n_currencies"))
     g = g.withColumn("result", F.col("revenue") - F.col("cost")).withColumn("margin", margin(F.col("result"), F.col("revenue")))
     quality = F.when(F.col("n_currencies") > 1, "mixed_currency").when(F.col("n_allocations") == 0, "no_data").when(F.col("unclassified") != 0, "unclassified").otherwise("complete")
     return g.withColumn("quality", quality)
@@ -69,7 +63,11 @@ def month_series(routed: DataFrame, start, end) -> DataFrame:
 
 
 def category_totals(routed: DataFrame) -> DataFrame:
-    return routed.groupBy("category").agg(F.sum("normalized").alias("total"), F.count("*").alias("n_allocations"), F.countDistinct("batch_id", "line", "part").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("account_code")), ",").alias("accounts"))
+    """Totals of each category; an entry has one account. Entries are told apart before the categories are summed, so few categories need no large sets."""
+    one = routed.groupBy("category", "account_code", "batch_id", "line", "part").agg(F.sum("normalized").alias("total"), F.count("*").alias("n"))
+    accounts = one.groupBy("category", "account_code").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.count("*").alias("entries"))
+    g = accounts.groupBy("category").agg(F.sum("total").alias("total"), F.sum("n").alias("n_allocations"), F.sum("entries").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("account_code")), ",").alias("accounts"))
+    return g
 
 
 def account_rows(rows: DataFrame) -> DataFrame:
