@@ -9,8 +9,8 @@ each of its most frequent words and a last one for the rest, in which corpus cou
 
 and both softmaxes see the state of the network. Tasks train copies of it on their rows by truncated backpropagation
 (``STEPS`` words) and Adam; the copies' weights are averaged after each of ``ROUNDS`` rounds, summed by tasks in two
-levels. ``SHARE`` of the training rows are used for gradients, all of them for counts. Scoring carries the state across
-windows through the whole document; many documents run side by side.
+levels. Every training row gives gradients in each round, and counts. Scoring carries the state across windows through
+the whole document; many documents run side by side.
 
 Defined cases: null or empty text is its end token alone; a null doc_id counts as training; rows of equal ids are scored
 one by one; without a training row all scores are finite and the base score is 0; extra columns are ignored; an empty
@@ -35,7 +35,7 @@ from .toxicity import held_out
 
 END = b"\n"
 LOCAL, CLUSTERED, CLASSES, SLOTS, FEATURES, NEAR = 131_072, 8192, 48, 32, 32, 3
-HIDDEN, STEPS, LANES, ROUNDS, SHARE, LEAST = 32, 24, 96, 2, 1 / 8, 2_000_000
+HIDDEN, STEPS, LANES, ROUNDS = 32, 24, 96, 2
 PUNCTUATION = frozenset(range(33, 127)) - set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 FIRST = PUNCTUATION | set(b"0123456789")
 FORMS = 8
@@ -170,7 +170,7 @@ def gathered(parts: DataFrame) -> np.ndarray | None:
     return np.concatenate([got[k] for k in sorted(got)]) if got else None
 
 
-def neighbour_counts(sample: DataFrame, vocab: Vocabulary) -> np.ndarray:
+def neighbour_counts(training: DataFrame, vocab: Vocabulary) -> np.ndarray:
     """For each clustered word, how often each of the most frequent words stands within NEAR places of it."""
     k = min(CLUSTERED, len(vocab.words))
 
@@ -186,7 +186,7 @@ def neighbour_counts(sample: DataFrame, vocab: Vocabulary) -> np.ndarray:
                         out += np.bincount(w[ok] * FEATURES + c[ok], minlength=k * FEATURES).reshape(k, FEATURES)
         yield as_rows(out.ravel())
 
-    got = gathered(sample.select("text").mapInArrow(each, PARTS)) if k else None
+    got = gathered(training.select("text").mapInArrow(each, PARTS)) if k else None
     return np.zeros((k, FEATURES)) if got is None else got.reshape(k, FEATURES)
 
 
@@ -350,7 +350,7 @@ def symbols(ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     return np.where(ids >= 0, vocab.symbol[np.maximum(ids, 0)] if len(vocab.symbol) else 0, CLASSES * SLOTS - 1 - ids).astype(np.int32)
 
 
-def train(sample: DataFrame, vocab: Vocabulary, net: Network, rate: float) -> tuple[Network, int, float]:
+def train(training: DataFrame, vocab: Vocabulary, net: Network, rate: float) -> tuple[Network, int, float]:
     """One round: (averaged network, tokens, mean natural log before and while its copies learned)."""
     start = net.flat
 
@@ -369,8 +369,9 @@ def train(sample: DataFrame, vocab: Vocabulary, net: Network, rate: float) -> tu
                 fresh[np.r_[0, np.cumsum(first)[:-1]]] = True
                 x = np.where(fresh, START, np.r_[START, y[:-1]])
                 lanes = max(1, min(LANES, len(y) // STEPS))
-                length = len(y) // lanes
-                x, y, fresh = (a[: lanes * length].reshape(lanes, length).T for a in (x, y, fresh))
+                length = -(-len(y) // lanes)
+                at = np.arange(lanes * length) % len(y)  # the last lane is filled up from the start
+                x, y, fresh = (a[at].reshape(lanes, length).T for a in (x, y, fresh))
                 h = np.zeros((lanes, HIDDEN), np.float32)
                 for t in range(0, length, STEPS):
                     h, got = train_window(own, grad, x[t : t + STEPS], np.ascontiguousarray(y[t : t + STEPS]), fresh[t : t + STEPS], h)
@@ -380,7 +381,7 @@ def train(sample: DataFrame, vocab: Vocabulary, net: Network, rate: float) -> tu
         if n:
             yield as_rows(np.r_[own.flat.astype(np.float64) * n, n, logs])
 
-    got = gathered(sample.select("text").mapInArrow(each, PARTS))
+    got = gathered(training.select("text").mapInArrow(each, PARTS))
     if got is None:
         return net, 0, 0.0
     return Network(got[:-2] / got[-2]), int(got[-2]), got[-1] / got[-2]
@@ -473,12 +474,10 @@ def language_scores(docs: DataFrame, held_out_flag) -> DataFrame:
     n, v = total.n or 0, total.v
     forms = {r.f: (r.n, r.v) for r in counts.groupBy(F.expr(FORM_SQL).alias("f")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     vocab = Vocabulary(frequent_words(counts, LOCAL), n, v, forms)
-    share = min(1.0, max(SHARE, LEAST / max(n, 1)))
-    sample = stage(training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text"), "sample")
-    vocab.settle(cluster(neighbour_counts(sample, vocab), vocab.counts))
+    vocab.settle(cluster(neighbour_counts(training, vocab), vocab.counts))
     net = Network.first(vocab.mass)
     for k in range(ROUNDS):
-        net, _, _ = train(sample, vocab, net, 0.01 / (1 + k))
+        net, _, _ = train(training, vocab, net, 0.01 / (1 + k))
     part = stage(partial_scores(docs, vocab, net), "scores")
     rare = part.select("rid", F.explode("rare").alias("word"))
     added = rare.join(counts, "word").groupBy("rid").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))

@@ -168,6 +168,16 @@ def test_op5(spark, docs, odd_dir):
             assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_op5_trains_on_every_row(spark, monkeypatch):
+    """Above 2 million tokens too, gradients and neighbour counts see all training rows, in every round."""
+    docs = spark.range(40).selectExpr("id as doc_id", "repeat('a b c d ', 20000) as text")
+    seen, near = [], recurrent.neighbour_counts
+    monkeypatch.setattr(recurrent, "train", lambda rows, vocab, net, rate: (seen.append(rows.count()) or net, 0, 0.0))
+    monkeypatch.setattr(recurrent, "neighbour_counts", lambda rows, vocab: seen.append(rows.count()) or near(rows, vocab))
+    assert recurrent.language_scores(docs, recurrent.F.col("doc_id") % 8 == 0).where("train_tokens > 2000000").count() == 40
+    assert seen == [35] * (1 + recurrent.ROUNDS)
+
+
 def test_op5_gradient():
     rng = np.random.default_rng(0)
     net = recurrent.Network.first(rng.random(recurrent.CLASSES * recurrent.SLOTS + recurrent.FORMS) + 0.1)
