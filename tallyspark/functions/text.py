@@ -79,8 +79,8 @@ def sentences(c):
     """Array of (text, start, end): runs between . ? ! and line ends, the mark included; 0-based, end open."""
     parts = F.regexp_extract_all(c, F.lit(r"([^.?!\n]+[.?!\n]?|[.?!\n])"), 1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
-    run = F.aggregate(parts, zero, lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(F.struct(F.trim(x).alias("text"), a["at"].alias("start"), (a["at"] + F.length(x)).alias("end")))).alias("out")), lambda a: a["out"])
-    return F.filter(run, lambda s: s["text"].rlike("[^.?! ]"))
+    run = F.aggregate(parts, zero, lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(F.struct(F.regexp_replace(x, r"^\s+|\s+$", "").alias("text"), a["at"].alias("start"), (a["at"] + F.length(x)).alias("end")))).alias("out")), lambda a: a["out"])
+    return F.filter(run, lambda s: s["text"] != "")
 
 
 def find_ibans(c):

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import clean_body, code_tokens, confidence_band, sentences
 
-# Marks of each kind of candidate and how sure each is.
+# The marks of each kind of candidate and how sure the kind is. A deadline is a sentence with a date.
 LEXICON = [
-    ("question", "?", 70),
-    ("question", "please confirm", 60),
-    ("question", "kas ", 60),
-    ("task_request", "please send", 75),
-    ("task_request", "palun", 70),
-    ("commitment", "i will", 75),
-    ("decision", "approved", 80),
-    ("risk", "risk", 70),
-    ("blocker", "blocked", 75),
-    ("deadline", "tomorrow", 70),
-    ("deadline", "homme", 70),
-    ("resolution_evidence", "resolved", 70),
+    ("question", 80, ("?", "kas ", "palun kinnitage", "please confirm", "can you", "could you")),
+    ("task_request", 75, ("palun saada", "palun saatke", "please provide", "please send", "vajame", "please prepare")),
+    ("commitment", 75, ("saadan", "teen ", "we will provide", "i will send", "we will send", "i will provide")),
+    ("decision", 70, ("kinnitatud", "approved", "otsustasime", "we agreed")),
+    ("risk", 65, ("risk", "oht", "may delay", "delay risk", "might not")),
+    ("blocker", 70, ("blocked", "blocker", "takistus", "ei saa jätkata", "cannot continue")),
+    ("resolution_evidence", 60, ("resolved", "done", "completed", "vastatud", "lahendatud")),
 ]
+DEADLINE, INFORMATION = 65, (40, ("for your information", "fyi", "infoks", "teadmiseks"))
+TOMORROW, WEEKDAYS = ("tomorrow", "homme"), ("monday", "tuesday", "wednesday", "thursday", "friday")
 
 
 def link_by_code(messages: DataFrame, projects: DataFrame, text: str, source: str, confidence: int) -> DataFrame:
@@ -78,12 +78,41 @@ def persist_suggestions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.select("message_id", "project_id", F.coalesce("status", F.lit("suggested")).alias("status"), F.when(frozen, F.col("confidence")).otherwise(F.coalesce("_c", "confidence")).alias("confidence"), action.alias("action"))
 
 
+def _any(c, marks):
+    return reduce(or_, (c.contains(m) for m in marks))
+
+
+def due_date(low, at):
+    """The date that a sentence in lower case names: written out, or else tomorrow or the next such weekday after `at`."""
+    iso = F.regexp_extract(low, r"(?U)\b(20[0-9]{2}-[0-9]{2}-[0-9]{2})\b", 1)
+    local = F.regexp_extract(low, r"(?U)\b([0-9]{1,2}\.[0-9]{1,2}\.20[0-9]{2})\b", 1)
+    out = F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")).when(local != "", F.try_to_date(local, "d.M.yyyy")).when(_any(low, TOMORROW), F.date_add(at, 1))
+    for k, name in enumerate(WEEKDAYS):
+        out = out.when(low.contains(f"by {name}"), F.date_add(at, (F.pmod(F.lit(k - 1) - F.weekday(at), F.lit(7)) + 1).cast("int")))
+    return out
+
+
 def extract(messages: DataFrame, text: str = "body") -> DataFrame:
-    """(message_id, kind, confidence, excerpt, start, end): each sentence's surest mark of each kind."""
-    s = messages.select("message_id", F.explode(sentences(clean_body(F.col(text)))).alias("s")).select("message_id", "s.*")
-    marks = F.array(*(F.when(F.lower("text").contains(m), F.struct(F.lit(k).alias("kind"), F.lit(c).alias("confidence"))) for k, m, c in LEXICON))
-    found = s.select("message_id", "text", "start", "end", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("m"))
-    return found.groupBy("message_id", F.col("m.kind").alias("kind"), "start", "end").agg(F.max("m.confidence").alias("confidence"), F.first("text").alias("excerpt"))
+    """(message_id, kind, start, end, confidence, excerpt, due_date): for each sentence the kinds that it has a mark of.
+
+    The text is the subject, where there is one, and the cleaned body on the next line. Dates relative to the message need
+    its date in a column `at`; an impossible date is none. A message without any candidate may be for information only.
+    """
+    own = lambda c, kind: F.col(c) if c in messages.columns else F.lit(None).cast(kind)
+    parts = F.array(own("subject", "string"), clean_body(F.col(text)))
+    m = messages.select("message_id", F.trim(F.array_join(F.filter(parts, lambda x: x != ""), "\n")).alias("t"), own("at", "date").cast("date").alias("at"))
+
+    def of(s):
+        low, when = F.lower(s["text"]), due_date(F.lower(s["text"]), F.col("at"))
+        row = lambda kind, confidence, due: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(confidence).alias("confidence"), s["text"].alias("excerpt"), due.alias("due_date"))
+        none = F.lit(None).cast("date")
+        found = [F.when(_any(low, marks), row(kind, c, when if kind in ("task_request", "commitment") else none)) for kind, c, marks in LEXICON]
+        return F.filter(F.array(*found, F.when(when.isNotNull(), row("deadline", DEADLINE, when))), lambda x: x.isNotNull())
+
+    found = m.select("message_id", "t", F.flatten(F.transform(sentences(F.col("t")), of)).alias("c"))
+    head = F.struct(F.lit("information_only").alias("kind"), F.lit(0).alias("start"), F.least(F.length("t"), F.lit(240)).alias("end"), F.lit(INFORMATION[0]).alias("confidence"), F.substring("t", 1, 240).alias("excerpt"), F.lit(None).cast("date").alias("due_date"))
+    whole = F.when(F.size("c") > 0, F.col("c")).when(_any(F.lower("t"), INFORMATION[1]), F.array(head))
+    return found.select("message_id", F.explode(whole).alias("c")).select("message_id", "c.*")
 
 
 def thread_summary(messages: DataFrame) -> DataFrame:

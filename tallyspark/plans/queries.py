@@ -361,7 +361,8 @@ def m11(spark, d):
 @query("t24_extracted_candidates")
 def t24(spark, d):
     extra = F.element_at(F.array(*(F.lit(x) for x in ("\nPlease confirm this by 2026-07-20.", "\nWork is blocked. Issue resolved.", "\nI will send the report tomorrow?", ""))), (F.col("message_id") % 4 + 1).cast("int"))
-    return M.extract(mail(spark, d).withColumn("body", F.concat("body", extra)))
+    at = F.date_add(F.lit("2026-07-01").cast("date"), (F.col("message_id") % 28).cast("int"))
+    return M.extract(mail(spark, d).withColumn("body", F.concat("body", extra)).withColumn("at", at))
 
 
 @query("a24_thread_summary", "SELECT conv_id thread_id, count(*) n_messages, max(turn) last_at, count(DISTINCT role) n_senders FROM conversations GROUP BY conv_id", False)
