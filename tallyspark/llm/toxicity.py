@@ -2,13 +2,16 @@
 
 The lexicon is learned from labelled rows: whole words and word stems that toxic documents hold and others do not, chosen
 greedily until they cover the toxic sample. Every other word of a document is walked through the trie with the states of
-a Levenshtein automaton, so all terms within the distance are found in one walk that ends at the first dead state.
-Each hit is weighed by how it was found and by its window: a hit inside quotation marks, or near words that report or
-name speech, counts less than a bare one. A document's score is the chance that at least one of its hits is abuse.
+a Levenshtein automaton, from the root on, so all terms within the distance are found in one walk that ends at the first
+dead state, wherever the error stands; stems take part as prefixes. What a hit with so many edits is worth is learned
+from the labelled rows too, term by term. Each hit is weighed by how it was found and by its window: a hit inside quotation marks, or
+near words that report or name speech, counts less than a bare one. A document's score is the chance that at least one
+of its hits is abuse; what its other words say moves it by at most ``FAINT``, so that documents without a hit are ranked.
 
 Labels, language, source and id are never inputs of a score.
 
 Defined cases: null or empty text has score 0; without a toxic labelled row the lexicon is empty and all scores are 0;
+without a certain term the faint evidence of words is all there is;
 rows with a null doc_id or label are scored but not learned from; repeated labels count once for each text; extra
 columns are ignored; an empty table gives no row.
 """
@@ -17,7 +20,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import documents, stage
 
-#: Labelled rows that the lexicon is learned from, at most, of each label; a fixed bound, drawn by a hash of the id.
+#: Labelled rows that the lexicon is learned from, at most, of each label; a fixed bound, drawn by a hash of the id. All
+#: that reaches the driver (terms, near words, word evidence) is bounded by it.
 SAMPLE = 6000
-TERMS = 4000
 STEMS = range(4, 9)
 CERTAIN = 8.0  # natural logarithm
 # Words that report or name speech, marks that quote, and digits and signs that stand for letters.
@@ -35,13 +40,17 @@ REPORTING = frozenset("said says say saying called calls calling wrote writes qu
 QUOTES = "\"'“”„«»‘’‚‹›`"
 LEET = str.maketrans("013457@$", "oleastas")
 EDGE = ".,;:!?*%&$#|<>()[]{}/\\-_~^+=…" + QUOTES
-BARE, FUZZY, QUOTED, NEAR = 0.8, 0.35, 0.2, 0.5
+BARE, QUOTED, NEAR, FAINT = 0.8, 0.2, 0.5, 0.05
+#: What a hit by one or two edits is worth before labelled rows say so, and how many rows that belief stands for.
+PRIOR, BELIEF = {1: 0.35, 2: 0.175}, 10
 WINDOW = 6
 _letters = re.compile(r"[^\W\d_]+")
 
 
-def distance_for(term: str) -> int:
-    """Edits that a term allows: none for short ones, whose neighbours are other words."""
+def distance_for(term: str, stem: bool = False) -> int:
+    """Edits that a term allows: none for short ones, whose neighbours are other words, and one for long stems."""
+    if stem:
+        return int(len(term) >= 6)
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
@@ -52,14 +61,11 @@ class Trie:
         self.root, self.weight = [{}, None, None, 0], {**stems, **words}
         for slot, terms in ((1, words), (2, stems)):
             for t in terms:
-                node = self.root
+                node, far = self.root, distance_for(t, slot == 2)
                 for c in t:
-                    if slot == 1:
-                        node[3] = max(node[3], distance_for(t))
+                    node[3] = max(node[3], far)
                     node = node[0].setdefault(c, [{}, None, None, 0])
-                node[slot] = t
-                if slot == 1:
-                    node[3] = max(node[3], distance_for(t))
+                node[slot], node[3] = t, max(node[3], far)
 
     def exact(self, word: str) -> str | None:
         """The term that the word is, or the longest stem that it starts with."""
@@ -72,64 +78,90 @@ class Trie:
         return node[1] or node[2] or found
 
     def near(self, word: str) -> tuple[str, int] | None:
-        """The nearest term within its distance that starts with the word's first letter; ties go to the first term.
+        """The nearest term within its distance, and the edits; ties go to the first term.
 
-        The automaton's state is the row of edit distances from the trie's path to each prefix of the word. An edit is
-        an insertion, deletion, substitution or swap of neighbours. A path ends where all of its row exceeds the largest
-        distance of the terms below it.
+        The automaton's state is, for each number of edits, the set of lengths of the word's prefixes that the trie's
+        path is that many edits away from, as bits. An edit is an insertion, deletion, substitution or swap of
+        neighbours. A path ends where no state is left within the largest distance of the terms below it. A stem accepts
+        at any prefix of the word, a term at the whole.
         """
-        first = self.root[0].get(word[:1])
-        if first is None:
-            return None
-        best, n = None, len(word)
-        start = [abs(i - 1) for i in range(n + 1)]
-        start[0] = 1
-        todo = [(first, word[0], "", start, list(range(n + 1)))]
+        n, at, best = len(word), {}, None
+        for i, c in enumerate(word):
+            at[c] = at.get(c, 0) | 1 << i
+        whole, most = 1 << n, (2 << n) - 1
+        start = tuple((2 << k) - 1 & most for k in range(3))
+        todo = [(self.root, "", start, (0, 0, 0))]
         while todo:
-            node, c, before, row, prior = todo.pop()
-            if (t := node[1]) is not None and row[n] <= distance_for(t) and (best is None or (row[n], t) < (best[1], best[0])):
-                best = (t, row[n])
-            if min(row) > node[3]:
-                continue
+            node, c, row, prior = todo.pop()
+            swap = at.get(c, 0) >> 1
             for d, child in node[0].items():
-                nxt = [row[0] + 1]
-                for i in range(1, n + 1):
-                    x = min(row[i] + 1, nxt[-1] + 1, row[i - 1] + (word[i - 1] != d))
-                    if i > 1 and word[i - 1] == c and word[i - 2] == d:
-                        x = min(x, prior[i - 2] + 1)
-                    nxt.append(x)
-                if min(nxt) <= child[3]:
-                    todo.append((child, d, c, nxt, row))
-        return best
+                far, m = child[3], at.get(d, 0)
+                r0 = (row[0] & m) << 1
+                if not far:
+                    if r0:
+                        todo.append((child, d, (r0, 0, 0), row))
+                    continue
+                r1 = ((row[1] & m) << 1 | row[0] << 1 | row[0] | r0 << 1 | (prior[0] & m & swap) << 2) & most
+                r2 = ((row[2] & m) << 1 | row[1] << 1 | row[1] | r1 << 1 | (prior[1] & m & swap) << 2) & most if far == 2 else 0
+                if not (r2 if far == 2 else r1):
+                    continue
+                new = (r0, r1, r2)
+                for t, stem in ((child[1], False), (child[2], True)):
+                    if t is not None:
+                        for k in range(distance_for(t, stem) + 1):
+                            if new[k] if stem else new[k] & whole:
+                                if best is None or (k, t) < best:
+                                    best = (k, t)
+                                break
+                if child[0]:
+                    todo.append((child, d, new, row))
+        return best and (best[1], best[0])
+
+
+class Lexicon(NamedTuple):
+    """What is learned: whole words and stems with their purity, near words that are none of them, the worth of a hit by
+    its term and edits, and the faint evidence of other words."""
+
+    words: dict[str, float] = {}
+    stems: dict[str, float] = {}
+    benign: frozenset[str] = frozenset()
+    fuzzy: dict[tuple[str, int], float] = {}
+    faint: dict[str, float] = {}
 
 
 class Scorer:
-    """A lexicon with what has been found for words so far; clean words are kept in a bounded set."""
+    """A lexicon with what has been found for words so far, kept within a bound."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], benign: frozenset[str] = frozenset(), cache: int = 400_000):
-        self.trie, self.benign, self.size = Trie(words, stems), benign, cache
+    def __init__(self, lexicon: Lexicon, cache: int = 400_000):
+        self.trie, self.lexicon, self.size = Trie(lexicon.words, lexicon.stems), lexicon, cache
         self.clean: set[str] = set()
         self.hits: dict[str, float] = {}
 
     def weigh(self, raw: str) -> float:
-        """How surely a word is a term: BARE as written, FUZZY and less by edits, 0 if it is none."""
-        word = raw.strip(EDGE)
+        """How surely a word is a term: BARE as written, less by edits, 0 if it is none."""
+        word, weight = raw.strip(EDGE), self.trie.weight
         for w in _letters.findall(word) if not word.isalpha() else [word]:
             if (t := self.trie.exact(w)) is not None:
-                return BARE * self.trie.weight[t]
-        plain = word.translate(LEET)
-        if not plain.isalpha() or plain in self.benign:
+                return BARE * weight[t]
+        # digits and signs that stand for letters, then without any marks inside
+        plain = word if word.isalpha() else "".join(_letters.findall(word.translate(LEET)))
+        if not plain or plain in self.lexicon.benign:
             return 0.0
         if plain != word and (t := self.trie.exact(plain)) is not None:
-            return BARE * self.trie.weight[t]
-        if (found := self.trie.near(plain)) is not None:
-            return FUZZY * self.trie.weight[found[0]] / found[1] if found[1] else BARE * self.trie.weight[found[0]]
+            return BARE * weight[t]
+        if len(plain) > 3 and (found := self.trie.near(plain)) is not None:
+            return (self.lexicon.fuzzy.get(found, PRIOR[found[1]]) if found[1] else BARE) * weight[found[0]]
         return 0.0
 
+    def faint(self, words: set[str]) -> float:
+        """0 to 1: what the words say that are no terms."""
+        got = [x for w in words if (x := self.lexicon.faint.get(w)) is not None]
+        return 1 / (1 + math.exp(-sum(got) / math.sqrt(len(got) or 1)))
+
     def look(self, words: set[str]) -> bool:
         """Learn the words not met before; True if any word is a hit."""
-        if len(self.clean) > self.size:
-            self.clean = set()
+        if len(self.clean) + len(self.hits) > self.size:
+            self.clean, self.hits = set(), {}
         any_hit = False
         for w in words - self.clean:
             if w not in self.hits:
@@ -143,10 +175,13 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[float, int, int]:
         """(score, hits, quoted hits) of a whole text."""
-        low = (text or "").lower()
-        words = low.split()
-        if not self.look(set(words)):
+        words = (text or "").lower().split()
+        if not words:
             return 0.0, 0, 0
+        known = set(words)
+        faint = FAINT * self.faint(known) if self.lexicon.faint else 0.0
+        if not self.look(known):
+            return faint, 0, 0
         quoted, opened = set(), None
         for i, w in enumerate(words):  # words between an opening and a closing mark
             if w[0] in QUOTES and opened is None:
@@ -167,7 +202,7 @@ class Scorer:
             elif any(v.strip(EDGE) in REPORTING for v in words[max(0, i - WINDOW) : i + WINDOW]):
                 x *= NEAR
             safe *= 1 - x
-        return 1 - safe, n, n_quoted
+        return 1 - safe * (1 - faint), n, n_quoted
 
 
 def _terms(words: set[str]) -> set[str]:
@@ -182,11 +217,11 @@ def _words(text: str) -> set[str]:
     return {w for w in _letters.findall(text.lower()) if 3 <= len(w) <= 40}
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> tuple[dict, dict, frozenset]:
-    """(words, stems, benign) from labels(doc_id, toxic): a bounded sample of rows of each label, drawn by a hash.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
+    """The lexicon from labels(doc_id, toxic): a bounded sample of rows of each label, drawn by a hash.
 
-    Terms are counted by tasks and summed by Spark; the `terms` most frequent pure ones reach the driver, and of each
-    toxic sample document which of these it holds.
+    Terms are counted by tasks and summed by Spark; the pure ones reach the driver, and of each toxic sample document
+    which of these it holds.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
@@ -196,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     sizes = {r.toxic == 1: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1:
-        return {}, {}, frozenset()
+        return Lexicon()
 
     def count(batches):
         got: Counter = Counter()
@@ -208,12 +243,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([got[k] * k[1] for k in part], pa.int64()), pa.array([got[k] * (not k[1]) for k in part], pa.int64())], ["term", "n1", "n0"])
 
     tally = rows.mapInArrow(count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    tally = stage(tally.where("n1 > 1 or n0 > 9"), "terms")
     # a term counts if its share of toxic documents is no accident among as many terms as there are (binomial bound)
     base, n, least = n1 / (n1 + n0 + 1), F.col("n1") + F.col("n0"), max(2, n1 // 500)
     share = F.col("n1") / n
     surprise = F.col("n1") * F.log(share / base) + F.col("n0") * F.log(F.greatest(1 - share, F.lit(1e-9)) / (1 - base))
     pure = tally.where((F.col("n1") >= least) & (F.col("n1") / n1 >= 20 * F.col("n0") / max(n0, 1)) & (surprise > CERTAIN))
-    counts = {r.term: (r.n1, r.n0) for r in pure.orderBy(F.desc(F.col("n1") - 20 * F.col("n0")), "term").limit(terms).collect()}
+    counts = {r.term: (r.n1, r.n0) for r in pure.orderBy("term").collect()}
 
     def holds(batches):
         for b in batches:
@@ -247,26 +283,47 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
         if not t.endswith("*") and n_1 >= max(floor, frequent) and n_0 == 0 and not any(t.startswith(c[:-1]) for c in chosen if c.endswith("*")):
             chosen.setdefault(t, 1.0)
     words, stems = {t: x for t, x in chosen.items() if not t.endswith("*")}, {t[:-1]: x for t, x in chosen.items() if t.endswith("*")}
-    trie = Trie(words, stems)
+    benign, fuzzy = near_words(rows, Trie(words, stems), n1, n0)
+    often = tally.where((n >= 10) & ~F.col("term").endswith("*")).select("term", F.log((F.col("n1") + 0.5) / (n1 + 1) * (n0 + 1) / (F.col("n0") + 0.5)).alias("x"))
+    faint = {r.term: r.x for r in often.collect() if r.term not in words}
+    return Lexicon(words, stems, benign, fuzzy, faint)
 
-    def neighbours(batches):
-        found = set()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                found.update(w for w in _words(t) if trie.exact(w) is None and trie.near(w))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
-    benign = rows.where("toxic <> 1").select("text").mapInArrow(neighbours, "word string").distinct().limit(terms)
-    return words, stems, frozenset(r.word for r in benign.collect())
+def near_words(rows: DataFrame, trie: Trie, n1: int, n0: int) -> tuple[frozenset[str], dict[tuple[str, int], float]]:
+    """(words of other labelled rows that are near a term, worth of a hit by its term and edits).
 
+    The worth is the share of toxic rows among rows with such a hit, were both labels as frequent. Rows that are not
+    toxic are cut in two by a hash: a near word of one half is no hit in the other. Toxic rows that hold a term as written
+    say nothing here, for the terms come from them.
+    """
 
-def toxicity(docs: DataFrame, lexicon: tuple[dict, dict, frozenset]) -> DataFrame:
+    def each(batches):
+        for b in batches:
+            out = []
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                mark, words = zlib.crc32(t.encode()), _words(t)
+                other = [w for w in words if trie.exact(w) is None]
+                if y != 1 or len(other) == len(words):
+                    out += [(f"{t[:16]} {mark}", y == 1, mark & 1, w, *found) for w in other if (found := trie.near(w))]
+            cols = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.int32()))], ["row", "toxic", "half", "word", "term", "edits"])
+
+    hits = stage(rows.mapInArrow(each, "row string, toxic boolean, half int, word string, term string, edits int"), "near")
+    others = hits.where("not toxic").groupBy("word").agg(F.collect_set("half").alias("halves"))
+    both = hits.join(others, "word", "left").withColumn("fresh", F.when(F.col("toxic"), F.col("halves").isNull()).otherwise(F.size("halves") == 1))
+    yes, no = F.count_distinct(F.when(F.col("toxic"), F.col("row"))), F.count_distinct(F.when(~F.col("toxic"), F.col("row")))
+    seen = both.where("fresh").groupBy("term", "edits").agg(yes.alias("yes"), no.alias("no")).collect()
+    fuzzy = {(r.term, r.edits): min(BARE, BARE * (r.yes + BELIEF * PRIOR[r.edits] / BARE) / (r.yes + r.no * n1 / max(n0, 1) + BELIEF)) for r in seen}
+    return frozenset(r.word for r in others.select("word").collect()), fuzzy
+
+
+def toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score, n_hits, n_quoted) for each row's whole text."""
     kept: list[Scorer] = []
 
     def each(batches):
         if not kept:
-            kept.append(Scorer(*lexicon))
+            kept.append(Scorer(lexicon))
         for b in batches:
             got = [kept[0].score(t) for t in b.column(1).to_pylist()]
             cols = list(zip(*got)) or [(), (), ()]
@@ -275,14 +332,14 @@ def toxicity(docs: DataFrame, lexicon: tuple[dict, dict, frozenset]) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, score double, n_hits long, n_quoted long")
 
 
-def with_score(docs: DataFrame, lexicon: tuple[dict, dict, frozenset]) -> DataFrame:
+def with_score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """All columns of docs and _score, the score of each row's whole text."""
     kept: list[Scorer] = []
     at = docs.columns.index("text")
 
     def each(batches):
         if not kept:
-            kept.append(Scorer(*lexicon))
+            kept.append(Scorer(lexicon))
         for b in batches:
             score = pa.array([kept[0].score(t)[0] for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, score], [*b.schema.names, "_score"])

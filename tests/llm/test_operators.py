@@ -76,15 +76,43 @@ def test_op1(spark, odd_dir):
     toxic = [r.predicted for r in got if r.held_out and truth.get(r.doc_id) == 1]
     clean = [r.predicted for r in got if r.held_out and truth.get(r.doc_id) == 0]
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.02
+    assert len({r.score for r in got}) > 0.9 * len(got)  # nearly all documents are ranked
     odd = {r.doc_id: r.score for r in toxicity.op1(spark, odd_dir).collect()}
     assert odd[1] == odd[2] == odd[3] == 0
 
 
 def test_levenshtein_and_quotation():
-    s = toxicity.Scorer({"worthless": 1.0}, {})
+    s = toxicity.Scorer(toxicity.Lexicon({"worthless": 1.0}))
     assert s.score("you are worthless")[0] > s.score("you are worhtless")[0] > 0 == s.score("you are fine")[0]
     assert s.score('they wrote "worthless" there')[0] < s.score("you are worthless")[0]
-    assert s.score("w0rthless")[0] == s.score("worthless")[0]
+    assert s.score("w0rthless")[0] == s.score("worthless")[0] == s.score("worth-less")[0]
+    assert all(s.score(f"you are {w}")[0] > 0 for w in ("vorthless", "orthless", "owrthless", "xworthless", "w*rthless"))
+
+
+def edits(a, b):
+    """Optimal string alignment distance by the whole table."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_automaton_finds_all_terms_within_the_distance():
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcd"), n))
+    words, stems = {word(int(rng.integers(3, 12))): 1.0 for _ in range(60)}, {word(int(rng.integers(4, 9))): 1.0 for _ in range(10)}
+    trie, found = toxicity.Trie(words, stems), 0
+    for _ in range(1500):
+        w = word(int(rng.integers(3, 13)))
+        want = [(k, t) for t in words if (k := edits(t, w)) <= toxicity.distance_for(t)]
+        want += [(k, t) for t in stems if (k := min(edits(t, w[:i]) for i in range(len(w) + 1))) <= toxicity.distance_for(t, True)]
+        got = trie.near(w)
+        assert (got and (got[1], got[0])) == min(want, default=None)
+        found += bool(want)
+    assert found > 100
 
 
 def encoder():
