@@ -5,8 +5,13 @@ minimum rank until no pair is left. A worker keeps the ids of pieces and chunks
 contracted about once a worker. Decoding joins (document, position, id) rows to the vocabulary and aggregates the bytes
 in order of position.
 
+Pieces of more than ``SHORT`` bytes go through a second recursion that contracts many pairs a step and keeps one state
+a row: all places of the least rank at once, except where a contraction makes a pair of still lower rank (the ranks of
+this vocabulary don't always rise). There the places behind it, as far as a token of lower rank can reach, wait. The
+order of contractions that can't meet doesn't matter, so both give the same ids; memory is in proportion to the piece.
+
 Defined cases: null or empty text has no ids and decodes to no bytes; other columns are ignored; equal rows give equal
-rows; an empty table gives no row. A single piece of text without any break costs the square of its length.
+rows; an empty table gives no row. A text without any break, of any length, is encoded like others.
 """
 
 from __future__ import annotations
@@ -42,6 +47,39 @@ WITH RECURSIVE step(it, w, pos, id, nid, npos) AS (
 )
 SELECT s.w, s.id FROM step s JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) e ON s.w = e.w AND s.it = e.it ORDER BY s.w, s.pos
 """
+SHORT = 64
+#: Rows that the steps of one recursion may hold together.
+HELD = 3_000_000
+#: A step of all long pieces: places of the least rank (odd ones of a run of overlapping places), what stands around
+#: them, whether their contraction makes a pair of lower rank, and the places that wait for such a one.
+CONTRACT_LONG = """
+WITH RECURSIVE step(it, w, pos, id, nid, npos, k) AS (
+  SELECT 0, t.w, t.pos, t.id, t.nid, t.npos, m.merged FROM tokens t LEFT JOIN merges m ON m.l = t.id AND m.r = t.nid
+  UNION ALL
+  (WITH best AS (SELECT w, min(k) AS k FROM step WHERE it < {steps} GROUP BY w HAVING min(k) IS NOT NULL),
+        hits AS (SELECT s.w, s.pos, s.npos AS gone, s.k, lag(s.npos) OVER (PARTITION BY s.w ORDER BY s.pos) IS DISTINCT FROM s.pos AS head
+                 FROM step s JOIN best b ON s.w = b.w AND s.k = b.k),
+        runs AS (SELECT *, sum(head::INTEGER) OVER (PARTITION BY w ORDER BY pos) AS run FROM hits),
+        odd AS (SELECT w, pos, gone, k FROM runs QUALIFY row_number() OVER (PARTITION BY w, run ORDER BY pos) % 2 = 1),
+        around AS (SELECT o.*, g.nid AS after, g.npos AS next, p.id AS before, coalesce(s.span, 0) AS span
+                   FROM odd o JOIN step g ON g.w = o.w AND g.pos = o.gone LEFT JOIN step p ON p.w = o.w AND p.npos = o.pos LEFT JOIN spans s ON s.id = o.k),
+        risky AS (SELECT a.*, coalesce(a.span > 0 AND least(x.merged, y.merged, z.merged) < a.k, false) AS bad,
+                         a.pos - lag(a.pos) OVER (PARTITION BY a.w ORDER BY a.pos) > 2 * a.span AS apart
+                  FROM around a LEFT JOIN merges x ON x.l = a.before AND x.r = a.k LEFT JOIN merges y ON y.l = a.k AND y.r = a.after LEFT JOIN merges z ON z.l = a.k AND z.r = a.k),
+        near AS (SELECT *, sum(coalesce(apart, false)::INTEGER) OVER (PARTITION BY w ORDER BY pos) AS part FROM risky),
+        taken AS (SELECT w, pos, gone, k, after, next FROM near
+                  QUALIFY NOT coalesce(bool_or(bad) OVER (PARTITION BY w, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)),
+        moved AS (SELECT r.it + 1 AS it, r.w, r.pos, coalesce(t.k, r.id) AS id, CASE WHEN t.pos IS NULL THEN r.npos ELSE t.next END AS npos, coalesce(n.k, CASE WHEN t.pos IS NULL THEN r.nid ELSE t.after END) AS nid,
+                         CASE WHEN t.pos IS NULL AND n.pos IS NULL THEN r.k END AS k, t.pos IS NOT NULL OR n.pos IS NOT NULL AS fresh
+                  FROM (SELECT s.*, CASE WHEN s.k IS NOT NULL AND s.k = b.k THEN s.pos END AS own FROM step s JOIN best b ON s.w = b.w) r
+                  LEFT JOIN taken t ON t.w = r.w AND t.pos = r.own
+                  LEFT JOIN taken n ON n.w = r.w AND n.pos = CASE WHEN t.pos IS NULL THEN r.npos ELSE t.next END
+                  WHERE NOT EXISTS (SELECT 1 FROM taken g WHERE g.w = r.w AND g.gone = r.pos))
+   SELECT m.it, m.w, m.pos, m.id, m.nid, m.npos, CASE WHEN m.fresh THEN f.merged ELSE m.k END
+   FROM moved m LEFT JOIN merges f ON f.l = CASE WHEN m.fresh THEN m.id END AND f.r = m.nid)
+)
+SELECT s.it, s.w, s.pos, s.id, s.nid, s.npos FROM step s JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) e ON s.w = e.w AND s.it = e.it ORDER BY s.w, s.pos
+"""
 DECODE = "SELECT d, string_agg(s, '' ORDER BY pos) AS s FROM rows JOIN vocab USING (id) GROUP BY d"
 
 
@@ -50,6 +88,18 @@ def read_ranks(name: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def runs(sizes, most: int):
+    """(start, end) of runs whose sizes sum to about `most`."""
+    start = total = 0
+    for i, s in enumerate(sizes):
+        total += s
+        if total >= most:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 class Cache:
     """A dict of two generations of at most `size` entries each; the older one is dropped whole."""
 
@@ -69,9 +119,9 @@ class Cache:
 class Codec:
     """The merge table and the vocabulary in an in-memory DuckDB of one thread."""
 
-    def __init__(self, name: str = RANKS, pattern: str = public_tokenizers.PATTERN, words: int = 20_000, cache: int = 400_000):
+    def __init__(self, name: str = RANKS, pattern: str = public_tokenizers.PATTERN, squares: int = 1_500_000, cache: int = 400_000):
         ranks = read_ranks(name)
-        self.words, self.find = words, regex.compile(pattern).findall
+        self.squares, self.find = squares, regex.compile(pattern).findall
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         split = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
@@ -79,34 +129,71 @@ class Codec:
         self.load("merges", pa.table({"l": l, "r": r, "merged": m}))
         # a byte is kept as the character of its number, so that text aggregates can join bytes
         self.load("vocab", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "s": [t.decode("latin-1") for t in ranks]}))
+        self.ranks, self.spanned = ranks, False
         self.known = Cache(cache)
 
+    def spans(self):
+        """For each token the length of the longest token of lower rank that holds it."""
+        if not self.spanned:
+            far: dict[int, int] = {}
+            for t, i in self.ranks.items():
+                for a in range(len(t)):
+                    for b in range(a + 2, len(t) + 1):
+                        if (k := self.ranks.get(t[a:b], -1)) > i:
+                            far[k] = max(far.get(k, 0), len(t))
+            self.load("spans", pa.table({"id": pa.array(list(far), pa.int32()), "span": pa.array(list(far.values()), pa.int32())}))
+            self.spanned = True
+
     def load(self, name, table):
         self.con.register("given", table)
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def contract(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian int32 bytes."""
+    def rows(self, words: list[bytes]) -> pa.Table:
+        """Token-position rows of the words' bytes."""
         n = np.array([len(w) for w in words])
         ids, ends = self.bytes[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(n)
         last = np.zeros(len(ids), bool)
         last[ends - 1] = True
         pos = (np.arange(len(ids)) - np.repeat(ends - n, n)).astype(np.int32)
-        self.con.register("tokens", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), n), "pos": pos, "id": ids, "nid": pa.array(np.r_[ids[1:], ids[:1]], mask=last), "npos": pa.array(pos + 1, mask=last)}))
-        got = self.con.sql(CONTRACT).to_arrow_table()
+        return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), n), "pos": pos, "id": ids, "nid": pa.array(np.r_[ids[1:], ids[:1]], mask=last), "npos": pa.array(pos + 1, mask=last)})
+
+    def run(self, tokens: pa.Table, sql: str) -> pa.Table:
+        self.con.register("tokens", tokens)
+        return self.con.sql(sql).to_arrow_table()
+
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian int32 bytes."""
+        got = self.run(self.rows(words), CONTRACT)
+        return self.split(got, len(words))
+
+    @staticmethod
+    def split(got: pa.Table, n: int) -> list[bytes]:
         w, flat = got["w"].to_numpy(), got["id"].to_numpy().astype("<i4")
-        cut = np.searchsorted(w, np.arange(len(words) + 1))
+        cut = np.searchsorted(w, np.arange(n + 1))
         return [flat[a:b].tobytes() for a, b in zip(cut, cut[1:])]
 
+    def contract_long(self, word: bytes) -> bytes:
+        """The same for one long piece: recursions of as many steps as fit, until one ends before its last step."""
+        self.spans()
+        state = self.rows([word])
+        while True:
+            steps = max(4, HELD // len(state))
+            state = self.run(state, CONTRACT_LONG.format(steps=steps))
+            if state["it"][0].as_py() < steps:
+                return state["id"].to_numpy().astype("<i4").tobytes()
+            state = state.drop_columns("it")
+
     def learn(self, chunks: set[str]):
         """Fill the cache for these chunks of text; a piece is a chunk of one piece, so both share it."""
         known = self.known
         new = {c: self.find(c) for c in known.missing(chunks)}
         words = sorted(known.missing(set().union(*new.values())))
-        for i in range(0, len(words), self.words):
-            part = words[i : i + self.words]
-            known.young.update(zip(part, self.contract([p.encode() for p in part])))
+        raw = [w.encode() for w in words]
+        short = [i for i, w in enumerate(raw) if len(w) <= SHORT]
+        for s, e in runs([len(raw[i]) ** 2 for i in short], self.squares):
+            known.young.update(zip((words[i] for i in short[s:e]), self.contract([raw[i] for i in short[s:e]])))
+        known.young.update((words[i], self.contract_long(w)) for i, w in enumerate(raw) if len(w) > SHORT)
         got = known.young.__getitem__
         known.young.update([(c, b"".join(map(got, ps))) for c, ps in new.items() if len(ps) != 1])
 
@@ -152,18 +239,6 @@ def codec(name: str) -> Codec:
     return _codecs[name]
 
 
-def runs(sizes, most: int):
-    """(start, end) of runs whose sizes sum to about `most`."""
-    start = total = 0
-    for i, s in enumerate(sizes):
-        total += s
-        if total >= most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def encode(docs: DataFrame, name: str = RANKS) -> DataFrame:
     """(doc_id, ids) of each row's whole text."""
 

@@ -128,6 +128,16 @@ def test_op2(spark, docs, odd_dir):
         assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op2(spark, d).collect()) == want
 
 
+def test_op2_unbroken_pieces():
+    """Long pieces contract to the same ids, whatever repeats in them."""
+    rng, enc, codec = np.random.default_rng(7), encoder(), bpe.Codec()
+    draw = lambda parts, n: "".join(rng.choice(parts, n))
+    texts = [draw(list("abcdefghijklmnopqrstuvwxyz"), n) for n in (65, 200, 1000)] + [draw(["action", "ing", "the", "tion", "a", "c", "t"], n) for n in (40, 300)]
+    texts += [draw(list("acgt"), 2000), draw(list("абвгдежз"), 3000), "x" * 10_000, "ab" * 50_000, "=" * 1_000_000, "action" * 2000]
+    for t in texts:
+        assert np.frombuffer(codec.encode([t])[0], "<i4").tolist() == enc.encode_ordinary(t)
+
+
 def test_op2_parts_agree(spark, docs):
     table = spark.createDataFrame(docs[:20], "doc_id long, text string")
     got = bpe.decode(bpe.encode(table)).collect()
