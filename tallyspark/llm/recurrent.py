@@ -9,8 +9,8 @@ each of its most frequent words and a last one for the rest, in which corpus cou
 
 and both softmaxes see the state of the network. Tasks train copies of it on their rows by truncated backpropagation
 (``STEPS`` words) and Adam; the copies' weights are averaged after each of ``ROUNDS`` rounds, summed by tasks in two
-levels. Every training row gives gradients in each round, and counts. Scoring carries the state across windows through
-the whole document; many documents run side by side.
+levels. A round takes the training rows of its share of a hash, so that every training row gives gradients once, and all
+give counts. Scoring carries the state across windows through the whole document; many documents run side by side.
 
 Defined cases: null or empty text is its end token alone; a null doc_id counts as training; rows of equal ids are scored
 one by one; without a training row all scores are finite and the base score is 0; extra columns are ignored; an empty
@@ -35,7 +35,7 @@ from .toxicity import held_out
 
 END = b"\n"
 LOCAL, CLUSTERED, CLASSES, SLOTS, FEATURES, NEAR = 131_072, 8192, 48, 32, 32, 3
-HIDDEN, STEPS, LANES, ROUNDS = 32, 24, 96, 2
+HIDDEN, STEPS, LANES, ROUNDS = 32, 24, 192, 2
 PUNCTUATION = frozenset(range(33, 127)) - set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 FIRST = PUNCTUATION | set(b"0123456789")
 FORMS = 8
@@ -246,51 +246,55 @@ class Network:
         return m + z * (h - m), (z, g, m, r[:, 2 * HIDDEN :])
 
     @staticmethod
-    def tame(w: np.ndarray, b: np.ndarray) -> bool:
+    def tame(w: np.ndarray, b: np.ndarray) -> np.ndarray:
         """True if no state, whose parts are all within -1 and 1, makes exp of a logit overflow or all of them vanish."""
-        return float((np.abs(w).sum(axis=0) + np.abs(b)).max()) < 60
+        return (np.abs(w).sum(axis=-2) + np.abs(b)).max(axis=-1) < 60
 
     def log_p(self, h: np.ndarray, target: np.ndarray, grad: Network | None = None):
         """Natural log of P(symbol) for each state; with grad, adds the gradient of their negative sum and returns it for h."""
         c = np.where(target < CLASSES * SLOTS, target // SLOTS, target - CLASSES * SLOTS + CLASSES)
         rows = np.arange(len(c))
-        e = h @ self.cls + self.cls_b
+        e = h @ self.cls
+        e += self.cls_b
         if not self.tame(self.cls, self.cls_b):
             e -= e.max(axis=1, keepdims=True)
         own = e[rows, c]
         np.exp(e, e)
-        total = e.sum(axis=1)
-        out, dh = own - np.log(total), None
+        total, dh = e @ np.ones(e.shape[1], np.float32), None
         if grad is not None:
-            e /= total[:, None]
+            e *= np.reciprocal(total)[:, None]
             e[rows, c] -= 1
             grad.cls += h.T @ e
             grad.cls_b += e.sum(axis=0)
             dh = e @ self.cls.T
         order = np.argsort(c.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        hs, slots, back = h[order], target[order] % SLOTS, np.zeros((ends[-1] if grad is not None else 0, HIDDEN), np.float32)
-        inner = np.zeros(len(c), np.float32)
+        ends = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
+        hs, slots, last = h[order], target[order] % SLOTS, ends[-1]
+        inner, sums = np.zeros(len(c), np.float32), np.ones(len(c), np.float32)
+        back, ones, tame = np.zeros((last if grad is not None else 0, HIDDEN), np.float32), np.ones(SLOTS, np.float32), self.tame(self.slot, self.slot_b)
         for k in range(CLASSES):
             a, b = ends[k], ends[k + 1]
             if a == b:
                 continue
-            e = hs[a:b] @ self.slot[k] + self.slot_b[k]
-            if not self.tame(self.slot[k], self.slot_b[k]):
+            e = hs[a:b] @ self.slot[k]
+            e += self.slot_b[k]
+            if not tame[k]:
                 e -= e.max(axis=1, keepdims=True)
-            own = e[np.arange(b - a), slots[a:b]]
+            at = rows[: b - a], slots[a:b]
+            inner[a:b] = e[at]
             np.exp(e, e)
-            total = e.sum(axis=1)
-            inner[a:b] = own - np.log(total)
+            sums[a:b] = e @ ones
             if grad is not None:
-                e /= total[:, None]
-                e[np.arange(b - a), slots[a:b]] -= 1
+                e *= np.reciprocal(sums[a:b])[:, None]
+                e[at] -= 1
                 grad.slot[k] += hs[a:b].T @ e
                 grad.slot_b[k] += e.sum(axis=0)
                 back[a:b] = e @ self.slot[k].T
+        inner[:last] -= np.log(sums[:last])
+        out = own - np.log(total)
         out[order] += inner
         if grad is not None:
-            dh[order[: ends[-1]]] += back
+            dh[order[:last]] += back
         return out, dh
 
 
@@ -339,7 +343,7 @@ def train_window(net: Network, grad: Network, x: np.ndarray, y: np.ndarray, fres
             carry = np.where(fresh[t][:, None], np.float32(0), carry)
         das.append(da)
     da, ids = np.concatenate(das[::-1]), x.ravel()
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
     at = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
     grad.inp[ids[order][at]] = np.add.reduceat(da[order], at, axis=0)
     return h, float(logs.sum())
@@ -476,8 +480,9 @@ def language_scores(docs: DataFrame, held_out_flag) -> DataFrame:
     vocab = Vocabulary(frequent_words(counts, LOCAL), n, v, forms)
     vocab.settle(cluster(neighbour_counts(training, vocab), vocab.counts))
     net = Network.first(vocab.mass)
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        net, _, _ = train(training, vocab, net, 0.01 / (1 + k))
+        net, _, _ = train(training.where(turn == k), vocab, net, 0.01 / (1 + k))
     part = stage(partial_scores(docs, vocab, net), "scores")
     rare = part.select("rid", F.explode("rare").alias("word"))
     added = rare.join(counts, "word").groupBy("rid").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))

@@ -207,13 +207,58 @@ def test_op5(spark, docs, odd_dir):
 
 
 def test_op5_trains_on_every_row(spark, monkeypatch):
-    """Above 2 million tokens too, gradients and neighbour counts see all training rows, in every round."""
+    """Above 2 million tokens too, neighbour counts see all training rows, and gradients each of them once."""
     docs = spark.range(40).selectExpr("id as doc_id", "repeat('a b c d ', 20000) as text")
-    seen, near = [], recurrent.neighbour_counts
-    monkeypatch.setattr(recurrent, "train", lambda rows, vocab, net, rate: (seen.append(rows.count()) or net, 0, 0.0))
-    monkeypatch.setattr(recurrent, "neighbour_counts", lambda rows, vocab: seen.append(rows.count()) or near(rows, vocab))
+    trained, near, count = [], [], recurrent.neighbour_counts
+    monkeypatch.setattr(recurrent, "train", lambda rows, vocab, net, rate: (trained.append(rows.select("doc_id").collect()) or net, 0, 0.0))
+    monkeypatch.setattr(recurrent, "neighbour_counts", lambda rows, vocab: near.append(rows.count()) or count(rows, vocab))
     assert recurrent.language_scores(docs, recurrent.F.col("doc_id") % 8 == 0).where("train_tokens > 2000000").count() == 40
-    assert seen == [35] * (1 + recurrent.ROUNDS)
+    assert near == [35] and sorted(r.doc_id for rows in trained for r in rows) == [i for i in range(40) if i % 8]
+
+
+def plain_log10(net, vocab, counts, texts):
+    """log10 P of each text word by word, by the definition of the model."""
+    index = vocab.ids()
+    out = []
+    for t in texts:
+        h, x, total = np.zeros(recurrent.HIDDEN), recurrent.START, 0.0
+        for w in recurrent.words_of(t):
+            n = recurrent.HIDDEN
+            a, r = net.inp[x].astype(float), h @ net.rec.astype(float)
+            z, g = (1 / (1 + np.exp(-(a[k : k + n] + r[k : k + n]))) for k in (0, n))
+            m = np.tanh(a[2 * n :] + g * r[2 * n :])
+            h = m + z * (h - m)
+            i = index.get(w)
+            y = int(vocab.symbol[i]) if i is not None else recurrent.CLASSES * recurrent.SLOTS + recurrent.form(w)
+            c = y // recurrent.SLOTS if y < recurrent.CLASSES * recurrent.SLOTS else y - recurrent.CLASSES * recurrent.SLOTS + recurrent.CLASSES
+            soft = lambda e: np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+            p = soft(h @ net.cls + net.cls_b)[c]
+            if c < recurrent.CLASSES:
+                p *= soft(h @ net.slot[c] + net.slot_b[c])[y % recurrent.SLOTS]
+            if i is not None and y < recurrent.CLASSES * recurrent.SLOTS:
+                same = [vocab.counts[j] for j in range(len(vocab.words)) if vocab.symbol[j] == y]
+                p *= vocab.counts[i] / sum(same)
+            else:
+                p *= (counts.get(w, 0) + 1) / 10 ** vocab.form_size[recurrent.form(w)]
+            total += math.log10(p)
+            x = y
+        out.append(total)
+    return out
+
+
+def test_op5_score_by_definition(spark, monkeypatch):
+    """Scores of a small model, rare and unseen words included, equal a plain word-by-word version."""
+    rng = np.random.default_rng(4)
+    for name, value in (("LOCAL", 60), ("CLUSTERED", 40)):
+        monkeypatch.setattr(recurrent, name, value)
+    rows = [(i, " ".join(f"w{int(k)}{'.' * int(k % 3 == 0)}" for k in rng.zipf(1.3, int(rng.integers(1, 200))) % 120)) for i in range(30)] + [(30, ""), (31, None), (32, "ünseen 7up never.")]
+    kept, first = [], recurrent.partial_scores
+    monkeypatch.setattr(recurrent, "partial_scores", lambda docs, vocab, net: kept.append((vocab, net)) or first(docs, vocab, net))
+    got = {r.doc_id: r.score for r in recurrent.language_scores(spark.createDataFrame(rows, "doc_id long, text string"), recurrent.F.col("doc_id") > 29).collect()}
+    vocab, net = kept[0]
+    counts = Counter(w for i, t in rows if i <= 29 for w in recurrent.words_of(t))
+    for (i, _), want in zip(rows, plain_log10(net, vocab, counts, [t for _, t in rows])):
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want)), i
 
 
 def test_op5_gradient():
