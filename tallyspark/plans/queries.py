@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import dates as D, fingerprint as FP, numeric as N, text as T
 from ..operators import alerts, allocation, ledger, matching, messages as M, upsert
 from ..sources import adapters as A, files
+from ..sources.shared import shared_dir
 from ..streaming import state
 
 QUERIES: dict = {}
@@ -447,11 +448,7 @@ def events_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_dir(spark: SparkSession) -> str:
-    import os
-    import tempfile
-
-    top = spark.conf.get("spark.checkpoint.dir", f"file://{tempfile.gettempdir()}/tallyspark-{os.getuid()}").rstrip("/")
-    return f"{top}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("x14_stream_counters", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) n FROM events GROUP BY 1, 2", False)
