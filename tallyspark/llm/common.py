@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.shared import shared_dir
+
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,11 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", f"file://{tempfile.gettempdir()}/tallyspark-{os.getuid()}").rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage so that lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -35,19 +30,27 @@ def with_key(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tkey", F.xxhash64("text"))
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """(row, doc_id, tkey): all columns of docs in the struct `row`, so that no name of theirs meets an operator's; columns
+    named like one of `own`, which the operator adds, are left out."""
+    names = [c for c in docs.columns if c not in own]
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"))
+
+
 def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b), longs, by alternating large and small stars.
 
     Returns (node, component) for every node that is not itself the smallest of its component. Each round is a few
-    keyed joins and is written to the shared folder; only a count and a checksum reach the driver.
+    keyed joins and is written to the shared folder; only a count and a checksum reach the driver. Rounds go on until
+    one changes nothing, of which there are about as many as the square of the logarithm of the longest path.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs, seen = stage(pairs, "edges"), None
-    for _ in range(rounds):
+    while True:
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
