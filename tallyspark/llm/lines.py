@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ASCII_SPACE, ascii_lower, documents, stage, with_key
+from .common import ASCII_SPACE, ascii_lower, documents, packed, stage, with_key
 
 DROP = "doc_id long, tkey long, pos int, h1 long, h2 long, n int, pending boolean"
 
@@ -102,7 +102,7 @@ def _stream(threshold: int, keep_first: bool = False):
 
 def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """(doc_id, tkey, drop): the sorted positions of the lines to drop, for documents that lose any."""
-    lines = line_rows(with_key(docs), min_chars)
+    lines = stage(line_rows(with_key(docs), min_chars), "line-rows")  # the ranges are drawn from it before it is dealt
     found = stage(lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "tkey", "pos").mapInArrow(_stream(min_docs, keep_first), DROP), "lines")
     pending = found.where("pending")
     full = pending.where("pos is null").groupBy("h1", "h2").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
@@ -141,20 +141,19 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """All columns of docs with text reduced to the kept lines, plus n_lines and n_dropped as _n_lines and _n_dropped."""
-    names, whole = docs.columns, docs.withColumn("_tkey", F.xxhash64("text"))
-    maps = bitmaps.dropDuplicates(["doc_id", "tkey"]).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_t"), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep"))
-    both = whole.join(maps, whole["doc_id"].cast("long").eqNullSafe(maps["_doc"]) & (whole["_tkey"] == maps["_t"]), "left")
-    both = both.select(*names, "_n_lines", "_n_dropped", F.when(F.col("_n_dropped") > 0, F.col("_keep")).alias("_keep"))
-    out = both.drop("_keep").schema
+    own = ("_n_lines", "_n_dropped")
+    maps = bitmaps.dropDuplicates(["doc_id", "tkey"]).select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "n_lines", "n_dropped", "keep")
+    both = packed(docs, *own).join(maps, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("t")), "left")
+    both = both.select("row", "n_lines", "n_dropped", F.when(F.col("n_dropped") > 0, F.col("keep")).alias("keep"))
+    out = both.select("row.*", F.col("n_lines").alias(own[0]), F.col("n_dropped").alias(own[1])).schema
 
     def each(batches):
-        at = names.index("text")
         for b in batches:
-            texts, n, keep = b.column(at).to_pylist(), b.column("_n_lines").to_pylist(), b.column("_keep").to_pylist()
+            cols = dict(zip(out.names, b.column(0).flatten()))
+            texts, n, keep = cols["text"].to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
             cut = [t if k is None else "\n".join(x for x, y in zip((t or "").split("\n"), read_bitmap(k, m)) if y) for t, m, k in zip(texts, n, keep)]
-            cols = [c for c, f in zip(b.columns, b.schema.names) if f != "_keep"]
-            cols[at] = pa.array(cut, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, [f for f in b.schema.names if f != "_keep"])
+            cols["text"] = pa.array(cut, pa.string())
+            yield pa.RecordBatch.from_arrays([*cols.values(), b.column(1), b.column(2)], out.names)
 
     return both.mapInArrow(each, out)
 
@@ -163,3 +162,13 @@ def op8(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     kept = apply_bitmaps(docs, line_bitmaps(docs))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+#: op8 for DuckDB.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT rid, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(s.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN shared s ON s.key = k.key GROUP BY rid, doc_id"""
