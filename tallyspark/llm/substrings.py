@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import runs
-from .common import documents, stage
+from .common import documents, packed, stage
 
 WINDOW, PERIOD = 50, 31
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -246,25 +246,22 @@ def covered(starts: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
     """All columns of docs, with _n_words, _n_removed and, for texts that lose words, text as the kept words joined by spaces."""
-    names = docs.columns
-    gone = repeated_windows(docs, window, period).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_t"), F.col("spots").alias("_spots"))
-    whole = docs.withColumn("_tkey", F.xxhash64("text"))
-    both = whole.join(gone, (whole["doc_id"].cast("long") == gone["_doc"]) & (whole["_tkey"] == gone["_t"]), "left").select(*names, "_spots")
-    schema = docs.withColumn("_n_words", F.lit(0).cast("long")).withColumn("_n_removed", F.lit(0).cast("long")).schema
-    at = names.index("text")
+    own = ("_n_words", "_n_removed")
+    gone = repeated_windows(docs, window, period)
+    both = packed(docs, *own).join(gone, ["doc_id", "tkey"], "left").select("row", "spots")
+    schema = both.select("row.*", *(F.lit(0).cast("long").alias(c) for c in own)).schema
 
     def each(batches):
         for b in batches:
-            texts, n_words, n_removed = [], [], []
-            for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
+            cols, texts, n_words, n_removed = dict(zip(schema.names, b.column(0).flatten())), [], [], []
+            for t, s in zip(cols["text"].to_pylist(), b.column(1).to_pylist()):
                 words = (t or "").encode().split()
                 drop = covered(unpack(s), len(words), window) if s else None
                 n_words.append(len(words))
                 n_removed.append(int(drop.sum()) if s else 0)
                 texts.append(b" ".join(w for w, d in zip(words, drop.tolist()) if not d).decode() if s else t)
-            cols = list(b.columns[: len(names)])
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "_n_words", "_n_removed"])
+            cols["text"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], schema.names)
 
     return both.mapInArrow(each, schema)
 
@@ -273,3 +270,14 @@ def op4(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     kept = F.array_join(F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"), " ")
     return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+#: op4 for DuckDB.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) AS u(i)),
+gone AS (SELECT rid, i FROM starts QUALIFY doc_id > min(doc_id) OVER (PARTITION BY h)),
+words AS (SELECT rid, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+marked AS (SELECT x.rid, x.i, word, max(g.i) OVER (PARTITION BY x.rid ORDER BY x.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS drop FROM words x LEFT JOIN gone g ON g.rid = x.rid AND g.i = x.i),
+kept AS (SELECT rid, count(*) AS n, count(*) FILTER (WHERE drop) AS n_gone, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT drop) AS t FROM marked GROUP BY rid)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(n_gone, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.rid = d.rid"""
