@@ -2,8 +2,7 @@
 
 Each document's ids, with its end id, are cut into whole windows and, what is left, into pieces of at most ``grain``
 ids: the finer the pieces, the less padding (at 2048: 2 %, at 256: 0.4 %). The pieces, without their ids, are dealt to
-groups of about ``windows`` windows by a hash of document and position, so that groups are even whatever the documents
-are. In a group, partial partitions of as many sums as there are windows are merged, the two of largest spread first,
+groups of about ``windows`` windows by a hash of their row number, so that groups are even whatever the documents are. In a group, partial partitions of as many sums as there are windows are merged, the two of largest spread first,
 the largest sums of one on the smallest of the other, until one partition is left. Its windows are near-equal; if the
 largest exceeds the capacity, the number of windows rises and the differencing starts anew.
 
@@ -17,19 +16,19 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import runs
 from .common import documents, stage
 
 VOCAB, CAPACITY, GRAIN, END = "word_bpe_49k.json", 2048, 256, 1
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
 class Words(dict):
@@ -47,19 +46,25 @@ class Words(dict):
         self.model.encode_special_tokens = True
         self.size, self.old = size, {}
 
-    def __missing__(self, word: bytes) -> bytes:
+    def learn(self, words: set[bytes]) -> None:
+        """Take in the ids of words: from the older generation, or from the model, many words a call."""
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        ids = self.old.get(word)
-        if ids is None:
-            ids = array("I", self.model.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
+        lack = words.difference(self)
+        self.update((w, self.old[w]) for w in lack if w in self.old)
+        new = list(lack.difference(self))
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            got = self.model.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+            ids, cut = np.array(got.ids, "<u4"), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            self.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cut, cut[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as little-endian uint32 bytes."""
-        return [b"".join(map(self.__getitem__, t.encode().lower().split())) for t in texts]
+        words = [t.encode().lower().split() for t in texts]
+        self.learn(set().union(*words))
+        return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
 def cuts(n: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[int]:
@@ -72,12 +77,13 @@ _words: dict[str, Words] = {}
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, end: int = END, name: str = VOCAB, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, ids): the cut documents; ids only if asked for."""
+    """(piece, doc_id, start, length, ids_crc32, doc_tokens, ids): the cut documents, numbered; ids only if asked for."""
     tail = np.array([end], "<u4").tobytes()
 
     def each(batches):
         if name not in _words:
             _words[name] = Words(name)
+        at_piece = TaskContext.get().partitionId() << 40
         for b in batches:
             texts, docs = [t or "" for t in b.column(1).to_pylist()], b.column(0)
             for s, e in runs([len(t) + 1 for t in texts], 4_000_000):
@@ -89,7 +95,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, end: i
                         p = ids[4 * k : 4 * m]
                         rows.append((i, k, m - k, zlib.crc32(p), at[-1], p if with_ids else None))
                 row, *cols = zip(*rows)
-                yield pa.RecordBatch.from_arrays([docs.take(pa.array(row)), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                number = pa.array(np.arange(at_piece, at_piece + len(rows)))
+                at_piece += len(rows)
+                yield pa.RecordBatch.from_arrays([number, docs.take(pa.array(row)), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, PIECES)
 
@@ -166,11 +174,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, windows: int = 256) -> DataFr
     """cut: a stage table of pieces -> the same with sequence_id and offset, gapless from 0 in each sequence."""
     total = cut.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // (windows * capacity)))
-    rest = [c for c in cut.columns if c not in ("sequence_id", "offset")]
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    rest = [c for c in cut.columns if c not in ("piece", "sequence_id", "offset")]
+    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("piece"), F.lit(groups)))
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("piece").reset_index(drop=True)
         w = pack_group(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"] = int(pdf["_group"].iloc[0]) * (1 << 24) + w
         pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
