@@ -2,9 +2,10 @@
 
 ``mux`` stores bytes without loss as the main data of MPEG-1 Layer III frames with checksums, behind an ID3v2 tag and an
 information frame (frame count, byte count, 100-step seek table). ``probe`` reads any such stream: it parses the tags,
-resynchronises on frame headers whose successors fit, whatever garbage stands between, verifies each protected frame's
-CRC-16, and returns the exact duration in samples and the byte offset of frames for seeking. All work on frames of a
-stream is done on numpy columns.
+resynchronises on frame headers whose successors fit, whatever garbage stands between, verifies the CRC-16 of protected
+frames of all versions and channel modes, reads Xing, Info and VBRI tables, and returns the exact duration in samples
+and the byte offset of every frame, as differences. Frames that can't be verified (unprotected or too short) are counted
+apart from bad ones. All work on frames of a stream is done on numpy columns.
 
 Defined cases: null or empty content is a stream of one payload frame of 64 zero bytes; a null media value has no frame;
 rows are handled one by one, whatever their ids; extra columns are ignored; an empty table gives no row.
@@ -28,8 +29,9 @@ RATES_1 = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 0]
 RATES_2 = [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160, 0]
 HERTZ = {3: [44100, 48000, 32000], 2: [22050, 24000, 16000], 0: [11025, 12000, 8000]}
 CRC_POLYNOMIAL, CRC_START = 0x8005, 0xFFFF
-SIDE = 32  # bytes of side information: version 1, two channels
+SIDE = 32  # bytes of side information of what mux() makes: version 1, two channels
 HEAD = 4 + 2 + SIDE
+VBRI_AT = 36  # from the start of the frame, whatever its side information
 
 _crc = np.zeros(256, np.uint16)
 for _i in range(256):
@@ -70,6 +72,29 @@ def header_code(b1, b2, b3):
     return np.where(ok, (b1 >> 3 & 3).astype(np.int64) << 9 | (b2 >> 4).astype(np.int64) << 5 | (b2 >> 2 & 3) << 3 | (b2 >> 1 & 1) << 2 | b3 >> 6, 0)
 
 
+def side_sizes(code: np.ndarray) -> np.ndarray:
+    """Bytes of side information by header code: 32 and 17 in version 1, 17 and 9 else, the lesser for one channel."""
+    first, mono = code >> 9 == 3, (code & 3) == 3
+    return np.where(first, np.where(mono, 17, 32), np.where(mono, 9, 17))
+
+
+def read_info(frame: bytes, side: int, protected: bool) -> dict:
+    """The table of a variable-bitrate frame, Xing, Info or VBRI, or nothing: what it says of frames, bytes and steps."""
+    num = lambda at, n: int.from_bytes(frame[at : at + n], "big")
+    at = 4 + 2 * protected + side
+    if frame[at : at + 4] in (b"Xing", b"Info"):
+        out, flags, at = {"kind": frame[at : at + 4].decode()}, num(at + 4, 4), at + 8
+        for bit, name, n in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100), (8, "quality", 4)):
+            if flags & bit:
+                out[name], at = list(frame[at : at + n]) if name == "toc" else num(at, n), at + n
+        return {**out, "payload": num(at, 8)}
+    if frame[VBRI_AT : VBRI_AT + 4] == b"VBRI":
+        entries, scale, size = (num(VBRI_AT + k, 2) for k in (18, 20, 22))
+        steps = [num(VBRI_AT + 26 + k * size, size) * scale for k in range(entries)]
+        return {"kind": "VBRI", "bytes": num(VBRI_AT + 10, 4), "frames": num(VBRI_AT + 14, 4), "frames_a_step": num(VBRI_AT + 24, 2), "steps": steps}
+    return {}
+
+
 def synchsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
@@ -124,13 +149,15 @@ def mux(payload: bytes, title: str = "payload") -> bytes:
 
 @dataclass
 class Stream:
-    """What a stream holds; offsets, lengths and good are columns over its frames, the information frame left out."""
+    """What a stream holds; offsets, lengths, good and checked are columns over its frames, the information frame left
+    out. A frame is good unless its checksum is wrong; checked tells whether there was one to verify."""
 
     tags: dict[str, str] = field(default_factory=dict)
     info: dict = field(default_factory=dict)
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     lengths: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     good: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    checked: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
     samples: int = 0
     hertz: int = 0
     skipped: int = 0  # bytes between frames that are no tag
@@ -185,19 +212,18 @@ def probe(data: bytes | None) -> Stream:
     c = np.array(chain)
     out.skipped += int(end - after[c[-1]])
     offsets, lengths = ff[c], FRAMES[code[c], 0]
-    protected = (b[offsets + 1] & 1) == 0
-    good = ~protected
-    check = np.flatnonzero(protected & (lengths >= HEAD) & ((code[c] >> 9) == 3) & ((code[c] & 3) != 3))
-    if len(check):
-        o = offsets[check][:, None]
-        c16 = crc16(b[o + np.r_[2, 3, 6:HEAD]])
-        good[check] = c16 == (b[o[:, 0] + 4].astype(np.uint16) << 8 | b[o[:, 0] + 5])
+    protected, side = (b[offsets + 1] & 1) == 0, side_sizes(code[c])
+    checked = protected & (lengths >= 6 + side)
+    good = np.ones(len(c), bool)
+    for n in np.unique(side[checked]).tolist():
+        some = np.flatnonzero(checked & (side == n))
+        o = offsets[some]
+        good[some] = crc16(b[o[:, None] + np.r_[2, 3, 6 : 6 + n]]) == (b[o + 4].astype(np.uint16) << 8 | b[o + 5])
     first = int(offsets[0])
-    tag = data[first + HEAD : first + HEAD + 124] if protected[0] else data[first + HEAD - 2 : first + HEAD + 122]
-    if tag[:4] in (b"Xing", b"Info"):
-        out.info = {"frames": int.from_bytes(tag[8:12], "big"), "bytes": int.from_bytes(tag[12:16], "big"), "toc": list(tag[16:116]), "payload": int.from_bytes(tag[116:124], "big")}
-        c, offsets, lengths, good = c[1:], offsets[1:], lengths[1:], good[1:]
-    out.offsets, out.lengths, out.good = offsets, lengths, good
+    out.info = read_info(data[first : first + int(lengths[0])], int(side[0]), bool(protected[0]))
+    if out.info:
+        c, offsets, lengths, good, checked = c[1:], offsets[1:], lengths[1:], good[1:], checked[1:]
+    out.offsets, out.lengths, out.good, out.checked = offsets, lengths, good, checked
     out.samples = int(FRAMES[code[c], 1].sum())
     out.hertz = int(FRAMES[code[chain[0]], 2])
     return out
@@ -230,30 +256,36 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_bytes long, media binary")
 
 
-PROBED = "doc_id long, n_bytes long, media binary, payload binary, tail_crc32 long, title string, n_frames long, n_bad_frames long, skipped_bytes long, samples long, hertz int, vbr_frames long, seek array<long>"
+PROBED = "doc_id long, n_bytes long, media binary, payload binary, tail_crc32 long, title string, n_frames long, n_bad_frames long, n_unchecked_frames long, skipped_bytes long, samples long, hertz int, vbr_frames long, offset_deltas array<int>"
 
 
-def probe_media(media: DataFrame, seeks: int = 10) -> DataFrame:
-    """(doc_id, n_bytes, media) -> what the stored streams hold; seek: byte offsets of the frames at each of `seeks` equal steps."""
+def probe_media(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) -> what the stored streams hold; offset_deltas: the byte offset of each frame less that of
+    the one before, so that their running sum seeks to any frame."""
 
     def each(batches):
         for b in batches:
             stored = b.column(2)
             for s, e in runs([len(x) + 500 if x is not None else 500 for x in stored.to_pylist()], 8_000_000):
-                cols = [[] for _ in range(10)]
+                cols = [[] for _ in range(11)]
                 for data in stored.slice(s, e - s).to_pylist():
                     p = probe(data)
-                    payload, n = demux(data or b"", p), len(p.offsets)
-                    seek = p.offsets[np.arange(seeks) * n // seeks].tolist() if n else []
-                    for c, v in zip(cols, (payload, zlib.crc32(payload[-64:]), p.tags.get("TIT2"), n, int((~p.good).sum()), p.skipped, p.samples, p.hertz, p.info.get("frames"), seek)):
+                    payload = demux(data or b"", p)
+                    for c, v in zip(cols, (payload, zlib.crc32(payload[-64:]), p.tags.get("TIT2"), len(p.offsets), int((~p.good).sum()), int((~p.checked).sum()), p.skipped, p.samples, p.hertz, p.info.get("frames"), np.diff(p.offsets, prepend=0).astype(np.int32))):
                         c.append(v)
-                types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+                types = [pa.binary(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), b.column(1).slice(s, e - s), stored.slice(s, e - s), *(pa.array(c, t) for c, t in zip(cols, types))], [x.split()[0] for x in PROBED.split(", ")])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(each, PROBED)
 
 
+def seek_points(deltas: str, steps: int = 10):
+    """Byte offsets of the frames at so many equal steps, from the column of offset differences."""
+    n = f"size({deltas})"
+    return F.expr(f"if({n} = 0, cast(array() as array<bigint>), transform(sequence(0, {steps - 1}), k -> aggregate(slice({deltas}, 1, cast(k * {n} div {steps} as int) + 1), 0L, (t, x) -> t + x)))")
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     p = probe_media(encode_media(documents(spark, sf_dir)))
-    feature = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in ("n_frames", "n_bad_frames", "skipped_bytes", "samples", "hertz", "vbr_frames")), F.concat(F.lit("seek="), F.array_join("seek", ",")))
+    feature = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in ("n_frames", "n_bad_frames", "n_unchecked_frames", "skipped_bytes", "samples", "hertz", "vbr_frames")), F.concat(F.lit("seek="), F.array_join(seek_points("offset_deltas"), ",")))
     return p.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
