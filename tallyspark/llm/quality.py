@@ -1,10 +1,12 @@
 """Quality rules with thresholds that adapt to each language and source; DataFrame functions only.
 
-Each document gets counts from its whole text. Mergeable KLL quantile sketches of its ratios are built for every
-(lang, source), merged to a sketch for each language and for all documents, and turned into upper fences: third quartile
-plus ``spread`` times the distance between the quartiles, and never closer to the third quartile than a small tolerance.
-A group of fewer than ``min_group`` documents takes its language's fences, a language of fewer takes those of all
-documents. Documents are then joined to the fences of their group and filtered.
+Each document gets counts from its whole text. Ratios of them, all within 0 and 1, go into quantile sketches for every
+(lang, source): counts by bins of 1/4096, which merge by adding, to a sketch for each language and one for all. Their
+quantiles are exact to a bin and the same in every run. They become upper fences: third quartile plus ``spread`` times
+the distance from the first, at least ``least`` bins away. A group of fewer than ``min_group`` documents takes its
+language's fences, a language of fewer takes those of all documents. So that a source in which junk is common doesn't
+set its own measure, no fence is above ``slack`` times the language's. Documents are then joined to the fences of their
+group and filtered.
 
 Defined cases: null or empty text has no word and fails the base rule; null lang or source is a group of its own; rows
 with equal ids are judged one by one; extra columns are ignored; an empty table gives no row.
@@ -12,19 +14,20 @@ with equal ids are judged one by one; extra columns are ignored; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import ASCII_SPACE, documents, stage
 
 SYMBOLS = "#*$%&|<>"
-#: ratio -> (SQL over the counts, the least distance of a fence from the third quartile)
+BINS = 4096
+#: ratio -> (count, what it is a share of, least distance of a fence from the third quartile in bins)
 RATIOS = {
-    "symbol_ratio": ("n_symbols / greatest(n_words, 1)", 0.10),
+    "symbol_ratio": ("n_symbols", "n_symbols + n_words", 400),
     # a few lines more in the divisor, so that one repeat among three lines is no verdict
-    "dup_line_ratio": ("n_dup_lines / (n_lines + 4)", 0.30),
-    "repeat_ratio": ("n_repeat_words / greatest(n_words, 1)", 0.30),
-    "echo_ratio": ("n_echo / greatest(n_words, 1)", 0.20),
-    "upper_ratio": ("n_upper / greatest(word_chars, 1)", 0.25),
+    "dup_line_ratio": ("n_dup_lines", "n_lines + 4", 800),
+    "repeat_ratio": ("n_repeat_words", "n_words", 800),
+    "echo_ratio": ("n_echo", "n_words", 400),
+    "upper_ratio": ("n_upper", "word_chars", 1000),
 }
 
 #: Positions covered by windows of 8 words that occur twice or more; w: hashes of the words. array(x) with a lambda
@@ -67,40 +70,86 @@ def counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def fences(counted: DataFrame, spread: float = 6.0, min_group: int = 50) -> DataFrame:
-    """(lang, source, n_group, <ratio>_max ...): one row for each language and source."""
-    ratios = counted.select("lang", "source", *(F.expr(f"cast({sql} as double)").alias(k) for k, (sql, _) in RATIOS.items()))
-    own = ratios.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(k).alias(k) for k in RATIOS))
-    own = stage(own, "sketches")
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(k).alias(k) for k in RATIOS)]
-    of_lang, of_all = own.groupBy("lang").agg(*merged), own.agg(*merged)
-
-    def bounds(df, tag):
-        out = []
-        for k, (_, least) in RATIOS.items():
-            lo, hi = F.kll_sketch_get_quantile_double(k, F.lit(0.25)), F.kll_sketch_get_quantile_double(k, F.lit(0.75))
-            out.append((hi + F.greatest(spread * (hi - lo), F.lit(least))).alias(f"{tag}_{k}"))
-        return df.select(*(c for c in ("lang", "source") if c in df.columns), F.col("n").alias(f"{tag}_n"), *out)
-
-    a, b, c = bounds(own, "own"), bounds(of_lang, "lang"), bounds(of_all, "all")
-    both = a.alias("a").join(b.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(c, F.lit(True))
-    pick = lambda k: F.when(F.col("own_n") >= min_group, F.col(f"own_{k}")).when(F.col("lang_n") >= min_group, F.col(f"lang_{k}")).otherwise(F.col(f"all_{k}"))
-    return both.select("a.lang", "a.source", F.col("own_n").alias("n_group"), *(pick(k).alias(f"{k}_max") for k in RATIOS))
-
-
-def judge(docs: DataFrame, spread: float = 6.0, min_group: int = 50) -> DataFrame:
-    """counts() of each row with base_failed, kept and the first reason against it."""
-    counted = stage(counts(docs), "counts")
-    # a group's fences depend on random choices of the sketch, so they are written once
-    limits = stage(fences(counted, spread, min_group), "fences")
-    both = counted.alias("d").join(limits.alias("f"), F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
+def with_bins(counted: DataFrame) -> DataFrame:
+    """counts() with the bin of each ratio."""
+    return counted.select("*", *(F.expr(f"{BINS} * {n} div greatest({of}, 1)").alias(k) for k, (n, of, _) in RATIOS.items()))
+
+
+def sketches(binned: DataFrame) -> DataFrame:
+    """(lang, source, ratio, bin, n): the quantile sketches of every (lang, source)."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), F.col(k).alias("bin")) for k in RATIOS)))
+    return binned.select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.ratio", "x.bin").agg(F.count("*").alias("n"))
+
+
+def merged(sketch: DataFrame, *keys: str) -> DataFrame:
+    return sketch.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
+
+
+def bounds(sketch: DataFrame, spread: int, *keys: str) -> DataFrame:
+    """(*keys, ratio, size, fence) from sketches: a quartile is the first bin up to which so many rows lie."""
+    w = W.partitionBy(*keys, "ratio")
+    run = sketch.withColumn("up_to", F.sum("n").over(w.orderBy("bin"))).withColumn("size", F.sum("n").over(w))
+    q = run.groupBy(*keys, "ratio").agg(F.first("size").alias("size"), *(F.min(F.when(4 * F.col("up_to") >= k * F.col("size"), F.col("bin"))).alias(f"q{k}") for k in (1, 3)))
+    least = F.create_map(*(F.lit(x) for k, (_, _, n) in RATIOS.items() for x in (k, n)))
+    return q.select(*keys, "ratio", "size", (F.col("q3") + F.greatest(spread * (F.col("q3") - F.col("q1")), least[F.col("ratio")])).alias("fence"))
+
+
+def fences(binned: DataFrame, spread: int = 3, min_group: int = 50, slack: int = 2) -> DataFrame:
+    """(lang, source, n_group, <ratio>_max ...): one row for each language and source, in bins."""
+    own = stage(sketches(binned), "sketches")
+    a, b, c = (bounds(merged(own, *keys), spread, *keys) for keys in (("lang", "source"), ("lang",), ()))
+    b = b.select(F.col("lang").alias("l"), F.col("ratio").alias("r"), F.col("size").alias("lang_size"), F.col("fence").alias("lang_fence"))
+    c = c.select(F.col("ratio").alias("all_ratio"), F.col("fence").alias("all_fence"))
+    both = a.join(b, F.col("lang").eqNullSafe(F.col("l")) & (F.col("ratio") == F.col("r"))).join(c, F.col("ratio") == F.col("all_ratio"))
+    wide = F.when(F.col("lang_size") >= min_group, F.col("lang_fence")).otherwise(F.col("all_fence"))
+    fence = F.when(F.col("size") >= min_group, F.least("fence", slack * wide)).otherwise(wide)
+    return both.groupBy("lang", "source").agg(F.first("size").alias("n_group"), *(F.max(F.when(F.col("ratio") == k, fence)).alias(f"{k}_max") for k in RATIOS))
+
+
+def judge(docs: DataFrame, spread: int = 3, min_group: int = 50, slack: int = 2) -> DataFrame:
+    """counts() of each row with its ratios' bins, base_failed, kept and the first reason against it."""
+    binned = with_bins(stage(counts(docs), "counts"))
+    limits = fences(binned, spread, min_group, slack)
+    both = binned.alias("d").join(limits.alias("f"), F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     reason = F.when(failed, "base")
-    for k, (sql, _) in RATIOS.items():
-        reason = reason.when(F.expr(f"cast({sql} as double) > {k}_max"), k)
+    for k in RATIOS:
+        reason = reason.when(F.col(f"d.{k}") > F.col(f"{k}_max"), k)
     return both.select("d.*", failed.alias("base_failed"), reason.isNull().alias("kept"), reason.alias("reason"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     found = judge(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _bins(name: str) -> str:
+    n, of, _ = RATIOS[name]
+    return f"{BINS} * {n} // greatest({of}, 1)"
+
+
+#: op9 for DuckDB.
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+starts AS (SELECT rid, i, md5(array_to_string(w[i:i + 7], ' ')) AS h FROM w, unnest(range(1, len(w) - 6)) AS u(i)),
+twice AS (SELECT rid, i FROM starts QUALIFY count(*) OVER (PARTITION BY rid, h) > 1),
+places AS (SELECT rid, i FROM w, unnest(range(1, len(w) + 1)) AS u(i)),
+covered AS (SELECT p.rid, max(t.i) OVER (PARTITION BY p.rid ORDER BY p.i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) IS NOT NULL AS c FROM places p LEFT JOIN twice t ON t.rid = p.rid AND t.i = p.i),
+repeats AS (SELECT rid, count(*) FILTER (WHERE c) AS n FROM covered GROUP BY rid),
+counted AS (SELECT d.rid, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+  length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+  coalesce(r.n, 0) AS n_repeat_words, len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_echo
+  FROM d JOIN w ON w.rid = d.rid LEFT JOIN repeats r ON r.rid = d.rid),
+lined AS (SELECT *, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines FROM counted),
+binned AS (SELECT *, {", ".join(f"{_bins(k)} AS {k}" for k in RATIOS)} FROM lined),
+long AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {k} AS bin, {least} AS least FROM binned" for k, (_, _, least) in RATIOS.items())}),
+levels AS (SELECT 'own' AS level, lang, source, ratio, bin, least FROM long UNION ALL SELECT 'lang', lang, NULL, ratio, bin, least FROM long UNION ALL SELECT 'all', NULL, NULL, ratio, bin, least FROM long),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY level, lang, source, ratio ORDER BY bin) AS up_to, count(*) OVER (PARTITION BY level, lang, source, ratio) AS size FROM levels),
+quartiles AS (SELECT level, lang, source, ratio, any_value(size) AS size, any_value(least) AS least, min(bin) FILTER (WHERE 4 * up_to >= size) AS q1, min(bin) FILTER (WHERE 4 * up_to >= 3 * size) AS q3 FROM ranked GROUP BY ALL),
+fenced AS (SELECT level, lang, source, ratio, size, q3 + greatest(3 * (q3 - q1), least) AS fence FROM quartiles),
+wide AS (SELECT a.ratio, l.lang, CASE WHEN l.size >= 50 THEN l.fence ELSE a.fence END AS fence FROM fenced l JOIN fenced a ON a.ratio = l.ratio WHERE l.level = 'lang' AND a.level = 'all'),
+chosen AS (SELECT o.lang, o.source, o.ratio, CASE WHEN o.size >= 50 THEN least(o.fence, 2 * w.fence) ELSE w.fence END AS fence FROM fenced o JOIN wide w ON w.ratio = o.ratio AND w.lang IS NOT DISTINCT FROM o.lang WHERE o.level = 'own'),
+over AS (SELECT b.rid, bool_or(CASE c.ratio {" ".join(f"WHEN '{k}' THEN b.{k}" for k in RATIOS)} END > c.fence) AS out FROM binned b JOIN chosen c ON c.lang IS NOT DISTINCT FROM b.lang AND c.source IS NOT DISTINCT FROM b.source GROUP BY b.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR out) AS kept
+FROM binned b JOIN over o ON o.rid = b.rid"""
