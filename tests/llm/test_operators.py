@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from tallyspark.llm.common import components
 from tallyspark.llm import attribution, bpe, lines, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -61,6 +62,15 @@ def test_empty_table(spark, empty_dir, name):
     assert ALL[name](spark, empty_dir).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op4", "op8", "op9"])
+def test_equals_sql(spark, name):
+    from oracle import difference
+    from tallyspark.llm.queries import oracle_sql, queries
+
+    full = next(k for k in oracle_sql() if k.startswith(name + "_"))
+    assert difference(spark, queries()[full], oracle_sql()[full], SF) is None
+
+
 @pytest.mark.parametrize("name", [k for k in ALL if k not in ("op3", "op10")])
 def test_one_row_for_each(spark, odd_dir, name):
     got = ALL[name](spark, odd_dir).collect()
@@ -286,7 +296,7 @@ def test_op6(spark, docs, odd_dir):
         want = Counter((i, len(b := (t or "").encode()), len(p := mpeg.padded(b)), sha(p), zlib.crc32(p[-64:])) for i, t in rows)
         got = mpeg.op6(spark, d).collect()
         assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
-        assert all(";n_bad_frames=0;skipped_bytes=0;" in ";" + r.feature for r in got)
+        assert all(";n_bad_frames=0;n_unchecked_frames=0;skipped_bytes=0;" in ";" + r.feature for r in got)
 
 
 def test_op6_resync_and_checksum():
@@ -300,6 +310,56 @@ def test_op6_resync_and_checksum():
     assert mpeg.probe(None).samples == 0 == mpeg.probe(b"nothing").samples
 
 
+def stream_of(v: int, mono: bool, n: int = 6, rate: int = 5) -> bytearray:
+    """Protected frames of version bits v, with right checksums bit by bit."""
+    out = bytearray()
+    side = (17 if mono else 32) if v == 3 else (9 if mono else 17)
+    for i in range(n):
+        head = bytes([0xFF, 0xE0 | v << 3 | 1 << 1, rate << 4 | 1 << 2, 0xC0 if mono else 0])
+        code = int(mpeg.header_code(*(np.array([x]) for x in head[1:]))[0])
+        size = int(mpeg.FRAMES[code, 0])
+        body = bytearray(bytes((i * 7 + k) % 251 for k in range(size - 6)))
+        c = 0xFFFF
+        for byte in head[2:] + body[:side]:
+            for bit in range(7, -1, -1):
+                c = (c << 1 ^ (0x8005 if (c >> 15) ^ (byte >> bit & 1) else 0)) & 0xFFFF
+        out += head + c.to_bytes(2, "big") + body
+    return out
+
+
+@pytest.mark.parametrize("v", [3, 2, 0])
+@pytest.mark.parametrize("mono", [False, True])
+def test_op6_checksums_of_all_modes(v, mono):
+    raw = stream_of(v, mono)
+    p = mpeg.probe(bytes(raw))
+    assert len(p.offsets) == 6 and p.good.all() and p.checked.all()
+    raw[int(p.offsets[3]) + 8] ^= 4
+    assert mpeg.probe(bytes(raw)).good.tolist() == [True] * 3 + [False] + [True] * 2
+
+
+def test_op6_tables():
+    """Xing behind the side information of any mode, and VBRI at its fixed place; other frames keep exact offsets."""
+    for v, mono in ((3, True), (2, False), (2, True)):
+        raw = stream_of(v, mono, rate=9)
+        side = int(mpeg.side_sizes(np.array([v << 9 | 3 * mono]))[0])
+        raw[6 + side : 6 + side + 16] = b"Xing" + (3).to_bytes(4, "big") + (5).to_bytes(4, "big") + (999).to_bytes(4, "big")
+        p = mpeg.probe(bytes(raw))
+        assert (p.info["kind"], p.info["frames"], p.info["bytes"], len(p.offsets)) == ("Xing", 5, 999, 5)
+    raw = stream_of(3, False, rate=9)
+    raw[36:36 + 30] = b"VBRI" + bytes(6) + (1234).to_bytes(4, "big") + (5).to_bytes(4, "big") + b"\0\2\0\3\0\1\0\2" + bytes([10, 20]) + bytes(2)
+    p = mpeg.probe(bytes(raw))
+    assert (p.info["kind"], p.info["bytes"], p.info["frames"], p.info["steps"]) == ("VBRI", 1234, 5, [30, 60])
+    assert p.offsets.tolist() == [k * len(raw) // 6 for k in range(1, 6)] and not mpeg.probe(bytes(raw)).skipped
+
+
+def test_op6_all_frame_offsets(spark):
+    docs = spark.createDataFrame([(1, "word " * 4000), (2, "")], "doc_id long, text string")
+    got = mpeg.probe_media(mpeg.encode_media(docs)).select("*", mpeg.seek_points("offset_deltas", 4).alias("seek")).orderBy("doc_id").collect()
+    for r in got:
+        want = mpeg.probe(bytes(r.media)).offsets.tolist()
+        assert np.cumsum(r.offset_deltas).tolist() == want and r.seek == [want[k * len(want) // 4] for k in range(4)] and r.n_unchecked_frames == 0
+
+
 def plain_fingerprint(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = WORD.findall(low)
@@ -337,10 +397,18 @@ def test_tiles_lose_no_link(spark):
     rows = [(f ^ (1 << int(b)), 0) for f in fps[:5] for b in range(0, 50, 2)] + [(f, 0) for f in fps]
     rows = [(f, k) for k, (f, _) in enumerate(dict.fromkeys(rows))]
     nodes = spark.createDataFrame(rows, "fp long, rep long")
-    found = [(r.a, r.b) for r in simhash.links(nodes, tile=4).collect()]
     ids = [k for _, k in rows]
     want = groups(ids, [(a, b) for x, a in rows for y, b in rows if a < b and ((x ^ y) & (2**64 - 1)).bit_count() <= 4])
-    assert groups(ids, found) == want
+    for blocks in (6, 7, 8):
+        assert groups(ids, [(r.a, r.b) for r in simhash.links(nodes, blocks=blocks, tile=4).collect()]) == want
+    assert [simhash.blocks_for(n, 4) for n in (10, 1 << 25, 1 << 31)] == [6, 7, 8]
+
+
+def test_components_of_a_long_chain(spark):
+    """Chains end in one component however long they are."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {**{i: 0 for i in range(1, 301)}, 1001: 1000}
 
 
 def key(line):
@@ -397,6 +465,33 @@ def test_op9(spark, docs, odd_dir):
         got = quality.op9(spark, d).collect()
         assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
         assert not any(r.kept and r.base_failed for r in got)
+        assert sorted(map(str, got)) == sorted(map(str, quality.op9(spark, d).collect()))  # the same in every run
+
+
+def test_op9_verdicts_by_exact_quantiles(spark):
+    """Each verdict by quartiles of the sorted ratios of group, language and all."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r.asDict() for r in quality.judge(docs).collect()]
+    names, least = list(quality.RATIOS), [x[2] for x in quality.RATIOS.values()]
+
+    def fence(some, k, n):
+        x = sorted(r[k] for r in some)
+        q1, q3 = (x[-(-i * len(x) // 4) - 1] for i in (1, 3))
+        return q3 + max(3 * (q3 - q1), n)
+
+    groups, langs = defaultdict(list), defaultdict(list)
+    for r in rows:
+        groups[r["lang"], r["source"]].append(r)
+        langs[r["lang"]].append(r)
+    limit = {}
+    for (lang, source), some in groups.items():
+        for k, n in zip(names, least):
+            wide = fence(langs[lang] if len(langs[lang]) >= 50 else rows, k, n)
+            limit[lang, source, k] = min(fence(some, k, n), 2 * wide) if len(some) >= 50 else wide
+    for r in rows:
+        for k, (n, of, _) in quality.RATIOS.items():
+            assert r[k] == 4096 * r[n] // max(1, sum(r[x] if x in r else int(x) for x in of.split(" + ")))
+        assert r["kept"] == (not r["base_failed"] and all(r[k] <= limit[r["lang"], r["source"], k] for k in names))
 
 
 def test_op10(spark, docs, odd_dir):
@@ -413,6 +508,50 @@ def test_op10(spark, docs, odd_dir):
         assert {i: n for i, n in total.items()} == dict(want)
 
 
+def plain_sections(enc, text, starts, rule):
+    """Tokens and crossing tokens of each section, character by character."""
+    stops, raw = [*starts[1:], len(text)], text.encode()
+    owner = [len(text[: k + 1].encode()) for k in range(len(text))]  # the byte behind each character
+    n, crossing, at = [0] * len(starts), [0] * len(starts), 0
+    section = lambda k: max(i for i, s in enumerate(starts) if s <= k)
+    for token in enc.encode_ordinary(text):
+        end = at + len(enc.decode_single_token_bytes(token))
+        chars = [k for k, e in enumerate(owner) if at <= e - len(text[k].encode()) < end]
+        held = Counter(map(section, chars)) if chars else Counter({section(sum(e - len(text[k].encode()) < at for k, e in enumerate(owner))): 1})
+        best = max(held, key=lambda s: (held[s], -s)) if rule == "most" else min(held)
+        n[best] += 1
+        crossing[best] += len(held) > 1
+        at = end
+    assert at == len(raw) and stops[-1] == len(text)
+    return n, crossing
+
+
+@pytest.mark.parametrize("rule", ["most", "first"])
+def test_op10_sections_by_brute_force(spark, docs, rule):
+    enc = encoder()
+    rows = [(i, t[:600]) for i, t in docs[:25]] + [(1001, "# A\n- b\n\n1. c|d\n  \nx"), (1002, "ünï\n🙂🙃\n\n\nz"), (1003, "")]
+    got = defaultdict(list)
+    for r in attribution.section_tokens(spark.createDataFrame(rows, "doc_id long, text string"), rule).orderBy("doc_id", "section").collect():
+        got[r.doc_id].append(r)
+    for i, t in rows:
+        starts = [0, *(m.end() for m in re.finditer("\n", t) if m.end() < len(t))]
+        assert [r.start for r in got[i]] == starts
+        assert ([r.n_tokens for r in got[i]], [r.n_crossing for r in got[i]]) == plain_sections(enc, t, starts, rule)
+
+
+def test_op10_spans_and_fields(spark):
+    enc, t = encoder(), "Hello wonderful world, again"
+    rows = [(1, t, [("a", 0, 8), ("b", 8, 15), ("c", 20, 99)]), (2, t, None), (3, None, [("a", 0, 3)])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, mine array<struct<kind:string,start:long,stop:long>>")
+    got = attribution.section_tokens(table, spans="mine").orderBy("doc_id", "section").collect()
+    assert [(r.kind, r.start) for r in got if r.doc_id == 1] == [("a", 0), ("b", 8), ("outside", 15), ("c", 20)]
+    assert [r.n_tokens for r in got if r.doc_id == 1] == plain_sections(enc, t, [0, 8, 15, 20], "most")[0]
+    assert [(r.kind, r.n_tokens) for r in got if r.doc_id > 1] == [("outside", len(enc.encode_ordinary(t))), ("outside", 0)]
+    one = attribution.with_fields(spark.createDataFrame([(1, "Title here", None, "and a body")], "doc_id long, title string, sub string, body string"), ["title", "sub", "body"])
+    by = {r.kind: r for r in attribution.section_tokens(one, spans="spans").collect() if r.kind != "outside"}
+    assert (by["title"].start, by["title"].stop, by["body"].start) == (0, 10, 12)
+
+
 def test_boundary_rule():
     first, stop, starts = np.array([0, 2, 5]), np.array([2, 5, 9]), np.array([0, 4, 6])
     assert attribution.attribute(first, stop, starts, "most")[0].tolist() == [2, 0, 1]
