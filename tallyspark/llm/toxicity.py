@@ -333,8 +333,8 @@ def toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def with_score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """All columns of docs and _score, the score of each row's whole text."""
-    kept: list[Scorer] = []
+    """All columns of docs and _score, the score of each row's whole text; a column of that name is replaced."""
+    docs, kept = docs.drop("_score"), []
     at = docs.columns.index("text")
 
     def each(batches):
