@@ -54,11 +54,13 @@ class Words(dict):
         lack = words.difference(self)
         self.update((w, self.old[w]) for w in lack if w in self.old)
         new = list(lack.difference(self))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            got = self.model.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, cut = np.array(got.ids, "<u4"), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
-            self.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cut, cut[1:]))
+        for i in range(0, len(new), 2000):
+            part = [w.decode() for w in new[i : i + 2000]]
+            # joined by spaces, which no token crosses; a token belongs to the word that its first character stands in
+            got = self.model.encode(" ".join(part), add_special_tokens=False)
+            ids, at = np.array(got.ids, "<u4"), np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+            cut = np.searchsorted(at, np.cumsum([0] + [len(w) + 1 for w in part])).tolist()
+            self.update((w, ids[a:b].tobytes()) for w, a, b in zip(new[i : i + 2000], cut, cut[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as little-endian uint32 bytes."""
