@@ -48,3 +48,23 @@ def due_date(text, today):
 
 def rolling_cutoff(today, months: int):
     return F.add_months(F.trunc(today, "MM"), -(months - 1))
+
+
+def month_bounds(c):
+    return F.to_date(F.trunc(c, "MM")), F.last_day(c)
+
+
+def is_partial_month(c):
+    return F.dayofmonth(c) < F.dayofmonth(F.last_day(c))
+
+
+def quarters(start, end):
+    """Array of (start, end) of the calendar quarters from the first of the start's year to the end, the last one clipped."""
+    first = F.sequence(F.to_date(F.trunc(start, "YYYY")), end, F.expr("interval 3 months"))
+    return F.transform(first, lambda q: F.struct(q.alias("start"), F.least(F.date_sub(F.add_months(q, 3), 1), end).alias("end")))
+
+
+def later(a, b):
+    """The later of two ISO dates; the one that is valid, or nothing."""
+    x, y = iso_date(a), iso_date(b)
+    return F.coalesce(F.greatest(x, y).cast("string"), F.lit(""))

@@ -27,7 +27,9 @@ def same_cent(a, b):
 
 
 def payment_status(total, paid, tolerance: float = 0.005):
-    return F.when(paid <= 0, "unpaid").when(paid + tolerance >= total, "paid").otherwise("partial")
+    """paid, partially_paid or unpaid of two texts, blank as 0; unknown where either is no number."""
+    t, p = (F.when(F.trim(F.coalesce(c, F.lit(""))) == "", 0.0).otherwise(c.try_cast("double")) for c in (total, paid))
+    return F.when(t.isNull() | p.isNull(), "unknown").when(p <= 0, "unpaid").when(p + tolerance >= t, "paid").otherwise("partially_paid")
 
 
 def margin(result, revenue):
@@ -38,3 +40,20 @@ def margin(result, revenue):
 def display_amount(c):
     """1 234,56: half up to 2 places, spaces for thousands."""
     return F.translate(F.format_number(F.round(c, 2), 2), ",.", " ,")
+
+
+def row_status(flag_text, total, paid):
+    """paid by a flag or by the amount, partially_paid or unpaid of a ledger row."""
+    is_paid = F.coalesce(F.lower(F.trim(flag_text)).isin("true", "1", "yes", "paid"), F.lit(False)) | ((total != 0) & (paid >= total))
+    return F.when(is_paid, "paid").when((paid > 0) & (paid < total), "partially_paid").otherwise("unpaid")
+
+
+def display_percent(c):
+    """12,50%, or - for null."""
+    return F.coalesce(F.concat(display_amount(c), F.lit("%")), F.lit("-"))
+
+
+def flag(c):
+    """true, 1, yes as true and false, 0, no as false; else null."""
+    low = F.lower(F.trim(c))
+    return F.when(low.isin("true", "1", "yes"), True).when(low.isin("false", "0", "no"), False)

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
-# Legal forms and common words that say nothing about a company, and suffixes of attachments that count.
-COMPANY_STOP = ["as", "fie", "gmbh", "inc", "ltd", "mtu", "ou", "oü", "oy", "sa", "sia", "tu", "tü", "uab"]
-STRONG_SUFFIXES = ["asice", "bdoc", "ddoc", "doc", "docx", "pdf", "xls", "xlsx"]
+# Legal forms that say nothing about a company, as words of a-z and digits, and suffixes of attachments
+# that count.
+COMPANY_STOP = ["aktsiaselts", "as", "fie", "mtu", "osauehing", "osauhing", "ou", "oy", "sa"]
+STRONG_SUFFIXES = ["pdf", "xml", "asice", "bdoc", "ddoc", "xlsx", "xls", "csv"]
+# Lengths of account numbers by country.
+IBAN_LENGTHS = {"EE": 20, "SE": 24, "LV": 21, "LT": 20, "FI": 18, "DE": 22, "NO": 15, "DK": 18, "PL": 28, "NL": 18}
+# Lines that open a signature, starts of quoted header lines, and words that tell a language.
+SIGNATURES = ["best regards", "regards", "lugupidamisega"]
+HEADERS = ["from:", "sent:", "subject:", "-----original message"]
+ESTONIAN, ENGLISH = [" kas ", "palun", "kinnitage", "homme", "kuupäev"], ["please", "confirm", "tomorrow", "approved"]
 
 
 def clean_subject(c):
@@ -23,20 +34,42 @@ def lookup_key(c):
     return F.regexp_replace(F.lower(c), "[^0-9a-zõäöü]+", "")
 
 
-def reference_tokens(c):
-    """Sorted distinct words of at most 8 letters, a digit and two or more further signs."""
+def first_subject(c):
+    """Lower case without one leading re: / fw: / fwd:, spaces collapsed."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"^(re|fw|fwd)\s*:\s*", ""), r"\s+", " ")
+
+
+def cut_suffix(suffix: str):
+    return lambda x: F.when(x.endswith(suffix), F.left(x, F.length(x) - len(suffix))).otherwise(x)
+
+
+def reference_tokens(c, suffixes=(".pdf", ".xml")):
+    """Sorted distinct words of at most 8 letters, a digit and two or more further signs, file suffixes cut off."""
     found = F.regexp_extract_all(F.lower(c), F.lit(r"\b([a-z]{0,8}[0-9][a-z0-9./-]{2,})\b"), 1)
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.rtrim(x, F.lit("./-")))))
+    bare = F.transform(found, lambda x: F.btrim(x, F.lit(" ._-")))
+    for s in suffixes:
+        bare = F.transform(bare, cut_suffix(s))
+    return F.array_sort(F.array_distinct(F.filter(bare, lambda x: x.rlike("[0-9]"))))
 
 
 def strong_attachments(c):
     """Names, split at ;, with a suffix that counts."""
-    parts = F.transform(F.split(c, ";"), F.trim)
+    parts = F.transform(F.split(c, ";"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: F.lower(x).rlike(r"\.(" + "|".join(STRONG_SUFFIXES) + r")$"))
 
 
+def remittance_number(c):
+    """The number that a remittance text names behind arve or invoice, or an empty text."""
+    c, out = F.coalesce(c, F.lit("")), F.lit("")
+    for word in ("invoice", "arve"):
+        found = F.btrim(F.regexp_extract(c, rf"(?i)\b{word}\s*(?:nr|number|no)?\.?\s*:?\s*([A-Z0-9._/-]{{2,}})", 1), F.lit(" .:-/"))
+        out = F.when(found != "", found).otherwise(out)
+    return out
+
+
 def company_tokens(c):
-    words = F.split(F.trim(F.regexp_replace(F.lower(c), "[^0-9a-zõäöü]+", " ")), " ")
+    """Sorted distinct runs of a-z and digits, two or more signs long, without legal forms."""
+    words = F.regexp_extract_all(F.lower(c), F.lit("([0-9a-z]+)"), 1)
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(COMPANY_STOP))))
 
 
@@ -44,7 +77,7 @@ def companies_match(a, b):
     """One token set holds the other, or they share two (or all of the smaller)."""
     common = F.size(F.array_intersect(a, b))
     least = F.least(F.lit(2), F.size(a), F.size(b))
-    return (least > 0) & (common >= least)
+    return F.coalesce((least > 0) & (common >= least), F.lit(False))
 
 
 def confidence_band(c, other: str = "low"):
@@ -53,7 +86,7 @@ def confidence_band(c, other: str = "low"):
 
 def holds_code(text, code: str):
     """The code stands by itself: no letter or digit on either side."""
-    return text.rlike(rf"(?i)(?<![A-Za-z0-9]){code}(?![A-Za-z0-9])")
+    return text.rlike(rf"(?i)(?<![A-Za-z0-9]){re.escape(code)}(?![A-Za-z0-9])")
 
 
 def code_tokens(c):
@@ -61,18 +94,23 @@ def code_tokens(c):
     return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != ""))
 
 
-def guess_language(c):
-    low = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
-    return F.when(low.rlike(r" (ja|on|palun|homme|kas) "), "et").when(low.rlike(r" (the|and|please|is|of) "), "en").otherwise("unknown")
+def _any(c, marks):
+    return reduce(or_, (c.contains(m) for m in marks))
+
+
+def guess_language(subject, body):
+    low = F.lower(F.concat_ws(" ", F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit(""))))
+    return F.when(_any(low, ESTONIAN), "et").when(_any(low, ENGLISH), "en").otherwise("unknown")
 
 
-def clean_body(c, most: int = 4000):
-    """Lines without quotes, header lines and blanks up to a signature mark, at most `most` characters."""
-    lines = F.transform(F.split(c, "\n"), F.trim)
-    stop = F.array_position(lines, F.lit("--"))
-    body = F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)
-    kept = F.filter(body, lambda x: (x != "") & ~x.startswith(">") & ~x.rlike("^(From|Sent|To|Subject):"))
-    return F.substring(F.array_join(kept, "\n"), 1, most)
+def clean_body(c, most: int | None = None):
+    """Lines without quotes, header lines and blanks up to a signature; the whole body unless `most` characters are asked for."""
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(x))
+    end = F.array_position(F.transform(lines, lambda x: F.lower(x).isin(SIGNATURES)), F.lit(True))
+    body = F.when(end > 0, F.slice(lines, F.lit(1), (end - 1).cast("int"))).otherwise(lines)
+    kept = F.filter(body, lambda x: (x != "") & ~x.startswith(">") & ~reduce(or_, (F.lower(x).startswith(h) for h in HEADERS)))
+    text = F.array_join(kept, "\n")
+    return text if most is None else F.substring(text, 1, most)
 
 
 def sentences(c):
@@ -83,11 +121,15 @@ def sentences(c):
     return F.filter(run, lambda s: s["text"] != "")
 
 
+def valid_iban(c):
+    """The right length for its country, or 15 to 34 signs where the country is not listed."""
+    packed = F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+    table = F.create_map(*(F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv))
+    fit = F.try_element_at(table, F.substring(packed, 1, 2))
+    return F.when(fit.isNotNull(), F.length(packed) == fit).otherwise(F.length(packed).between(15, 34))
+
+
 def find_ibans(c):
-    """Sorted distinct account numbers of the right length for their country; others of 15 to 34 signs."""
-    # Lengths by country.
-    lengths = {"BE": 16, "DE": 22, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "LT": 20, "LV": 21, "NL": 18, "SE": 24}
+    """Sorted distinct account numbers in a text."""
     packed = F.regexp_extract_all(F.upper(F.regexp_replace(c, " ", "")), F.lit(r"([A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})"), 1)
-    table = F.create_map(*(F.lit(x) for kv in lengths.items() for x in kv))
-    fit = lambda x: F.coalesce(F.try_element_at(table, F.substring(x, 1, 2)), F.length(x))
-    return F.array_sort(F.array_distinct(F.filter(packed, lambda x: F.length(x) == fit(x))))
+    return F.array_sort(F.array_distinct(F.filter(packed, valid_iban)))

@@ -1,40 +1,63 @@
-"""The general ledger: classification, routing, project and month financials, verification."""
+"""The general ledger: classification, routing, project and month financials, verification.
+
+Allocations are rows of (batch_id, line, part, account_code, amount, organization_id, integration_id, batch_date, currency,
+project_id or null, dimension_code). Sums are partial before the chart of accounts is joined: a project, batch and account
+give one row each, and only these are classified.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.dates import months_between_dates
 from ..functions.numeric import margin
 
 DIRECT = ["material_cost", "subcontractor_cost", "labor_cost", "equipment_cost", "transport_cost", "other_direct_cost"]
+BUCKETS = ("revenue", "cost", "unclassified", "excluded")
+#: Charts of accounts up to so many rows are sent to all tasks; larger ones are joined by their keys.
+SMALL = 200_000
+BATCH = ["organization_id", "integration_id", "currency", "account_code", "batch_id"]
 
 
 def zero():
     return F.lit(0).cast("decimal(20,6)")
 
 
-def star(entries: DataFrame, batches: DataFrame) -> DataFrame:
-    """Entries with their batch; both are keyed by batch_id, so the join is one shuffle of each."""
-    return entries.join(batches, "batch_id")
+def day(x):
+    return F.lit(x).cast("date")
+
+
+def base(allocations: DataFrame, projects: DataFrame) -> DataFrame:
+    """Allocations of a project whose organization is the batch's own; others are no one's."""
+    return allocations.join(projects.select("project_id", F.col("organization_id").alias("_o")), "project_id").where("organization_id = _o").drop("_o")
 
 
 def classify(rows: DataFrame, classification: DataFrame) -> DataFrame:
-    """The account's row of the integration, else the organization's own, else unclassified.
+    """The account's active row of the integration, else the organization's own, else unclassified.
 
-    The table is a hand-kept chart of accounts; Spark decides by its size whether it is broadcast.
+    The chart becomes one row an account, with a map of integrations, so one join finds both. It is sent to all tasks
+    only up to SMALL rows, which are counted first.
     """
-    of = lambda df, tag: df.select(*([F.col("integration_id")] if tag == "i" else []), "account_code", *(F.col(c).alias(f"_{tag}_{c}") for c in ("category", "sign", "included")))
-    own, shared = of(classification.where("integration_id is not null"), "i"), of(classification.where("integration_id is null"), "g")
-    both = rows.join(own, ["integration_id", "account_code"], "left").join(shared, "account_code", "left")
-    pick = lambda c, other: F.coalesce(f"_i_{c}", f"_g_{c}", F.lit(other)).alias(c)
+    item = F.struct(F.coalesce("integration_id", F.lit(0)).alias("k"), F.struct("category", "sign", "included").alias("v"))
+    chart = classification.where("is_active").groupBy("organization_id", "account_code").agg(F.map_from_entries(F.collect_list(item)).alias("_m"))
+    if classification.count() <= SMALL:
+        chart = F.broadcast(chart)
+    found = F.coalesce(F.try_element_at("_m", "integration_id"), F.try_element_at("_m", F.lit(0)))
+    both = rows.join(chart, ["organization_id", "account_code"], "left").withColumn("_f", found)
+    pick = lambda c, other: F.coalesce(f"_f.{c}", F.lit(other)).alias(c)
     return both.select(*rows.columns, pick("category", "unclassified"), pick("sign", 1), pick("included", True))
 
 
 def route(rows: DataFrame, with_overhead: bool = True) -> DataFrame:
     """normalized = amount * sign, and the bucket it goes to."""
-    costs = [*DIRECT, *(["overhead"] if with_overhead else [])]
-    bucket = F.when(F.col("category") == "unclassified", "unclassified").when((F.col("category") == "excluded") | ~F.col("included"), "excluded").when(F.col("category") == "revenue", "revenue").when(F.col("category").isin(costs), "cost").otherwise("dropped")
+    costs, c = [*DIRECT, *(["overhead"] if with_overhead else [])], F.col("category")
+    bucket = (
+        F.when(c == "unclassified", "unclassified")
+        .when((c == "excluded") | ~F.col("included"), "excluded")
+        .when(c == "revenue", "revenue")
+        .when(c.isin(costs), "cost")
+        .otherwise("dropped")
+    )
     return rows.withColumn("normalized", F.col("amount") * F.col("sign")).withColumn("bucket", bucket)
 
 
@@ -42,32 +65,93 @@ def in_bucket(name: str):
     return F.sum(F.when(F.col("bucket") == name, F.col("normalized")).otherwise(zero()))
 
 
-def financials(routed: DataFrame, *keys: str) -> DataFrame:
-    """Sums of a group's rows by bucket, result, margin, counts and quality. Batches are summed first, so distinct counts see a row for each batch."""
-    buckets = ("revenue", "cost", "unclassified", "excluded")
-    one = routed.groupBy(*keys, "batch_id", "currency").agg(*(in_bucket(b).alias(b) for b in buckets), F.count("*").alias("n_allocations"))
-    g = one.groupBy(*keys).agg(*(F.sum(b).alias(b) for b in buckets), F.sum("n_allocations").alias("n_allocations"), F.countDistinct("batch_id").alias("n_batches"), F.countDistinct("currency").alias("n_currencies"))
-    g = g.withColumn("result", F.col("revenue") - F.col("cost")).withColumn("margin", margin(F.col("result"), F.col("revenue")))
-    quality = F.when(F.col("n_currencies") > 1, "mixed_currency").when(F.col("n_allocations") == 0, "no_data").when(F.col("unclassified") != 0, "unclassified").otherwise("complete")
-    return g.withColumn("quality", quality)
+def by_account(allocations: DataFrame, classification: DataFrame, *keys: str, with_overhead: bool = True) -> DataFrame:
+    """One classified and routed row for each key, batch and account: amount, n allocations and n entries."""
+    keys = [k for k in keys if k not in BATCH]
+    one = allocations.groupBy(*keys, *BATCH).agg(F.sum("amount").alias("amount"), F.count("*").alias("n"), F.count_distinct("line", "part").alias("n_entries"), F.collect_set("sync_run_id").alias("runs"))
+    return route(classify(one, classification), with_overhead)
+
+
+def currency_rule(rows: DataFrame, of: str, currency: str | None = None) -> DataFrame:
+    """Rows that count, with the currencies found and the one that holds for each group.
+
+    An explicit currency leaves out all others, blank ones too. Else one currency keeps blank rows, and of a group with
+    several no row counts (`counts` is false).
+    """
+    found = F.array_sort(F.collect_set(F.nullif("currency", F.lit(""))).over(W.partitionBy(of)))
+    rows = rows.withColumn("currencies", found)
+    if currency:
+        return rows.withColumn("held", F.lit(currency)).withColumn("counts", F.col("currency") == currency)
+    one = F.size("currencies") <= 1
+    return rows.withColumn("held", F.when(F.size("currencies") == 1, F.col("currencies")[0]).otherwise("")).withColumn("counts", one)
+
+
+def totals(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sums by bucket of routed rows that count, result, margin, counts and warnings for each group."""
+    r = rows.withColumn("normalized", F.when(F.col("counts"), F.col("normalized")).otherwise(0))
+    n = lambda c: F.sum(F.when(F.col("counts"), F.col(c)).otherwise(0))
+    g = r.groupBy(*keys).agg(
+        *(in_bucket(b).alias(b) for b in BUCKETS),
+        n("n").alias("n_allocations"),
+        F.sum(F.when(F.col("counts") & (F.col("bucket") == "unclassified"), F.col("n")).otherwise(0)).alias("n_unclassified"),
+        n("n_entries").alias("n_entries"),
+        F.count_distinct(F.when(F.col("counts"), F.col("batch_id"))).alias("n_batches"),
+        F.first("currencies").alias("currencies"),
+        F.first("held").alias("currency"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("counts"), F.col("runs")))))).alias("runs"),
+    )
+    g = g.withColumn("classified", F.col("revenue") + F.col("cost")).withColumn("result", F.col("revenue") - F.col("cost"))
+    return g.withColumn("margin", margin(F.col("result"), F.col("revenue")))
+
+
+def quality(mixed):
+    return F.when(mixed, "mixed_currency").when(F.col("n_allocations") == 0, "no_data").when(F.col("unclassified") != 0, "unclassified").otherwise("complete")
+
+
+def financials(allocations: DataFrame, projects: DataFrame, classification: DataFrame, start, end, currency: str | None = None, with_overhead: bool = True) -> DataFrame:
+    """One row for every project: its result in a closed period, with warnings and a data quality status."""
+    own = base(allocations, projects)
+    inside = F.col("batch_date").between(day(start), day(end))
+    rows = currency_rule(by_account(own.where(inside), classification, "project_id", with_overhead=with_overhead), "project_id", currency)
+    found = totals(rows, "project_id")
+    undated = own.where("batch_date is null").groupBy("project_id").agg(F.count("*").alias("n_undated"))
+    by_code = allocations.where(inside & F.col("project_id").isNull()).groupBy("organization_id", F.col("dimension_code").alias("code")).agg(F.count("*").alias("n_by_code"))
+    both = projects.join(found, "project_id", "left").join(undated, "project_id", "left").join(by_code, ["organization_id", "code"], "left")
+    money, counts = (*BUCKETS, "classified", "result"), ("n_allocations", "n_unclassified", "n_entries", "n_batches", "n_undated", "n_by_code")
+    both = both.select("project_id", *(F.coalesce(c, zero()).alias(c) for c in money), "margin", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), "currency", "currencies", "runs")
+    mixed = F.coalesce(F.size("currencies") > 1, F.lit(False)) if not currency else F.lit(False)
+    warnings = F.concat_ws(
+        ",",
+        F.when(F.col("n_undated") > 0, F.concat(F.lit("missing_batch_date:"), "n_undated")),
+        F.when(F.col("n_by_code") > 0, F.concat(F.lit("dimension_code_matches_project_without_project_fk:"), "n_by_code")),
+        F.when(mixed, "mixed_currency"),
+        F.when(F.col("unclassified") != 0, "unclassified_amount_present"),
+    )
+    flat = lambda c: F.array_join(F.coalesce(c, F.array()), ",").alias(c)
+    return both.select("project_id", *money, "margin", *counts[:4], F.coalesce("currency", F.lit(currency or "")).alias("currency"), flat("currencies"), flat("runs"), warnings.alias("warnings"), quality(mixed).alias("quality"))
+
 
+def month_series(allocations: DataFrame, projects: DataFrame, classification: DataFrame, start, end, currency: str | None = None, with_overhead: bool = True) -> DataFrame:
+    """The same for each project and calendar month of the period, clipped to it; months without rows are zeros.
 
-def month_series(routed: DataFrame, start, end) -> DataFrame:
-    """financials() of each project and calendar month of a closed interval, months without entries included as zeros."""
-    spine = routed.select("project_id").distinct().select("project_id", F.explode(months_between_dates(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("m")).select("project_id", F.col("m.month").alias("month"))
-    rows = routed.where(F.col("batch_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).withColumn("month", F.trunc("batch_date", "MM"))
-    found = financials(rows.withColumn("month", F.to_date("month")), "project_id", "month")
-    sums = ["revenue", "cost", "unclassified", "excluded", "result", "n_allocations"]
+    Columns of cost categories count rows that the result leaves out too, and overhead only where it is asked for.
+    """
+    inside = base(allocations, projects).where(F.col("batch_date").between(day(start), day(end))).withColumn("month", F.to_date(F.trunc("batch_date", "MM")))
+    rows = currency_rule(by_account(inside, classification, "project_id", "month", with_overhead=with_overhead), "project_id", currency)
+    kinds = [*DIRECT, *(["overhead"] if with_overhead else [])]
+    of = [F.sum(F.when(F.col("counts") & (F.col("category") == k), F.col("normalized")).otherwise(zero())).alias(k) for k in kinds]
+    found = totals(rows, "project_id", "month").join(rows.groupBy("project_id", "month").agg(*of), ["project_id", "month"])
+    spine = projects.select("project_id", F.explode(months_between_dates(day(start), day(end))).alias("m")).select("project_id", "m.*")
     both = spine.join(found, ["project_id", "month"], "left")
-    return both.select("project_id", "month", *(F.coalesce(c, F.lit(0)).alias(c) for c in sums), "margin", F.coalesce("quality", F.lit("no_data")).alias("quality"))
+    money = ["revenue", *kinds, "cost", "result", "classified", "unclassified", "excluded"]
+    return both.select("project_id", "month", "start", "end", *(F.coalesce(c, zero()).alias(c) for c in money), "margin", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_allocations", "n_unclassified")))
 
 
 def category_totals(routed: DataFrame) -> DataFrame:
-    """Totals of each category; an entry has one account. Entries are told apart before the categories are summed, so few categories need no large sets."""
-    one = routed.groupBy("category", "account_code", "batch_id", "line", "part").agg(F.sum("normalized").alias("total"), F.count("*").alias("n"))
-    accounts = one.groupBy("category", "account_code").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.count("*").alias("entries"))
-    g = accounts.groupBy("category").agg(F.sum("total").alias("total"), F.sum("n").alias("n_allocations"), F.sum("entries").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("account_code")), ",").alias("accounts"))
-    return g
+    """Totals of each category from by_account() rows."""
+    return routed.groupBy("category").agg(
+        F.sum("normalized").alias("total"), F.sum("n").alias("n_allocations"), F.sum("n_entries").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("account_code")), ",").alias("accounts")
+    )
 
 
 def account_rows(rows: DataFrame) -> DataFrame:
@@ -78,12 +162,16 @@ def account_rows(rows: DataFrame) -> DataFrame:
         F.min("batch_date").alias("first_date"),
         F.max("batch_date").alias("last_date"),
         F.count_if(F.col("project_id").isNotNull()).alias("n_linked"),
-        F.array_join(F.array_sort(F.collect_set("currency")), ",").alias("currencies"),
+        F.sum(F.when(F.col("project_id").isNotNull(), F.col("amount")).otherwise(zero())).alias("linked_total"),
+        F.array_join(F.array_sort(F.collect_set(F.nullif("currency", F.lit("")))), ",").alias("currencies"),
     )
 
 
-def unclassified_accounts(routed: DataFrame) -> DataFrame:
-    return routed.where("bucket = 'unclassified'").groupBy("account_code").agg(F.count("*").alias("n"), F.sum("amount").alias("total"), F.array_join(F.array_sort(F.collect_set(F.date_format("batch_date", "yyyy-MM"))), ",").alias("months"))
+def unclassified_accounts(allocations: DataFrame, classification: DataFrame) -> DataFrame:
+    """Accounts without a class: allocations, their plain sum and the months they fall in."""
+    dated = allocations.withColumn("month", F.date_format("batch_date", "yyyy-MM"))
+    one = classify(dated.groupBy("organization_id", "integration_id", "account_code", "month").agg(F.sum("amount").alias("amount"), F.count("*").alias("n")), classification)
+    return one.where("category = 'unclassified'").groupBy("account_code").agg(F.sum("n").alias("n"), F.sum("amount").alias("total"), F.array_join(F.array_sort(F.collect_set("month")), ",").alias("months"))
 
 
 def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
@@ -91,23 +179,76 @@ def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).count().where("count > 1").agg(F.count("*").alias("n_keys"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_rows"))
 
 
-def verify(entries: DataFrame, batches: DataFrame) -> DataFrame:
-    """One row of checks: counts, balance, entries without a batch, batches without entries, coverage in percent."""
-    e = entries.agg(F.count("*").alias("n_entries"), F.sum("amount").alias("balance"))
-    b = batches.agg(F.count("*").alias("n_batches"), F.min("batch_date").alias("first_date"), F.max("batch_date").alias("last_date"), F.count_if(F.col("batch_date").isNull()).alias("n_without_date"))
-    empty = batches.join(entries, "batch_id", "left_anti").agg(F.count("*").alias("n_empty_batches"))
-    orphans = entries.join(batches, "batch_id", "left_anti").agg(F.count("*").alias("n_orphans"))
-    one = e.join(b, F.lit(True)).join(empty, F.lit(True)).join(orphans, F.lit(True))  # four rows of one
-    return one.withColumn("coverage", F.bround((F.col("n_batches") - F.col("n_empty_batches")).cast("double") / F.col("n_batches") * 100, 2))
+def percent(part, whole):
+    """Half even to 2 places; 0 where there is nothing to take a share of."""
+    return F.when(whole == 0, 0.0).otherwise(F.bround(part.cast("double") / whole * 100, 2))
 
 
-def totals_by_currency(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(F.coalesce("currency", F.lit("unknown")).alias("currency")).agg(F.sum("amount").alias("total"), F.countDistinct("project_id").alias("n_projects"))
+def verify(entries: DataFrame, batches: DataFrame, allocations: DataFrame, projects: DataFrame, organization: int) -> DataFrame:
+    """One row of checks of a whole ledger: counts, sums, links, organization, data quality and coverage."""
+    count, filled = F.count_if, F.col("project_id").isNotNull()
+    net = F.col("amount")
+    per_batch = entries.groupBy("batch_id").agg(
+        F.count("*").alias("e"), F.sum(F.greatest(net, zero())).alias("debit"), F.sum(F.greatest(-net, zero())).alias("credit"), count(net == 0).alias("e_zero"), count(F.col("account_code") == "").alias("e_no_account")
+    )
+    both = batches.join(per_batch, "batch_id", "full_outer").withColumn("known", F.col("organization_id").isNotNull())
+    one = both.agg(
+        count("known").alias("n_batches"),
+        F.coalesce(F.sum("e"), F.lit(0)).alias("n_entries"),
+        F.sum("debit").alias("debit"),
+        F.sum("credit").alias("credit"),
+        F.coalesce(F.sum("e_zero"), F.lit(0)).alias("n_zero_entries"),
+        F.coalesce(F.sum("e_no_account"), F.lit(0)).alias("n_without_account"),
+        F.min("batch_date").alias("first_date"),
+        F.max("batch_date").alias("last_date"),
+        count(F.col("known") & F.col("batch_date").isNull()).alias("n_without_date"),
+        count(F.col("known") & F.col("e").isNull()).alias("n_empty_batches"),
+        F.sum(F.when(~F.col("known"), F.col("e")).otherwise(0)).alias("n_orphans"),
+        count(F.col("known") & (F.col("organization_id") != organization)).alias("n_foreign_batches"),
+        F.count_distinct(F.nullif("currency", F.lit(""))).alias("n_currencies"),
+    )
+    with_org = allocations.join(projects.select("project_id", F.col("organization_id").alias("_o")), "project_id", "left")
+    of_entry = with_org.groupBy("batch_id", "line", "part").agg(
+        F.count("*").alias("n"), count(filled).alias("linked"), F.sum("amount").alias("amount"), count(net == 0).alias("zero"), count(F.coalesce("dimension_code", F.lit("")) == "").alias("blank"), count(F.col("_o") != F.col("organization_id")).alias("foreign_")
+    )
+    two = of_entry.agg(
+        F.count("*").alias("n_covered"), F.sum("n").alias("n_allocations"), F.sum("linked").alias("n_linked"), F.sum("amount").alias("allocated"), F.sum("zero").alias("n_zero_allocations"), F.sum("blank").alias("n_blank_codes"), F.sum("foreign_").alias("n_foreign_projects")
+    )
+    all_ = one.join(two, F.lit(True))  # two frames of one row
+    all_ = all_.withColumn("balance", F.col("debit") - F.col("credit"))
+    return all_.withColumn("coverage", percent(F.col("n_covered"), F.col("n_entries"))).withColumn("link_percent", percent(F.col("n_linked"), F.col("n_allocations")))
+
+
+def unlinked_codes(allocations: DataFrame, by: str, n: int = 10) -> DataFrame:
+    """The n codes of most unlinked allocations, or of the largest absolute amount; ties by code."""
+    g = allocations.where("project_id is null and dimension_code <> ''").groupBy("dimension_code").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    return g.orderBy(F.desc("n") if by == "count" else F.desc(F.abs("amount")), "dimension_code").limit(n)
+
+
+def totals_by_currency(financials_: DataFrame) -> DataFrame:
+    """Sums of projects' results for each currency that holds."""
+    return financials_.groupBy(F.coalesce(F.nullif("currency", F.lit("")), F.lit("unknown")).alias("currency")).agg(
+        F.count("*").alias("n_projects"), *(F.sum(c).alias(c) for c in ("revenue", "cost", "result", "unclassified"))
+    )
+
+
+def summary_cards(rows: DataFrame) -> DataFrame:
+    """One row: projects, counts by sign of the result and missing class, and totals where there is one currency."""
+    single = F.count_distinct(F.nullif("currency", F.lit(""))) <= 1
+    return rows.agg(
+        F.count("*").alias("n_projects"),
+        F.count_if(F.col("result") > 0).alias("n_profit"),
+        F.count_if(F.col("result") < 0).alias("n_loss"),
+        F.count_if(F.col("result") == 0).alias("n_even"),
+        F.count_if(F.col("unclassified") != 0).alias("n_unclassified"),
+        *(F.when(single, F.sum(c)).alias(c) for c in ("revenue", "cost", "result")),
+    )
 
 
 def lifetime_start(projects: DataFrame, batches: DataFrame, today) -> DataFrame:
+    """The first batch date, else the project's own start, else the day it was made, else today."""
     first = batches.groupBy("project_id").agg(F.min("batch_date").alias("first"))
-    return projects.join(first, "project_id", "left").select("project_id", F.coalesce("first", F.lit(today).cast("date")).alias("start"))
+    return projects.join(first, "project_id", "left").select("project_id", F.coalesce("first", "start_date", "created", day(today)).alias("start"))
 
 
 def dimension_coverage(projects: DataFrame, dimensions: DataFrame) -> DataFrame:
@@ -118,6 +259,6 @@ def dimension_coverage(projects: DataFrame, dimensions: DataFrame) -> DataFrame:
 
 
 def back_link(rows: DataFrame, projects: DataFrame) -> DataFrame:
-    """Rows with a dimension code but no project take the project of that code."""
-    p = projects.select(F.col("code").alias("dimension_code"), F.col("project_id").alias("_p"))
-    return rows.join(p, "dimension_code", "left").withColumn("project_id", F.coalesce("project_id", "_p")).drop("_p")
+    """Rows with a dimension code but no project take the project of that code in their organization."""
+    p = projects.select(F.col("code").alias("dimension_code"), "organization_id", F.col("project_id").alias("_p"))
+    return rows.join(p, ["dimension_code", "organization_id"], "left").withColumn("project_id", F.coalesce("project_id", "_p")).drop("_p")

@@ -1,65 +1,218 @@
-"""Matching of bank rows, invoices and mail by explainable scores, and keep-best dedup.
-
-A pair can reach the threshold only with an equal amount or an equal number, so candidates come from two equi-joins on
-those (amounts by cents, one cent on either side) instead of a theta join; all other evidence is scored on them.
+"""Matching of bank rows, bills, ledger rows and mail by explainable scores, and keep-best dedup.
+
+A pair's score sums its evidence: equal amounts, the number or a token of a reference, an equal account, a party. Candidates
+come from equi-joins on the amount in cents, on tokens and on accounts. A value that more than LIGHT right rows have is
+hot: it may not pair all of them with all left rows, so there the join is on two pieces of evidence, and of right rows that
+it can't tell apart (same keys, party and account) only the first in tie order is a candidate: the others score the same
+and lose the tie. What reaches the threshold alone needs just the first right row of a hot value. No pair that could be
+the best is lost.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import companies_match, company_tokens
+from ..functions.text import companies_match, company_tokens, reference_tokens
 
-AMOUNT, NUMBER, PARTY, THRESHOLD = 50, 45, 30, 50
 
+@dataclass(frozen=True)
+class Weights:
+    """What each piece of evidence counts; company: a party matches by the words of a company's name too."""
 
-def candidates(bank: DataFrame, invoices: DataFrame) -> DataFrame:
-    """bank(txn_id, amount, party, remittance), invoices(invoice_id, number, amount, issuer, invoice_date) -> pairs with evidence."""
-    cents = lambda c: F.round(F.col(c) * 100).cast("long")
-    b = bank.select("txn_id", F.col("amount").alias("paid"), "party", F.upper(F.regexp_extract("remittance", r"(?i)\b(INV[0-9]+)\b", 1)).alias("named"))
-    i = invoices.select("invoice_id", "number", F.col("amount").alias("due"), "issuer", "invoice_date")
-    near = b.withColumn("cent", F.explode(F.sequence(cents("paid") - 1, cents("paid") + 1)))
-    by_amount = near.join(i.withColumn("cent", cents("due")), "cent").where("due <> 0").drop("cent")
-    by_number = b.where("named <> ''").join(i, b.named == F.upper(i.number))
-    return by_amount.unionByName(by_number).dropDuplicates(["txn_id", "invoice_id"])
+    amount: int
+    number: int
+    token: int
+    party: int
+    account: int = 0
+    company: bool = False
+    number_of: str = "right"  # the side whose number is looked for among the other's tokens
+
+
+#: Right rows that a key may have and still be joined alone.
+LIGHT = 64
+BANK_BILL = Weights(50, 45, 35, 20, account=35)
+LEDGER_BANK = Weights(50, 45, 35, 30, company=True, number_of="left")
+LEDGER_MAIL = Weights(45, 50, 35, 20, number_of="left")
 
 
-def score(pairs: DataFrame) -> DataFrame:
-    amount = (F.abs(F.col("paid") - F.col("due")) <= F.lit(0.01).cast("decimal(20,2)")) & (F.col("due") != 0)
-    number = F.col("named") == F.upper("number")
-    party = companies_match(company_tokens(F.col("party")), company_tokens(F.col("issuer")))
-    when = lambda c, n: F.when(c, n).otherwise(0)
-    reasons = F.concat_ws(",", F.when(amount, "amount"), F.when(number, "number"), F.when(party, "party"))
-    return pairs.withColumn("score", when(amount, AMOUNT) + when(number, NUMBER) + when(party, PARTY)).withColumn("reasons", reasons)
+def side(rows: DataFrame, id_: str, amount: str, party: str, texts: list[str], number: str | None = None, account: str | None = None, kind=None, order: list[str] | None = None) -> DataFrame:
+    """A side of a match: (id, kind, amount, party, number, account, tokens, tie)."""
+    plain = lambda c: F.nullif(F.lower(F.trim(F.col(c))), F.lit(""))
+    text = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts))
+    digits = F.nullif(F.regexp_replace(F.coalesce(F.col(account), F.lit("")), r"[^0-9]+", ""), F.lit("")) if account else F.lit(None).cast("string")
+    return rows.select(
+        F.col(id_).alias("id"),
+        (kind if kind is not None else F.lit("")).alias("kind"),
+        F.col(amount).cast("decimal(20,2)").alias("amount"),
+        plain(party).alias("party"),
+        (plain(number) if number else F.lit(None).cast("string")).alias("number"),
+        digits.alias("account"),
+        reference_tokens(text).alias("tokens"),
+        F.struct(*(F.col(c) for c in [*(order or []), id_])).alias("tie"),
+    )
 
 
-def best_matches(bank: DataFrame, invoices: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The best invoice of each bank row that reaches the threshold; ties go to the earliest invoice, then issuer and id."""
-    order = W.partitionBy("txn_id").orderBy(F.desc("score"), "invoice_date", "issuer", "invoice_id")
-    found = score(candidates(bank, invoices)).where(F.col("score") >= threshold)
-    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("txn_id", "invoice_id", "score", "reasons")
+def _grams(c):
+    """Runs of up to three letters: of two texts one of which holds the other, each has the first run of the shorter."""
+    run = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array())
+    return F.array_distinct(F.concat(run(1), run(2), run(3)))
 
 
-def three_way(invoices: DataFrame, matches: DataFrame, mailed: DataFrame) -> DataFrame:
-    """For each invoice: paid, mailed, both or neither."""
-    paid = matches.select("invoice_id").distinct().withColumn("_b", F.lit(True))
-    mail = mailed.select("number").distinct().withColumn("_m", F.lit(True))
-    both = invoices.join(paid, "invoice_id", "left").join(mail, "number", "left")
-    return both.select("invoice_id", "number", F.when(F.col("_b") & F.col("_m"), "matched").when(F.col("_b"), "bank_only").when(F.col("_m"), "mail_only").otherwise("ledger_only").alias("state"))
+def _first_gram(c):
+    return F.array(F.left(c, F.least(F.lit(3), F.length(c))))
+
+
+def candidates(left: DataFrame, right: DataFrame, w: Weights, threshold: int = 50) -> DataFrame:
+    """(l, r): ids of pairs among which the best of each left row is."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    both_tokens = F.array_compact(F.array_distinct(F.concat("tokens", F.array("number"))))
+    account = F.array_compact(F.array("account"))
+    key = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x.cast("string")))
+
+    def keyed(rows: DataFrame, spread: int, numbered: bool) -> DataFrame:
+        amount = F.when(F.col("amount") != 0, F.sequence(cents("amount") - spread, cents("amount") + spread)).otherwise(F.array())
+        keys = [key("c", amount), key("t", both_tokens if numbered else F.col("tokens"))] + ([key("a", account)] if w.account else [])
+        return rows.withColumn("keys", F.concat(*keys))
+
+    left, right = keyed(left, 1, w.number_of == "left"), keyed(right, 0, w.number_of == "right")
+    one = lambda rows, k: rows.withColumn(k, F.explode("keys"))
+    sizes = one(right, "k").groupBy("kind", "k").count()
+    hot = sizes.where(F.col("count") > LIGHT).select("kind", "k")
+    if hot.isEmpty():
+        l, r = (one(x, "k").select("kind", "k", F.col("id").alias(n)) for x, n in ((left, "l"), (right, "r")))
+        return l.join(r, ["kind", "k"]).select("l", "r").distinct()
+    light = sizes.where(F.col("count") <= LIGHT).select("kind", "k")
+    r = one(right, "k").join(light, ["kind", "k"]).select("kind", "k", F.col("id").alias("r"))
+    out = one(left, "k").select("kind", "k", F.col("id").alias("l")).join(r, ["kind", "k"]).select("l", "r")
+
+    # hot values: which of a row's keys they are, then pairs of them and pieces of the party
+    def heated(rows: DataFrame) -> DataFrame:
+        found = one(rows, "k").join(hot, ["kind", "k"]).groupBy("id").agg(F.array_sort(F.collect_set("k")).alias("hot"))
+        return rows.join(found, "id")
+
+    hl, hr = heated(left), heated(right)
+    two = F.flatten(F.transform("hot", lambda x: F.transform(F.filter("hot", lambda y: y > x), lambda y: F.concat_ws("&", x, y))))
+    number_key = F.concat(F.lit("t"), F.coalesce("number", F.lit("")))
+    same = [F.coalesce("party", F.lit("")).alias("p"), F.coalesce("account", F.lit("")).alias("a")]
+
+    def firsts(rows: DataFrame, k: str, *by) -> DataFrame:
+        """The first right row of each key and `by`; a number's own row counts apart from a mere token's."""
+        return rows.groupBy("kind", k, F.col(k).contains(number_key).alias("n"), *by).agg(F.min_by("id", "tie").alias("r"), F.first("party").alias("party"))
+
+    pairs = hl.select("kind", F.col("id").alias("l"), F.explode(two).alias("kk")).join(firsts(hr.withColumn("kk", F.explode(two)), "kk", *same).select("kind", "kk", "r"), ["kind", "kk"])
+    out = out.unionByName(pairs.select("l", "r"))
+    alone = [c for c, n in (("c", w.amount), ("t", max(w.number, w.token))) if n >= threshold]
+    if alone:
+        mine = lambda rows: rows.withColumn("k", F.explode("hot")).where(F.left("k", F.lit(1)).isin(alone))
+        out = out.unionByName(mine(hl).select("kind", "k", F.col("id").alias("l")).join(firsts(mine(hr), "k").select("kind", "k", "r"), ["kind", "k"]).select("l", "r"))
+    named = lambda rows: rows.where("party is not null").withColumn("k", F.explode("hot"))
+    reps = firsts(named(hr), "k", *same)
+    for a, b in [(_grams, _first_gram), (_first_gram, _grams)] + ([(company_tokens, company_tokens)] if w.company else []):
+        lg = named(hl).select("kind", "k", F.col("id").alias("l"), F.explode(a(F.col("party"))).alias("g"))
+        out = out.unionByName(lg.join(reps.select("kind", "k", "r", F.explode(b(F.col("party"))).alias("g")), ["kind", "k", "g"]).select("l", "r"))
+    return out.distinct()
+
+
+def score(pairs: DataFrame, w: Weights) -> DataFrame:
+    """pairs with columns l_* and r_* of both sides -> score and reasons."""
+    amount = F.coalesce((F.abs(F.col("l_amount") - F.col("r_amount")) <= F.lit(0.01).cast("decimal(20,2)")) & (F.col("r_amount") != 0) & (F.col("l_amount") != 0), F.lit(False))
+    mine, other = ("r", "l") if w.number_of == "right" else ("l", "r")
+    number = F.coalesce(F.array_contains(f"{other}_tokens", F.col(f"{mine}_number")), F.lit(False))
+    token = ~number & F.arrays_overlap("l_tokens", "r_tokens")
+    held = F.col("l_party").contains(F.col("r_party")) | F.col("r_party").contains(F.col("l_party"))
+    if w.company:
+        held = held | companies_match(company_tokens(F.col("l_party")), company_tokens(F.col("r_party")))
+    party = F.coalesce(held, F.lit(False))
+    account = F.coalesce(F.col("l_account") == F.col("r_account"), F.lit(False)) if w.account else F.lit(False)
+    parts = [("amount", amount, w.amount), ("iban", account, w.account), ("invoice_number", number, w.number), ("token", token, w.token), ("party", party, w.party)]
+    total = sum((F.when(c, n).otherwise(0) for _, c, n in parts), F.lit(0))
+    return pairs.withColumn("score", total).withColumn("reasons", F.concat_ws("; ", *(F.when(c, name) for name, c, _ in parts)))
+
+
+def best_matches(left: DataFrame, right: DataFrame, w: Weights, threshold: int = 50) -> DataFrame:
+    """(l, r, score, reasons): the best right row of each left row that reaches the threshold; ties go to the first."""
+    tag = lambda df, t: df.select(*(F.col(c).alias(f"{t}_{c}" if c != "id" else t) for c in df.columns if c != "kind"))
+    pairs = candidates(left, right, w, min(threshold, 50)).join(tag(left, "l"), "l").join(tag(right, "r"), "r")
+    found = score(pairs, w).where(F.col("score") >= threshold)
+    best = found.groupBy("l").agg(F.max_by(F.struct("r", "score", "reasons"), F.struct("score", F.lit(0))).alias("any"), F.max("score").alias("top"))
+    first = found.join(best.select("l", "top"), "l").where("score = top").groupBy("l").agg(F.min_by(F.struct("r", "score", "reasons"), "r_tie").alias("x"))
+    return first.select("l", "x.*")
+
+
+def comparison(ledger: DataFrame, by_bank: DataFrame, by_mail: DataFrame) -> DataFrame:
+    """ledger(id, payment_status) with its bank and mail match -> flags of what is missing where."""
+    b, m = by_bank.select(F.col("l").alias("id"), F.col("r").alias("bank_id"), F.col("score").alias("bank_score")), by_mail.select(F.col("l").alias("id"), F.col("r").alias("mail_id"), F.col("score").alias("mail_score"))
+    both = ledger.join(b, "id", "left").join(m, "id", "left")
+    paid = F.col("payment_status").isin("paid", "partially_paid")
+    return both.withColumn("missing_in_mail", F.col("mail_id").isNull()).withColumn("paid_without_bank", paid & F.col("bank_id").isNull()).withColumn("unpaid_but_bank", (F.col("payment_status") == "unpaid") & F.col("bank_id").isNotNull())
+
+
+def unmatched(rows: DataFrame, id_: str, matches: DataFrame) -> DataFrame:
+    return rows.join(matches.select(F.col("r").alias(id_)), id_, "left_anti")
+
+
+def strict_check(ledger: DataFrame, bank: DataFrame, matches: DataFrame) -> DataFrame:
+    """The five-way status of ledger rows (id, payment_status) and bank debits (id), of matches at the high threshold."""
+    both = ledger.join(matches.select(F.col("l").alias("id"), F.col("r").alias("bank_id")), "id", "left")
+    found, paid = F.col("bank_id").isNotNull(), F.col("payment_status").isin("paid", "partially_paid")
+    status = F.when(found & paid, "ok_paid").when(found & (F.col("payment_status") == "unpaid"), "bank_paid_ledger_unpaid").when(~found & paid, "ledger_paid_no_bank_match").otherwise("unpaid_no_bank_match")
+    rest = unmatched(bank.select(F.col("id").alias("bank_id")), "bank_id", matches)
+    return both.select("id", "bank_id", status.alias("status")).unionByName(rest.select(F.lit(None).cast("long").alias("id"), "bank_id", F.lit("bank_debit_no_ledger").alias("status")))
 
 
 def reconcile(ledger: DataFrame, bank: DataFrame) -> DataFrame:
-    """Full outer on (number, amount)."""
+    """Full outer on (number, amount), numbers compared by their letters and digits alone."""
     both = ledger.alias("l").join(bank.alias("b"), (F.col("l.number") == F.col("b.number")) & (F.col("l.amount") == F.col("b.amount")), "full_outer")
     return both.select(F.coalesce("l.number", "b.number").alias("number"), F.coalesce("l.amount", "b.amount").alias("amount"), F.when(F.col("l.number").isNull(), "bank").when(F.col("b.number").isNull(), "ledger").otherwise("both").alias("side"))
 
 
+def first_compatible(bank: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, row_id): for each bank row the first row, by position, of the same cents and a matching company name.
+
+    bank(id, amount, party, remittance), rows(row_id, amount, supplier, position). Candidates share the amount and a word
+    of the supplier's name; of rows of equal amount and supplier only the first is one.
+    """
+    r = rows.where("amount <> 0").groupBy(F.bround("amount", 2).alias("cent"), "supplier").agg(F.min_by("row_id", "position").alias("row_id"), F.min("position").alias("position"))
+    b = bank.where("amount <> 0").select("id", F.bround("amount", 2).alias("cent"), company_tokens(F.col("party")).alias("p"), company_tokens(F.concat_ws(" ", "party", "remittance")).alias("t"))
+    words = r.withColumn("s", company_tokens(F.col("supplier"))).withColumn("word", F.explode("s"))
+    pairs = b.withColumn("word", F.explode("t")).join(words, ["cent", "word"]).where(companies_match(F.col("s"), F.col("p")) | companies_match(F.col("s"), F.col("t")))
+    return pairs.groupBy("id").agg(F.min_by("row_id", "position").alias("row_id"))
+
+
+def live_rows(items: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, row_id): for each payment (id, number, amount, supplier) the ledger row of its number and amount, a matching
+    supplier first, then by position."""
+    both = items.join(rows.select("row_id", "number", "amount", F.col("supplier").alias("_s"), "position"), ["number", "amount"])
+    fits = companies_match(company_tokens(F.col("supplier")), company_tokens(F.col("_s")))
+    return both.groupBy("id").agg(F.min_by("row_id", F.struct((~F.coalesce(fits, F.lit(False))).alias("no"), "position")).alias("row_id"))
+
+
+def payment_candidates(bank: DataFrame, sent: DataFrame, local: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(id, row_id): bank debits (id, number, amount) not sent yet, unknown to the local bills (number, amount), whose number
+    and amount an unpaid ledger row (row_id, number, amount, paid, position) has; the first of these."""
+    rest = bank.join(sent, "id", "left_anti").join(local, ["number", "amount"], "left_anti")
+    unpaid = ledger.where("not paid").groupBy("number", "amount").agg(F.min_by("row_id", "position").alias("row_id"))
+    return rest.join(unpaid, ["number", "amount"]).select("id", "row_id")
+
+
+def paid_fields(bills: DataFrame, matches: DataFrame, bank: DataFrame) -> DataFrame:
+    """Bills after a reconciliation: paid by the last bank row that matches; confirmed ones without one are unmatched."""
+    hit = matches.join(bank.select(F.col("txn_id").alias("l"), F.col("amount").alias("paid_amount"), F.col("booking_date").alias("paid_date")), "l")
+    last = hit.groupBy(F.col("r").alias("bill_id")).agg(F.max_by(F.struct("paid_amount", "paid_date"), "l").alias("x"))
+    both = bills.join(last, "bill_id", "left")
+    status = F.when(F.col("x").isNotNull(), "paid").when((F.col("status") == "confirmed") & (F.col("payment_status") != "paid"), "unmatched").otherwise(F.col("payment_status"))
+    return both.select("bill_id", status.alias("payment_status"), "x.paid_amount", "x.paid_date")
+
+
 def keep_best(rows: DataFrame, key: str, *order) -> DataFrame:
     """is_duplicate is false for the first row of each key by `order`, true for the rest."""
     return rows.withColumn("is_duplicate", F.row_number().over(W.partitionBy(key).orderBy(*order)) > 1)
 
 
 def statement_summary(bank: DataFrame) -> DataFrame:
-    """Rows, amount, first and last date by month and direction, with month and grand totals."""
-    rows = bank.select(F.date_format("booking_date", "yyyy-MM").alias("month"), "direction", "amount", "booking_date")
-    return rows.rollup("month", "direction").agg(F.count("*").alias("n"), F.sum("amount").alias("total"), F.min("booking_date").alias("first_date"), F.max("booking_date").alias("last_date"))
+    """By currency and direction: rows, amount, first and last date; with a net row for each currency (direction null)."""
+    signed = F.when(F.col("direction") == "DBIT", -F.col("amount")).otherwise(F.col("amount"))
+    rows = bank.select("currency", "direction", "amount", signed.alias("net"), "booking_date")
+    return rows.rollup("currency", "direction").agg(F.count("*").alias("n"), F.sum("amount").alias("total"), F.sum("net").alias("net"), F.min("booking_date").alias("first_date"), F.max("booking_date").alias("last_date"))

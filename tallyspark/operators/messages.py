@@ -5,7 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import clean_body, code_tokens, confidence_band, sentences
 
@@ -20,40 +22,124 @@ LEXICON = [
     ("resolution_evidence", 60, ("resolved", "done", "completed", "vastatud", "lahendatud")),
 ]
 DEADLINE, INFORMATION = 65, (40, ("for your information", "fyi", "infoks", "teadmiseks"))
+QUESTION_WORDS = {"estonian_keyword": ("kas", "millal", "miks", "kuidas", "palun", "kinnitage", "saatke"), "english_keyword": ("can you", "could you", "please", "confirm", "when", "why", "how")}
 TOMORROW, WEEKDAYS = ("tomorrow", "homme"), ("monday", "tuesday", "wednesday", "thursday", "friday")
 
 
-def link_by_code(messages: DataFrame, projects: DataFrame, text: str, source: str, confidence: int) -> DataFrame:
-    """Messages whose text holds a project's code by itself: an equi-join of the text's tokens with the codes."""
-    tokens = messages.select("message_id", F.explode(code_tokens(F.col(text))).alias("code"))
-    return tokens.join(projects.select(F.lower("code").alias("code"), "project_id"), "code").select("message_id", "project_id", F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
+# How sure a source is and where it ranks.
+CONFIDENCE = {"code_subject": 90, "code_body": 90, "code_attachment": 90, "document": 80, "name": 75, "thread": 70, "participant": 5}
+RANKS = {"user": 1, "legacy": 1, "code_subject": 2, "code_attachment": 2, "document": 3, "code_body": 4, "thread": 5, "name": 6, "participant": 7, "backfill": 8}
 
 
-def link_by_name(messages: DataFrame, projects: DataFrame, text: str, confidence: int = 60) -> DataFrame:
-    """Messages whose text holds a project's name, of two words or more, letter for letter, white space alike.
+def evidence(rows: DataFrame, source: str) -> DataFrame:
+    return rows.select("message_id", "project_id", F.lit(source).alias("source"), F.lit(CONFIDENCE[source]).alias("confidence")).distinct()
 
-    The name may start and end inside words, so the join is on what stands on either side of its first gap: three letters
-    of each word, or one where a word is shorter. A full comparison follows.
+
+def link_by_code(messages: DataFrame, projects: DataFrame, text: str, source: str) -> DataFrame:
+    """Messages whose text holds a project's code by itself: no letter or digit on either side.
+
+    An equi-join of the text's runs of letters and digits with the code's first one; a code that holds other marks is then
+    looked for as a whole.
     """
-    plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    words = lambda c: F.split(c, " ")
-    key = lambda a, b, n: F.concat_ws(" ", F.right(a, F.lit(n)), F.left(b, F.lit(n)))
-    names = projects.select("project_id", F.trim(plain(F.trim("name"))).alias("name")).withColumn("w", words("name")).where("size(w) >= 2")
-    a, b = F.col("w")[0], F.col("w")[1]
-    names = names.select("project_id", "name", F.when((F.length(a) >= 3) & (F.length(b) >= 3), key(a, b, 3)).otherwise(key(a, b, 1)).alias("gap"))
-    m = messages.select("message_id", plain(text).alias("t")).withColumn("w", words("t")).where("size(w) >= 2")
-    gaps = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: key(F.get("w", i), F.get("w", i + 1), n))
-    pairs = m.select("message_id", F.explode(F.array_distinct(F.concat(gaps(3), gaps(1)))).alias("gap")).join(names, "gap").select("message_id", "project_id", "name")
-    found = pairs.join(m.select("message_id", "t"), "message_id").where(F.col("t").contains(F.col("name")))
-    return found.select("message_id", "project_id", F.lit("name").alias("source"), F.lit(confidence).alias("confidence")).distinct()
+    tokens = messages.select("message_id", text, F.explode(code_tokens(F.col(text))).alias("run"))
+    codes = projects.where("code <> ''").select("project_id", F.lower("code").alias("code"), F.get(F.filter(F.split(F.lower("code"), "[^a-z0-9]+"), lambda x: x != ""), 0).alias("run"))
+    pairs = tokens.join(codes.where("run is not null"), "run")
+    escaped = F.concat(F.lit(r"(?<![a-z0-9])\Q"), "code", F.lit(r"\E(?![a-z0-9])"))
+    whole = F.when(F.col("code") == F.col("run"), F.lit(True)).otherwise(F.rlike(F.lower(text), escaped))
+    return evidence(pairs.where(whole), source)
+
+
+@F.pandas_udf(StringType())
+def normal_text(c: pd.Series) -> pd.Series:
+    """Compatibility forms composed, tags and repeated white space gone, case folded."""
+    import re
+    import unicodedata
+
+    def one(x):
+        return " ".join(re.sub(r"<[^>]+>", " ", unicodedata.normalize("NFKC", x)).split()).casefold()
+
+    return c.map(one, na_action="ignore")
+
+
+def link_by_name(messages: DataFrame, projects: DataFrame, text: str, grams: int = 4) -> DataFrame:
+    """Messages whose text holds a project's name, inside words too.
+
+    Names meet texts by one run of letters of their own, the one that the fewest texts hold, or by the whole name where it is
+    shorter; a comparison of the whole follows. So a name of common words makes no more pairs than its rarest part does.
+    """
+    names = projects.select("project_id", normal_text(F.col("name")).alias("name")).where("name <> ''")
+    m = messages.select("message_id", normal_text(F.col(text)).alias("t")).where("t <> ''")
+    sizes = sorted(r.n for r in names.select(F.least(F.length("name"), F.lit(grams)).alias("n")).distinct().collect())  # 1 to `grams`
+    if not sizes:
+        return evidence(m.where("false").select("message_id", F.lit(0).cast("long").alias("project_id")), "name")
+    runs = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array())
+    own = F.when(F.length("name") >= grams, runs(F.col("name"), grams)).otherwise(F.array("name"))
+    wanted = names.select("project_id", "name", F.explode(F.array_distinct(own)).alias("gram"))
+    held = m.select("message_id", F.explode(F.array_distinct(F.concat(*(runs(F.col("t"), n) for n in sizes)))).alias("gram"))
+    often = held.join(wanted.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    key = wanted.join(often, "gram", "left").groupBy("project_id", "name").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    pairs = held.join(key, "gram").select("message_id", "project_id", "name")
+    return evidence(pairs.join(m, "message_id").where(F.col("t").contains(F.col("name"))), "name")
+
+
+def link_by_document(attachments: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Messages with a document that other messages have, of whose confirmed links there is exactly one.
+
+    attachments(message_id, document_id), confirmed(message_id, project_id). A document's links are counted once for all its
+    messages, so a document that very many share needs no pairs of messages.
+    """
+    a = attachments.where("document_id is not null").distinct()
+    links = a.join(confirmed, "message_id").groupBy("document_id").agg(F.count("*").alias("n"), F.first("project_id").alias("project_id"), F.sum("project_id").alias("s"))
+    own = a.join(confirmed, "message_id").groupBy("document_id", "message_id").agg(F.count("*").alias("mine"), F.sum("project_id").alias("sum"))
+    both = a.join(links, "document_id").join(own, ["document_id", "message_id"], "left")
+    rest = both.where(F.col("n") - F.coalesce("mine", F.lit(0)) == 1)
+    return evidence(rest.withColumn("project_id", F.col("s") - F.coalesce("sum", F.lit(0))), "document")
+
+
+def participants(sender: str, *lists: str):
+    """Distinct addresses of sender and receivers, case folded."""
+    return F.array_distinct(F.filter(F.transform(F.concat(F.array(sender), *(F.coalesce(c, F.array().cast("array<string>")) for c in lists)), lambda x: F.lower(F.trim(x))), lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
+def boost_participants(found: DataFrame, messages: DataFrame, parties: DataFrame) -> DataFrame:
+    """A piece of evidence for each active party of an already found project that takes part in the message."""
+    p = messages.select("message_id", F.explode("participants").alias("email"))
+    mine = found.select("message_id", "project_id").distinct().join(p, "message_id")
+    at = parties.where("is_active").select("project_id", F.lower("email").alias("email"))
+    return mine.join(at, ["project_id", "email"]).select("message_id", "project_id", F.lit("participant").alias("source"), F.lit(CONFIDENCE["participant"]).alias("confidence"))
+
+
+def link_by_thread(messages: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Messages whose thread's other messages have confirmed links to exactly one project."""
+    c = messages.select("message_id", "thread_id").join(confirmed, "message_id")
+    of = c.groupBy("thread_id").agg(F.collect_set("project_id").alias("all"))
+    few = of.where(F.size("all") <= 2)  # with three projects or more no other message's can be one
+    counts = c.groupBy("thread_id", "project_id").agg(F.count_distinct("message_id").alias("n"))
+    own = c.groupBy("message_id").agg(F.collect_set("project_id").alias("own"))
+    rows = messages.select("message_id", "thread_id").join(few, "thread_id").join(own, "message_id", "left").select("message_id", "thread_id", "own", F.explode("all").alias("project_id"))
+    left = rows.join(counts, ["thread_id", "project_id"]).where(F.col("n") - F.coalesce(F.array_contains("own", F.col("project_id")), F.lit(False)).cast("int") > 0)
+    one = left.groupBy("message_id").agg(F.count("*").alias("k"), F.first("project_id").alias("project_id")).where("k = 1")
+    return evidence(one, "thread")
+
+
+def questions(messages: DataFrame, fields: list[str]) -> DataFrame:
+    """(message_id, field, rule, keyword, confidence): what makes a message a question."""
+    rows = []
+    for f in fields:
+        rows.append(F.when(F.col(f).contains("?"), F.struct(F.lit(f).alias("field"), F.lit("question_mark").alias("rule"), F.lit("").alias("keyword"), F.lit(70).alias("confidence"))))
+        for rule, words in QUESTION_WORDS.items():
+            rows += [F.when(F.lower(f).contains(w), F.struct(F.lit(f).alias("field"), F.lit(rule).alias("rule"), F.lit(w).alias("keyword"), F.lit(60).alias("confidence"))) for w in words]
+    return messages.select("message_id", F.explode(F.array_compact(F.array(*rows))).alias("q")).select("message_id", "q.*")
 
 
 def combine_evidence(evidence: DataFrame) -> DataFrame:
-    """A link for each message and project: min(100, best + 3 for each further piece), band, first source, conflict flag."""
-    g = evidence.groupBy("message_id", "project_id").agg(F.max("confidence").alias("best"), F.count("*").alias("n_evidence"), F.min_by("source", F.struct(-F.col("confidence"), F.col("source"))).alias("source"))
+    """A link for each message and project: min(100, best + 3 for each further piece), band, source by rank, conflict flag."""
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv)), F.col("source")), F.lit(99))
+    first = F.struct(rank, -F.col("confidence"), F.col("source"))
+    g = evidence.groupBy("message_id", "project_id").agg(F.max("confidence").alias("best"), F.count("*").alias("n_evidence"), F.min_by("source", first).alias("source"))
     g = g.withColumn("confidence", F.least(F.lit(100), F.col("best") + 3 * (F.col("n_evidence") - 1)))
-    conflict = F.count("*").over(W.partitionBy("message_id")) > 1
-    return g.select("message_id", "project_id", "source", "n_evidence", F.col("confidence").cast("int").alias("confidence"), confidence_band(F.col("confidence")).alias("band"), conflict.alias("conflict"))
+    n = g.groupBy("message_id").agg(F.count("*").alias("_n"))
+    return g.join(n, "message_id").select("message_id", "project_id", "source", "n_evidence", F.col("confidence").cast("int").alias("confidence"), confidence_band(F.col("confidence")).alias("band"), (F.col("_n") > 1).alias("conflict"))
 
 
 def primary_link(links: DataFrame) -> DataFrame:
@@ -62,13 +148,6 @@ def primary_link(links: DataFrame) -> DataFrame:
     return links.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def inherit_from_thread(messages: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """Messages without a confirmed link take the project of their thread where its confirmed links name exactly one."""
-    of = messages.join(confirmed, "message_id").groupBy("thread_id").agg(F.countDistinct("project_id").alias("n"), F.min("project_id").alias("project_id")).where("n = 1")
-    rest = messages.join(confirmed.select("message_id"), "message_id", "left_anti")
-    return rest.join(of, "thread_id").select("message_id", "project_id")
-
-
 def persist_suggestions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Suggested links are refreshed; confirmed, rejected, corrected and superseded ones are left alone."""
     f = fresh.select("message_id", "project_id", F.col("confidence").alias("_c"))
@@ -128,8 +207,21 @@ def timeline(*kinds: tuple[str, DataFrame]) -> DataFrame:
     return out.withColumn("position", F.row_number().over(W.partitionBy("subject").orderBy("at", "kind", "id")))
 
 
-def review_summary(outcomes: DataFrame) -> DataFrame:
-    """Counts by outcome and the approval rate in whole percent, half even."""
-    names = ("approved", "rejected", "pending")
-    g = outcomes.agg(F.count("*").alias("n"), *(F.count_if(F.col("outcome") == x).alias(f"n_{x}") for x in names))
-    return g.withColumn("approval_rate", F.when(F.col("n") > F.col("n_pending"), F.bround(F.col("n_approved").cast("double") / (F.col("n") - F.col("n_pending")) * 100, 0)))
+def review_summary(rows: DataFrame, today) -> DataFrame:
+    """One row of counts over candidates(kind, status, band, snoozed_until, reviewed_at) and the approval rate in whole percent."""
+    day, is_ = F.lit(today).cast("date"), lambda c, *v: F.col(c).isin(*v)
+    n = {
+        "pending": is_("status", "pending_review"),
+        "high_confidence": is_("status", "pending_review") & is_("band", "high"),
+        "questions": is_("kind", "question"),
+        "task_requests": is_("kind", "task_request"),
+        "commitments": is_("kind", "commitment"),
+        "decisions": is_("kind", "decision"),
+        "risks_blockers": is_("kind", "risk", "blocker"),
+        "snoozed": F.coalesce(F.col("snoozed_until") > day, F.lit(False)),
+        "reviewed_today": F.coalesce(F.to_date("reviewed_at") == day, F.lit(False)),
+        "approved": is_("status", "approved", "edited_and_approved"),
+        "reviewed": ~is_("status", "pending_review"),
+    }
+    g = rows.agg(*(F.count_if(c).alias(k) for k, c in n.items()))
+    return g.withColumn("approval_rate", F.when(F.col("reviewed") > 0, F.bround(F.col("approved").cast("double") / F.col("reviewed") * 100, 0)).otherwise(0.0))

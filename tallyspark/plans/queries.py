@@ -7,220 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import dates as D, fingerprint as FP, numeric as N, text as T
-from ..operators import alerts, allocation, ledger, matching, messages as M, upsert
+from ..operators import ledger, matching, messages as M, upsert
 from ..sources import adapters as A, files
 from ..sources.shared import shared_dir
 from ..streaming import state
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, with_ledger: bool = True):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = f"WITH {A.SQL.strip()}\n{sql}" if with_ledger else sql
-        return f
-
-    return add
-
-
-def routed(spark, d, with_overhead: bool = True) -> DataFrame:
-    rows = ledger.star(A.entries(spark, d), A.batches(spark, d))
-    return ledger.route(ledger.classify(rows, A.classification(spark)), with_overhead)
-
-
-def doubles(df: DataFrame) -> DataFrame:
-    """Decimals as doubles at the very end: they are exact sums until then."""
-    return df.select(*(F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes))
-
-
-def sums(*names: str) -> str:
-    return ", ".join(f"CAST(coalesce(sum(CASE WHEN bucket = '{n}' THEN normalized END), 0) AS DOUBLE) {n}" for n in names)
-
-
-BUCKETS = sums("revenue", "cost", "unclassified", "excluded")
-RESULT = "sum(CASE WHEN bucket = 'revenue' THEN normalized WHEN bucket = 'cost' THEN -normalized ELSE 0 END)"
-REVENUE = "sum(CASE WHEN bucket = 'revenue' THEN normalized ELSE 0 END)"
-MARGIN = f"CASE WHEN {REVENUE} <> 0 THEN round_even(CAST({RESULT} AS DOUBLE) / CAST({REVENUE} AS DOUBLE) * 100, 2) END"
-QUALITY = "CASE WHEN count(DISTINCT currency) > 1 THEN 'mixed_currency' WHEN sum(CASE WHEN bucket = 'unclassified' THEN normalized ELSE 0 END) <> 0 THEN 'unclassified' ELSE 'complete' END"
-
-
-@query("a1_project_financials", f"SELECT project_id, {BUCKETS}, count(*) n_allocations, count(DISTINCT batch_id) n_batches, count(DISTINCT currency) n_currencies, CAST({RESULT} AS DOUBLE) AS result, {MARGIN} margin, {QUALITY} quality FROM routed GROUP BY project_id")
-def a1(spark, d):
-    return doubles(ledger.financials(routed(spark, d), "project_id"))
-
-
-@query("a2_month_series", f"""SELECT p.project_id, CAST(s.m AS DATE) AS month, coalesce(revenue, 0) revenue, coalesce(cost, 0) cost, coalesce(unclassified, 0) unclassified, coalesce(excluded, 0) excluded, coalesce(result, 0) AS result, coalesce(n_allocations, 0) n_allocations, margin, coalesce(quality, 'no_data') quality
-FROM (SELECT DISTINCT project_id FROM routed) p CROSS JOIN (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1995-12-01', INTERVAL 1 MONTH)) m) s
-LEFT JOIN (SELECT project_id, date_trunc('month', batch_date) m, {BUCKETS}, CAST({RESULT} AS DOUBLE) AS result, count(*) n_allocations, {MARGIN} margin, {QUALITY} quality FROM routed WHERE batch_date BETWEEN DATE '1995-01-15' AND DATE '1995-12-20' GROUP BY 1, 2) f ON f.project_id = p.project_id AND f.m = s.m""")
-def a2(spark, d):
-    return doubles(ledger.month_series(routed(spark, d), "1995-01-15", "1995-12-20"))
-
-
-@query("a4_category_totals", "SELECT category, CAST(sum(normalized) AS DOUBLE) total, count(*) n_allocations, count(DISTINCT (batch_id, line, part)) n_entries, array_to_string(list_sort(list(DISTINCT account_code)), ',') accounts FROM routed GROUP BY category")
-def a4(spark, d):
-    return doubles(ledger.category_totals(routed(spark, d)))
-
-
-@query("a11_verification", """SELECT (SELECT count(*) FROM entries) n_entries, (SELECT CAST(sum(amount) AS DOUBLE) FROM entries) balance, (SELECT count(*) FROM batches) n_batches, (SELECT min(batch_date) FROM batches) first_date, (SELECT max(batch_date) FROM batches) last_date, 0 n_without_date,
- (SELECT count(*) FROM batches b WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.batch_id = b.batch_id)) n_empty_batches, 0 n_orphans,
- (SELECT round_even(CAST(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM entries e WHERE e.batch_id = b.batch_id)) AS DOUBLE) / count(*) * 100, 2) FROM batches b) coverage""")
-def a11(spark, d):
-    return doubles(ledger.verify(A.entries(spark, d), A.batches(spark, d)))
-
-
-@query("a12_duplicate_identities", "SELECT count(*) n_keys, coalesce(sum(n), 0)::BIGINT n_rows FROM (SELECT batch_id, line, count(*) n FROM entries GROUP BY 1, 2 HAVING count(*) > 1)")
-def a12(spark, d):
-    return ledger.duplicate_keys(A.entries(spark, d), "batch_id", "line")
-
-
-@query("a14_account_rows", "SELECT account_code, count(*) n_entries, CAST(sum(greatest(amount, 0)) AS DOUBLE) debit, CAST(sum(greatest(-amount, 0)) AS DOUBLE) credit, min(batch_date) first_date, max(batch_date) last_date, count(project_id) n_linked, array_to_string(list_sort(list(DISTINCT currency)), ',') currencies FROM star GROUP BY account_code")
-def a14(spark, d):
-    return doubles(ledger.account_rows(ledger.star(A.entries(spark, d), A.batches(spark, d))))
-
-
-@query("a15_dashboard_rows", f"""SELECT p.code, p.name, p.status, revenue, cost, result, margin, row_number() OVER (ORDER BY coalesce(margin, -999999999) DESC, p.code DESC) AS position
-FROM (SELECT project_id, {BUCKETS}, CAST({RESULT} AS DOUBLE) AS result, {MARGIN} margin FROM routed WHERE currency = 'EUR' AND batch_date >= DATE '1995-03-01' AND batch_date < DATE '1995-04-01' GROUP BY project_id) f JOIN projects p ON p.project_id = f.project_id WHERE revenue <> 0 OR cost <> 0 OR unclassified <> 0
-ORDER BY position LIMIT 25""")
-def a15(spark, d):
-    """The first page of the dashboard: 25 rows by falling margin; every project is aggregated, the page is the feature."""
-    rows = routed(spark, d).where("currency = 'EUR' and batch_date >= date'1995-03-01' and batch_date < date'1995-04-01'")
-    f = ledger.financials(rows, "project_id").where("revenue <> 0 or cost <> 0 or unclassified <> 0")
-    both = f.join(A.projects(spark, d), "project_id").withColumn("_m", F.coalesce("margin", F.lit(-999999999.0)))
-    page = both.orderBy(F.desc("_m"), F.desc("code")).limit(25)
-    numbered = page.withColumn("position", F.row_number().over(W.orderBy(F.desc("_m"), F.desc("code"))))
-    return doubles(numbered.select("code", "name", "status", "revenue", "cost", "result", "margin", "position"))
-
-
-@query("a16_totals_by_currency", "SELECT currency, CAST(sum(amount) AS DOUBLE) total, count(DISTINCT project_id) n_projects FROM star GROUP BY currency")
-def a16(spark, d):
-    return doubles(ledger.totals_by_currency(ledger.star(A.entries(spark, d), A.batches(spark, d))))
-
-
-@query("a18_unclassified_accounts", "SELECT account_code, count(*) n, CAST(sum(amount) AS DOUBLE) total, array_to_string(list_sort(list(DISTINCT strftime(batch_date, '%Y-%m'))), ',') AS months FROM routed WHERE bucket = 'unclassified' GROUP BY account_code")
-def a18(spark, d):
-    return doubles(ledger.unclassified_accounts(routed(spark, d)))
-
-
-@query("a23_statement_summary", "SELECT strftime(booking_date, '%Y-%m') AS month, direction, count(*) n, CAST(sum(amount) AS DOUBLE) total, min(booking_date) first_date, max(booking_date) last_date FROM (SELECT *, CASE WHEN txn_id % 2 = 0 THEN 'CRDT' ELSE 'DBIT' END direction FROM bank) GROUP BY ROLLUP (month, direction)")
-def a23(spark, d):
-    return doubles(matching.statement_summary(A.bank(spark, d).withColumn("direction", F.when(F.col("txn_id") % 2 == 0, "CRDT").otherwise("DBIT"))))
-
-
-@query("a26_lifetime_start", "SELECT p.project_id, coalesce(min(b.batch_date), DATE '2026-01-01') AS start FROM projects p LEFT JOIN batches b ON b.project_id = p.project_id GROUP BY p.project_id")
-def a26(spark, d):
-    return ledger.lifetime_start(A.projects(spark, d), A.batches(spark, d), "2026-01-01")
-
-
-def facts(spark, d):
-    rows = routed(spark, d).where("batch_date >= date'1995-01-01' and batch_date < date'1995-07-01'")
-    return ledger.financials(rows, "project_id")
-
-
-FACTS = f"facts AS (SELECT project_id, {BUCKETS}, count(*) n_allocations, count(DISTINCT currency) n_currencies, CAST({RESULT} AS DOUBLE) AS result, {MARGIN} margin FROM routed WHERE batch_date >= DATE '1995-01-01' AND batch_date < DATE '1995-07-01' GROUP BY project_id)"
-RULES = """ruled AS (SELECT project_id, n_currencies, result, margin, r.rule AS rule, CASE r.rule WHEN 'negative_result' THEN result < 0 WHEN 'no_revenue' THEN revenue = 0 ELSE CASE WHEN revenue > 0 THEN margin < 10 END END met FROM facts, (VALUES ('negative_result'), ('no_revenue'), ('low_margin')) r(rule)),
-judged AS (SELECT project_id, rule, CASE WHEN n_currencies > 1 THEN 'mixed_currency' WHEN met IS NULL THEN 'no_positive_revenue' END skipped, CASE WHEN n_currencies > 1 THEN NULL ELSE met END met, result, margin FROM ruled)"""
-
-
-@query("x5_alert_conditions", f", {FACTS}, {RULES} SELECT project_id, rule, met, skipped, result, margin FROM judged")
-def x5(spark, d):
-    return doubles(alerts.evaluate(facts(spark, d)))
-
-
-PREVIOUS = "previous AS (SELECT project_id, 'negative_result' AS rule, CASE project_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' WHEN 2 THEN 'dismissed' ELSE 'acknowledged' END status FROM projects WHERE project_id % 3 = 0)"
-MOVES = """moves AS (SELECT coalesce(j.project_id, p.project_id) project_id, coalesce(j.rule, p.rule) AS rule, status was, CASE WHEN skipped IS NOT NULL THEN 'skipped' WHEN met AND status IS NULL THEN 'opened' WHEN met AND status = 'resolved' THEN 'reopened' WHEN met AND status = 'dismissed' THEN 'unchanged' WHEN met THEN 'updated' WHEN status IN ('open', 'acknowledged') THEN 'resolved' ELSE 'unchanged' END AS action FROM judged j FULL JOIN previous p ON j.project_id = p.project_id AND j.rule = p.rule)"""
-
-
-def moves(spark, d):
-    was = F.element_at(F.array(*(F.lit(x) for x in ("open", "resolved", "dismissed", "acknowledged"))), (F.col("project_id") % 4 + 1).cast("int"))
-    previous = A.projects(spark, d).where("project_id % 3 = 0").select("project_id", F.lit("negative_result").alias("rule"), was.alias("status"))
-    return alerts.transition(previous, alerts.evaluate(facts(spark, d)))
-
-
-@query("x7_alert_transitions", f", {FACTS}, {RULES}, {PREVIOUS}, {MOVES} SELECT project_id, rule, action, CASE WHEN action IN ('opened', 'reopened') THEN 'open' WHEN action = 'resolved' THEN 'resolved' ELSE was END status FROM moves")
-def x7(spark, d):
-    return moves(spark, d)
-
-
-@query("x9_run_summary", f", {FACTS}, {RULES}, {PREVIOUS}, {MOVES} SELECT count(*) n, " + ", ".join(f"count(*) FILTER (WHERE action = '{a}') n_{a}" for a in ("opened", "updated", "reopened", "resolved", "unchanged", "skipped")) + " FROM moves")
-def x9(spark, d):
-    return alerts.run_summary(moves(spark, d))
-
-
-# Allocation: each nation's office cost, in cents, to its customers.
-OFFICE = """office AS (SELECT s_nationkey nation, CAST(sum(CAST(s_acctbal AS DECIMAL(20,2))) * 100 AS BIGINT) source FROM supplier GROUP BY 1),
-shares AS (SELECT c_nationkey nation, c_custkey project_id, CAST(CAST(greatest(c_acctbal, 0) AS DECIMAL(20,2)) * 100 AS BIGINT) part, CAST(c_acctbal AS DECIMAL(20,2)) revenue FROM customer),
-parts AS (SELECT s.*, o.source, sum(part) OVER (PARTITION BY s.nation)::BIGINT t, row_number() OVER (PARTITION BY s.nation ORDER BY project_id DESC) = 1 AS last FROM shares s JOIN office o USING (nation)),
-cents AS (SELECT *, ((2 * abs(source)::HUGEINT * part + t) // (2 * t))::BIGINT * sign(source)::BIGINT c, (1000000::HUGEINT * part // t)::BIGINT q, (1000000::HUGEINT * part % t)::BIGINT r FROM parts WHERE t > 0),
-evened AS (SELECT *, CASE WHEN 2 * r > t OR (2 * r = t AND q % 2 = 1) THEN q + 1 ELSE q END p FROM cents),
-shared AS (SELECT nation, project_id, source, CASE WHEN last THEN source - sum(c) OVER w + c ELSE c END::BIGINT amount_cents, CASE WHEN last THEN 1000000 - sum(p) OVER w + p ELSE p END::BIGINT percent_10000 FROM evened WINDOW w AS (PARTITION BY nation))"""
-
-
-def shares(spark, d):
-    source = A.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg((F.sum(F.col("s_acctbal").cast("decimal(20,2)")) * 100).cast("long").alias("source"))
-    c = A.table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("project_id"), (F.greatest("c_acctbal", F.lit(0.0)).cast("decimal(20,2)") * 100).cast("long").alias("part"), F.col("c_acctbal").cast("decimal(20,2)").alias("revenue"))
-    return c.join(source, "nation")
-
-
-def shared(spark, d):
-    rows = shares(spark, d)
-    positive = rows.withColumn("_s", F.sum("part").over(W.partitionBy("nation"))).where("_s > 0").drop("_s")
-    return allocation.balanced(positive, "nation", "source", "part", ["project_id"])
-
-
-@query("l2_revenue_weights", f", {OFFICE} SELECT nation, project_id, CASE WHEN t > 0 THEN CAST(part AS DOUBLE) / 100 / (CAST(t AS DOUBLE) / 100) END weight, CASE WHEN t <= 0 THEN 'error' WHEN revenue <= 0 THEN 'warning' ELSE 'ok' END note FROM parts")
-def l2(spark, d):
-    return allocation.revenue_weights(shares(spark, d), "nation").select("nation", "project_id", "weight", "note")
-
-
-@query("l7_balanced_shares", f", {OFFICE} SELECT nation, project_id, amount_cents, percent_10000 FROM shared")
-def l7(spark, d):
-    return shared(spark, d).select("nation", "project_id", "amount_cents", "percent_10000")
-
-
-@query("l11_balance_check", f", {OFFICE} SELECT nation, sum(amount_cents)::BIGINT sum_cents, any_value(source) source_cents, sum(percent_10000)::BIGINT sum_percent, 0::BIGINT n_twice, sum(amount_cents) = any_value(source) AND sum(percent_10000) = 1000000 AS balanced FROM shared GROUP BY nation")
-def l11(spark, d):
-    return allocation.check_balance(shared(spark, d), "nation", "source")
-
-
-@query("l3_equal_shares", f", {OFFICE}, e AS (SELECT p.nation, p.project_id, p.source, count(*) OVER (PARTITION BY p.nation) n, p.last FROM parts p), c AS (SELECT *, ((2 * abs(source)::HUGEINT + n) // (2 * n))::BIGINT * sign(source)::BIGINT c FROM e) SELECT nation, project_id, CASE WHEN last THEN source - sum(c) OVER (PARTITION BY nation) + c ELSE c END::BIGINT amount_cents FROM c")
-def l3(spark, d):
-    return allocation.balanced(shares(spark, d).withColumn("part", F.lit(1).cast("long")), "nation", "source", "part", ["project_id"]).select("nation", "project_id", "amount_cents")
-
-
-@query("a7_management_result", f""", {OFFICE}, direct AS (SELECT project_id, CAST({REVENUE} * 100 AS BIGINT) revenue_cents, CAST(sum(CASE WHEN bucket = 'cost' THEN normalized ELSE 0 END) * 100 AS BIGINT) cost_cents FROM routed GROUP BY 1)
-SELECT d.project_id, revenue_cents, cost_cents, coalesce(i.amount_cents, 0) in_cents, CASE WHEN d.project_id % 5 = 0 THEN coalesce(i.amount_cents, 0) ELSE 0 END out_cents, cost_cents + coalesce(i.amount_cents, 0) - CASE WHEN d.project_id % 5 = 0 THEN coalesce(i.amount_cents, 0) ELSE 0 END total_cents, revenue_cents - (cost_cents + coalesce(i.amount_cents, 0) - CASE WHEN d.project_id % 5 = 0 THEN coalesce(i.amount_cents, 0) ELSE 0 END) result_cents FROM direct d LEFT JOIN shared i ON i.project_id = d.project_id""")
-def a7(spark, d):
-    f = routed(spark, d).groupBy("project_id").agg((ledger.in_bucket("revenue") * 100).cast("long").alias("revenue_cents"), (ledger.in_bucket("cost") * 100).cast("long").alias("cost_cents"))
-    inflow = shared(spark, d).select("project_id", "amount_cents")
-    return allocation.management_result(f, inflow, inflow.where("project_id % 5 = 0"))
-
-
-@query("a8_allocation_breakdown", f", {OFFICE}, g AS (SELECT project_id, nation, sum(amount_cents) amount_cents, bool_or(project_id % 2 = 0) any_manual FROM shared GROUP BY 1, 2) SELECT project_id, nation, amount_cents::BIGINT amount_cents, any_manual, CASE WHEN sum(amount_cents) OVER w <> 0 THEN round_even(amount_cents::DOUBLE / (sum(amount_cents) OVER w)::DOUBLE * 100, 2) END AS percent FROM g WINDOW w AS (PARTITION BY project_id)")
-def a8(spark, d):
-    return allocation.breakdown(shared(spark, d).withColumn("manual", F.col("project_id") % 2 == 0), "nation")
-
-
-@query("a10_missing_months", "SELECT p.project_id, m.month FROM (SELECT DISTINCT project_id FROM batches) p CROSS JOIN (SELECT unnest(generate_series(1, 12))::INTEGER AS month) m WHERE NOT EXISTS (SELECT 1 FROM batches b WHERE b.project_id = p.project_id AND year(batch_date) = 1995 AND month(batch_date) = m.month)")
-def a10(spark, d):
-    return allocation.missing_months(A.batches(spark, d).select("project_id", F.year("batch_date").alias("year"), F.month("batch_date").alias("month")), 1995)
-
-
-def versions(spark, d):
-    return A.table(spark, d, "orders").select(F.trunc("o_orderdate", "MM").alias("period"), (F.col("o_custkey") % 50).alias("source"), F.col("o_orderkey").alias("version"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("draft").alias("status"), F.col("o_orderdate").alias("approved_at"))
-
-
-@query("w14_superseded_versions", "SELECT o_orderkey AS version, CASE WHEN o_orderstatus <> 'F' THEN 'draft' WHEN row_number() OVER (PARTITION BY date_trunc('month', o_orderdate), o_custkey % 50, o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC) > 1 THEN 'superseded' ELSE 'approved' END state FROM orders", False)
-def w14(spark, d):
-    return allocation.supersede(versions(spark, d)).select("version", "state")
-
-
-@query("a28_next_version", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, o_custkey % 50 AS source, max(o_orderkey) + 1 next_version FROM orders GROUP BY 1, 2", False)
-def a28(spark, d):
-    return allocation.next_version(versions(spark, d))
-
+from . import allocations, finance, match, text_fields, upkeep  # noqa: F401
+from .registry import QUERIES, SQL, doubles, query  # noqa: F401
 
 def dimensions(spark, d):
     return A.table(spark, d, "supplier").select(F.concat(F.lit("D"), F.col("s_suppkey").cast("string")).alias("external_id"), (10000 + F.col("s_suppkey") * 20).cast("string").alias("code"))
@@ -274,91 +66,139 @@ def m10(spark, d):
     return upsert.latest(A.table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", F.desc("ts"), F.desc("event_id")).drop("ts")
 
 
-@query("u9_merge_roots", "WITH RECURSIVE l AS (SELECT c_custkey node, c_custkey // 3 AS into_ FROM customer WHERE c_custkey >= 3), r AS (SELECT node, into_ AS root FROM l UNION ALL SELECT r.node, l.into_ FROM r JOIN l ON r.root = l.node) SELECT node, min(root) root FROM r GROUP BY node", False)
+@query("merge_roots", "WITH RECURSIVE l AS (SELECT c_custkey node, c_custkey // 3 AS into_ FROM customer WHERE c_custkey >= 3), r AS (SELECT node, into_ AS root FROM l UNION ALL SELECT r.node, l.into_ FROM r JOIN l ON r.root = l.node) SELECT node, min(root) root, false AS cyclic FROM r GROUP BY node", False)
 def u9(spark, d):
     return upsert.merge_roots(A.table(spark, d, "customer").where("c_custkey >= 3").select(F.col("c_custkey").alias("node"), F.expr("c_custkey div 3").alias("into")))
 
 
-TOKENS = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower({0}), '[^0-9a-zõäöü]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ('as','fie','gmbh','inc','ltd','mtu','ou','oü','oy','sa','sia','tu','tü','uab'))))"
-MATCHED = f""", named AS (SELECT *, upper(regexp_extract(remittance, '(?i)\\b(INV[0-9]+)\\b', 1)) code FROM bank),
-pairs AS (SELECT b.txn_id, i.invoice_id, b.amount paid, i.amount due, code, number, party, issuer, invoice_date FROM named b JOIN invoices i ON CAST(round(b.amount * 100) AS BIGINT) = CAST(round(i.amount * 100) AS BIGINT) AND i.amount <> 0
- UNION SELECT b.txn_id, i.invoice_id, b.amount, i.amount, code, number, party, issuer, invoice_date FROM named b JOIN invoices i ON b.code = upper(i.number) WHERE b.code <> ''
- UNION SELECT b.txn_id, i.invoice_id, b.amount, i.amount, code, number, party, issuer, invoice_date FROM named b JOIN invoices i ON abs(CAST(round(b.amount * 100) AS BIGINT) - CAST(round(i.amount * 100) AS BIGINT)) = 1 AND b.amount // 100 BETWEEN i.amount // 100 - 1 AND i.amount // 100 + 1 AND CAST(b.amount * 100 AS BIGINT) - 1 = CAST(i.amount * 100 AS BIGINT) AND i.amount <> 0
- UNION SELECT b.txn_id, i.invoice_id, b.amount, i.amount, code, number, party, issuer, invoice_date FROM named b JOIN invoices i ON CAST(b.amount * 100 AS BIGINT) + 1 = CAST(i.amount * 100 AS BIGINT) AND i.amount <> 0),
-evidence AS (SELECT *, abs(paid - due) <= 0.01 AND due <> 0 a, code = upper(number) n, len(list_intersect({TOKENS.format('party')}, {TOKENS.format('issuer')})) >= least(2, len({TOKENS.format('party')}), len({TOKENS.format('issuer')})) AND least(len({TOKENS.format('party')}), len({TOKENS.format('issuer')})) > 0 p FROM pairs),
-scored AS (SELECT *, CASE WHEN a THEN 50 ELSE 0 END + CASE WHEN n THEN 45 ELSE 0 END + CASE WHEN p THEN 30 ELSE 0 END score, concat_ws(',', CASE WHEN a THEN 'amount' END, CASE WHEN n THEN 'number' END, CASE WHEN p THEN 'party' END) reasons FROM evidence),
-matched AS (SELECT txn_id, invoice_id, score, reasons FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, invoice_date, issuer, invoice_id) k FROM scored WHERE score >= 50) WHERE k = 1)"""
+@query("w1_keep_best", "SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY n_chars DESC, doc_id) > 1 AS is_duplicate FROM documents", False)
+def w1(spark, d):
+    rows = A.table(spark, d, "documents").select("doc_id", "n_chars", F.md5(F.col("text").cast("binary")).alias("key"))
+    return matching.keep_best(rows, "key", F.desc("n_chars"), F.asc("doc_id")).select("doc_id", "is_duplicate")
 
 
-@query("j8_bank_invoice_match", MATCHED + " SELECT * FROM matched")
-def j8(spark, d):
-    return matching.best_matches(A.bank(spark, d), A.invoices(spark, d))
+# Correspondence: documents as messages; a project's code stands in some of them, benchmark items are names.
+MAIL = """doc_id AS message_id, CASE WHEN doc_id % 3 = 0 THEN concat('[', 10000 + doc_id % 150 + 1, '] ', source) ELSE concat('RE: Fwd: ', source) END AS subject,
+ CASE WHEN doc_id % 4 = 0 THEN concat(text, ' objekt ', 10000 + doc_id % 70 + 1, '-A.') ELSE text END AS body, doc_id // 5 AS thread_id, CASE WHEN doc_id % 6 = 0 THEN doc_id % 9 END AS document_id,
+ CASE WHEN doc_id % 7 = 0 THEN concat('plan_', 10000 + doc_id % 30 + 1, '.pdf') ELSE '' END AS filename, concat('P', doc_id % 40, '@x.ee') AS sender"""
+MESSAGES = f"SELECT {MAIL} FROM documents"
 
 
-@query("j11_three_way", MATCHED + " SELECT i.invoice_id, number, CASE WHEN m.invoice_id IS NOT NULL AND i.invoice_id % 4 <> 0 THEN 'matched' WHEN m.invoice_id IS NOT NULL THEN 'bank_only' WHEN i.invoice_id % 4 <> 0 THEN 'mail_only' ELSE 'ledger_only' END state FROM invoices i LEFT JOIN (SELECT DISTINCT invoice_id FROM matched) m ON m.invoice_id = i.invoice_id")
-def j11(spark, d):
-    i = A.invoices(spark, d)
-    return matching.three_way(i, matching.best_matches(A.bank(spark, d), i), i.where("invoice_id % 4 <> 0"))
+def mail(spark, d):
+    exprs = text_fields._split(MAIL.replace("doc_id // 5", "doc_id div 5"))
+    return A.table(spark, d, "documents").selectExpr(*exprs)
 
 
-@query("j13_reconciled", "SELECT coalesce(l.number, b.number) AS number, CAST(coalesce(l.amount, b.amount) AS DOUBLE) amount, CASE WHEN l.number IS NULL THEN 'bank' WHEN b.number IS NULL THEN 'ledger' ELSE 'both' END side FROM invoices l FULL JOIN (SELECT 'INV' || txn_id AS number, amount FROM bank) b ON l.number = b.number AND l.amount = b.amount")
-def j13(spark, d):
-    b = A.bank(spark, d).select(F.concat(F.lit("INV"), F.col("txn_id").cast("string")).alias("number"), "amount")
-    return doubles(matching.reconcile(A.invoices(spark, d).select("number", "amount"), b))
+def coded(spark, d):
+    """Projects whose code holds a mark in one case of three."""
+    return A.projects(spark, d).withColumn("code", F.when(F.col("project_id") % 3 == 0, F.concat("code", F.lit("-A"))).otherwise(F.col("code")))
 
 
-@query("w1_keep_best", "SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY n_chars DESC, doc_id) > 1 AS is_duplicate FROM documents", False)
-def w1(spark, d):
-    rows = A.table(spark, d, "documents").select("doc_id", "n_chars", F.md5(F.col("text").cast("binary")).alias("key"))
-    return matching.keep_best(rows, "key", F.desc("n_chars"), F.asc("doc_id")).select("doc_id", "is_duplicate")
+def parties(spark, d):
+    return A.projects(spark, d).selectExpr("project_id", "concat('p', project_id % 40, '@X.ee') AS email", "project_id % 5 <> 0 AS is_active")
 
 
-# Correspondence: documents as messages; a project's code stands in some of them, benchmark items are names.
-MESSAGES = "SELECT doc_id message_id, CASE WHEN doc_id % 3 = 0 THEN '[' || (10000 + doc_id % 150 + 1) || '] ' || source ELSE 'RE: Fwd: ' || source END subject, text body, doc_id // 5 thread_id FROM documents"
+def links(spark, d):
+    """All evidence of codes, and of participants in what it finds."""
+    m, p = mail(spark, d), coded(spark, d)
+    found = M.link_by_code(m, p, "subject", "code_subject").unionByName(M.link_by_code(m, p, "body", "code_body")).unionByName(M.link_by_code(m, p, "filename", "code_attachment"))
+    who = m.select("message_id", M.participants("sender").alias("participants"))
+    return found, found.unionByName(M.boost_participants(found, who, parties(spark, d)))
 
 
-def mail(spark, d):
-    x = A.table(spark, d, "documents")
-    subject = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("["), (10000 + F.col("doc_id") % 150 + 1).cast("string"), F.lit("] "), "source")).otherwise(F.concat(F.lit("RE: Fwd: "), "source"))
-    return x.select(F.col("doc_id").alias("message_id"), subject.alias("subject"), F.col("text").alias("body"), F.expr("doc_id div 5").alias("thread_id"))
+HELD = "regexp_matches(lower({0}), '(^|[^a-z0-9])' || code || '([^a-z0-9]|$)')"
+CODES = f"""mail AS ({MESSAGES}), own_codes AS (SELECT project_id, CASE WHEN project_id % 3 = 0 THEN lower(code) || '-a' ELSE lower(code) END code FROM projects),
+found AS ({" UNION ALL ".join(f"SELECT message_id, project_id, '{s}' AS source, 90 confidence FROM mail JOIN own_codes ON contains(lower({c}), code) AND {HELD.format(c)}" for c, s in (("subject", "code_subject"), ("body", "code_body"), ("filename", "code_attachment")))}),
+boosted AS (SELECT * FROM found UNION ALL SELECT f.message_id, f.project_id, 'participant', 5 FROM (SELECT DISTINCT message_id, project_id FROM found) f JOIN mail m USING (message_id) JOIN projects p ON p.project_id = f.project_id WHERE p.project_id % 5 <> 0 AND lower(m.sender) = lower('p' || (p.project_id % 40) || '@X.ee'))"""
 
 
-CODES = f"mail AS ({MESSAGES}), hits AS (SELECT DISTINCT message_id, project_id, 'subject' AS source, 95 confidence FROM (SELECT message_id, unnest(string_split_regex(lower(subject), '[^a-z0-9]+')) w FROM mail) JOIN projects ON code = w)"
+@query("j17_links_by_code", f", {CODES} SELECT * FROM found")
+def j17(spark, d):
+    return links(spark, d)[0]
 
 
-@query("j17_links_by_code", f", {CODES} SELECT * FROM hits")
-def j17(spark, d):
-    return M.link_by_code(mail(spark, d), A.projects(spark, d), "subject", "subject", 95)
+@query("j22_participant_evidence", f", {CODES} SELECT * FROM boosted WHERE source = 'participant'")
+def j22(spark, d):
+    return links(spark, d)[1].where("source = 'participant'")
 
 
-@query("j18_links_by_name", "SELECT d.doc_id message_id, b.item_id project_id, 'name' AS source, 60 confidence FROM (SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') t FROM documents) d JOIN (SELECT item_id, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') n FROM benchmark) b ON contains(t, n) WHERE contains(n, ' ')", False)
+NAMED = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    "j18_links_by_name",
+    f"""WITH names AS (SELECT item_id project_id, CASE WHEN item_id % 3 = 0 THEN string_split({NAMED.format("text")}, ' ')[1] ELSE {NAMED.format("text")} END n FROM benchmark), docs AS (SELECT doc_id message_id, {NAMED.format("regexp_replace(text, '<[^>]+>', ' ', 'g')")} t FROM documents)
+SELECT message_id, project_id, 'name' AS source, 75 confidence FROM docs JOIN names ON contains(t, n) WHERE n <> ''""",
+    False,
+)
 def j18(spark, d):
-    names = A.table(spark, d, "benchmark").select(F.col("item_id").alias("project_id"), F.col("text").alias("name"))
-    return M.link_by_name(mail(spark, d), names, "body")
+    """Whole benchmark items as names, and of one in three its first word alone."""
+    name = F.when(F.col("item_id") % 3 == 0, F.get(F.split(F.trim("text"), r"\s+"), 0)).otherwise(F.col("text"))
+    names = A.table(spark, d, "benchmark").select(F.col("item_id").alias("project_id"), name.alias("name"))
+    m = A.table(spark, d, "documents").select(F.col("doc_id").alias("message_id"), F.col("text").alias("body"))
+    return M.link_by_name(m, names, "body")
+
+
+COMBINED = f"""{CODES}, g AS (SELECT message_id, project_id, max(confidence) best, count(*) n_evidence, arg_min(source, (CASE source WHEN 'code_subject' THEN 2 WHEN 'code_attachment' THEN 2 WHEN 'code_body' THEN 4 ELSE 7 END, -confidence, source)) AS source FROM boosted GROUP BY 1, 2),
+c AS (SELECT message_id, project_id, source, n_evidence, least(100, best + 3 * (n_evidence - 1))::INTEGER confidence FROM g),
+combined AS (SELECT *, CASE WHEN confidence >= 95 THEN 'exact' WHEN confidence >= 80 THEN 'high' WHEN confidence >= 60 THEN 'medium' ELSE 'low' END band, count(*) OVER (PARTITION BY message_id) > 1 AS conflict FROM c)"""
 
 
-@query("w8_combined_evidence", f", {CODES}, more AS (SELECT * FROM hits UNION ALL SELECT message_id, project_id, 'participant', 55 FROM hits WHERE message_id % 2 = 0 UNION ALL SELECT message_id, project_id + 1, 'body', 80 FROM hits WHERE message_id % 4 = 0), g AS (SELECT message_id, project_id, max(confidence) best, count(*) n_evidence, arg_min(source, (-confidence, source)) AS source FROM more GROUP BY 1, 2) SELECT message_id, project_id, source, n_evidence, least(100, best + 3 * (n_evidence - 1))::INTEGER confidence, CASE WHEN least(100, best + 3 * (n_evidence - 1)) >= 95 THEN 'exact' WHEN least(100, best + 3 * (n_evidence - 1)) >= 80 THEN 'high' WHEN least(100, best + 3 * (n_evidence - 1)) >= 60 THEN 'medium' ELSE 'low' END band, count(*) OVER (PARTITION BY message_id) > 1 AS conflict FROM g")
+@query("w8_combined_evidence", f", {COMBINED} SELECT * FROM combined")
 def w8(spark, d):
-    hits = M.link_by_code(mail(spark, d), A.projects(spark, d), "subject", "subject", 95)
-    more = hits.where("message_id % 2 = 0").select("message_id", "project_id", F.lit("participant").alias("source"), F.lit(55).alias("confidence"))
-    other = hits.where("message_id % 4 = 0").select("message_id", (F.col("project_id") + 1).alias("project_id"), F.lit("body").alias("source"), F.lit(80).alias("confidence"))
-    return M.combine_evidence(hits.unionByName(more).unionByName(other))
+    return M.combine_evidence(links(spark, d)[1])
+
+
+@query("w5_primary_links", f", {COMBINED} SELECT message_id, project_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY project_id % 4 = 0 DESC, confidence DESC, project_id) k FROM combined) WHERE k = 1")
+def w5(spark, d):
+    rows = w8(spark, d).withColumn("status", F.when(F.col("project_id") % 4 == 0, "confirmed").otherwise("suggested"))
+    return M.primary_link(rows).select("message_id", "project_id", "confidence")
+
 
+CONFIRMED = "confirmed AS (SELECT DISTINCT message_id, project_id FROM found WHERE source = 'code_subject')"
 
-@query("j19_thread_inheritance", f", {CODES}, one AS (SELECT thread_id, min(project_id) project_id FROM mail JOIN hits USING (message_id) GROUP BY thread_id HAVING count(DISTINCT project_id) = 1) SELECT m.message_id, one.project_id FROM mail m JOIN one USING (thread_id) WHERE m.message_id NOT IN (SELECT message_id FROM hits)")
+
+@query("j19_thread_inheritance", f", {CODES}, {CONFIRMED} SELECT m.message_id, min(c.project_id) project_id, 'thread' AS source, 70 confidence FROM mail m JOIN mail o ON o.thread_id = m.thread_id AND o.message_id <> m.message_id JOIN confirmed c ON c.message_id = o.message_id GROUP BY m.message_id HAVING count(DISTINCT c.project_id) = 1")
 def j19(spark, d):
-    m = mail(spark, d).drop("body")
-    return M.inherit_from_thread(m, M.link_by_code(m, A.projects(spark, d), "subject", "subject", 95).select("message_id", "project_id"))
+    m = mail(spark, d).select("message_id", "thread_id")
+    return M.link_by_thread(m, links(spark, d)[0].where("source = 'code_subject'").select("message_id", "project_id").distinct())
+
 
+@query("j20_document_inheritance", f", {CODES}, {CONFIRMED} SELECT m.message_id, min(c.project_id) project_id, 'document' AS source, 80 confidence FROM mail m JOIN mail o ON o.document_id = m.document_id AND o.message_id <> m.message_id JOIN confirmed c ON c.message_id = o.message_id AND c.project_id % 17 = 1 GROUP BY m.message_id HAVING count(*) = 1")
+def j20(spark, d):
+    a = mail(spark, d).select("message_id", "document_id")
+    return M.link_by_document(a, links(spark, d)[0].where("source = 'code_subject' and project_id % 17 = 1").select("message_id", "project_id").distinct())
 
-@query("m11_persisted_suggestions", f", {CODES}, stored AS (SELECT message_id, project_id, CASE message_id % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' ELSE 'suggested' END status, CASE WHEN message_id % 2 = 0 THEN 95 ELSE 70 END confidence FROM hits WHERE message_id % 5 <> 0) SELECT h.message_id, h.project_id, coalesce(status, 'suggested') status, CASE WHEN status IN ('confirmed', 'rejected') THEN s.confidence ELSE h.confidence END confidence, CASE WHEN status IS NULL THEN 'created' WHEN status IN ('confirmed', 'rejected') THEN 'skipped' WHEN h.confidence = s.confidence THEN 'unchanged' ELSE 'updated' END AS action FROM hits h LEFT JOIN stored s ON s.message_id = h.message_id AND s.project_id = h.project_id")
+
+@query("m11_persisted_suggestions", f""", {COMBINED}, stored AS (SELECT message_id, project_id, CASE message_id % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' ELSE 'suggested' END status, CASE WHEN message_id % 2 = 0 THEN confidence ELSE 70 END confidence FROM combined WHERE message_id % 5 <> 0)
+SELECT h.message_id, h.project_id, coalesce(status, 'suggested') status, CASE WHEN status IN ('confirmed', 'rejected') THEN s.confidence ELSE h.confidence END confidence, CASE WHEN status IS NULL THEN 'created' WHEN status IN ('confirmed', 'rejected') THEN 'skipped' WHEN h.confidence = s.confidence THEN 'unchanged' ELSE 'updated' END AS action
+FROM combined h LEFT JOIN stored s ON s.message_id = h.message_id AND s.project_id = h.project_id""")
 def m11(spark, d):
-    hits = M.link_by_code(mail(spark, d), A.projects(spark, d), "subject", "subject", 95)
-    k = F.col("message_id")
-    stored = hits.where("message_id % 5 <> 0").select("message_id", "project_id", F.when(k % 4 == 0, "confirmed").when(k % 4 == 1, "rejected").otherwise("suggested").alias("status"), F.when(k % 2 == 0, 95).otherwise(70).alias("confidence"))
+    hits, k = w8(spark, d), F.col("message_id")
+    stored = hits.where("message_id % 5 <> 0").select("message_id", "project_id", F.when(k % 4 == 0, "confirmed").when(k % 4 == 1, "rejected").otherwise("suggested").alias("status"), F.when(k % 2 == 0, F.col("confidence")).otherwise(70).alias("confidence"))
     return M.persist_suggestions(stored, hits)
 
 
+WORDS = [(f, r, w) for f in ("subject", "body") for r, ws in M.QUESTION_WORDS.items() for w in ws]
+
+
+@query("t25_question_evidence", f"WITH mail AS ({MESSAGES}), " + "q AS (" + " UNION ALL ".join([f"SELECT message_id, '{f}' field, 'question_mark' \"rule\", '' keyword, 70 confidence FROM mail WHERE contains({f}, '?')" for f in ("subject", "body")] + [f"SELECT message_id, '{f}', '{r}', '{w}', 60 FROM mail WHERE contains(lower({f}), '{w}')" for f, r, w in WORDS]) + ") SELECT * FROM q", False)
+def t25(spark, d):
+    return M.questions(mail(spark, d), ["subject", "body"])
+
+
+@query("t22_languages", f"WITH mail AS ({MESSAGES}) SELECT message_id, CASE WHEN " + " OR ".join(f"contains(t, '{w}')" for w in T.ESTONIAN) + " THEN 'et' WHEN " + " OR ".join(f"contains(t, '{w}')" for w in T.ENGLISH) + " THEN 'en' ELSE 'unknown' END lang FROM (SELECT message_id, lower(subject || ' ' || body) t FROM mail)", False)
+def t22(spark, d):
+    return mail(spark, d).select("message_id", T.guess_language(F.col("subject"), F.col("body")).alias("lang"))
+
+
+@query("t21_clean_bodies", f"""WITH mail AS ({MESSAGES}), l AS (SELECT message_id, list_transform(string_split(body || chr(10) || CASE message_id % 3 WHEN 0 THEN '> quoted' || chr(10) || 'From: me' || chr(10) || 'kept' || chr(10) || 'Best regards' || chr(10) || 'gone' ELSE ' ' END, chr(10)), lambda x: trim(x)) l FROM mail)
+SELECT message_id, array_to_string(list_filter(CASE WHEN list_position(l, 'Best regards') > 0 THEN l[1:list_position(l, 'Best regards') - 1] ELSE l END, lambda x: x <> '' AND NOT starts_with(x, '>') AND NOT starts_with(lower(x), 'from:')), chr(10)) body FROM l""", False)
+def t21(spark, d):
+    end = F.when(F.col("message_id") % 3 == 0, "\n> quoted\nFrom: me\nkept\nBest regards\ngone").otherwise("\n ")
+    return mail(spark, d).select("message_id", T.clean_body(F.concat("body", end)).alias("body"))
+
+
 @query("t24_extracted_candidates")
 def t24(spark, d):
     extra = F.element_at(F.array(*(F.lit(x) for x in ("\nPlease confirm this by 2026-07-20.", "\nWork is blocked. Issue resolved.", "\nI will send the report tomorrow?", ""))), (F.col("message_id") % 4 + 1).cast("int"))
@@ -371,11 +211,6 @@ def a24(spark, d):
     return M.thread_summary(A.table(spark, d, "conversations").select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("at"), F.col("role").alias("sender")))
 
 
-@query("a21_review_summary", "WITH o AS (SELECT CASE WHEN quality = 1 THEN 'approved' WHEN toxic = 1 THEN 'rejected' ELSE 'pending' END outcome FROM labels) SELECT count(*) n, count(*) FILTER (WHERE outcome = 'approved') n_approved, count(*) FILTER (WHERE outcome = 'rejected') n_rejected, count(*) FILTER (WHERE outcome = 'pending') n_pending, round_even(count(*) FILTER (WHERE outcome = 'approved') / count(*) FILTER (WHERE outcome <> 'pending')::DOUBLE * 100, 0) approval_rate FROM o", False)
-def a21(spark, d):
-    return M.review_summary(A.table(spark, d, "labels").select(F.when(F.col("quality") == 1, "approved").when(F.col("toxic") == 1, "rejected").otherwise("pending").alias("outcome")))
-
-
 @query("u4_timeline", """SELECT *, row_number() OVER (PARTITION BY subject ORDER BY "at", kind, id) AS position FROM (SELECT o_custkey subject, 'order' kind, o_orderkey id, CAST(o_orderdate AS DATE) AS "at" FROM orders UNION ALL SELECT o_custkey, 'payment', o_orderkey, CAST(o_orderdate AS DATE) + 14 FROM orders WHERE o_orderkey % 7 <> 0)""", False)
 def u4(spark, d):
     o = A.table(spark, d, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("at"))
@@ -383,12 +218,12 @@ def u4(spark, d):
 
 
 # Scalar functions.
-@query("n_amount_functions", "SELECT invoice_id, CAST(amount AS DOUBLE) parsed, abs(amount - round(amount, 0)) <= 0.01 AND round(amount, 0) <> 0 near_whole, CASE WHEN invoice_id % 3 = 0 THEN 'unpaid' WHEN invoice_id % 3 = 1 THEN 'paid' ELSE 'partial' END status FROM invoices")
+@query("n_amount_functions", "SELECT bill_id, CAST(amount AS DOUBLE) parsed, abs(amount - round(amount, 0)) <= 0.01 AND round(amount, 0) <> 0 near_whole, CASE WHEN bill_id % 3 = 0 THEN 'unpaid' WHEN bill_id % 3 = 1 THEN 'paid' ELSE 'partially_paid' END status FROM bills")
 def n_functions(spark, d):
-    i = A.invoices(spark, d)
+    i = A.bills(spark, d)
     written = F.regexp_replace(F.col("amount").cast("string"), r"\.", ",")
-    paid = F.when(F.col("invoice_id") % 3 == 0, 0.0).when(F.col("invoice_id") % 3 == 1, F.col("amount").cast("double")).otherwise(F.col("amount").cast("double") / 2)
-    return i.select("invoice_id", N.parse_decimal(written).cast("double").alias("parsed"), N.amounts_equal(F.col("amount"), F.round("amount", 0)).alias("near_whole"), N.payment_status(F.col("amount").cast("double"), paid).alias("status"))
+    paid = F.when(F.col("bill_id") % 3 == 0, 0.0).when(F.col("bill_id") % 3 == 1, F.col("amount").cast("double")).otherwise(F.col("amount").cast("double") / 2)
+    return i.select("bill_id", N.parse_decimal(written).cast("double").alias("parsed"), N.amounts_equal(F.col("amount"), F.round("amount", 0)).alias("near_whole"), N.payment_status(F.col("amount").cast("string"), paid.cast("string")).alias("status"))
 
 
 @query("d_month_pieces", "SELECT o_orderkey AS id, CAST(m AS DATE) AS month, CAST(greatest(m, s) AS DATE) AS piece_start, CAST(least(last_day(CAST(m AS DATE)), e) AS DATE) piece_end FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) s, CAST(o_orderdate AS DATE) + 75 AS e, unnest(generate_series(date_trunc('month', CAST(o_orderdate AS DATE)), date_trunc('month', CAST(o_orderdate AS DATE) + 75), INTERVAL 1 MONTH)) m FROM orders)", False)
@@ -432,14 +267,14 @@ def s6(spark, d):
 
 @query("s16_payments")
 def s16(spark, d):
-    i = A.invoices(spark, d)
-    return files.payments_xml(i.select(F.col("invoice_id").alias("payment_id"), F.col("amount").cast("string").alias("amount"), F.lit("EE382200221020145685").alias("iban"), F.col("issuer").alias("party"), F.col("invoice_date").cast("string").alias("due_date"), F.col("number").alias("remittance")), "EE382200221020145685", "Own", "1996-06-30")
+    i = A.bills(spark, d)
+    return files.payments_xml(i.select(F.col("bill_id").alias("payment_id"), F.col("amount").cast("string").alias("amount"), F.lit("EE382200221020145685").alias("iban"), F.col("issuer").alias("party"), F.col("bill_date").cast("string").alias("due_date"), F.col("number").alias("remittance")), "EE382200221020145685", "Own", "1996-06-30")
 
 
 @query("s17_payloads")
 def s17(spark, d):
-    lines = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("invoice_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").cast("string").alias("description"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
-    return files.invoice_payloads(A.invoices(spark, d), lines)
+    lines = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("bill_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").cast("string").alias("description"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    return files.bill_payloads(A.bills(spark, d), lines)
 
 
 def events_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -465,4 +300,4 @@ def x11(spark, d):
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
-    return a1(spark, d).orderBy(F.desc("revenue"), "project_id")
+    return finance.a1(spark, d).orderBy(F.desc("revenue"), "project_id")

@@ -1,4 +1,4 @@
-"""Outer formats: bank statements, ledger pulls, CSV, mail, payment files and invoice payloads."""
+"""Outer formats: bank statements, ledger pulls, CSV, mail, payment files and bill payloads."""
 
 from __future__ import annotations
 
@@ -57,11 +57,11 @@ def payments_xml(rows: DataFrame, debtor_iban: str, debtor_name: str, today) ->
     return rows.select("payment_id", error.alias("error"), when.alias("execution_date"), F.when(error.isNull(), xml).alias("xml"))
 
 
-def invoice_payloads(invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    """(invoice_id, payload): a nested JSON document for each invoice with its lines in order."""
-    rows = lines.groupBy("invoice_id").agg(F.array_sort(F.collect_list(F.struct("line", "description", "quantity", "price"))).alias("rows"))
-    both = invoices.join(rows, "invoice_id", "left")
-    return both.select("invoice_id", F.to_json(F.struct("number", "issuer", F.col("amount").cast("string").alias("total"), "rows")).alias("payload"))
+def bill_payloads(bills: DataFrame, lines: DataFrame) -> DataFrame:
+    """(bill_id, payload): a nested JSON document for each bill with its lines in order."""
+    rows = lines.groupBy("bill_id").agg(F.array_sort(F.collect_list(F.struct("line", "description", "quantity", "price"))).alias("rows"))
+    both = bills.join(rows, "bill_id", "left")
+    return both.select("bill_id", F.to_json(F.struct("number", "issuer", F.col("amount").cast("string").alias("total"), "rows")).alias("payload"))
 
 
 def parse_mail(raw: DataFrame, column: str = "content") -> DataFrame:
