@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import dates as D, fingerprint as FP, numeric as N, text as T
 from ..operators import ledger, matching, messages as M, upsert
-from ..sources import adapters as A, files
+from ..sources import adapters as A
 from ..sources.shared import shared_dir
 from ..streaming import state
-from . import allocations, finance, match, text_fields, upkeep  # noqa: F401
+from . import allocations, finance, match, outer, text_fields, upkeep  # noqa: F401
 from .registry import QUERIES, SQL, doubles, query  # noqa: F401
 
 def dimensions(spark, d):
@@ -257,26 +257,6 @@ def p4(spark, d):
     return A.table(spark, d, "customer").where(needle("c_name", "12") | needle("c_mktsegment", "auto") | (F.col("c_custkey") == 12)).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
 
 
-@query("s6_flattened_pull")
-def s6(spark, d):
-    """Ledger batches as the nested JSON that a provider sends, flattened again."""
-    e = A.entries(spark, d).groupBy("batch_id").agg(F.collect_list(F.struct(F.col("line").cast("string").alias("Id"), F.col("account_code").alias("AccountCode"), F.col("amount").cast("string").alias("Debit"))).alias("Entries"))
-    raw = e.select(F.to_json(F.array(F.struct(F.col("batch_id").cast("string").alias("GLBId"), F.lit("1995-01-01").alias("BatchDate"), F.lit("EUR").alias("CurrencyCode"), "Entries"))).alias("json"))
-    return doubles(files.flatten_pull(raw))
-
-
-@query("s16_payments")
-def s16(spark, d):
-    i = A.bills(spark, d)
-    return files.payments_xml(i.select(F.col("bill_id").alias("payment_id"), F.col("amount").cast("string").alias("amount"), F.lit("EE382200221020145685").alias("iban"), F.col("issuer").alias("party"), F.col("bill_date").cast("string").alias("due_date"), F.col("number").alias("remittance")), "EE382200221020145685", "Own", "1996-06-30")
-
-
-@query("s17_payloads")
-def s17(spark, d):
-    lines = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("bill_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").cast("string").alias("description"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
-    return files.bill_payloads(A.bills(spark, d), lines)
-
-
 def events_stream(spark: SparkSession, d: str) -> DataFrame:
     batch = A.table(spark, d, "events")
     return spark.readStream.schema(batch.schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 from tallyspark.functions import dates, fields, numeric, text
 from tallyspark.operators import alerts, allocation, ledger, matching, messages, upsert
@@ -240,9 +241,13 @@ def test_merge_roots(spark):
 
 
 def test_statement_file(spark, tmp_path):
-    (tmp_path / "s.xml").write_text("<Document xmlns='urn:x'><Ntry><Amt Ccy='EUR'>12.50</Amt><CdtDbtInd>DBIT</CdtDbtInd><BookgDt><Dt>2026-01-02</Dt></BookgDt><NtryDtls><TxDtls><RltdPties><Cdtr><Nm>A</Nm></Cdtr></RltdPties></TxDtls><TxDtls><RltdPties><Cdtr><Nm>B</Nm></Cdtr></RltdPties></TxDtls></NtryDtls></Ntry></Document>")
+    party = lambda role, n, i: f"<{role}><Nm>{n}</Nm></{role}><{role}Acct><Id><IBAN>{i}</IBAN></Id></{role}Acct>"
+    tx = lambda n, r: f"<TxDtls><RltdPties>{party('Cdtr', n, 'EE1' + n)}</RltdPties><RmtInf><Ustrd>{r}</Ustrd><Ustrd>{r}</Ustrd><Ustrd>more</Ustrd></RmtInf></TxDtls>"
+    entry = lambda inner: f"<Ntry><NtryRef>7</NtryRef><Amt Ccy='EUR'>12.50</Amt><CdtDbtInd>DBIT</CdtDbtInd><BookgDt><Dt>2026-01-02</Dt></BookgDt><ValDt><DtTm>2026-01-03T10:00:00</DtTm></ValDt><BkTxCd><Domn><Cd>PMNT</Cd></Domn></BkTxCd>{inner}</Ntry>"
+    (tmp_path / "s.xml").write_text(f"<Document xmlns='urn:iso:std:iso:20022:tech:xsd:camt.053.001.02'><BkToCstmrStmt><Stmt><Acct><Id><IBAN>EE9</IBAN></Id></Acct>{entry('<NtryDtls>' + tx('A', 'x') + tx('B', 'y') + '</NtryDtls>')}{entry('')}</Stmt></BkToCstmrStmt></Document>")
     got = files.read_statements(spark, str(tmp_path / "s.xml")).orderBy("party").collect()
-    assert [(r.party, r.amount, r.currency, r.booking_date) for r in got] == [(p, Decimal("12.5"), "EUR", dt.date(2026, 1, 2)) for p in "AB"]
+    assert [(r.party, r.party_iban, r.remittance) for r in got] == [("", "", ""), ("A", "EE1A", "x | more"), ("B", "EE1B", "y | more")]
+    assert all((r.amount, r.currency, r.booking_date, r.value_date, r.account_iban, r.bank_tx_code, r.entry_ref) == (Decimal("12.5"), "EUR", dt.date(2026, 1, 2), dt.date(2026, 1, 3), "EE9", "PMNT", "7") for r in got)
 
 
 def test_mail(spark):
@@ -256,10 +261,34 @@ def test_csv_round_trip(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "o")).count() == 2
 
 
-def test_payment_errors(spark):
-    rows = spark.createDataFrame([(1, "5,60", "EE382200221020145685", "A & B", "2026-06-25", "r"), (2, "0", "EE382200221020145685", "A", "2026-06-01", "r")], "payment_id long, amount string, iban string, party string, due_date string, remittance string")
-    a, b = files.payments_xml(rows, "EE1", "Own", "2026-06-20").orderBy("payment_id").collect()
-    assert a.error is None and "5.60" in a.xml and a.execution_date == dt.date(2026, 6, 25) and b.error == "amount" and b.execution_date == dt.date(2026, 6, 20)
+def test_payments(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    iban = "EE382200221020145685"
+    rows = spark.createDataFrame([(1, "INV/7", "5,60", iban, "A & B", "2026-06-25", "EUR"), (2, "8", "0", iban, "A", "2026-06-01", "EUR"), (3, "9", "1", "EE38", "A", None, "EUR"), (4, "10", "2,345", iban, "C", "2026-06-01", "EUR")], "payment_id long, number string, amount string, iban string, party string, due_date string, currency string")
+    blocks = files.payments(rows, "EE1", "Own <Co>", "2026-06-20")
+    a, b, c, d = blocks.orderBy("payment_id").collect()
+    assert (a.amount, a.execution_date, b.error, c.error, d.amount, d.execution_date) == (Decimal("5.60"), dt.date(2026, 6, 25), "amount", "iban", Decimal("2.35"), dt.date(2026, 6, 20))
+    files.write_payments(blocks, str(tmp_path / "p"), message_id="AR 1", debtor_name="Own <Co>", created="2026-06-20T10:00:00")
+    root = ET.fromstring("".join(f.read_text() for k in range(3) for f in sorted((tmp_path / "p" / f"part={k}").glob("part-*"))))
+    text = [x.text for x in root.iter() if x.tag.endswith(("CtrlSum", "NbOfTxs", "MsgId", "EndToEndId", "Ustrd", "Nm", "ReqdExctnDt"))]
+    assert text[:4] == ["AR-1", "2", "7.95", "Own Co"] and "A & B" in text and "Arve INV/7" in text and "INV-7" in text and text.count("Own Co") == 3
+    with pytest.raises(ValueError):
+        files.payments(rows, "", "Own", "2026-06-20")
+
+
+def test_outer_formats(spark, tmp_path):
+    raw = spark.createDataFrame([('{"Dimensions": [{"Id": "1", "Values": [{"DimValueId": "a", "Code": "25001", "Name": "x"}]}]}',), ('[{"DimId": "2", "Values": [{"Id": "b", "DimValueCode": "25002"}]}, {"Id": "3"}]',)], "json string")
+    assert sorted(map(tuple, files.flatten_dimensions(raw).collect())) == [("1", "a", "25001", "x"), ("2", "b", "25002", "")]
+    x = spark.createDataFrame([(1, "<a:E xmlns:a='u'><a:InvoiceSum>1 234,50</a:InvoiceSum><a:totalsum> </a:totalsum><VATSUM>2,00</VATSUM><IssueDate>05.03.26</IssueDate><IBAN>EE1 2</IBAN></a:E>")], "id int, x string")
+    r = files.e_invoice(x, "x", "id").first()
+    assert (r.amount_total, r.vat_amount, r.invoice_date, r.payment_details, r.due_date) == ("1234.50", "2.00", "2026-03-05", "EE12", "")
+    rows = spark.createDataFrame([(i, f"n{i % 3}") for i in range(9)], "a int, b string")
+    files.write_register(rows, str(tmp_path / "r"), ["b", "a"])
+    got = [line for f in sorted((tmp_path / "r").glob("part-*")) for line in f.read_text().splitlines()[1:]]
+    assert got == sorted(got, key=lambda x: (x.split(",")[1], int(x.split(",")[0])))
+    files.write_json(rows, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 9
 
 
 def test_alert_stream(spark, tmp_path):
