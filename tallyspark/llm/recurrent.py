@@ -35,7 +35,7 @@ from .toxicity import held_out
 
 END = b"\n"
 LOCAL, CLUSTERED, CLASSES, SLOTS, FEATURES, NEAR = 131_072, 8192, 48, 32, 32, 3
-HIDDEN, STEPS, LANES, ROUNDS = 32, 24, 192, 2
+HIDDEN, STEPS, LANES, ROUNDS = 24, 24, 192, 2
 PUNCTUATION = frozenset(range(33, 127)) - set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 FIRST = PUNCTUATION | set(b"0123456789")
 FORMS = 8
