@@ -1,7 +1,7 @@
 """The general ledger: classification, routing, project and month financials, verification.
 
 Allocations are rows of (batch_id, line, part, account_code, amount, organization_id, integration_id, batch_date, currency,
-project_id or null, dimension_code). Sums are partial before the chart of accounts is joined: a project, batch and account
+project_id or null, dimension_code, sync_run_id); the run is the one that brought the batch. Sums are partial before the chart of accounts is joined: a project, batch and account
 give one row each, and only these are classified.
 """
 
@@ -16,7 +16,7 @@ DIRECT = ["material_cost", "subcontractor_cost", "labor_cost", "equipment_cost",
 BUCKETS = ("revenue", "cost", "unclassified", "excluded")
 #: Charts of accounts up to so many rows are sent to all tasks; larger ones are joined by their keys.
 SMALL = 200_000
-BATCH = ["organization_id", "integration_id", "currency", "account_code", "batch_id"]
+BATCH = ["organization_id", "integration_id", "currency", "account_code", "batch_id", "sync_run_id"]
 
 
 def zero():
@@ -68,7 +68,7 @@ def in_bucket(name: str):
 def by_account(allocations: DataFrame, classification: DataFrame, *keys: str, with_overhead: bool = True) -> DataFrame:
     """One classified and routed row for each key, batch and account: amount, n allocations and n entries."""
     keys = [k for k in keys if k not in BATCH]
-    one = allocations.groupBy(*keys, *BATCH).agg(F.sum("amount").alias("amount"), F.count("*").alias("n"), F.count_distinct("line", "part").alias("n_entries"), F.collect_set("sync_run_id").alias("runs"))
+    one = allocations.groupBy(*keys, *BATCH).agg(F.sum("amount").alias("amount"), F.count("*").alias("n"), F.count_distinct("line", "part").alias("n_entries"))
     return route(classify(one, classification), with_overhead)
 
 
@@ -98,7 +98,7 @@ def totals(rows: DataFrame, *keys: str) -> DataFrame:
         F.count_distinct(F.when(F.col("counts"), F.col("batch_id"))).alias("n_batches"),
         F.first("currencies").alias("currencies"),
         F.first("held").alias("currency"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("counts"), F.col("runs")))))).alias("runs"),
+        F.array_sort(F.collect_set(F.when(F.col("counts"), F.col("sync_run_id")))).alias("runs"),
     )
     g = g.withColumn("classified", F.col("revenue") + F.col("cost")).withColumn("result", F.col("revenue") - F.col("cost"))
     return g.withColumn("margin", margin(F.col("result"), F.col("revenue")))
@@ -112,9 +112,9 @@ def financials(allocations: DataFrame, projects: DataFrame, classification: Data
     """One row for every project: its result in a closed period, with warnings and a data quality status."""
     own = base(allocations, projects)
     inside = F.col("batch_date").between(day(start), day(end))
-    rows = currency_rule(by_account(own.where(inside), classification, "project_id", with_overhead=with_overhead), "project_id", currency)
-    found = totals(rows, "project_id")
-    undated = own.where("batch_date is null").groupBy("project_id").agg(F.count("*").alias("n_undated"))
+    one = by_account(own.where(inside | F.col("batch_date").isNull()).withColumn("dated", F.col("batch_date").isNotNull()), classification, "project_id", "dated", with_overhead=with_overhead)
+    found = totals(currency_rule(one.where("dated"), "project_id", currency), "project_id")
+    undated = one.where("not dated").groupBy("project_id").agg(F.sum("n").alias("n_undated"))
     by_code = allocations.where(inside & F.col("project_id").isNull()).groupBy("organization_id", F.col("dimension_code").alias("code")).agg(F.count("*").alias("n_by_code"))
     both = projects.join(found, "project_id", "left").join(undated, "project_id", "left").join(by_code, ["organization_id", "code"], "left")
     money, counts = (*BUCKETS, "classified", "result"), ("n_allocations", "n_unclassified", "n_entries", "n_batches", "n_undated", "n_by_code")
