@@ -17,3 +17,9 @@ def canonical(*cols):
 
 def generated_id(prefix: str, *cols):
     return F.concat(F.lit(prefix + ":"), F.substring(canonical(*cols), 1, 32))
+
+
+def spaced(**values):
+    """sha256 of JSON with sorted keys and a space behind each mark; the values are JSON texts."""
+    parts = [F.concat(F.lit(f'"{k}": '), values[k]) for k in sorted(values)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import dates as D, numeric as N
+from ..functions import dates as D, fingerprint as FP, numeric as N
 from ..operators import events as E, ledger, predicates as P, upsert as U
 from ..sources import adapters as A
 from .registry import doubles, query
@@ -463,3 +463,37 @@ SELECT key, c AS cursor, refused n_refused FROM f QUALIFY row_number() OVER (PAR
 def x11_batch(spark, d):
     o = A.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.to_date("o_orderdate").alias("cursor"), (F.col("o_orderkey") % 7 == 0).alias("resync"))
     return E.guarded_cursor(o)
+
+
+@query("n2_normal_amounts", "SELECT bill_id, CASE bill_id % 3 WHEN 2 THEN '1.23456' ELSE '1234.56' END amount FROM bills")
+def n2(spark, d):
+    k = F.col("bill_id") % 3
+    return A.bills(spark, d).select("bill_id", N.normalize_amount(F.when(k == 0, "1 234,56").when(k == 1, "1.234,56").otherwise("1,234.56")).alias("amount"))
+
+
+@query("n4_equal_cents", "SELECT bill_id, bill_id % 2 = 0 AS same FROM bills")
+def n4(spark, d):
+    off = F.when(F.col("bill_id") % 2 == 0, F.lit(0.004)).otherwise(F.lit(0.006)).cast("decimal(20,4)")
+    return A.bills(spark, d).select("bill_id", N.same_cent(F.col("amount"), F.col("amount") + off).alias("same"))
+
+
+@query("n8_displayed_amounts", "SELECT bill_id, translate(format('{:,.2f}', amount::DOUBLE), ',.', ' ,') shown FROM bills")
+def n8(spark, d):
+    return A.bills(spark, d).select("bill_id", N.display_amount(F.col("amount")).alias("shown"))
+
+
+@query("m2_generated_ids", """SELECT batch_id, line, part, 'gl-entry:' || left(sha256('{"batch_id":' || batch_id || ',"line":' || line || ',"part":' || part || '}'), 32) AS id FROM entries""")
+def m2(spark, d):
+    return A.entries(spark, d).select("batch_id", "line", "part", FP.generated_id("gl-entry", "batch_id", "line", "part").alias("id"))
+
+
+@query("t31_proposal_fingerprints", """SELECT bill_id, sha256('{"amount": "' || amount || '", "project_id": ' || bill_id || '}') fingerprint FROM bills""")
+def t31(spark, d):
+    amount = F.concat(F.lit('"'), F.col("amount").cast("string"), F.lit('"'))
+    return A.bills(spark, d).select("bill_id", FP.spaced(project_id=F.col("bill_id").cast("string"), amount=amount).alias("fingerprint"))
+
+
+@query("d3_chunks", "SELECT bill_id, bill_date + 31 * k AS start, least(bill_date + 31 * k + 30, bill_date + 75) AS \"end\" FROM bills, (SELECT unnest([0, 1, 2]) k)")
+def d3(spark, d):
+    b = A.bills(spark, d).select("bill_id", F.explode(D.chunks(F.col("bill_date"), F.date_add("bill_date", 75))).alias("c"))
+    return b.select("bill_id", "c.*")

@@ -30,7 +30,7 @@ def financials(spark, rows, currency=None, start="2026-06-01", end="2026-06-30",
     """rows (account, amount, currency, date, organization of the batch) of project 26124, organization 1; see ledger.financials()."""
     full = [(k, 1, 1, a, Decimal(x), o, 1, None if d is None else dt.date.fromisoformat(d), c, 1, "26124", 123) for k, (a, x, c, d, o) in enumerate(rows)]
     cols = "batch_id long, line int, part long, account_code string, amount decimal(20,6), organization_id int, integration_id int, batch_date date, currency string, project_id long, dimension_code string, sync_run_id int"
-    projects = spark.createDataFrame([(1, 1, "26124", "Kanarbiku", "active")], "project_id long, organization_id int, code string, name string, status string")
+    projects = spark.createDataFrame([(1, 1, "26124", "Torn", "active")], "project_id long, organization_id int, code string, name string, status string")
     f = ledger.month_series if months else ledger.financials
     return f(spark.createDataFrame(full, cols), projects, chart(spark), start, end, currency, overhead)
 
@@ -208,15 +208,15 @@ def test_bill_fields(spark):
 
 def test_project_lines(spark):
     t = """
-        AKT 05-32 Näide OÜ - (25200 - Iseära ridaleamud IV etapp / Mari) 6 20,00 120,00
-        AKT 05-32 Näide OÜ - (26000 - Raadi Kohvik ja Saal / 26070
+        AKT 05-32 Näide OÜ - (25200 - Uued ridamajad II / Mari) 6 20,00 120,00
+        AKT 05-32 Näide OÜ - (26000 - Oru Kohvik ja Saal / 26070
         Mari)
         8 20,00 160,00
         """
     a, b = one(spark, x=fields.project_lines(F.lit(t)))["x"]
-    assert (a.code, a.name, a.description) == ("25200", "Iseära ridaleamud IV etapp", "AKT 05-32 Näide OÜ - (25200 - Iseära ridaleamud IV etapp / Mari)")
-    assert (a.quantity, a.price, a.net, b.code, b.name) == (6, 20, 120, "26000", "Raadi Kohvik ja Saal")
-    assert b.description == "AKT 05-32 Näide OÜ - (26000 - Raadi Kohvik ja Saal / 26070 Mari)"
+    assert (a.code, a.name, a.description) == ("25200", "Uued ridamajad II", "AKT 05-32 Näide OÜ - (25200 - Uued ridamajad II / Mari)")
+    assert (a.quantity, a.price, a.net, b.code, b.name) == (6, 20, 120, "26000", "Oru Kohvik ja Saal")
+    assert b.description == "AKT 05-32 Näide OÜ - (26000 - Oru Kohvik ja Saal / 26070 Mari)"
     r = one(spark, x=fields.project_lines(F.lit("Projekt: 26111 - Maja, x\nprojekt 26111\nobjekti viide 25001")))["x"]
     assert [(x.code, x.name) for x in r] == [("26111", "Maja"), ("25001", "25001")]
 
