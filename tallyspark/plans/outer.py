@@ -29,7 +29,7 @@ def s7(spark, d):
     return files.flatten_dimensions(g.select(one.alias("json")))
 
 
-@query("s13_e_invoices", "SELECT bill_id, CAST(amount AS VARCHAR) amount_total, CASE WHEN bill_id % 2 = 0 THEN '1.50' ELSE '' END vat_amount, CAST(bill_date AS VARCHAR) invoice_date, '' due_date, CAST(bill_id AS VARCHAR) issuer_reg_code, '' issuer_vat_no, iban payment_details FROM bills")
+@query("s13_electronic_bills", "SELECT bill_id, CAST(amount AS VARCHAR) amount_total, CASE WHEN bill_id % 2 = 0 THEN '1.50' ELSE '' END vat_amount, CAST(bill_date AS VARCHAR) invoice_date, '' due_date, CAST(bill_id AS VARCHAR) issuer_reg_code, '' issuer_vat_no, iban payment_details FROM bills")
 def s13(spark, d):
     tag = lambda t, c: F.concat(F.lit(f"<{t}>"), c, F.lit(f"</{t}>"))
     total = F.when(F.col("bill_id") % 3 == 0, tag("PayableAmount", F.regexp_replace(F.col("amount").cast("string"), r"\.", ","))).otherwise(tag("totalsum", F.col("amount").cast("string")))

@@ -136,7 +136,7 @@ def flatten_dimensions(raw: DataFrame, column: str = "json") -> DataFrame:
     return d.where("v is not null").select("dimension", pick("DimValueId", "Id").alias("external_id"), pick("DimValueCode", "Code").alias("code"), pick("DimValueName", "Name").alias("name"))
 
 
-#: Tags of an e-invoice for each field, in order.
+#: Tags of an electronic bill for each field, in order.
 E_INVOICE = {
     "amount_total": ["TotalSum", "TotalAmount", "PayableAmount", "InvoiceSum"],
     "vat_amount": ["VATSum", "TaxAmount", "TotalVATSum"],
@@ -149,7 +149,7 @@ E_INVOICE = {
 
 
 def e_invoice(raw: DataFrame, column: str, *keep: str) -> DataFrame:
-    """Fields of e-invoices in XML by their first tag that is there, whatever its case and namespace."""
+    """Fields of electronic bills in XML by their first tag that is there, whatever its case and namespace."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     of = lambda tag: F.xpath_string(column, F.lit(f"string((//*[translate(local-name(), '{upper}', '{lower}') = '{tag.lower()}' and normalize-space(text()) != ''])[1])"))
     found = {k: first_filled(*(of(t) for t in tags)) for k, tags in E_INVOICE.items()}
