@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, bpe, lines, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
+from . import attribution, bpe, infill, lines, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
 
 
 def queries():
@@ -17,9 +17,10 @@ def queries():
         "op8_line_dedup": lines.op8,
         "op9_quality_rules": quality.op9,
         "op10_section_tokens": attribution.op10,
+        "op11_infill": infill.op11,
     }
 
 
 def oracle_sql():
     """Hashes, tokenizers, learned models and media are beyond SQL; tests compare those queries with brute force."""
-    return {"op4_substring_dedup": substrings.SQL, "op8_line_dedup": lines.SQL, "op9_quality_rules": quality.SQL}
+    return {"op4_substring_dedup": substrings.SQL, "op8_line_dedup": lines.SQL, "op9_quality_rules": quality.SQL, "op11_infill": infill.SQL}

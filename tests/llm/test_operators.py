@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 from tallyspark.llm.common import components
-from tallyspark.llm import attribution, bpe, lines, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
+from tallyspark.llm import attribution, bpe, infill, lines, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
@@ -54,7 +54,7 @@ def empty_dir(spark, odd_dir, tmp_path_factory):
     return path
 
 
-ALL = {"op1": toxicity.op1, "op2": bpe.op2, "op3": packing.op3, "op4": substrings.op4, "op5": recurrent.op5, "op6": mpeg.op6, "op7": simhash.op7, "op8": lines.op8, "op9": quality.op9, "op10": attribution.op10}
+ALL = {"op1": toxicity.op1, "op2": bpe.op2, "op3": packing.op3, "op4": substrings.op4, "op5": recurrent.op5, "op6": mpeg.op6, "op7": simhash.op7, "op8": lines.op8, "op9": quality.op9, "op10": attribution.op10, "op11": infill.op11}
 
 
 @pytest.mark.parametrize("name", ALL)
@@ -62,7 +62,7 @@ def test_empty_table(spark, empty_dir, name):
     assert ALL[name](spark, empty_dir).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op4", "op8", "op9"])
+@pytest.mark.parametrize("name", ["op4", "op8", "op9", "op11"])
 def test_equals_sql(spark, name):
     from oracle import difference
     from tallyspark.llm.queries import oracle_sql, queries
@@ -556,3 +556,39 @@ def test_boundary_rule():
     first, stop, starts = np.array([0, 2, 5]), np.array([2, 5, 9]), np.array([0, 4, 6])
     assert attribution.attribute(first, stop, starts, "most")[0].tolist() == [2, 0, 1]
     assert attribution.attribute(first, stop, starts, "first")[0].tolist() == [2, 1, 0]
+
+
+def infilled(doc_id, text, rate=100, spm=50):
+    """(n, form, prefix, middle, suffix, output) by lists of units."""
+    text = text or ""
+    h = [int(sha(f"7:{'' if doc_id is None else doc_id}")[k : k + 8], 16) for k in (0, 8, 16, 24)]
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    n = len(units)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+        return n, "plain", None, None, None, text
+    return (n, "spm", p, m, s, f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < spm else (n, "psm", p, m, s, f"<P>{p}<S>{s}<M>{m}")
+
+
+FILL = [
+    *ODD, *((100 + k, "\x01\x02ab\n\x02a\x01\n\x02b\n" * k + "tail\x01" * (k % 2)) for k in range(40)),
+    (200, "has <M> inside\nx"), (201, "<<P\n>S>\n<\n"), (202, "\n\n\n"), (203, "a\r\nb\u2028c\x85d\n"), (204, "$0 \\1 $x\n\\n\n"), (205, "x\n" * 50_000),
+]
+
+
+@pytest.mark.parametrize("rate, spm", [(100, 50), (60, 0), (100, 100), (0, 50)])
+def test_infill_equals_lists_of_units(spark, rate, spm):
+    d = infill.transform(spark.createDataFrame(FILL, "doc_id long, text string"), rate=rate, spm=spm)
+    got = d.withColumn("restored", infill.restore()).collect()
+    key = lambda x: (str(x[0]), x[1])
+    mine = sorted(((r.doc_id, r.text, (r.n, r.form, r.prefix, r.middle, r.suffix, r.output), r.restored) for r in got), key=key)
+    assert mine == sorted(((i, t or "", infilled(i, t, rate, spm), t or "") for i, t in FILL), key=key)
+
+
+def test_op11(spark, docs):
+    got = {r.doc_id: r for r in infill.op11(spark, SF).collect()}
+    for i, t in docs:
+        n, form, p, m, _, out = infilled(i, t)
+        assert tuple(got[i]) == (i, n, form, None if p is None else len(p), None if m is None else len(m), sha(out), sha(t or ""))
+    assert {r.form for r in got.values()} >= {"psm", "spm"}
