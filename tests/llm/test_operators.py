@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 from tallyspark.llm.common import components
-from tallyspark.llm import attribution, bpe, infill, lines, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
+from tallyspark.llm import attribution, bpe, infill, lines, mixing, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
@@ -54,7 +55,7 @@ def empty_dir(spark, odd_dir, tmp_path_factory):
     return path
 
 
-ALL = {"op1": toxicity.op1, "op2": bpe.op2, "op3": packing.op3, "op4": substrings.op4, "op5": recurrent.op5, "op6": mpeg.op6, "op7": simhash.op7, "op8": lines.op8, "op9": quality.op9, "op10": attribution.op10, "op11": infill.op11}
+ALL = {"op1": toxicity.op1, "op2": bpe.op2, "op3": packing.op3, "op4": substrings.op4, "op5": recurrent.op5, "op6": mpeg.op6, "op7": simhash.op7, "op8": lines.op8, "op9": quality.op9, "op10": attribution.op10, "op11": infill.op11, "op13": mixing.op13}
 
 
 @pytest.mark.parametrize("name", ALL)
@@ -592,3 +593,117 @@ def test_op11(spark, docs):
         n, form, p, m, _, out = infilled(i, t)
         assert tuple(got[i]) == (i, n, form, None if p is None else len(p), None if m is None else len(m), sha(out), sha(t or ""))
     assert {r.form for r in got.values()} >= {"psm", "spm"}
+
+
+def spark_hash(*values):
+    """xxhash64() of ints (short ones as numpy's), longs and strings."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<i", v) if isinstance(v, np.int32) else struct.pack("<q", v)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def mixed(rows, block=256, shard=1024, seed=13, most=3):
+    """(doc_id, size, source_size, target, taken) of rows (doc_id, text, source), by whole lists of words, blocks and slots."""
+    seed32 = np.int32(seed)
+    rows = [(i, t, s, len(WORD.findall(t or ""))) for i, t, s in rows]
+    names = sorted({s for *_, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    z = [sum(r[3] for r in rows if r[2] == n) for n in names]
+    weight, target, full = [(1, 2, 3)[k % 3] for k in range(len(names))], [0.0] * len(names), set()
+    while True:  # share, stop at the limit, share the excess again
+        rest = sum(z) - sum(most * z[k] for k in full)
+        total = sum(weight[k] for k in range(len(names)) if k not in full) or 1
+        target = [float(most * z[k]) if k in full else weight[k] * rest / total for k in range(len(names))]
+        over = {k for k in range(len(names)) if k not in full and target[k] > most * z[k]}
+        if not over:
+            break
+        full |= over
+
+    def perm(x, n, *keys):
+        for r in range(32):
+            y = (spark_hash(seed32, *keys, np.int32(r)) % n - x) % n
+            if spark_hash(seed32, *keys, np.int32(r), max(x, y)) % 2:
+                x = y
+        return x
+
+    lists, blocks = [], []
+    for name in names:
+        own = [k for k, r in enumerate(rows) if r[2] == name and r[3]]
+        many = max(sum(r[2] == name for r in rows) // 2048, 1)
+        key = lambda k: spark_hash(rows[k][1]) if rows[k][1] is not None else 42
+        own.sort(key=lambda k: (spark_hash(seed32, "order", rows[k][0], key(k)) % many, rows[k][0] is not None, rows[k][0] or 0, key(k), rows[k][3], k))
+        words = [k for k in own for _ in range(rows[k][3])]
+        blocks.append([words[a : a + block] for a in range(0, len(words), block)])
+        lists.append([])
+    for k, b in enumerate(blocks):  # slots until the target is reached, the last one cut
+        lack, slot = min(math.floor(target[k] + 0.5), most * z[k]), 0
+        while lack > 0:
+            got = b[perm(slot % len(b), len(b), k, slot // len(b))][:lack]
+            lists[k].append(got)
+            lack, slot = lack - len(got), slot + 1
+    sizes = [len(x) for x in lists]
+    ends, drawn = np.cumsum(sizes), Counter()
+    for place in range(sum(sizes)):
+        drawn[place // shard, int(np.searchsorted(ends, spark_hash(seed32, "draw", place) % sum(sizes), side="right"))] += 1
+    taken = Counter(w for x in lists for part in x for w in part)
+    return [(r[0], r[3], z[names.index(r[2])], target[names.index(r[2])], taken[k]) for k, r in enumerate(rows)], drawn, lists
+
+
+MIXED = [(i, t, s) for k, (i, t) in enumerate(ODD) for s in ("b", None, "", "é")[k % 4 : k % 4 + 2]] + [(300 + k, "tiny words here " * (k % 5), "small") for k in range(9)]
+
+
+@pytest.mark.parametrize("block, shard", [(256, 1024), (16, 32), (7, 5)])
+def test_mixing_equals_lists(spark, block, shard):
+    df = spark.createDataFrame([(*r, "x") for r in MIXED], "doc_id long, text string, source string, size string")
+    rows, found, pieces = mixing.mix(df, block=block, shard=shard)
+    want, drawn, lists = mixed(MIXED, block, shard)
+    taken = Counter()
+    p = pieces.collect()
+    for r in p:
+        taken[r.row] += r.length
+    z = {r.source: (r.z, r.target) for r in found.collect()}
+    got = [(r.doc_id, r.size, *z[r.source], taken[r.row]) for r in rows.collect()]
+    key = lambda r: (str(r[0]), *r[1:])
+    rounded = lambda rs: sorted(((*r[:3], round(r[3], 6), r[4]) for r in rs), key=key)
+    assert rounded(got) == rounded(want)
+    # every slot once, gapless inside, each source's slots numbered from 0, none taken more than three times
+    slot = defaultdict(list)
+    for r in p:
+        slot[r.s, r.slot].append((r.offset, r.length, r.shard))
+    assert {k: sum(x[1] for x in v) for k, v in slot.items()} == {(s, i): len(w) for s, x in enumerate(lists) for i, w in enumerate(x)}
+    for parts in slot.values():
+        parts.sort()
+        assert [x[0] for x in parts] == [sum(y[1] for y in parts[:k]) for k in range(len(parts))] and len({x[2] for x in parts}) == 1
+    # shards have their size, and what wasn't settled is what was drawn
+    counts = Counter((s_, k[0]) for k, v in slot.items() for s_ in {v[0][2]})
+    per_shard = Counter()
+    for (h, _), c in counts.items():
+        per_shard[h] += c
+    assert set(list(per_shard.values())[:-1]) <= {shard} or sorted(per_shard.values())[1:] == [shard] * (len(per_shard) - 1)
+    moved = sum((drawn - counts).values())
+    assert moved == sum((Counter({s: sum(c for (_, x), c in drawn.items() if x == s) for s in range(len(lists))}) - Counter({s: len(x) for s, x in enumerate(lists)})).values())
+    again = mixing.mix(df.repartition(5), block=block, shard=shard)[2].groupBy("s", "slot").sum("length").collect()
+    assert {(r[0], r[1]): r[2] for r in again} == {k: sum(x[1] for x in v) for k, v in slot.items()}
+
+
+def test_permutations(spark):
+    for n in (1, 2, 3, 10, 97, 256):
+        d = spark.range(n).selectExpr("id", f"{n}L as n").select("id", "n", mixing.permuted("id", "n", "13, 5L, n").alias("p"))
+        rows = d.select("id", "p", mixing.permuted("p", "n", "13, 5L, n", back=True).alias("b")).collect()
+        assert sorted(r.p for r in rows) == list(range(n)) and all(r.b == r.id for r in rows)
+        assert n < 97 or sum(r.p == r.id for r in rows) < 8
+
+
+def test_op13(spark):
+    t = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text", "source"]).to_pydict()
+    rows = list(zip(t["doc_id"], t["text"], t["source"]))
+    want, _, _ = mixed(rows)
+    got = mixing.op13(spark, SF).collect()
+    rounded = lambda rs: sorted((*r[:3], round(r[3], 6), r[4]) for r in rs)
+    assert rounded(tuple(r) for r in got) == rounded(want)
+    by = defaultdict(list)
+    for (i, _, s), r in zip(rows, want):
+        by[s].append(r)
+    assert all(abs(sum(r[4] for r in v) - v[0][3]) <= 0.5 and max(r[4] - 3 * r[1] for r in v) <= 0 for v in by.values())
