@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, bpe, infill, lines, mixing, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
+from . import attribution, bpe, crosswalk, infill, lines, mixing, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_quality_rules": quality.op9,
         "op10_section_tokens": attribution.op10,
         "op11_infill": infill.op11,
+        "op12_crosswalk": crosswalk.op12,
         "op13_mixing": mixing.op13,
     }
 

@@ -15,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 from tallyspark.llm.common import components
-from tallyspark.llm import attribution, bpe, infill, lines, mixing, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
+from tallyspark.llm import attribution, bpe, crosswalk, infill, lines, mixing, mpeg, packing, quality, recurrent, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
@@ -55,7 +55,7 @@ def empty_dir(spark, odd_dir, tmp_path_factory):
     return path
 
 
-ALL = {"op1": toxicity.op1, "op2": bpe.op2, "op3": packing.op3, "op4": substrings.op4, "op5": recurrent.op5, "op6": mpeg.op6, "op7": simhash.op7, "op8": lines.op8, "op9": quality.op9, "op10": attribution.op10, "op11": infill.op11, "op13": mixing.op13}
+ALL = {"op1": toxicity.op1, "op2": bpe.op2, "op3": packing.op3, "op4": substrings.op4, "op5": recurrent.op5, "op6": mpeg.op6, "op7": simhash.op7, "op8": lines.op8, "op9": quality.op9, "op10": attribution.op10, "op11": infill.op11, "op12": crosswalk.op12, "op13": mixing.op13}
 
 
 @pytest.mark.parametrize("name", ALL)
@@ -707,3 +707,96 @@ def test_op13(spark):
     for (i, _, s), r in zip(rows, want):
         by[s].append(r)
     assert all(abs(sum(r[4] for r in v) - v[0][3]) <= 0.5 and max(r[4] - 3 * r[1] for r in v) <= 0 for v in by.values())
+
+
+_whole = {}
+
+
+def aligned(texts):
+    """(groups as lists of ids, links of occurrences) of each text, from whole encodings, sign by sign; None without tokens."""
+    if not _whole:
+        from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
+
+        _whole["a"], _whole["b"] = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+        _whole["a"].encode_special_tokens = True
+        _whole["back"] = {c: bytes([b]) for c, b in crosswalk.byte_letters().items()}
+    a, b, back = _whole["a"], _whole["b"], _whole["back"]
+    for t in texts:
+        if not t:
+            yield None
+            continue
+        ia, ib = a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)
+        ba = [b"".join(back[c] for c in a.id_to_token(i)) for i in ia]
+        pieces = [b.id_to_piece(i) for i in ib]
+        bb = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("\u2581", " ").encode() for p in pieces]
+        if b"".join(ba) != (" " + t).encode() or b"".join(bb) != (" " + t).encode():
+            yield None
+            continue
+        ends_a, ends_b = np.cumsum([len(x) for x in ba]).tolist(), np.cumsum([len(x) for x in bb]).tolist()
+        groups = {e: ([], []) for e in sorted({*ends_a} & {*ends_b})}
+        order = list(groups)
+        for side, (ids, ends) in enumerate(((ia, ends_a), (ib, ends_b))):
+            k = 0
+            for i, e in zip(ids, ends):
+                while order[k] < e:
+                    k += 1
+                groups[order[k]][side].append(i)
+        yield list(groups.values())
+
+
+def crosswalked(rows):
+    """Rows of op12 for rows (doc_id, text)."""
+    found = list(aligned(t for _, t in rows))
+    held, links = Counter(), []
+    for g in found:
+        links.append([(x, y) for a, b in g or () for x in a for y in b])
+        held.update(set(links[-1]))
+    top = defaultdict(int)
+    for (x, _), n in held.items():
+        top[x] = max(top[x], n)
+    for (i, _), g, ls in zip(rows, found, links):
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g or ())
+        yield (i, sum(len(a) for a, _ in g or ()), sum(len(b) for _, b in g or ()), len(g or ()), len(ls), sum(held[p] == top[p[0]] for p in ls), sum(held[p] for p in ls), sha(text) if g else "")
+
+
+def test_crosswalk_equals_whole_encodings(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    signs = list(" \n\t\r'ab1.é") + ["  ", "\n\n", " \n", "\u3000", "\x85", "\u200b", "'s", "the", " the", "你好", "😀", "\x1c", "\u2028", "ﬁ", "e\u0301", "<0x41>", "<s>", "<|endoftext|>", "==="]
+    rows = [(k, "".join(rng.choice(signs, int(rng.integers(0, 40))))) for k in range(600)]
+    rows += [(700, "a\u2581b and more"), (701, "fine then \u2581"), (702, " \nabc"), (703, "\nabc"), (704, "a \nabc\nabc abc"), (705, "xyz " * 3000), (706, "=" * 5000), (707, "x\n" * 3000), (None, "no id"), *ODD]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: tuple(map(str, r))
+    want = sorted(crosswalked(rows), key=key)
+    for expanded, run in ((4_000_000, 12_000_000), (50, 3_000)):
+        monkeypatch.setattr(crosswalk, "EXPANDED", expanded)
+        encoded = crosswalk.encode(df)
+        assert sorted(map(tuple, crosswalk.scored(encoded, crosswalk.pair_counts(encoded)).collect()), key=key) == want
+    links = Counter((i, a, b) for (i, _), g in zip(rows, aligned(t for _, t in rows)) for x, y in g or () for a in x for b in y)
+    got = Counter()
+    for r in crosswalk.document_links(encoded).collect():
+        got[r.doc_id, r.a, r.b] += r.times
+    assert got == links
+
+
+def test_aligner_in_small_runs():
+    """Runs, slices of links and a cache that is emptied between runs change nothing."""
+    texts = [t for _, t in ODD if t] + ["one two three", "two\nthree  four "] * 3
+    old = crosswalk.KEPT, crosswalk.EXPANDED
+    try:
+        crosswalk.KEPT, crosswalk.EXPANDED = 2, 7
+        m = crosswalk.Aligner()
+        got = [crosswalk._run(m, 0, [0], [t]) for t in texts]
+    finally:
+        crosswalk.KEPT, crosswalk.EXPANDED = old
+    whole = crosswalk._run(crosswalk.Aligner(), 0, [0] * len(texts), texts)
+    for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256"):
+        assert [r[k][0] for r in got] == whole[k]
+    total = Counter()
+    for r in got:
+        total.update({(a, b): n for a, b, n in zip(r["a"].tolist(), r["b"].tolist(), r["n_docs"].tolist())})
+    assert total == {(a, b): n for a, b, n in zip(whole["a"].tolist(), whole["b"].tolist(), whole["n_docs"].tolist())}
+
+
+def test_op12(spark, docs):
+    assert sorted(map(tuple, crosswalk.op12(spark, SF).collect())) == sorted(crosswalked(docs))
