@@ -97,13 +97,14 @@ class Aligner:
         self.n_pairs, self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, words: list[str]):
-        """(A's ids, B's ids, tokens of A in each word, of B) of words; "x" is of " x", one that starts with white space of itself."""
-        plain = [w if w[0] in " \n" else f" {w}" for w in words]
+        """(bytes' text, A's ids, B's ids, tokens of A in each word, of B) of words: "x" is of " x", a line end and x of itself,
+        a space and x of x."""
+        plain = [w[1:] if w[0] == " " else w if w[0] == "\n" else f" {w}" for w in words]
         got = self.a.encode(plain, is_pretokenized=True, add_special_tokens=False)
         na = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
         # B adds a space of its own, which what starts with a line end doesn't have
-        lists = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
-        lists = [x[1:] if w[0] == "\n" else x for w, x in zip(words, lists)]
+        lists = self.b.encode([p[1:] if p[0] == " " else p for p in plain], num_threads=1)
+        lists = [x[1:] if p[0] == "\n" else x for p, x in zip(plain, lists)]
         return plain, np.array(got.ids, np.int64), np.fromiter(chain.from_iterable(lists), np.int64), na, np.array([len(x) for x in lists])
 
     def learn(self, words: list[str]) -> None:
@@ -169,10 +170,10 @@ class Aligner:
         for t, w in zip(texts, split):
             if t and min(map(self.code.__getitem__, w)) == -1:  # runs of white space, or at an end
                 chunks = _cut.split(f" {t}")
-                w = [c[1:] if c[0] == " " and _regular.fullmatch(c, 1) and c[1] != "\n" else c for c in chunks]
+                w = [c[1:] if c[0] == " " and c[1:2] != "\n" and _regular.fullmatch(c, 1) else c if _regular.fullmatch(c) else f" {c}" for c in chunks]
                 self.learn(sorted(set(w).difference(self.code)))
             if t and min(map(self.code.__getitem__, w)) == -2:
-                w = [f" {t}"]
+                w = [f"  {t}"]
                 self.learn(w)
                 if self.code[w[0]] == -2:
                     del self.code[w[0]]
@@ -283,8 +284,8 @@ def _score(run: pa.Table, sums: pa.Table) -> pa.Table:
 def scored(encoded: DataFrame, counts: DataFrame) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)"""
     mine = run_pairs(encoded).drop("n_docs").join(counts, ["a", "b"]).select("run", "place", "count", F.col("best").cast("int").alias("best"))
-    runs_ = encoded.drop("a", "b", "n_docs")
-    return runs_.groupBy("run").cogroup(mine.groupBy("run")).applyInArrow(_score, ROWS)
+    whole = encoded.drop("a", "b", "n_docs").withColumnRenamed("run", "_run")
+    return whole.groupBy("_run").cogroup(mine.groupBy("run")).applyInArrow(_score, ROWS)
 
 
 def document_links(encoded: DataFrame) -> DataFrame:
