@@ -1,11 +1,12 @@
 """Matching of bank rows, bills, ledger rows and mail by explainable scores, and keep-best dedup.
 
-A pair's score sums its evidence: equal amounts, the number or a token of a reference, an equal account, a party. Candidates
-come from equi-joins on the amount in cents, on tokens and on accounts. A value that more than LIGHT right rows have is
-hot: it may not pair all of them with all left rows, so there the join is on two pieces of evidence, and of right rows that
-it can't tell apart (same keys, party and account) only the first in tie order is a candidate: the others score the same
-and lose the tie. What reaches the threshold alone needs just the first right row of a hot value. No pair that could be
-the best is lost.
+A pair's score sums its evidence: equal amounts, the number or a token of a reference, an equal account, a party. All of it
+is put as equal keys: cents, tokens, accounts, and for a party the texts that one name holds of the other side's names.
+What can reach the threshold holds an amount, a token or an account. A value of these that at most LIGHT right rows have
+is joined as it is. A value that more have is hot and never joined alone with all of them: rows get a key for every set of
+their hot values, with and without a party's, that is worth the threshold, and of the right rows of such a set only the
+first in tie order is a candidate. The best right row of a left row is the first of the set of all its evidence, so no best
+pair is lost; a left row meets at most LIGHT right rows for each of its values and one for each of its sets.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import companies_match, company_tokens, reference_tokens
+from ..sources.shared import spread, written
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ def side(rows: DataFrame, id_: str, amount: str, party: str, texts: list[str], n
     plain = lambda c: F.nullif(F.lower(F.trim(F.col(c))), F.lit(""))
     text = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts))
     digits = F.nullif(F.regexp_replace(F.coalesce(F.col(account), F.lit("")), r"[^0-9]+", ""), F.lit("")) if account else F.lit(None).cast("string")
-    return rows.select(
+    return spread(rows).select(
         F.col(id_).alias("id"),
         (kind if kind is not None else F.lit("")).alias("kind"),
         F.col(amount).cast("decimal(20,2)").alias("amount"),
@@ -54,65 +56,94 @@ def side(rows: DataFrame, id_: str, amount: str, party: str, texts: list[str], n
     )
 
 
-def _grams(c):
-    """Runs of up to three letters: of two texts one of which holds the other, each has the first run of the shorter."""
-    run = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array())
-    return F.array_distinct(F.concat(run(1), run(2), run(3)))
+def _both(kind: str, c):
+    return F.transform(c, lambda x: F.concat(F.lit(kind), x.cast("string")))
 
 
-def _first_gram(c):
-    return F.array(F.left(c, F.least(F.lit(3), F.length(c))))
+def held_names(names: DataFrame, others: DataFrame, shorter: bool = False) -> DataFrame:
+    """(party, held): the others(party) that are parts of each of names(party), all distinct; shorter: only true parts.
 
-
-def candidates(left: DataFrame, right: DataFrame, w: Weights, threshold: int = 50) -> DataFrame:
-    """(l, r): ids of pairs among which the best of each left row is."""
-    cents = lambda c: F.round(F.col(c) * 100).cast("long")
-    both_tokens = F.array_compact(F.array_distinct(F.concat("tokens", F.array("number"))))
-    account = F.array_compact(F.array("account"))
-    key = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x.cast("string")))
-
-    def keyed(rows: DataFrame, spread: int, numbered: bool) -> DataFrame:
-        amount = F.when(F.col("amount") != 0, F.sequence(cents("amount") - spread, cents("amount") + spread)).otherwise(F.array())
-        keys = [key("c", amount), key("t", both_tokens if numbered else F.col("tokens"))] + ([key("a", account)] if w.account else [])
-        return rows.withColumn("keys", F.concat(*keys))
-
-    left, right = keyed(left, 1, w.number_of == "left"), keyed(right, 0, w.number_of == "right")
-    one = lambda rows, k: rows.withColumn(k, F.explode("keys"))
-    sizes = one(right, "k").groupBy("kind", "k").count()
-    hot = sizes.where(F.col("count") > LIGHT).select("kind", "k")
+    Parts are looked up among the others as whole texts, of the lengths these have: there are no more pairs than parts.
+    """
+    sizes = others.agg(F.collect_set(F.length("party")).alias("sizes"))
+    parts = F.expr(f"""array_distinct(flatten(transform(filter(sizes, n -> n {'<' if shorter else '<='} length(party)),
+     n -> transform(sequence(1, length(party) - n + 1), i -> substr(party, i, n)))))""")
+    found = names.crossJoin(sizes).select("party", F.explode(parts).alias("held"))
+    return found.join(others.select(F.col("party").alias("held")), "held").select("party", "held")
+
+
+def _company_keys(party: str, left: bool):
+    """Keys of which two names share one if companies_match() says so: two of their words, or the word of a name of one."""
+    words = company_tokens(F.col(party))
+    two = F.flatten(F.transform(words, lambda x: F.transform(F.filter(words, lambda y: y > x), lambda y: F.concat_ws("+", F.lit("w"), x, y))))
+    alone = F.when(F.size(words) == 1, words).otherwise(F.array().cast("array<string>"))
+    mine, other = ("u", "v") if left else ("v", "u")
+    return F.concat(two, _both(mine, alone), _both(other, words))
+
+
+def with_party_keys(left: DataFrame, right: DataFrame, company: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `names`: keys of which two rows share one if the party of one holds the other's."""
+    names = [rows.where("party is not null").select("party").distinct() for rows in (left, right)]
+    in_right, in_left = held_names(names[1], names[0]), held_names(names[0], names[1], shorter=True)
+    out = []
+    # a right row has the left names within its own, a left row its own name, and the other way round
+    for rows, within, own, mine, other in ((left, in_left, in_right, "l", "r"), (right, in_right, in_left, "r", "l")):
+        held = within.groupBy("party").agg(F.collect_set("held").alias("held"))
+        known = own.select(F.col("held").alias("party")).distinct().withColumn("known", F.lit(True))
+        keyed = rows.join(held, "party", "left").join(known, "party", "left")
+        none = F.array().cast("array<string>")
+        keys = F.concat(_both(other, F.coalesce("held", none)), F.when(F.col("known"), F.array(F.concat(F.lit(mine), "party"))).otherwise(none))
+        if company:
+            keys = F.concat(keys, F.coalesce(_company_keys("party", mine == "l"), none))
+        out.append(keyed.withColumn("names", F.array_distinct(keys)).drop("held", "known"))
+    return out[0], out[1]
+
+
+def _sets(rows: DataFrame, w: Weights, threshold: int) -> DataFrame:
+    """rows with hot values (cents, accounts, references) and names -> a row for each set worth the threshold, `key`."""
+    or_none = lambda c: F.explode(F.concat(c, F.array(F.lit("")))).alias
+    rows = rows.select("kind", "id", "tie", or_none("cents")("c"), "accounts", "references", "names").select("*", or_none("accounts")("a")).select("*", or_none("references")("x"))
+    worth = F.when(F.col("c") != "", w.amount).otherwise(0) + F.when(F.col("a") != "", w.account).otherwise(0) + F.when(F.col("x").startswith("n"), w.number).when(F.col("x") != "", w.token).otherwise(0)
+    rows = rows.withColumn("worth", worth).where((F.col("worth") > 0) & (F.col("worth") + w.party >= threshold)).select("kind", "id", "tie", "c", "a", "x", "worth", or_none("names")("p"))
+    rows = rows.where(F.col("worth") + F.when(F.col("p") != "", w.party).otherwise(0) >= threshold)
+    return rows.select("kind", "id", "tie", F.concat_ws("&", "c", "a", "x", "p").alias("key"))
+
+
+def keyed(rows: DataFrame, w: Weights, left: bool) -> DataFrame:
+    """A side with its keys, written: the texts are read once. Amounts of the left side stand for three cents."""
+    cents, spread, number = F.round(F.col("amount") * 100).cast("long"), int(left), F.array_compact(F.array("number"))
+    numbered = w.number_of == ("left" if left else "right")
+    rows = rows.withColumn("cents", _both("c", F.when(F.col("amount") != 0, F.sequence(cents - spread, cents + spread)).otherwise(F.array())))
+    rows = rows.withColumn("accounts", _both("a", F.array_compact(F.array("account"))) if w.account else F.array().cast("array<string>"))
+    rows = written(rows, "side")
+    looked_for = F.array_distinct(F.concat("tokens", number)) if numbered else F.col("tokens")
+    return rows.withColumn("numbers", number if numbered else F.col("tokens")).withColumn("keys", F.concat("cents", "accounts", _both("t", looked_for)))
+
+
+def candidates(left: DataFrame, right: DataFrame, w: Weights, threshold: int = 50, light: int | None = None) -> DataFrame:
+    """(l, r): ids of pairs of keyed rows among which the best of each left row that reaches the threshold is."""
+    if threshold <= w.party:
+        raise ValueError("a party alone may not reach the threshold")
+    light = LIGHT if light is None else light
+    one = lambda rows: rows.select("kind", F.explode("keys").alias("k"), "id")
+    hot = written(one(right).groupBy("kind", "k").count().where(F.col("count") > light).select("kind", "k"), "hot-keys")
+    alone = one(right).join(hot, ["kind", "k"], "left_anti").select("kind", "k", F.col("id").alias("r"))
+    out = one(left).select("kind", "k", F.col("id").alias("l")).join(alone, ["kind", "k"]).select("l", "r")
     if hot.isEmpty():
-        l, r = (one(x, "k").select("kind", "k", F.col("id").alias(n)) for x, n in ((left, "l"), (right, "r")))
-        return l.join(r, ["kind", "k"]).select("l", "r").distinct()
-    light = sizes.where(F.col("count") <= LIGHT).select("kind", "k")
-    r = one(right, "k").join(light, ["kind", "k"]).select("kind", "k", F.col("id").alias("r"))
-    out = one(left, "k").select("kind", "k", F.col("id").alias("l")).join(r, ["kind", "k"]).select("l", "r")
+        return out.distinct()
 
-    # hot values: which of a row's keys they are, then pairs of them and pieces of the party
     def heated(rows: DataFrame) -> DataFrame:
-        found = one(rows, "k").join(hot, ["kind", "k"]).groupBy("id").agg(F.array_sort(F.collect_set("k")).alias("hot"))
-        return rows.join(found, "id")
-
-    hl, hr = heated(left), heated(right)
-    two = F.flatten(F.transform("hot", lambda x: F.transform(F.filter("hot", lambda y: y > x), lambda y: F.concat_ws("&", x, y))))
-    number_key = F.concat(F.lit("t"), F.coalesce("number", F.lit("")))
-    same = [F.coalesce("party", F.lit("")).alias("p"), F.coalesce("account", F.lit("")).alias("a")]
-
-    def firsts(rows: DataFrame, k: str, *by) -> DataFrame:
-        """The first right row of each key and `by`; a number's own row counts apart from a mere token's."""
-        return rows.groupBy("kind", k, F.col(k).contains(number_key).alias("n"), *by).agg(F.min_by("id", "tie").alias("r"), F.first("party").alias("party"))
-
-    pairs = hl.select("kind", F.col("id").alias("l"), F.explode(two).alias("kk")).join(firsts(hr.withColumn("kk", F.explode(two)), "kk", *same).select("kind", "kk", "r"), ["kind", "kk"])
-    out = out.unionByName(pairs.select("l", "r"))
-    alone = [c for c, n in (("c", w.amount), ("t", max(w.number, w.token))) if n >= threshold]
-    if alone:
-        mine = lambda rows: rows.withColumn("k", F.explode("hot")).where(F.left("k", F.lit(1)).isin(alone))
-        out = out.unionByName(mine(hl).select("kind", "k", F.col("id").alias("l")).join(firsts(mine(hr), "k").select("kind", "k", "r"), ["kind", "k"]).select("l", "r"))
-    named = lambda rows: rows.where("party is not null").withColumn("k", F.explode("hot"))
-    reps = firsts(named(hr), "k", *same)
-    for a, b in [(_grams, _first_gram), (_first_gram, _grams)] + ([(company_tokens, company_tokens)] if w.company else []):
-        lg = named(hl).select("kind", "k", F.col("id").alias("l"), F.explode(a(F.col("party"))).alias("g"))
-        out = out.unionByName(lg.join(reps.select("kind", "k", "r", F.explode(b(F.col("party"))).alias("g")), ["kind", "k", "g"]).select("l", "r"))
-    return out.distinct()
+        """Rows with hot values, and these by kind of evidence; a number counts apart from a token."""
+        found = one(rows).join(hot, ["kind", "k"]).groupBy("id").agg(F.collect_set("k").alias("hot"))
+        both = rows.join(found, "id")
+        of = lambda c: F.array_intersect(c, F.col("hot"))
+        renamed = F.transform(of(_both("t", F.col("numbers"))), lambda x: F.concat(F.lit("n"), F.substring(x, 2, 2**31 - 1)))
+        return both.select("kind", "id", "tie", "party", of(F.col("cents")).alias("cents"), of(F.col("accounts")).alias("accounts"), F.concat(of(_both("t", F.col("tokens"))), renamed).alias("references"))
+
+    hl, hr = with_party_keys(written(heated(left), "hot-left"), written(heated(right), "hot-right"), w.company)
+    first = _sets(hr, w, threshold).groupBy("kind", "key").agg(F.min_by("id", "tie").alias("r"))
+    sets = _sets(hl, w, threshold).select("kind", "key", F.col("id").alias("l")).join(first, ["kind", "key"])
+    return out.unionByName(sets.select("l", "r")).distinct()
 
 
 def score(pairs: DataFrame, w: Weights) -> DataFrame:
@@ -131,14 +162,16 @@ def score(pairs: DataFrame, w: Weights) -> DataFrame:
     return pairs.withColumn("score", total).withColumn("reasons", F.concat_ws("; ", *(F.when(c, name) for name, c, _ in parts)))
 
 
-def best_matches(left: DataFrame, right: DataFrame, w: Weights, threshold: int = 50) -> DataFrame:
+def best_matches(left: DataFrame, right: DataFrame, w: Weights, threshold: int = 50, light: int | None = None) -> DataFrame:
     """(l, r, score, reasons): the best right row of each left row that reaches the threshold; ties go to the first."""
     tag = lambda df, t: df.select(*(F.col(c).alias(f"{t}_{c}" if c != "id" else t) for c in df.columns if c != "kind"))
-    pairs = candidates(left, right, w, min(threshold, 50)).join(tag(left, "l"), "l").join(tag(right, "r"), "r")
+    left, right = keyed(left, w, True), keyed(right, w, False)
+    pairs = candidates(left, right, w, threshold, light)
+    plain = ["id", "amount", "party", "number", "account", "tokens", "tie"]
+    pairs = pairs.join(tag(left.select(*plain), "l"), "l").join(tag(right.select(*plain), "r"), "r")
     found = score(pairs, w).where(F.col("score") >= threshold)
-    best = found.groupBy("l").agg(F.max_by(F.struct("r", "score", "reasons"), F.struct("score", F.lit(0))).alias("any"), F.max("score").alias("top"))
-    first = found.join(best.select("l", "top"), "l").where("score = top").groupBy("l").agg(F.min_by(F.struct("r", "score", "reasons"), "r_tie").alias("x"))
-    return first.select("l", "x.*")
+    best = found.groupBy("l").agg(F.min_by(F.struct("r", "score", "reasons"), F.struct(-F.col("score"), "r_tie")).alias("x"))
+    return best.select("l", "x.*")
 
 
 def comparison(ledger: DataFrame, by_bank: DataFrame, by_mail: DataFrame) -> DataFrame:
