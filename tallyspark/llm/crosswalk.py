@@ -35,7 +35,7 @@ from .common import documents, stage
 
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Letters of text in a run, words that are kept, and links that are expanded at once.
-RUN, KEPT, EXPANDED = 12_000_000, 300_000, 4_000_000
+RUN, KEPT, EXPANDED = 6_000_000, 150_000, 2_000_000
 SALTS = 16
 _regular = re.compile(r"\n?\S+")
 _cut = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -70,7 +70,8 @@ def expand(ga: np.ndarray, ids_a: np.ndarray, gb: np.ndarray, ids_b: np.ndarray,
 
 
 class Aligner:
-    """Words, aligned once; all of them are dropped when there are more than KEPT before a run."""
+    """Words, aligned once. When there are more than KEPT before a run, those met once are dropped, and the rest too if
+    they are more than half of KEPT."""
 
     def __init__(self, a: str = BYTES, b: str = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,10 +93,27 @@ class Aligner:
         self.clear()
 
     def clear(self) -> None:
-        """code: place of each word, -1 for what is no word, -2 for one whose bytes differ."""
-        self.code, self.texts, self.counts = {}, [], np.zeros((4, 0), np.int64)
+        """code: place of each word, -1 for what is no word, -2 for one whose bytes differ; uses: how often each was met."""
+        self.code, self.texts, self.counts, self.uses = {}, [], np.zeros((4, 0), np.int64), np.zeros(0, np.int64)
         self.n_pairs, self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def trim(self) -> None:
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > KEPT // 2:
+            return self.clear()
+        place = np.full(len(self.uses), -1)
+        place[keep] = np.arange(len(keep))
+        self.code = {w: k for w, c in self.code.items() if c >= 0 and (k := int(place[c])) >= 0}
+        self.texts = [self.texts[k] for k in keep.tolist()]
+        at = self.places(keep)
+        self.pair, self.times, self.n_pairs = self.pair[at], self.times[at], self.n_pairs[keep]
+        self.counts, self.uses = self.counts[:, keep], self.uses[keep] * 0
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Where the pairs of the words of these codes stand."""
+        n = self.n_pairs[codes]
+        return np.repeat((np.cumsum(self.n_pairs) - self.n_pairs)[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
     def ids(self, words: list[str]):
         """(bytes' text, A's ids, B's ids, tokens of A in each word, of B) of words: "x" is of " x", a line end and x of itself,
         a space and x of x."""
@@ -127,7 +145,7 @@ class Aligner:
             return
         # all words as one text: a word's end is an end of tokens of both
         ends_a, ends_b, ends = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), np.cumsum([len(w) for w in raw])
-        cuts = np.intersect1d(ends_a, ends_b)
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         ga, gb, word = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), np.searchsorted(ends, cuts)
         in_a, in_b = np.bincount(ga, minlength=len(cuts)), np.bincount(gb, minlength=len(cuts))
         n_links = np.bincount(word, in_a * in_b, len(words)).astype(np.int64)
@@ -140,6 +158,7 @@ class Aligner:
         self.n_pairs = np.r_[self.n_pairs, np.bincount(key >> 32, minlength=len(words))]
         self.pair = np.r_[self.pair, key & 0xFFFFFFFF]
         self.times = np.r_[self.times, np.bincount(at, np.concatenate(times), len(key)).astype(np.int64)]
+        self.uses = np.r_[self.uses, np.zeros(len(words), np.int64)]
         self.counts = np.c_[self.counts, [na, nb, np.bincount(word, minlength=len(words)), n_links]]
         self._name(a, b, ga, gb, in_a, in_b, word, len(words))
         at = len(self.texts) - len(words)
@@ -159,26 +178,31 @@ class Aligner:
         self.texts += ["".join(parts[i : j - 1]) for i, j in zip([0, *stop.tolist()], stop.tolist())]
         assert len(stop) == n
 
-    def words(self, texts: list[str]) -> list[list[str] | None]:
-        """The words of each text, all of them aligned; None where a text has no token."""
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
+    def codes(self, texts: list[str]) -> list[np.ndarray]:
+        """The codes of the words of each text, all of them aligned; none where a text has no token."""
+        split = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
         new = set(chain.from_iterable(split)).difference(self.code)
         odd = [w for w in new if not _regular.fullmatch(w)]
         self.code.update(dict.fromkeys(odd, -1))
-        self.learn(sorted(new.difference(odd)))
-        out: list[list[str] | None] = []
+        self.learn(list(new.difference(odd)))
+        out = []
         for t, w in zip(texts, split):
-            if t and min(map(self.code.__getitem__, w)) == -1:  # runs of white space, or at an end
+            got = np.array(list(map(self.code.__getitem__, w)), np.int64)
+            least = got.min(initial=0)
+            if least == -1:  # runs of white space, or at an end
                 chunks = _cut.split(f" {t}")
                 w = [c[1:] if c[0] == " " and c[1:2] != "\n" and _regular.fullmatch(c, 1) else c if _regular.fullmatch(c) else f" {c}" for c in chunks]
-                self.learn(sorted(set(w).difference(self.code)))
-            if t and min(map(self.code.__getitem__, w)) == -2:
-                w = [f"  {t}"]
-                self.learn(w)
-                if self.code[w[0]] == -2:
-                    del self.code[w[0]]
-                    w = None
-            out.append(w if t else None)
+                self.learn(list(set(w).difference(self.code)))
+                got = np.array(list(map(self.code.__getitem__, w)), np.int64)
+                least = got.min()
+            if least == -2:
+                whole = f"  {t}"
+                self.learn([whole])
+                got = np.array([self.code[whole]])
+                if got[0] == -2:
+                    del self.code[whole]
+                    got = got[:0]
+            out.append(got)
         return out
 
 
@@ -194,33 +218,41 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True), "<i4").astype(np.int64)
 
 
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of n values."""
+    total = np.r_[0, np.cumsum(values)]
+    end = np.cumsum(n)
+    return total[end] - total[end - n]
+
+
 def _run(m: Aligner, number: int, doc_ids: list, texts: list[str]) -> dict:
     """A row of RUNS."""
     if len(m.code) > KEPT:
-        m.clear()
-    words = m.words(texts)
-    codes = [np.array([m.code[x] for x in w or ()], np.int64) for w in words]
+        m.trim()
+    codes = m.codes(texts)
     names = [hashlib.sha256(";".join([m.texts[c] for c in x.tolist()]).encode()).hexdigest() if len(x) else "" for x in codes]
     doc = np.repeat(np.arange(len(texts)), [len(x) for x in codes])
     flat = np.concatenate([*codes, np.zeros(0, np.int64)])
     totals = [np.bincount(doc, c[flat], len(texts)).astype(np.int64).tolist() for c in m.counts]
-    used, local = np.unique(flat, return_inverse=True)
-    key, occurs = np.unique(doc * max(len(used), 1) + local, return_counts=True)
+    met = np.bincount(flat, minlength=len(m.uses))
+    m.uses += met
+    used = np.flatnonzero(met)  # the run's own list of words
+    local = np.zeros(len(met), np.int64)
+    local[used] = np.arange(len(used))
+    key, occurs = np.unique(doc * max(len(used), 1) + local[flat], return_counts=True)
     doc, word = np.divmod(key, max(len(used), 1))
     # the pairs of the words used, as places in the run's list of pairs
-    start = np.cumsum(m.n_pairs) - m.n_pairs
-    take = lambda w: np.repeat(start[w] - (np.cumsum(m.n_pairs[w]) - m.n_pairs[w]), m.n_pairs[w]) + np.arange(m.n_pairs[w].sum())
-    at = take(used)
+    at = m.places(used)
     pairs, pair = np.unique(m.pair[at], return_inverse=True)
     n_pairs, first = m.n_pairs[used], np.cumsum(m.n_pairs[used]) - m.n_pairs[used]
     n_docs = np.zeros(len(pairs), np.int64)
     edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-    for s, e in runs(np.add.reduceat(n_pairs[word], edge[:-1].clip(max=max(len(word) - 1, 0))).tolist() if len(word) else [0] * len(texts), EXPANDED):
+    for s, e in runs(_sums(n_pairs[word], np.diff(edge)).tolist(), EXPANDED):
         w = word[edge[s] : edge[e]]
         n = n_pairs[w]
         held = pair[np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        once = np.unique(np.repeat(doc[edge[s] : edge[e]], n) * len(pairs) + held)
-        n_docs += np.bincount(once % max(len(pairs), 1), minlength=len(pairs))
+        once = np.sort(np.repeat(doc[edge[s] : edge[e]], n) * len(pairs) + held)
+        n_docs += np.bincount(once[np.r_[True, once[1:] != once[:-1]][: len(once)]] % max(len(pairs), 1), minlength=len(pairs))
     n_words = np.bincount(doc, minlength=len(texts))
     row = {"run": number, "doc_id": doc_ids} | dict(zip(("n_a", "n_b", "n_groups", "n_links"), totals)) | {"groups_sha256": names, "a": pairs >> 16, "b": pairs & 0xFFFF, "n_docs": n_docs}
     return row | {k: _packed(v) for k, v in (("n_words", n_words), ("word", word), ("occurs", occurs), ("n_pairs", n_pairs), ("pair", pair), ("times", m.times[at]))}
@@ -263,13 +295,6 @@ def pair_counts(encoded: DataFrame, salts: int = SALTS) -> DataFrame:
     return counts.join(top, F.col("a") == F.col("_a")).select("a", "b", "count", (F.col("count") == F.col("_top")).alias("best"))
 
 
-def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sums of runs of n values."""
-    total = np.r_[0, np.cumsum(values)]
-    end = np.cumsum(n)
-    return total[end] - total[end - n]
-
-
 def _score(run: pa.Table, sums: pa.Table) -> pa.Table:
     row = {k: run.column(k)[0] for k in run.column_names}
     x = {k: _unpacked(row[k].as_py()) for k in ("n_words", "word", "occurs", "n_pairs", "pair", "times")}
