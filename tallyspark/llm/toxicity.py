@@ -38,6 +38,8 @@ CERTAIN = 8.0  # natural logarithm
 # Words that report or name speech, marks that quote, and digits and signs that stand for letters.
 REPORTING = frozenset("said says say saying called calls calling wrote writes quote quoted quotes word words term terms phrase insult slur sagte nannte schrieb wort zitat dit appelle mot terme dijo llamó escribió palabra término".split())
 QUOTES = "\"'“”„«»‘’‚‹›`"
+# The marks that close a quotation, by the mark that opens it.
+CLOSING = {'"': '"', "'": "'’", "“": "”\"", "”": "”", "„": "“”\"", "«": "»", "»": "«", "‘": "’'", "’": "’", "‚": "‘’", "‹": "›", "›": "‹", "`": "`'"}
 LEET = str.maketrans("013457@$", "oleastas")
 EDGE = ".,;:!?*%&$#|<>()[]{}/\\-_~^+=…" + QUOTES
 BARE, QUOTED, NEAR, FAINT = 0.8, 0.2, 0.5, 0.05
@@ -97,15 +99,11 @@ class Trie:
             for d, child in node[0].items():
                 far, m = child[3], at.get(d, 0)
                 r0 = (row[0] & m) << 1
-                if not far:
-                    if r0:
-                        todo.append((child, d, (r0, 0, 0), row))
-                    continue
-                r1 = ((row[1] & m) << 1 | row[0] << 1 | row[0] | r0 << 1 | (prior[0] & m & swap) << 2) & most
+                r1 = ((row[1] & m) << 1 | row[0] << 1 | row[0] | r0 << 1 | (prior[0] & m & swap) << 2) & most if far else 0
                 r2 = ((row[2] & m) << 1 | row[1] << 1 | row[1] | r1 << 1 | (prior[1] & m & swap) << 2) & most if far == 2 else 0
-                if not (r2 if far == 2 else r1):
-                    continue
                 new = (r0, r1, r2)
+                if not new[far]:  # the states of fewer edits are among those of more
+                    continue
                 for t, stem in ((child[1], False), (child[2], True)):
                     if t is not None:
                         for k in range(distance_for(t, stem) + 1):
@@ -118,6 +116,27 @@ class Trie:
         return best and (best[1], best[0])
 
 
+def quotations(text: str) -> set[int]:
+    """Places of the words, white space apart, between a mark that opens and the first that closes it in the same line,
+    however far; a mark that nothing closes is none."""
+    quoted: set[int] = set()
+    at = 0
+    for line in text.split("\n"):
+        opened: dict[str, int] = {}
+        for w in line.split():
+            if w[0] in QUOTES:
+                opened.setdefault(w[0], at)
+            last = w.rstrip(".,;:!?")[-1:]
+            if last in QUOTES:
+                # the word's own first mark may close, but doesn't if it is the whole word
+                start = [i for c, i in opened.items() if last in CLOSING[c] and (i < at or len(w) > 1)]
+                if start:
+                    quoted.update(range(min(start), at + 1))
+                    opened = {c: i for c, i in opened.items() if i < min(start)}
+            at += 1
+    return quoted
+
+
 class Lexicon(NamedTuple):
     """What is learned: whole words and stems with their purity, near words that are none of them, the worth of a hit by
     its term and edits, and the faint evidence of other words."""
@@ -155,7 +174,7 @@ class Scorer:
 
     def faint(self, words: set[str]) -> float:
         """0 to 1: what the words say that are no terms."""
-        got = [x for w in words if (x := self.lexicon.faint.get(w)) is not None]
+        got = [x for w in {w.strip(EDGE) for w in words} if (x := self.lexicon.faint.get(w)) is not None]
         return 1 / (1 + math.exp(-sum(got) / math.sqrt(len(got) or 1)))
 
     def look(self, words: set[str]) -> bool:
@@ -175,22 +194,15 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[float, int, int]:
         """(score, hits, quoted hits) of a whole text."""
-        words = (text or "").lower().split()
+        low = (text or "").lower()
+        words = low.split()
         if not words:
             return 0.0, 0, 0
         known = set(words)
         faint = FAINT * self.faint(known) if self.lexicon.faint else 0.0
         if not self.look(known):
             return faint, 0, 0
-        quoted, opened = set(), None
-        for i, w in enumerate(words):  # words between an opening and a closing mark
-            if w[0] in QUOTES and opened is None:
-                opened = i
-            if opened is not None and w.rstrip(".,;:!?")[-1:] in QUOTES and (i > opened or len(w) > 1):
-                quoted.update(range(opened, i + 1))
-                opened = None
-            elif opened is not None and i - opened > 4 * WINDOW:
-                opened = None
+        quoted = quotations(low)
         safe, n, n_quoted = 1.0, 0, 0
         for i, w in enumerate(words):
             if (x := self.hits.get(w)) is None:
@@ -199,7 +211,7 @@ class Scorer:
             if i in quoted:
                 n_quoted += 1
                 x *= QUOTED
-            elif any(v.strip(EDGE) in REPORTING for v in words[max(0, i - WINDOW) : i + WINDOW]):
+            elif any(v.strip(EDGE) in REPORTING for v in words[max(0, i - WINDOW) : i + WINDOW + 1]):
                 x *= NEAR
             safe *= 1 - x
         return 1 - safe * (1 - faint), n, n_quoted

@@ -87,7 +87,8 @@ def test_op1(spark, odd_dir):
     toxic = [r.predicted for r in got if r.held_out and truth.get(r.doc_id) == 1]
     clean = [r.predicted for r in got if r.held_out and truth.get(r.doc_id) == 0]
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.02
-    assert len({r.score for r in got}) > 0.9 * len(got)  # nearly all documents are ranked
+    texts = spark.read.parquet(f"{big}/documents.parquet").select("text").distinct().count()
+    assert len({r.score for r in got}) > 0.98 * texts  # nearly all different texts are ranked
     odd = {r.doc_id: r.score for r in toxicity.op1(spark, odd_dir).collect()}
     assert odd[1] == odd[2] == odd[3] == 0
 
@@ -100,6 +101,69 @@ def test_levenshtein_and_quotation():
     assert all(s.score(f"you are {w}")[0] > 0 for w in ("vorthless", "orthless", "owrthless", "xworthless", "w*rthless"))
 
 
+def test_quotations_of_any_length():
+    s = toxicity.Scorer(toxicity.Lexicon({"worthless": 1.0}))
+    far = " ".join(f"w{k}" for k in range(60))
+    bare = s.score("you are worthless")[0]
+    for text in (f'"{far} worthless {far}"', f"“{far} worthless {far}”", f"«worthless {far}», so", f"„{far} worthless“", f"'tis so: \"{far} worthless\" {far}"):
+        assert s.score(text)[1:] == (1, 1) and s.score(text)[0] < bare
+    # no mark closes, one of another kind closes, or the line ends before
+    for text in (f'" {far} worthless {far}', f"“{far} worthless {far}»", f'"{far}\nworthless {far}"', f"' {far} worthless"):
+        assert s.score(text)[1:] == (1, 0)
+    # a word that reports counts as far ahead as back
+    pad = lambda k: " ".join("zz" for _ in range(k))
+    assert s.score(f"said {pad(5)} worthless")[0] == s.score(f"worthless {pad(5)} said")[0] == toxicity.BARE * toxicity.NEAR
+    assert s.score(f"said {pad(6)} worthless")[0] == s.score(f"worthless {pad(6)} said")[0] == toxicity.BARE
+
+
+def plain_score(text, lex):
+    """The score by its definition: every word against every term, every window looked through."""
+    words = (text or "").lower().split()
+    weight = {**lex.stems, **lex.words}
+
+    def worth(raw):
+        word = raw.strip(toxicity.EDGE)
+        exact = lambda w: w if w in lex.words else max((t for t in lex.stems if w.startswith(t)), key=len, default=None)
+        for w in re.findall(r"[^\W\d_]+", word) if not word.isalpha() else [word]:
+            if (t := exact(w)) is not None:
+                return toxicity.BARE * weight[t]
+        plain = word if word.isalpha() else "".join(re.findall(r"[^\W\d_]+", word.translate(toxicity.LEET)))
+        if not plain or plain in lex.benign:
+            return 0.0
+        if plain != word and (t := exact(plain)) is not None:
+            return toxicity.BARE * weight[t]
+        near = [(k, t) for t in lex.words if (k := edits(t, plain)) <= toxicity.distance_for(t)]
+        near += [(k, t) for t in lex.stems if (k := min(edits(t, plain[:i]) for i in range(len(plain) + 1))) <= toxicity.distance_for(t, True)]
+        if len(plain) > 3 and near:
+            k, t = min(near)
+            return (lex.fuzzy.get((t, k), toxicity.PRIOR[k]) if k else toxicity.BARE) * weight[t]
+        return 0.0
+
+    if not words:
+        return 0.0
+    known = [lex.faint[w] for w in sorted({w.strip(toxicity.EDGE) for w in words}) if w in lex.faint]
+    faint = toxicity.FAINT / (1 + math.exp(-sum(known) / math.sqrt(len(known) or 1))) if lex.faint else 0.0
+    quoted, safe = toxicity.quotations((text or "").lower()), 1.0
+    for i, w in enumerate(words):
+        x = worth(w)
+        near = words[max(0, i - toxicity.WINDOW) : i] + words[i : i + toxicity.WINDOW + 1]
+        safe *= 1 - x * (toxicity.QUOTED if i in quoted else toxicity.NEAR if any(v.strip(toxicity.EDGE) in toxicity.REPORTING for v in near) else 1)
+    return 1 - safe * (1 - faint)
+
+
+def test_scores_equal_their_definition(spark):
+    docs_, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    lex = toxicity.learn(docs_, labels)
+    assert lex.words or lex.stems
+    s = toxicity.Scorer(lex)
+    terms = [*lex.words, *lex.stems]
+    rng = np.random.default_rng(8)
+    bent = [t[:k] + "x" + t[k + 1 :] for t in terms for k in (0, len(t) // 2)] + [t[1:] for t in terms] + [t.upper() + "!" for t in terms] + ["said", '"', "'so", "end'", "and", "zzzz\n"]
+    texts = [" ".join(rng.choice([*bent, *terms], 12)) for _ in range(60)] + [r.text[:600] for r in docs_.limit(60).collect()]
+    for t in texts:
+        assert s.score(t)[0] == pytest.approx(plain_score(t, lex), abs=1e-9)
+
+
 def edits(a, b):
     """Optimal string alignment distance by the whole table."""
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
@@ -800,3 +864,24 @@ def test_aligner_in_small_runs():
 
 def test_op12(spark, docs):
     assert sorted(map(tuple, crosswalk.op12(spark, SF).collect())) == sorted(crosswalked(docs))
+
+
+def test_pieces_of_any_length():
+    """Slices that overlap give tiktoken's ids; memory stays with the slices."""
+    import resource
+
+    import tiktoken
+
+    c = bpe.Codec()
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})._encode_single_piece
+    rng = np.random.default_rng(21)
+    for n in (65, 66, 96, 97, 128, 300, 2000):
+        for signs in ("ab", "=-", "aehlnorst", "abcdefghijklmnopqrstuvwxyz", "éüõa", "0123456789", "你好世界", "=", "a", "\u00a0 "):
+            word = "".join(rng.choice(list(signs), n)).encode()
+            for width in (bpe.SHORT, 8):
+                assert np.frombuffer(c.contract_sliced(word, width), "<i4").tolist() == list(want(word))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for word in (b"=" * 3_000_000, b"-=" * 500_000):
+        got = np.frombuffer(c.contract_sliced(word), "<i4")
+        assert got.tolist() == list(want(word))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000
