@@ -5,10 +5,16 @@ minimum rank until no pair is left. A worker keeps the ids of pieces and chunks
 contracted about once a worker. Decoding joins (document, position, id) rows to the vocabulary and aggregates the bytes
 in order of position.
 
-Pieces of more than ``SHORT`` bytes go through a second recursion that contracts many pairs a step and keeps one state
+Pieces of more than ``SHORT`` bytes are contracted in slices that overlap, and put together where two slices both cut and
+the tokens on both sides, contracted by themselves, stay two. That is exact: as long as no contraction of the whole piece
+has crossed such a cut, what stands in two neighbouring tokens goes through the same contractions as in these two alone,
+so the first that crossed a cut would cross it there too. Slices that don't meet so are joined and contracted anew.
+
+Slices of more than ``LONG`` bytes go through a second recursion that contracts many pairs a step and keeps one state
 a row: all places of the least rank at once, except where a contraction makes a pair of still lower rank (the ranks of
 this vocabulary don't always rise). There the places behind it, as far as a token of lower rank can reach, wait. The
-order of contractions that can't meet doesn't matter, so both give the same ids; memory is in proportion to the piece.
+order of contractions that can't meet doesn't matter, so both give the same ids. Such a slice is only as long as no two
+of its parts meet.
 
 Defined cases: null or empty text has no ids and decodes to no bytes; other columns are ignored; equal rows give equal
 rows; an empty table gives no row. A text without any break, of any length, is encoded like others.
@@ -47,7 +53,9 @@ WITH RECURSIVE step(it, w, pos, id, nid, npos) AS (
 )
 SELECT s.w, s.id FROM step s JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) e ON s.w = e.w AND s.it = e.it ORDER BY s.w, s.pos
 """
-SHORT = 64
+SHORT, LONG = 64, 512
+#: Pairs of tokens whose meeting is known, at most.
+MET = 500_000
 #: Rows that the steps of one recursion may hold together.
 HELD = 3_000_000
 #: A step of all long pieces: places of the least rank (odd ones of a run of overlapping places), what stands around
@@ -131,6 +139,8 @@ class Codec:
         self.load("vocab", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "s": [t.decode("latin-1") for t in ranks]}))
         self.ranks, self.spanned = ranks, False
         self.known = Cache(cache)
+        self.token = {i: t for t, i in ranks.items()}
+        self.met: dict[tuple[int, int], bool] = {}
 
     def spans(self):
         """For each token the length of the longest token of lower rank that holds it."""
@@ -184,6 +194,57 @@ class Codec:
                 return state["id"].to_numpy().astype("<i4").tobytes()
             state = state.drop_columns("it")
 
+    def contract_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are slices or short, each by the recursion for its length."""
+        out: list[bytes] = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        for s, e in runs([len(words[i]) ** 2 for i in short], self.squares):
+            for i, ids in zip(short[s:e], self.contract([words[i] for i in short[s:e]])):
+                out[i] = ids
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.contract_long(w)
+        return out
+
+    def meet(self, pairs: set[tuple[int, int]]) -> None:
+        """Learn of pairs of tokens whether both stay when they are contracted together."""
+        if len(self.met) > MET:
+            self.met = {}
+        new = list(pairs.difference(self.met))
+        got = self.contract_all([self.token[a] + self.token[b] for a, b in new])
+        self.met.update((p, ids == np.array(p, "<i4").tobytes()) for p, ids in zip(new, got))
+
+    def contract_sliced(self, word: bytes, width: int = SHORT) -> bytes:
+        """The same for a piece of any length."""
+        half = width // 2
+        slices = [(a, min(a + width, len(word))) for a in range(0, max(len(word) - half, 1), half)]
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # ids and their starts, and the end, in a slice
+        while True:
+            new = list({word[a:b] for a, b in slices}.difference(known))
+            for w, raw in zip(new, self.contract_all(new)):
+                ids = np.frombuffer(raw, "<i4")
+                known[w] = ids, np.cumsum([0, *(len(self.token[i]) for i in ids.tolist())])
+            got = [known[word[a:b]] for a, b in slices]
+            # places where two neighbours both cut, with the tokens that would meet there
+            places = []
+            for (a, b), (c, _), (left, at), (right, to) in zip(slices, slices[1:], got, got[1:]):
+                cuts = np.intersect1d(at[np.searchsorted(at, c - a) : -1], to[: np.searchsorted(to, b - c)] + c - a, assume_unique=True)
+                cuts = cuts[cuts > 0]
+                x, y = left[np.searchsorted(at, cuts) - 1], right[np.searchsorted(to, cuts + a - c)]
+                places.append(list(zip((cuts + a).tolist(), zip(x.tolist(), y.tolist()))))
+            self.meet({p for found in places for _, p in found})
+            cut = [next((at for at, p in found if self.met[p]), None) for found in places]
+            if None not in cut:
+                break
+            joined, i = [], 0
+            while i < len(slices):
+                apart = i == len(cut) or cut[i] is not None
+                joined.append(slices[i] if apart else (slices[i][0], slices[i + 1][1]))
+                i += 1 if apart else 2
+            slices = joined
+        edges = [0, *cut, len(word)]
+        return b"".join(ids[np.searchsorted(at, s - a) : np.searchsorted(at, e - a)].tobytes() for (a, _), (ids, at), s, e in zip(slices, got, edges, edges[1:]))
+
     def learn(self, chunks: set[str]):
         """Fill the cache for these chunks of text; a piece is a chunk of one piece, so both share it."""
         known = self.known
@@ -193,7 +254,7 @@ class Codec:
         short = [i for i, w in enumerate(raw) if len(w) <= SHORT]
         for s, e in runs([len(raw[i]) ** 2 for i in short], self.squares):
             known.young.update(zip((words[i] for i in short[s:e]), self.contract([raw[i] for i in short[s:e]])))
-        known.young.update((words[i], self.contract_long(w)) for i, w in enumerate(raw) if len(w) > SHORT)
+        known.young.update((words[i], self.contract_sliced(w)) for i, w in enumerate(raw) if len(w) > SHORT)
         got = known.young.__getitem__
         known.young.update([(c, b"".join(map(got, ps))) for c, ps in new.items() if len(ps) != 1])
 
