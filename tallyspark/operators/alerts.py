@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import margin
+from .folds import by_table
 
+MOST_RULES = 10_000
 STATUSES, SEVERITIES = ("open", "acknowledged", "resolved", "dismissed"), ("critical", "warning", "info")
 
 
@@ -17,7 +19,9 @@ def candidates(rules: DataFrame, projects: DataFrame, life: DataFrame, month: Da
     active = lambda c: F.coalesce(F.col(f"_{c}") | F.col(f"_{c}_c").contains(","), F.lit(False))
     status = F.when(F.col("statuses").isNotNull(), F.array_contains(F.split("statuses", ","), F.col("status"))).when(F.col("scope").startswith("active"), F.col("status") == "active").otherwise(True)
     activity = F.when(F.col("scope") == "active_with_month_activity", active("month")).when(F.col("scope") == "all_with_activity", active("life")).otherwise(True)
-    both = p.join(F.broadcast(rules.limit(10_000)), how="cross")  # a rule is a hand-written row
+    if rules.count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules: a rule is a hand-written row that meets every project")
+    both = p.join(F.broadcast(rules), how="cross")
     return both.where(status & activity).select(*rules.columns, "project_id")
 
 
@@ -78,14 +82,11 @@ def transition(previous: DataFrame, current: DataFrame) -> DataFrame:
 def review(alerts: DataFrame, events: DataFrame) -> DataFrame:
     """events(alert_id, seq, verb, reason) folded in order onto alerts(alert_id, status): an open alert may be acknowledged,
     an open or acknowledged one dismissed, with a reason; other events are refused and counted."""
-    steps = F.sort_array(F.collect_list(F.struct("seq", "verb", "reason")))
-    both = alerts.join(events.groupBy("alert_id").agg(steps.alias("steps")), "alert_id", "left")
-    start = F.struct(F.col("status").alias("status"), F.lit(0).alias("refused"))
-    ok = lambda a, e: ((e["verb"] == "acknowledge") & (a["status"] == "open")) | ((e["verb"] == "dismiss") & a["status"].isin("open", "acknowledged") & (F.trim(F.coalesce(e["reason"], F.lit(""))) != ""))
-    new = lambda e: F.when(e["verb"] == "acknowledge", "acknowledged").otherwise("dismissed")
-    step = lambda a, e: F.struct(F.when(ok(a, e), new(e)).otherwise(a["status"]).alias("status"), (a["refused"] + F.when(ok(a, e), 0).otherwise(1)).alias("refused"))
-    done = both.withColumn("end", F.aggregate(F.coalesce("steps", F.array().cast("array<struct<seq:bigint,verb:string,reason:string>>")), start, step))
-    return done.select("alert_id", F.col("end.status").alias("status"), F.col("end.refused").alias("n_refused"))
+    given = F.trim(F.coalesce("reason", F.lit(""))) != ""
+    verbs = events.select("alert_id", "seq", F.when((F.col("verb") != "dismiss") | given, F.col("verb")).alias("verb"))
+    legal = {("open", "acknowledge"): "acknowledged", ("open", "dismiss"): "dismissed", ("acknowledged", "dismiss"): "dismissed"}
+    done = by_table(alerts, verbs, "alert_id", legal, "status")
+    return done.select("alert_id", F.col("state").alias("status"), "n_refused")
 
 
 def rank(column: str, values):

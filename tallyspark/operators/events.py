@@ -1,26 +1,10 @@
-"""State that follows from ordered events: reviews, workflows, sync runs. Each subject's events are folded in order by an
-aggregate over its own sorted list, so a subject is one row of work."""
+"""State that follows from ordered events: reviews, workflows, sync runs. Folds are in folds.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-
-def fold(subjects: DataFrame, events: DataFrame, key: str, legal: dict[tuple[str, str], str], state: str = "state") -> DataFrame:
-    """subjects(key, state), events(key, seq, verb): the last state by a table of (state, verb) -> state, how many events moved
-    it and how many were refused."""
-    table = F.create_map(*(F.lit(x) for (s, v), t in legal.items() for x in (f"{s}/{v}", t)))
-    steps = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "verb"))).alias("_steps"))
-    both = subjects.join(steps, key, "left")
-    start = F.struct(F.col(state).alias("state"), F.lit(0).alias("moved"), F.lit(0).alias("refused"))
-
-    def step(a, e):
-        to = F.try_element_at(table, F.concat_ws("/", a["state"], e["verb"]))
-        return F.struct(F.coalesce(to, a["state"]).alias("state"), (a["moved"] + F.when(to.isNull(), 0).otherwise(1)).alias("moved"), (a["refused"] + F.when(to.isNull(), 1).otherwise(0)).alias("refused"))
-
-    end = F.when(F.col("_steps").isNull(), start).otherwise(F.aggregate("_steps", start, step))
-    return both.withColumn("_e", end).select(key, F.col("_e.state").alias("state"), F.col("_e.moved").alias("n_moved"), F.col("_e.refused").alias("n_refused"))
-
+from .folds import by_table as fold, guarded_cursor, workflow  # noqa: F401
 
 # What may follow what.
 LINKS = {("suggested", "confirm"): "confirmed", ("suggested", "reject"): "rejected", ("confirmed", "reject"): "rejected", ("suggested", "correct"): "corrected", ("confirmed", "correct"): "corrected", ("rejected", "confirm"): "confirmed"}
@@ -33,28 +17,6 @@ def legal_transitions(instances: DataFrame, transitions: DataFrame) -> DataFrame
     return instances.join(transitions.withColumnRenamed("from_state", "current_state"), ["definition", "current_state"])
 
 
-def workflow(starts: DataFrame, events: DataFrame, transitions: DataFrame, final: list[str]) -> DataFrame:
-    """Instances after their events: (instance, state, status, n_events).
-
-    starts(instance, definition, state), events(instance, seq, to_state or null to cancel), transitions(definition, from_state,
-    to_state). A legal move writes two events, one into a final state three, a start two and a cancellation two; after an end
-    nothing moves.
-    """
-    ways = transitions.groupBy("definition").agg(F.collect_set(F.concat_ws(">", "from_state", "to_state")).alias("_ways"))
-    steps = events.groupBy("instance").agg(F.array_sort(F.collect_list(F.struct("seq", "to_state"))).alias("_steps"))
-    both = starts.join(ways, "definition").join(steps, "instance", "left")
-    one = lambda state, status, n: F.struct(state.alias("state"), status.alias("status"), n.alias("n"))
-    start = one(F.col("state"), F.lit("active"), F.lit(2))
-
-    def step(a, e):
-        live, way = a["status"] == "active", F.array_contains("_ways", F.concat_ws(">", a["state"], e["to_state"]))
-        moved = one(e["to_state"], F.when(e["to_state"].isin(final), "completed").otherwise("active"), a["n"] + F.when(e["to_state"].isin(final), 3).otherwise(2))
-        return F.when(live & e["to_state"].isNull(), one(a["state"], F.lit("cancelled"), a["n"] + 2)).when(live & way, moved).otherwise(a)
-
-    end = F.when(F.col("_steps").isNull(), start).otherwise(F.aggregate("_steps", start, step))
-    return both.withColumn("_e", end).select("instance", F.col("_e.state").alias("state"), F.col("_e.status").alias("status"), F.col("_e.n").alias("n_events"))
-
-
 def sync_run(chunks: DataFrame) -> DataFrame:
     """chunks(run, seq, period_end, n, failed): each run's cursor at the end of the last chunk before its first failure, what
     it persisted and its status; earlier progress stays."""
@@ -69,15 +31,3 @@ def epoch_changes(stored: DataFrame, seen: DataFrame, key: str = "mailbox") -> D
     """Mailboxes whose epoch isn't the stored one: they need recovery by hand, and nothing of them is read."""
     s = stored.select(key, F.col("epoch").alias("_was"))
     return seen.join(s, key).select(key, F.when(F.col("_was").isNull(), "new").when(F.col("_was") == F.col("epoch"), "same").otherwise("needs_recovery").alias("state"))
-
-
-def guarded_cursor(runs: DataFrame) -> DataFrame:
-    """runs(key, seq, cursor, resync): each key's cursor after its runs; it never moves back but in a resync, which sets it."""
-    steps = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "cursor", "resync"))).alias("_s"))
-    start = F.struct(F.lit(None).cast("date").alias("at"), F.lit(0).alias("refused"))
-
-    def step(a, e):
-        ok = a["at"].isNull() | (e["cursor"] >= a["at"]) | e["resync"]
-        return F.struct(F.when(ok, e["cursor"]).otherwise(a["at"]).alias("at"), (a["refused"] + F.when(ok, 0).otherwise(1)).alias("refused"))
-
-    return steps.withColumn("_e", F.aggregate("_s", start, step)).select("key", F.col("_e.at").alias("cursor"), F.col("_e.refused").alias("n_refused"))
