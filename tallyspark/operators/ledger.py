@@ -7,6 +7,9 @@ give one row each, and only these are classified.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.dates import months_between_dates
@@ -61,10 +64,6 @@ def route(rows: DataFrame, with_overhead: bool = True) -> DataFrame:
     return rows.withColumn("normalized", F.col("amount") * F.col("sign")).withColumn("bucket", bucket)
 
 
-def in_bucket(name: str):
-    return F.sum(F.when(F.col("bucket") == name, F.col("normalized")).otherwise(zero()))
-
-
 def by_account(allocations: DataFrame, classification: DataFrame, *keys: str, with_overhead: bool = True) -> DataFrame:
     """One classified and routed row for each key, batch and account: amount, n allocations and n entries."""
     keys = [k for k in keys if k not in BATCH]
@@ -72,33 +71,49 @@ def by_account(allocations: DataFrame, classification: DataFrame, *keys: str, wi
     return route(classify(one, classification), with_overhead)
 
 
-def currency_rule(rows: DataFrame, of: str, currency: str | None = None) -> DataFrame:
-    """Rows that count, with the currencies found and the one that holds for each group.
+def cells(rows: DataFrame, *keys: str, **more) -> DataFrame:
+    """Sums of routed rows by key and currency: what a batch or account was is gone. Rows whose `dated` is false only count
+    as such. A batch has one currency, so numbers of batches add up."""
+    dated = F.col("dated")
+    n = lambda c, when=dated: F.sum(F.when(when, F.col(c)).otherwise(0))
+    return rows.groupBy(*keys, "currency").agg(
+        *(F.sum(F.when(dated & (F.col("bucket") == b), F.col("normalized")).otherwise(zero())).alias(b) for b in BUCKETS),
+        n("n").alias("n_allocations"),
+        n("n", dated & (F.col("bucket") == "unclassified")).alias("n_unclassified"),
+        n("n_entries").alias("n_entries"),
+        n("n", ~dated).alias("n_undated"),
+        F.count_distinct(F.when(dated, F.col("batch_id"))).alias("n_batches"),
+        F.collect_set(F.when(dated, F.col("sync_run_id"))).alias("runs"),
+        *(c.alias(k) for k, c in more.items()),
+    )
+
+
+def currency_rule(found: DataFrame, of: list[str], currency: str | None = None) -> DataFrame:
+    """cells() with the currencies of each group, the one that holds for it, and whether the cell counts.
 
     An explicit currency leaves out all others, blank ones too. Else one currency keeps blank rows, and of a group with
-    several no row counts (`counts` is false).
+    several no row counts (`counts` is false). A group has a cell for each currency (and month), which a window may hold.
     """
-    found = F.array_sort(F.collect_set(F.nullif("currency", F.lit(""))).over(W.partitionBy(of)))
-    rows = rows.withColumn("currencies", found)
+    named = F.when(F.col("n_allocations") > 0, F.nullif("currency", F.lit("")))
+    found = found.withColumn("currencies", F.array_sort(F.collect_set(named).over(W.partitionBy(*of))))
     if currency:
-        return rows.withColumn("held", F.lit(currency)).withColumn("counts", F.col("currency") == currency)
+        return found.withColumn("held", F.lit(currency)).withColumn("counts", F.col("currency") == currency)
     one = F.size("currencies") <= 1
-    return rows.withColumn("held", F.when(F.size("currencies") == 1, F.col("currencies")[0]).otherwise("")).withColumn("counts", one)
-
-
-def totals(rows: DataFrame, *keys: str) -> DataFrame:
-    """Sums by bucket of routed rows that count, result, margin, counts and warnings for each group."""
-    r = rows.withColumn("normalized", F.when(F.col("counts"), F.col("normalized")).otherwise(0))
-    n = lambda c: F.sum(F.when(F.col("counts"), F.col(c)).otherwise(0))
-    g = r.groupBy(*keys).agg(
-        *(in_bucket(b).alias(b) for b in BUCKETS),
-        n("n").alias("n_allocations"),
-        F.sum(F.when(F.col("counts") & (F.col("bucket") == "unclassified"), F.col("n")).otherwise(0)).alias("n_unclassified"),
-        n("n_entries").alias("n_entries"),
-        F.count_distinct(F.when(F.col("counts"), F.col("batch_id"))).alias("n_batches"),
+    return found.withColumn("held", F.when(F.size("currencies") == 1, F.col("currencies")[0]).otherwise("")).withColumn("counts", one)
+
+
+def totals(ruled: DataFrame, *keys: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of the cells that count, result, margin, counts and warnings for each group."""
+    counts = F.coalesce("counts", F.lit(False))
+    n = lambda c: F.sum(F.when(counts, F.col(c)).otherwise(0)).alias(c)
+    money = lambda c: F.sum(F.when(counts, F.col(c)).otherwise(zero())).alias(c)
+    g = ruled.groupBy(*keys).agg(
+        *(money(b) for b in (*BUCKETS, *more)),
+        *(n(c) for c in ("n_allocations", "n_unclassified", "n_entries", "n_batches")),
+        F.sum("n_undated").alias("n_undated"),
         F.first("currencies").alias("currencies"),
         F.first("held").alias("currency"),
-        F.array_sort(F.collect_set(F.when(F.col("counts"), F.col("sync_run_id")))).alias("runs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(counts, F.col("runs")))))).alias("runs"),
     )
     g = g.withColumn("classified", F.col("revenue") + F.col("cost")).withColumn("result", F.col("revenue") - F.col("cost"))
     return g.withColumn("margin", margin(F.col("result"), F.col("revenue")))
@@ -110,15 +125,24 @@ def quality(mixed):
 
 def financials(allocations: DataFrame, projects: DataFrame, classification: DataFrame, start, end, currency: str | None = None, with_overhead: bool = True) -> DataFrame:
     """One row for every project: its result in a closed period, with warnings and a data quality status."""
-    own = base(allocations, projects)
-    inside = F.col("batch_date").between(day(start), day(end))
-    one = by_account(own.where(inside | F.col("batch_date").isNull()).withColumn("dated", F.col("batch_date").isNotNull()), classification, "project_id", "dated", with_overhead=with_overhead)
-    found = totals(currency_rule(one.where("dated"), "project_id", currency), "project_id")
-    undated = one.where("not dated").groupBy("project_id").agg(F.sum("n").alias("n_undated"))
-    by_code = allocations.where(inside & F.col("project_id").isNull()).groupBy("organization_id", F.col("dimension_code").alias("code")).agg(F.count("*").alias("n_by_code"))
-    both = projects.join(found, "project_id", "left").join(undated, "project_id", "left").join(by_code, ["organization_id", "code"], "left")
+    return financials_of(allocations, projects, classification, [(start, end)], currency, with_overhead).drop("period")
+
+
+def financials_of(allocations: DataFrame, projects: DataFrame, classification: DataFrame, periods: list[tuple], currency: str | None = None, with_overhead: bool = True) -> DataFrame:
+    """The same for several closed periods, which may overlap, in one pass: a row for every project and period, `period`
+    being the period's place in the list. A row without a date belongs to each."""
+    date = F.col("batch_date")
+    own = [F.when(date.between(day(a), day(b)), F.lit(i)) for i, (a, b) in enumerate(periods)]
+    in_periods = lambda rows, undated: rows.withColumn("period", F.explode(F.array_compact(F.array(*(F.when(date.isNull(), F.lit(i)).otherwise(c) if undated else c for i, c in enumerate(own))))))
+    inside = reduce(or_, (c.isNotNull() for c in own))
+    rows = in_periods(base(allocations, projects).where(inside | date.isNull()), True).withColumn("dated", date.isNotNull())
+    one = by_account(rows, classification, "project_id", "period", "dated", with_overhead=with_overhead)
+    found = totals(currency_rule(cells(one, "project_id", "period"), ["project_id", "period"], currency), "project_id", "period")
+    by_code = in_periods(allocations.where(inside & F.col("project_id").isNull()), False).groupBy("organization_id", F.col("dimension_code").alias("code"), "period").agg(F.count("*").alias("n_by_code"))
+    every = projects.withColumn("period", F.explode(F.array(*(F.lit(i) for i in range(len(periods))))))
+    both = every.join(found, ["project_id", "period"], "left").join(by_code, ["organization_id", "code", "period"], "left")
     money, counts = (*BUCKETS, "classified", "result"), ("n_allocations", "n_unclassified", "n_entries", "n_batches", "n_undated", "n_by_code")
-    both = both.select("project_id", *(F.coalesce(c, zero()).alias(c) for c in money), "margin", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), "currency", "currencies", "runs")
+    both = both.select("project_id", "period", *(F.coalesce(c, zero()).alias(c) for c in money), "margin", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), "currency", "currencies", "runs")
     mixed = F.coalesce(F.size("currencies") > 1, F.lit(False)) if not currency else F.lit(False)
     warnings = F.concat_ws(
         ",",
@@ -128,7 +152,7 @@ def financials(allocations: DataFrame, projects: DataFrame, classification: Data
         F.when(F.col("unclassified") != 0, "unclassified_amount_present"),
     )
     flat = lambda c: F.array_join(F.coalesce(c, F.array()), ",").alias(c)
-    return both.select("project_id", *money, "margin", *counts[:4], F.coalesce("currency", F.lit(currency or "")).alias("currency"), flat("currencies"), flat("runs"), warnings.alias("warnings"), quality(mixed).alias("quality"))
+    return both.select("project_id", "period", *money, "margin", *counts[:4], F.coalesce("currency", F.lit(currency or "")).alias("currency"), flat("currencies"), flat("runs"), warnings.alias("warnings"), quality(mixed).alias("quality"))
 
 
 def month_series(allocations: DataFrame, projects: DataFrame, classification: DataFrame, start, end, currency: str | None = None, with_overhead: bool = True) -> DataFrame:
@@ -137,10 +161,10 @@ def month_series(allocations: DataFrame, projects: DataFrame, classification: Da
     Columns of cost categories count rows that the result leaves out too, and overhead only where it is asked for.
     """
     inside = base(allocations, projects).where(F.col("batch_date").between(day(start), day(end))).withColumn("month", F.to_date(F.trunc("batch_date", "MM")))
-    rows = currency_rule(by_account(inside, classification, "project_id", "month", with_overhead=with_overhead), "project_id", currency)
+    rows = by_account(inside.withColumn("dated", F.lit(True)), classification, "project_id", "month", "dated", with_overhead=with_overhead)
     kinds = [*DIRECT, *(["overhead"] if with_overhead else [])]
-    of = [F.sum(F.when(F.col("counts") & (F.col("category") == k), F.col("normalized")).otherwise(zero())).alias(k) for k in kinds]
-    found = totals(rows, "project_id", "month").join(rows.groupBy("project_id", "month").agg(*of), ["project_id", "month"])
+    of = {k: F.sum(F.when(F.col("category") == k, F.col("normalized")).otherwise(zero())) for k in kinds}
+    found = totals(currency_rule(cells(rows, "project_id", "month", **of), ["project_id"], currency), "project_id", "month", more=tuple(kinds))
     spine = projects.select("project_id", F.explode(months_between_dates(day(start), day(end))).alias("m")).select("project_id", "m.*")
     both = spine.join(found, ["project_id", "month"], "left")
     money = ["revenue", *kinds, "cost", "result", "classified", "unclassified", "excluded"]

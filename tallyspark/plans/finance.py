@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators import alerts, ledger
 from ..sources import adapters as A
+from ..sources.shared import written
 from .registry import doubles, query
 
 START, END = "1993-01-15", "1997-11-20"
@@ -248,8 +249,8 @@ def shares(spark, d) -> DataFrame:
 
 def alert_facts(spark, d) -> DataFrame:
     a, p = A.allocations(spark, d), A.projects(spark, d)
-    life = ledger.financials(a, p, chart(spark), "1900-01-01", TODAY)
-    month = ledger.financials(a, p, chart(spark), TODAY[:8] + "01", TODAY)
+    both = written(ledger.financials_of(a, p, chart(spark), [("1900-01-01", TODAY), (TODAY[:8] + "01", TODAY)]), "results")
+    life, month = (both.where(F.col("period") == i).drop("period") for i in (0, 1))
     return alerts.evaluate(rules(spark), p, life, month, shares(spark, d), TODAY)
 
 
