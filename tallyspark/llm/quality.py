@@ -1,12 +1,14 @@
 """Quality rules with thresholds that adapt to each language and source; DataFrame functions only.
 
-Each document gets counts from its whole text. Ratios of them, all within 0 and 1, go into quantile sketches for every
-(lang, source): counts by bins of 1/4096, which merge by adding, to a sketch for each language and one for all. Their
-quantiles are exact to a bin and the same in every run. They become upper fences: third quartile plus ``spread`` times
-the distance from the first, at least ``least`` bins away. A group of fewer than ``min_group`` documents takes its
-language's fences, a language of fewer takes those of all documents. So that a source in which junk is common doesn't
-set its own measure, no fence is above ``slack`` times the language's. Documents are then joined to the fences of their
-group and filtered.
+Each document gets counts from its whole text. Ratios of them, all within 0 and 1, of the documents that pass the base rule
+go into quantile sketches for every (lang, source): counts by bins of 1/4096, which merge by adding, to a sketch for each
+language and one for all. Their quantiles are exact to a bin and the same in every run.
+
+Junk shows as a second crowd far above the first. So a sketch's fence lies in the widest empty stretch above its third
+quartile, a third of the way up, if that is wider than all that lies between the median and it and at least ``GAP`` bins;
+a sketch without one has no fence. A group's fence is then shrunk to its language's, and that to the one of all, by the
+number of documents that stand behind each against ``belief``. Documents are joined to the fences of their group and
+filtered.
 
 Defined cases: null or empty text has no word and fails the base rule; null lang or source is a group of its own; rows
 with equal ids are judged one by one; extra columns are ignored; an empty table gives no row.
@@ -20,15 +22,19 @@ from .common import ASCII_SPACE, documents, stage
 
 SYMBOLS = "#*$%&|<>"
 BINS = 4096
-#: ratio -> (count, what it is a share of, least distance of a fence from the third quartile in bins)
+#: Bins in which no document is, at least, between what is usual and what is not; documents that a wider sketch stands for.
+GAP, BELIEF = 256, 800
+#: ratio -> (count, what it is a share of)
 RATIOS = {
-    "symbol_ratio": ("n_symbols", "n_symbols + n_words", 400),
+    "symbol_ratio": ("n_symbols", "n_symbols + n_words"),
     # a few lines more in the divisor, so that one repeat among three lines is no verdict
-    "dup_line_ratio": ("n_dup_lines", "n_lines + 4", 800),
-    "repeat_ratio": ("n_repeat_words", "n_words", 800),
-    "echo_ratio": ("n_echo", "n_words", 400),
-    "upper_ratio": ("n_upper", "word_chars", 1000),
+    "dup_line_ratio": ("n_dup_lines", "n_lines + 4"),
+    "repeat_ratio": ("n_repeat_words", "n_words"),
+    "echo_ratio": ("n_echo", "n_words"),
+    "upper_ratio": ("n_upper", "word_chars"),
 }
+#: The base rule, which needs no sketch.
+FAILED = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
 
 #: Positions covered by windows of 8 words that occur twice or more; w: hashes of the words. array(x) with a lambda
 #: over it names a value, so that it is computed once.
@@ -72,11 +78,12 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def with_bins(counted: DataFrame) -> DataFrame:
     """counts() with the bin of each ratio."""
-    return counted.select("*", *(F.expr(f"{BINS} * {n} div greatest({of}, 1)").alias(k) for k, (n, of, _) in RATIOS.items()))
+    return counted.select("*", *(F.expr(f"{BINS} * {n} div greatest({of}, 1)").alias(k) for k, (n, of) in RATIOS.items()))
 
 
 def sketches(binned: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bin, n): the quantile sketches of every (lang, source)."""
+    """(lang, source, ratio, bin, n): the quantile sketches of every (lang, source), of rows that pass the base rule."""
+    binned = binned.where(f"NOT {FAILED}")
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), F.col(k).alias("bin")) for k in RATIOS)))
     return binned.select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.ratio", "x.bin").agg(F.count("*").alias("n"))
 
@@ -85,33 +92,36 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
 
 
-def bounds(sketch: DataFrame, spread: int, *keys: str) -> DataFrame:
-    """(*keys, ratio, size, fence) from sketches: a quartile is the first bin up to which so many rows lie."""
+def bounds(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, ratio, size, fence) from sketches: where the widest empty stretch of the upper quarter is, else BINS."""
     w = W.partitionBy(*keys, "ratio")
-    run = sketch.withColumn("up_to", F.sum("n").over(w.orderBy("bin"))).withColumn("size", F.sum("n").over(w))
-    q = run.groupBy(*keys, "ratio").agg(F.first("size").alias("size"), *(F.min(F.when(4 * F.col("up_to") >= k * F.col("size"), F.col("bin"))).alias(f"q{k}") for k in (1, 3)))
-    least = F.create_map(*(F.lit(x) for k, (_, _, n) in RATIOS.items() for x in (k, n)))
-    return q.select(*keys, "ratio", "size", (F.col("q3") + F.greatest(spread * (F.col("q3") - F.col("q1")), least[F.col("ratio")])).alias("fence"))
+    run = sketch.withColumn("up_to", F.sum("n").over(w.orderBy("bin"))).withColumn("size", F.sum("n").over(w)).withColumn("width", F.lead("bin").over(w.orderBy("bin")) - F.col("bin"))
+    first = lambda k: F.min(F.when(4 * F.col("up_to") >= k * F.col("size"), F.col("bin"))).over(w)
+    run = run.withColumn("median", first(2)).withColumn("q3", first(3))
+    wide = (F.col("bin") >= F.col("q3")) & (F.col("width") >= GAP) & (F.col("width") > F.col("bin") - F.col("median"))
+    best = F.max(F.when(wide, F.struct("width", (-F.col("bin")).alias("low"))))
+    found = run.groupBy(*keys, "ratio").agg(F.first("size").alias("size"), best.alias("x"))
+    return found.select(*keys, "ratio", "size", F.coalesce(F.expr("x.width div 3 - x.low"), F.lit(BINS)).alias("fence"))
 
 
-def fences(binned: DataFrame, spread: int = 3, min_group: int = 50, slack: int = 2) -> DataFrame:
+def fences(binned: DataFrame, belief: int = BELIEF) -> DataFrame:
     """(lang, source, n_group, <ratio>_max ...): one row for each language and source, in bins."""
     own = stage(sketches(binned), "sketches")
-    a, b, c = (bounds(merged(own, *keys), spread, *keys) for keys in (("lang", "source"), ("lang",), ()))
+    a, b, c = (bounds(merged(own, *keys), *keys) for keys in (("lang", "source"), ("lang",), ()))
     b = b.select(F.col("lang").alias("l"), F.col("ratio").alias("r"), F.col("size").alias("lang_size"), F.col("fence").alias("lang_fence"))
     c = c.select(F.col("ratio").alias("all_ratio"), F.col("fence").alias("all_fence"))
     both = a.join(b, F.col("lang").eqNullSafe(F.col("l")) & (F.col("ratio") == F.col("r"))).join(c, F.col("ratio") == F.col("all_ratio"))
-    wide = F.when(F.col("lang_size") >= min_group, F.col("lang_fence")).otherwise(F.col("all_fence"))
-    fence = F.when(F.col("size") >= min_group, F.least("fence", slack * wide)).otherwise(wide)
+    both = both.withColumn("wide", F.expr(f"(lang_size * lang_fence + {belief} * all_fence) div (lang_size + {belief})"))
+    fence = F.expr(f"(size * fence + {belief} * wide) div (size + {belief})")
     return both.groupBy("lang", "source").agg(F.first("size").alias("n_group"), *(F.max(F.when(F.col("ratio") == k, fence)).alias(f"{k}_max") for k in RATIOS))
 
 
-def judge(docs: DataFrame, spread: int = 3, min_group: int = 50, slack: int = 2) -> DataFrame:
+def judge(docs: DataFrame, belief: int = BELIEF) -> DataFrame:
     """counts() of each row with its ratios' bins, base_failed, kept and the first reason against it."""
     binned = with_bins(stage(counts(docs), "counts"))
-    limits = fences(binned, spread, min_group, slack)
+    limits = fences(binned, belief)
     both = binned.alias("d").join(limits.alias("f"), F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    failed = F.expr(FAILED)
     reason = F.when(failed, "base")
     for k in RATIOS:
         reason = reason.when(F.col(f"d.{k}") > F.col(f"{k}_max"), k)
@@ -124,7 +134,7 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 def _bins(name: str) -> str:
-    n, of, _ = RATIOS[name]
+    n, of = RATIOS[name]
     return f"{BINS} * {n} // greatest({of}, 1)"
 
 
@@ -143,13 +153,14 @@ counted AS (SELECT d.rid, doc_id, lang, source, len(w) AS n_words, length(array_
   FROM d JOIN w ON w.rid = d.rid LEFT JOIN repeats r ON r.rid = d.rid),
 lined AS (SELECT *, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines FROM counted),
 binned AS (SELECT *, {", ".join(f"{_bins(k)} AS {k}" for k in RATIOS)} FROM lined),
-long AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {k} AS bin, {least} AS least FROM binned" for k, (_, _, least) in RATIOS.items())}),
-levels AS (SELECT 'own' AS level, lang, source, ratio, bin, least FROM long UNION ALL SELECT 'lang', lang, NULL, ratio, bin, least FROM long UNION ALL SELECT 'all', NULL, NULL, ratio, bin, least FROM long),
-ranked AS (SELECT *, count(*) OVER (PARTITION BY level, lang, source, ratio ORDER BY bin) AS up_to, count(*) OVER (PARTITION BY level, lang, source, ratio) AS size FROM levels),
-quartiles AS (SELECT level, lang, source, ratio, any_value(size) AS size, any_value(least) AS least, min(bin) FILTER (WHERE 4 * up_to >= size) AS q1, min(bin) FILTER (WHERE 4 * up_to >= 3 * size) AS q3 FROM ranked GROUP BY ALL),
-fenced AS (SELECT level, lang, source, ratio, size, q3 + greatest(3 * (q3 - q1), least) AS fence FROM quartiles),
-wide AS (SELECT a.ratio, l.lang, CASE WHEN l.size >= 50 THEN l.fence ELSE a.fence END AS fence FROM fenced l JOIN fenced a ON a.ratio = l.ratio WHERE l.level = 'lang' AND a.level = 'all'),
-chosen AS (SELECT o.lang, o.source, o.ratio, CASE WHEN o.size >= 50 THEN least(o.fence, 2 * w.fence) ELSE w.fence END AS fence FROM fenced o JOIN wide w ON w.ratio = o.ratio AND w.lang IS NOT DISTINCT FROM o.lang WHERE o.level = 'own'),
-over AS (SELECT b.rid, bool_or(CASE c.ratio {" ".join(f"WHEN '{k}' THEN b.{k}" for k in RATIOS)} END > c.fence) AS out FROM binned b JOIN chosen c ON c.lang IS NOT DISTINCT FROM b.lang AND c.source IS NOT DISTINCT FROM b.source GROUP BY b.rid)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR out) AS kept
+long AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {k} AS bin FROM binned WHERE NOT {FAILED}" for k in RATIOS)}),
+levels AS (SELECT 'own' AS level, lang, source, ratio, bin FROM long UNION ALL SELECT 'lang', lang, NULL, ratio, bin FROM long UNION ALL SELECT 'all', NULL, NULL, ratio, bin FROM long),
+sized AS (SELECT level, lang, source, ratio, count(*) AS size, quantile_disc(bin, 0.5) AS median, quantile_disc(bin, 0.75) AS q3 FROM levels GROUP BY ALL),
+steps AS (SELECT *, lead(bin) OVER (PARTITION BY level, lang, source, ratio ORDER BY bin) - bin AS width FROM (SELECT DISTINCT level, lang, source, ratio, bin FROM levels)),
+gaps AS (SELECT s.level, s.lang, s.source, s.ratio, any_value(size) AS size, coalesce(arg_max(p.bin + width // 3, width * 10000 - p.bin) FILTER (WHERE p.bin >= q3 AND width >= {GAP} AND width > p.bin - median), {BINS}) AS fence
+ FROM sized s JOIN steps p ON p.level = s.level AND p.ratio = s.ratio AND p.lang IS NOT DISTINCT FROM s.lang AND p.source IS NOT DISTINCT FROM s.source GROUP BY ALL),
+wide AS (SELECT a.ratio, l.lang, (l.size * l.fence + {BELIEF} * a.fence) // (l.size + {BELIEF}) AS fence FROM gaps l JOIN gaps a ON a.ratio = l.ratio WHERE l.level = 'lang' AND a.level = 'all'),
+chosen AS (SELECT o.lang, o.source, o.ratio, (o.size * o.fence + {BELIEF} * w.fence) // (o.size + {BELIEF}) AS fence FROM gaps o JOIN wide w ON w.ratio = o.ratio AND w.lang IS NOT DISTINCT FROM o.lang WHERE o.level = 'own'),
+over AS (SELECT b.rid, coalesce(bool_or(CASE c.ratio {" ".join(f"WHEN '{k}' THEN b.{k}" for k in RATIOS)} END > c.fence), false) AS out FROM binned b LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM b.lang AND c.source IS NOT DISTINCT FROM b.source GROUP BY b.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {FAILED} AS base_failed, NOT ({FAILED} OR out) AS kept
 FROM binned b JOIN over o ON o.rid = b.rid"""

@@ -533,30 +533,32 @@ def test_op9(spark, docs, odd_dir):
         assert sorted(map(str, got)) == sorted(map(str, quality.op9(spark, d).collect()))  # the same in every run
 
 
-def test_op9_verdicts_by_exact_quantiles(spark):
-    """Each verdict by quartiles of the sorted ratios of group, language and all."""
+def test_op9_verdicts_by_sorted_ratios(spark):
+    """Each verdict by the empty stretches of the sorted ratios of group, language and all, and by label."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [r.asDict() for r in quality.judge(docs).collect()]
-    names, least = list(quality.RATIOS), [x[2] for x in quality.RATIOS.values()]
 
-    def fence(some, k, n):
+    def fence(some, k):
         x = sorted(r[k] for r in some)
-        q1, q3 = (x[-(-i * len(x) // 4) - 1] for i in (1, 3))
-        return q3 + max(3 * (q3 - q1), n)
+        median, q3 = x[-(-2 * len(x) // 4) - 1], x[-(-3 * len(x) // 4) - 1]
+        u = sorted(set(x))
+        wide = [(b - a, -a) for a, b in zip(u, u[1:]) if a >= q3 and b - a >= quality.GAP and b - a > a - median]
+        return max(wide)[0] // 3 - max(wide)[1] if wide else quality.BINS
 
-    groups, langs = defaultdict(list), defaultdict(list)
-    for r in rows:
+    groups, langs, passed = defaultdict(list), defaultdict(list), [r for r in rows if not r["base_failed"]]
+    for r in passed:
         groups[r["lang"], r["source"]].append(r)
         langs[r["lang"]].append(r)
-    limit = {}
-    for (lang, source), some in groups.items():
-        for k, n in zip(names, least):
-            wide = fence(langs[lang] if len(langs[lang]) >= 50 else rows, k, n)
-            limit[lang, source, k] = min(fence(some, k, n), 2 * wide) if len(some) >= 50 else wide
+    shrunk = lambda some, k, wide: (len(some) * fence(some, k) + quality.BELIEF * wide) // (len(some) + quality.BELIEF)
+    limit = {(lang, source, k): shrunk(some, k, shrunk(langs[lang], k, fence(passed, k))) for (lang, source), some in groups.items() for k in quality.RATIOS}
     for r in rows:
-        for k, (n, of, _) in quality.RATIOS.items():
+        for k, (n, of) in quality.RATIOS.items():
             assert r[k] == 4096 * r[n] // max(1, sum(r[x] if x in r else int(x) for x in of.split(" + ")))
-        assert r["kept"] == (not r["base_failed"] and all(r[k] <= limit[r["lang"], r["source"], k] for k in names))
+        assert r["kept"] == (not r["base_failed"] and all(r[k] <= limit[r["lang"], r["source"], k] for k in quality.RATIOS))
+    assert len({v for (*_, k), v in limit.items() if k == "symbol_ratio"}) > 5  # groups have fences of their own
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    of = lambda y: [r["kept"] for r in passed if labels.get(r["doc_id"]) == y]
+    assert np.mean(of(1)) > 0.99 and np.mean(of(0)) < 0.25
 
 
 def test_op10(spark, docs, odd_dir):
