@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.types import StringType
 
-from ..functions.text import clean_body, code_tokens, confidence_band, sentences
+from ..functions.text import clean_body, confidence_band, sentences
+from .patterns import find
 
 # The marks of each kind of candidate and how sure the kind is. A deadline is a sentence with a date.
 LEXICON = [
@@ -35,51 +36,29 @@ def evidence(rows: DataFrame, source: str) -> DataFrame:
     return rows.select("message_id", "project_id", F.lit(source).alias("source"), F.lit(CONFIDENCE[source]).alias("confidence")).distinct()
 
 
-def link_by_code(messages: DataFrame, projects: DataFrame, text: str, source: str) -> DataFrame:
-    """Messages whose text holds a project's code by itself: no letter or digit on either side.
+def _found(hits: DataFrame, sources: dict[str, str]) -> DataFrame:
+    """Evidence of what patterns.find() found, a piece for each field."""
+    table = lambda of: F.create_map(*(F.lit(x) for kv in of.items() for x in kv))
+    source = F.element_at(table(sources), F.col("field"))
+    return hits.select("message_id", F.col("pattern_id").alias("project_id"), source.alias("source"), F.element_at(table(CONFIDENCE), source).alias("confidence"))
 
-    An equi-join of the text's runs of letters and digits with the code's first one; a code that holds other marks is then
-    looked for as a whole.
-    """
-    tokens = messages.select("message_id", text, F.explode(code_tokens(F.col(text))).alias("run"))
-    codes = projects.where("code <> ''").select("project_id", F.lower("code").alias("code"), F.get(F.filter(F.split(F.lower("code"), "[^a-z0-9]+"), lambda x: x != ""), 0).alias("run"))
-    pairs = tokens.join(codes.where("run is not null"), "run")
-    escaped = F.concat(F.lit(r"(?<![a-z0-9])\Q"), "code", F.lit(r"\E(?![a-z0-9])"))
-    whole = F.when(F.col("code") == F.col("run"), F.lit(True)).otherwise(F.rlike(F.lower(text), escaped))
-    return evidence(pairs.where(whole), source)
-
-
-@F.pandas_udf(StringType())
-def normal_text(c: pd.Series) -> pd.Series:
-    """Compatibility forms composed, tags and repeated white space gone, case folded."""
-    import re
-    import unicodedata
 
-    def one(x):
-        return " ".join(re.sub(r"<[^>]+>", " ", unicodedata.normalize("NFKC", x)).split()).casefold()
+def link_by_code(messages: DataFrame, projects: DataFrame, sources: dict[str, str]) -> DataFrame:
+    """Messages of which a field holds a project's code by itself: no letter or digit on either side. sources: what a field's
+    evidence is called."""
+    codes = projects.select(F.col("project_id").alias("pattern_id"), F.col("code").alias("pattern"))
+    return _found(find(messages, "message_id", list(sources), codes, alone=True), sources)
 
-    return c.map(one, na_action="ignore")
 
+def normal_text(x: str) -> str:
+    """Compatibility forms composed, tags and repeated white space gone, case folded."""
+    return " ".join(re.sub(r"<[^>]+>", " ", unicodedata.normalize("NFKC", x)).split()).casefold()
 
-def link_by_name(messages: DataFrame, projects: DataFrame, text: str, grams: int = 4) -> DataFrame:
-    """Messages whose text holds a project's name, inside words too.
 
-    Names meet texts by one run of letters of their own, the one that the fewest texts hold, or by the whole name where it is
-    shorter; a comparison of the whole follows. So a name of common words makes no more pairs than its rarest part does.
-    """
-    names = projects.select("project_id", normal_text(F.col("name")).alias("name")).where("name <> ''")
-    m = messages.select("message_id", normal_text(F.col(text)).alias("t")).where("t <> ''")
-    sizes = sorted(r.n for r in names.select(F.least(F.length("name"), F.lit(grams)).alias("n")).distinct().collect())  # 1 to `grams`
-    if not sizes:
-        return evidence(m.where("false").select("message_id", F.lit(0).cast("long").alias("project_id")), "name")
-    runs = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array())
-    own = F.when(F.length("name") >= grams, runs(F.col("name"), grams)).otherwise(F.array("name"))
-    wanted = names.select("project_id", "name", F.explode(F.array_distinct(own)).alias("gram"))
-    held = m.select("message_id", F.explode(F.array_distinct(F.concat(*(runs(F.col("t"), n) for n in sizes)))).alias("gram"))
-    often = held.join(wanted.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
-    key = wanted.join(often, "gram", "left").groupBy("project_id", "name").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    pairs = held.join(key, "gram").select("message_id", "project_id", "name")
-    return evidence(pairs.join(m, "message_id").where(F.col("t").contains(F.col("name"))), "name")
+def link_by_name(messages: DataFrame, projects: DataFrame, fields: list[str]) -> DataFrame:
+    """Messages of which a field holds a project's name, inside words too; a piece of evidence for each field."""
+    names = projects.select(F.col("project_id").alias("pattern_id"), F.col("name").alias("pattern"))
+    return _found(find(messages, "message_id", fields, names, normal=normal_text), dict.fromkeys(fields, "name"))
 
 
 def link_by_document(attachments: DataFrame, confirmed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import dates as D, fingerprint as FP, numeric as N, text as T
 from ..operators import ledger, matching, messages as M, upsert
 from ..sources import adapters as A
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
 from ..streaming import state
 from . import allocations, finance, match, outer, text_fields, upkeep  # noqa: F401
 from .registry import QUERIES, SQL, doubles, query  # noqa: F401
@@ -78,14 +78,15 @@ def w1(spark, d):
 
 
 # Correspondence: documents as messages; a project's code stands in some of them, benchmark items are names.
-MAIL = """doc_id AS message_id, CASE WHEN doc_id % 3 = 0 THEN concat('[', 10000 + doc_id % 150 + 1, '] ', source) ELSE concat('RE: Fwd: ', source) END AS subject,
- CASE WHEN doc_id % 4 = 0 THEN concat(text, ' objekt ', 10000 + doc_id % 70 + 1, '-A.') ELSE text END AS body, doc_id // 5 AS thread_id, CASE WHEN doc_id % 6 = 0 THEN doc_id % 9 END AS document_id,
- CASE WHEN doc_id % 7 = 0 THEN concat('plan_', 10000 + doc_id % 30 + 1, '.pdf') ELSE '' END AS filename, concat('P', doc_id % 40, '@x.ee') AS sender"""
-MESSAGES = f"SELECT {MAIL} FROM documents"
+NAME = "concat('Customer#', lpad(CAST(doc_id % 90 + 1 AS STRING), 9, '0'))"
+MAIL = f"""doc_id AS message_id, concat(CASE WHEN doc_id % 3 = 0 THEN concat('[', 10000 + doc_id % 150 + 1, '] ', source) ELSE concat('RE: Fwd: ', source) END, CASE WHEN doc_id % 16 = 11 THEN concat(' <b>', {NAME}, '</b>') ELSE '' END) AS subject,
+ CASE WHEN doc_id % 4 = 0 THEN concat(text, ' objekt ', 10000 + doc_id % 70 + 1, '-A.') WHEN doc_id % 8 = 3 THEN concat(text, ' tellija ', {NAME}, 'le') ELSE text END AS body, doc_id // 5 AS thread_id,
+ CASE WHEN doc_id % 6 < 2 THEN doc_id // 6 END AS document_id, CASE WHEN doc_id % 7 = 0 THEN concat('plan_', 10000 + doc_id % 30 + 1, '.pdf') ELSE '' END AS filename, concat('P', (doc_id % 150 + 1) % 40, '@x.ee') AS sender"""
+MESSAGES = f"SELECT {MAIL} FROM documents".replace("AS STRING", "AS VARCHAR")
 
 
 def mail(spark, d):
-    exprs = text_fields._split(MAIL.replace("doc_id // 5", "doc_id div 5"))
+    exprs = text_fields._split(MAIL.replace("//", "div"))
     return A.table(spark, d, "documents").selectExpr(*exprs)
 
 
@@ -98,28 +99,46 @@ def parties(spark, d):
     return A.projects(spark, d).selectExpr("project_id", "concat('p', project_id % 40, '@X.ee') AS email", "project_id % 5 <> 0 AS is_active")
 
 
+def codes(spark, d) -> DataFrame:
+    return M.link_by_code(mail(spark, d), coded(spark, d), {"subject": "code_subject", "body": "code_body", "filename": "code_attachment"})
+
+
+def confirmed(found: DataFrame) -> DataFrame:
+    """Links by a code in the subject stand for those that someone has confirmed."""
+    return found.where("source = 'code_subject'").select("message_id", "project_id").distinct()
+
+
 def links(spark, d):
-    """All evidence of codes, and of participants in what it finds."""
+    """All evidence: codes, names, threads, documents, and participants in what these find."""
     m, p = mail(spark, d), coded(spark, d)
-    found = M.link_by_code(m, p, "subject", "code_subject").unionByName(M.link_by_code(m, p, "body", "code_body")).unionByName(M.link_by_code(m, p, "filename", "code_attachment"))
+    by_code = written(codes(spark, d), "codes")
+    sure = confirmed(by_code)
+    found = by_code.unionByName(M.link_by_name(m, p, ["subject", "body"]))
+    found = found.unionByName(M.link_by_thread(m.select("message_id", "thread_id"), sure)).unionByName(M.link_by_document(m.select("message_id", "document_id"), sure))
+    found = written(found, "evidence")
     who = m.select("message_id", M.participants("sender").alias("participants"))
-    return found, found.unionByName(M.boost_participants(found, who, parties(spark, d)))
+    return found.unionByName(M.boost_participants(found, who, parties(spark, d)))
 
 
 HELD = "regexp_matches(lower({0}), '(^|[^a-z0-9])' || code || '([^a-z0-9]|$)')"
 CODES = f"""mail AS ({MESSAGES}), own_codes AS (SELECT project_id, CASE WHEN project_id % 3 = 0 THEN lower(code) || '-a' ELSE lower(code) END code FROM projects),
 found AS ({" UNION ALL ".join(f"SELECT message_id, project_id, '{s}' AS source, 90 confidence FROM mail JOIN own_codes ON contains(lower({c}), code) AND {HELD.format(c)}" for c, s in (("subject", "code_subject"), ("body", "code_body"), ("filename", "code_attachment")))}),
-boosted AS (SELECT * FROM found UNION ALL SELECT f.message_id, f.project_id, 'participant', 5 FROM (SELECT DISTINCT message_id, project_id FROM found) f JOIN mail m USING (message_id) JOIN projects p ON p.project_id = f.project_id WHERE p.project_id % 5 <> 0 AND lower(m.sender) = lower('p' || (p.project_id % 40) || '@X.ee'))"""
+confirmed AS (SELECT DISTINCT message_id, project_id FROM found WHERE source = 'code_subject'),
+threads AS (SELECT m.message_id, min(c.project_id) project_id, 'thread' AS source, 70 confidence FROM mail m JOIN mail o ON o.thread_id = m.thread_id AND o.message_id <> m.message_id JOIN confirmed c ON c.message_id = o.message_id GROUP BY m.message_id HAVING count(DISTINCT c.project_id) = 1),
+documented AS (SELECT m.message_id, min(c.project_id) project_id, 'document' AS source, 80 confidence FROM mail m JOIN mail o ON o.document_id = m.document_id AND o.message_id <> m.message_id JOIN confirmed c ON c.message_id = o.message_id GROUP BY m.message_id HAVING count(*) = 1),
+named AS (SELECT message_id, project_id, 'name' AS source, 75 confidence FROM mail JOIN projects ON contains(lower(subject), lower(name)) UNION ALL SELECT message_id, project_id, 'name', 75 FROM mail JOIN projects ON contains(lower(body), lower(name))),
+pieces AS (SELECT * FROM found UNION ALL SELECT * FROM named UNION ALL SELECT * FROM threads UNION ALL SELECT * FROM documented),
+boosted AS (SELECT * FROM pieces UNION ALL SELECT f.message_id, f.project_id, 'participant', 5 FROM (SELECT DISTINCT message_id, project_id FROM pieces) f JOIN mail m USING (message_id) JOIN projects p ON p.project_id = f.project_id WHERE p.project_id % 5 <> 0 AND lower(m.sender) = lower('p' || (p.project_id % 40) || '@X.ee'))"""
 
 
 @query("j17_links_by_code", f", {CODES} SELECT * FROM found")
 def j17(spark, d):
-    return links(spark, d)[0]
+    return codes(spark, d)
 
 
 @query("j22_participant_evidence", f", {CODES} SELECT * FROM boosted WHERE source = 'participant'")
 def j22(spark, d):
-    return links(spark, d)[1].where("source = 'participant'")
+    return links(spark, d).where("source = 'participant'")
 
 
 NAMED = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
@@ -127,26 +146,28 @@ NAMED = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\\s+', ' ', 'g'))
 
 @query(
     "j18_links_by_name",
-    f"""WITH names AS (SELECT item_id project_id, CASE WHEN item_id % 3 = 0 THEN string_split({NAMED.format("text")}, ' ')[1] ELSE {NAMED.format("text")} END n FROM benchmark), docs AS (SELECT doc_id message_id, {NAMED.format("regexp_replace(text, '<[^>]+>', ' ', 'g')")} t FROM documents)
+    f"""WITH names AS (SELECT item_id project_id, CASE WHEN item_id % 3 = 0 THEN string_split({NAMED.format("text")}, ' ')[1] ELSE {NAMED.format("text")} END n FROM benchmark),
+docs AS (SELECT doc_id message_id, {NAMED.format("regexp_replace(f.t, '<[^>]+>', ' ', 'g')")} t FROM documents, unnest([concat(source, ' ', text[1:40]), text]) AS f(t))
 SELECT message_id, project_id, 'name' AS source, 75 confidence FROM docs JOIN names ON contains(t, n) WHERE n <> ''""",
     False,
 )
 def j18(spark, d):
-    """Whole benchmark items as names, and of one in three its first word alone."""
+    """Whole benchmark items as names, and of one in three its first word alone; a source and the first 40 letters are
+    the subject."""
     name = F.when(F.col("item_id") % 3 == 0, F.get(F.split(F.trim("text"), r"\s+"), 0)).otherwise(F.col("text"))
     names = A.table(spark, d, "benchmark").select(F.col("item_id").alias("project_id"), name.alias("name"))
-    m = A.table(spark, d, "documents").select(F.col("doc_id").alias("message_id"), F.col("text").alias("body"))
-    return M.link_by_name(m, names, "body")
+    m = A.table(spark, d, "documents").select(F.col("doc_id").alias("message_id"), F.concat("source", F.lit(" "), F.substring("text", 1, 40)).alias("subject"), F.col("text").alias("body"))
+    return M.link_by_name(m, names, ["subject", "body"])
 
 
-COMBINED = f"""{CODES}, g AS (SELECT message_id, project_id, max(confidence) best, count(*) n_evidence, arg_min(source, (CASE source WHEN 'code_subject' THEN 2 WHEN 'code_attachment' THEN 2 WHEN 'code_body' THEN 4 ELSE 7 END, -confidence, source)) AS source FROM boosted GROUP BY 1, 2),
+COMBINED = f"""{CODES}, g AS (SELECT message_id, project_id, max(confidence) best, count(*) n_evidence, arg_min(source, (CASE source WHEN 'code_subject' THEN 2 WHEN 'code_attachment' THEN 2 WHEN 'document' THEN 3 WHEN 'code_body' THEN 4 WHEN 'thread' THEN 5 WHEN 'name' THEN 6 ELSE 7 END, -confidence, source)) AS source FROM boosted GROUP BY 1, 2),
 c AS (SELECT message_id, project_id, source, n_evidence, least(100, best + 3 * (n_evidence - 1))::INTEGER confidence FROM g),
 combined AS (SELECT *, CASE WHEN confidence >= 95 THEN 'exact' WHEN confidence >= 80 THEN 'high' WHEN confidence >= 60 THEN 'medium' ELSE 'low' END band, count(*) OVER (PARTITION BY message_id) > 1 AS conflict FROM c)"""
 
 
 @query("w8_combined_evidence", f", {COMBINED} SELECT * FROM combined")
 def w8(spark, d):
-    return M.combine_evidence(links(spark, d)[1])
+    return M.combine_evidence(links(spark, d))
 
 
 @query("w5_primary_links", f", {COMBINED} SELECT message_id, project_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY project_id % 4 = 0 DESC, confidence DESC, project_id) k FROM combined) WHERE k = 1")
@@ -155,19 +176,14 @@ def w5(spark, d):
     return M.primary_link(rows).select("message_id", "project_id", "confidence")
 
 
-CONFIRMED = "confirmed AS (SELECT DISTINCT message_id, project_id FROM found WHERE source = 'code_subject')"
-
-
-@query("j19_thread_inheritance", f", {CODES}, {CONFIRMED} SELECT m.message_id, min(c.project_id) project_id, 'thread' AS source, 70 confidence FROM mail m JOIN mail o ON o.thread_id = m.thread_id AND o.message_id <> m.message_id JOIN confirmed c ON c.message_id = o.message_id GROUP BY m.message_id HAVING count(DISTINCT c.project_id) = 1")
+@query("j19_thread_inheritance", f", {CODES} SELECT * FROM threads")
 def j19(spark, d):
-    m = mail(spark, d).select("message_id", "thread_id")
-    return M.link_by_thread(m, links(spark, d)[0].where("source = 'code_subject'").select("message_id", "project_id").distinct())
+    return M.link_by_thread(mail(spark, d).select("message_id", "thread_id"), confirmed(codes(spark, d)))
 
 
-@query("j20_document_inheritance", f", {CODES}, {CONFIRMED} SELECT m.message_id, min(c.project_id) project_id, 'document' AS source, 80 confidence FROM mail m JOIN mail o ON o.document_id = m.document_id AND o.message_id <> m.message_id JOIN confirmed c ON c.message_id = o.message_id AND c.project_id % 17 = 1 GROUP BY m.message_id HAVING count(*) = 1")
+@query("j20_document_inheritance", f", {CODES} SELECT * FROM documented")
 def j20(spark, d):
-    a = mail(spark, d).select("message_id", "document_id")
-    return M.link_by_document(a, links(spark, d)[0].where("source = 'code_subject' and project_id % 17 = 1").select("message_id", "project_id").distinct())
+    return M.link_by_document(mail(spark, d).select("message_id", "document_id"), confirmed(codes(spark, d)))
 
 
 @query("m11_persisted_suggestions", f""", {COMBINED}, stored AS (SELECT message_id, project_id, CASE message_id % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' ELSE 'suggested' END status, CASE WHEN message_id % 2 = 0 THEN confidence ELSE 70 END confidence FROM combined WHERE message_id % 5 <> 0)

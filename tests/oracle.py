@@ -17,7 +17,7 @@ def _plain(v):
     return str(v)
 
 
-def difference(spark, run, sql: str, sf_dir: str) -> str | None:
+def difference(spark, run, sql: str, sf_dir: str, may_be_empty: bool = False) -> str | None:
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
     for t in TABLES:
@@ -29,6 +29,8 @@ def difference(spark, run, sql: str, sf_dir: str) -> str | None:
     mine = sorted(tuple(_plain(r[c]) for c in names) for r in df.collect())
     at = [rel.columns.index(c) for c in names]
     other = sorted(tuple(_plain(r[i]) for i in at) for r in rel.fetchall())
+    if not other and not may_be_empty:
+        return "no rows"
     if len(mine) != len(other):
         return f"{len(mine)} rows / {len(other)}"
     return next((f"{names}: {a} / {b}" for a, b in zip(mine, other) if a != b), None)

@@ -230,8 +230,8 @@ def test_mail_scores(spark):
 def test_links(spark):
     m = spark.createDataFrame([(1, "[26040] Plaza"), (2, "x126040"), (3, "See 26-104."), (4, "26-1045"), (5, "the Atlas site")], "message_id long, t string")
     p = spark.createDataFrame([(7, "26040", "Atlas"), (8, "26-104", "Straße  <b>Nord</b>")], "project_id long, code string, name string")
-    assert {(r.message_id, r.project_id) for r in messages.link_by_code(m, p, "t", "code_subject").collect()} == {(1, 7), (3, 8)}
-    assert {(r.message_id, r.project_id) for r in messages.link_by_name(m.union(spark.createDataFrame([(6, "an der STRASSE nord entlang")], m.schema)), p, "t").collect()} == {(5, 7), (6, 8)}
+    assert {(r.message_id, r.project_id) for r in messages.link_by_code(m, p, {"t": "code_subject"}).collect()} == {(1, 7), (3, 8)}
+    assert {(r.message_id, r.project_id) for r in messages.link_by_name(m.union(spark.createDataFrame([(6, "an der STRASSE nord entlang")], m.schema)), p, ["t"]).collect()} == {(5, 7), (6, 8)}
 
 
 def test_merge_roots(spark):
