@@ -187,6 +187,17 @@ def preselected(rows: DataFrame, criterion: str, source_project: int | None = No
     return rows.withColumn("suggested", rules[criterion] & ~own)
 
 
+#: Sort key -> its columns, and whether all of them fall.
+PRESELECTION = {"revenue": (["revenue", "code"], True), "code": (["code", "project_id"], False), "name": (["lower(name)", "code", "project_id"], False), "status": (["status", "code", "project_id"], False), "cost": (["cost", "code"], True)}
+
+
+def preselection_order(rows: DataFrame, sort: str, n: int) -> DataFrame:
+    """The first n of rows(project_id, code, name, status, revenue, cost) and their `position`; an unknown sort is by revenue."""
+    columns, falls = PRESELECTION.get(sort, PRESELECTION["revenue"])
+    order = [F.desc(F.expr(c)) if falls else F.asc(F.expr(c)) for c in columns]
+    return rows.orderBy(*order).limit(n).withColumn("position", F.row_number().over(W.orderBy(*order)))
+
+
 def supersede(versions: DataFrame) -> DataFrame:
     """Of the approved versions of a period and source the latest stays approved, the others are superseded."""
     approved = F.col("status") == "approved"

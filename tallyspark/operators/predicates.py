@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -26,9 +28,15 @@ def search(needle: str, columns: list[str], id_: str | None = None) -> Column:
     return ok | (F.col(id_) == int(low)) if id_ and low.isdigit() else ok
 
 
-def one_of(value: str | None, allowed: list[str], default: str) -> str:
-    """A parameter if it is allowed, else the default."""
-    return value if value in allowed else default
+def one_of(value, allowed: list[str], default: str) -> Column:
+    """A parameter, as a column, if it is allowed, else the default; so is a null."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(value.isin(allowed), value).otherwise(default)
+
+
+def either(rows: DataFrame, *conditions: Column) -> DataFrame:
+    """Rows that one condition or another lets through, each once: a null is no yes."""
+    return rows.where(reduce(or_, (F.coalesce(c, F.lit(False)) for c in conditions)))
 
 
 def overlaps(start: str, end: str, first, last) -> Column:
@@ -117,13 +125,21 @@ def chart_scale(rows: DataFrame, value: str, order: list[Column], n: int = 10) -
     return top.select("*", share(F.least(F.col(value), F.lit(0)) - low).alias("offset"), share(F.abs(F.col(value))).alias("width"))
 
 
-def nice_interval(low: float, high: float, ticks: int = 5) -> float:
-    """The least of 1, 2, 2.5, 5 and 10 times a power of ten that cuts a range into at most so many parts."""
-    if high <= low:
-        return 1.0
-    raw, scale = (high - low) / ticks, 1.0
-    while scale * 10 <= raw:
-        scale *= 10
-    while scale > raw:
-        scale /= 10
-    return next(m * scale for m in (1, 2, 2.5, 5, 10) if m * scale >= raw)
+def nice_interval(basis: Column, ticks: int = 5) -> Column:
+    """The least of 1, 2, 2.5, 5 and 10 times a power of ten that cuts a range into at most so many parts; 0 for none."""
+    target = basis.cast("double") / ticks
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(target)))
+    share = target / scale
+    factor = F.when(share <= 1, 1.0).when(share <= 2, 2.0).when(share <= 2.5, 2.5).when(share <= 5, 5.0).otherwise(10.0)
+    return F.when(target > 0, factor * scale).otherwise(0.0)
+
+
+def axis(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(*keys, low, high, interval, n_ticks): the axis of each chart's values, from 0 or a multiple of the interval below the
+    least to 0 or one above the largest; the range counts where both signs are there, else the larger side."""
+    g = rows.groupBy(*keys).agg(F.greatest(F.max(value), F.lit(0)).cast("double").alias("_high"), F.least(F.min(value), F.lit(0)).cast("double").alias("_low"))
+    g = g.withColumn("interval", nice_interval(F.col("_high") - F.col("_low")))
+    up = lambda c: F.when(F.col("interval") > 0, F.ceil(c / F.col("interval")) * F.col("interval")).otherwise(0.0)
+    g = g.withColumn("high", up(F.col("_high"))).withColumn("low", 0 - up(-F.col("_low")))
+    n = F.when(F.col("interval") > 0, F.round((F.col("high") - F.col("low")) / F.col("interval")) + 1).otherwise(0).cast("long")
+    return g.select(*keys, "low", "high", "interval", n.alias("n_ticks"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import allocation as L, ledger
 from ..sources import adapters as A
+from ..sources.shared import written
 from .finance import chart, results_sql
 from .registry import doubles, query
 
@@ -269,6 +270,19 @@ def l12(spark, d):
     return out
 
 
+SORTED = {"revenue": "revenue DESC, code DESC", "code": "code, project_id", "name": "lower(name), code, project_id", "status": "status, code, project_id", "cost": "cost DESC, code DESC"}
+
+
+@query("o9_preselection_order", f", {results_sql(FROM, TO)}, s AS (SELECT r.project_id, p.code, p.name, p.status, r.revenue, r.cost FROM results r JOIN projects p ON p.project_id = r.project_id) " + " UNION ALL ".join(f"SELECT '{k}' AS sort, project_id, row_number() OVER (ORDER BY {o}) AS position FROM s QUALIFY position <= 25" for k, o in SORTED.items()))
+def o9(spark, d):
+    rows = written(results(spark, d).join(A.projects(spark, d).select("project_id", "code", "name", "status"), "project_id").select("project_id", "code", "name", "status", "revenue", "cost"), "preselection")
+    out = None
+    for k in L.PRESELECTION:
+        part = L.preselection_order(rows, k, 25).select(F.lit(k).alias("sort"), "project_id", "position")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("a30_list_summary", f", {TABLES} SELECT (SELECT count(*) FROM versions) n, (SELECT count(*) FROM versions WHERE status = 'draft') n_draft, (SELECT count(*) FROM versions WHERE status = 'approved') n_approved, (SELECT count(*) FROM versions WHERE status = 'superseded') n_superseded, (SELECT CAST(sum(amount) AS DOUBLE) FROM alloc) total")
 def a30(spark, d):
     return doubles(L.list_summary(versions(spark, d), entries(spark, d)))

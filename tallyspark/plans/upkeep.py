@@ -37,10 +37,9 @@ def p5(spark, d):
     return A.table(spark, d, "customer").where(P.search(" 12 ", ["c_name", "c_mktsegment"], "c_custkey")).select(F.col("c_custkey").alias("id"))
 
 
-@query("p6_sort_parameter", "SELECT 'margin' AS falls_back, 'code' AS stays", False)
+@query("p6_sort_parameter", "SELECT c_custkey AS id, CASE WHEN lower(c_mktsegment) IN ('building', 'machinery') THEN lower(c_mktsegment) ELSE 'margin' END sort FROM customer", False)
 def p6(spark, d):
-    allowed = ["code", "margin"]
-    return spark.range(1).select(F.lit(P.one_of("drop table", allowed, "margin")).alias("falls_back"), F.lit(P.one_of("code", allowed, "margin")).alias("stays"))
+    return A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), P.one_of(F.lower("c_mktsegment"), ["building", "machinery"], "margin").alias("sort"))
 
 
 @query("p7_overlapping", "SELECT bill_id FROM bills WHERE bill_date <= DATE '1995-03-31' AND bill_date + 30 >= DATE '1995-03-01'")
@@ -172,10 +171,10 @@ for _name, _sql in (("u1_all_codes", "SELECT code FROM projects UNION SELECT cod
         return {"u1_all_codes": p.union(q).distinct, "u2_common_codes": lambda: p.intersect(q), "u2_other_codes": lambda: p.subtract(q)}[name]()
 
 
-@query("u3_either_scope", "SELECT DISTINCT account_code, integration_id FROM classification WHERE is_active AND organization_id = 1 AND (integration_id IS NULL OR integration_id IN (1, 2))")
+@query("u3_either_scope", "SELECT DISTINCT a.account_code, a.integration_id FROM allocations a WHERE a.organization_id = 1 AND (a.project_id IS NULL OR a.integration_id IN (1, 2) AND a.currency <> '')")
 def u3(spark, d):
-    c = A.classification(spark).where("is_active and organization_id = 1")
-    return c.where("integration_id is null").union(c.where("integration_id in (1, 2)")).select("account_code", "integration_id").distinct()
+    a = A.allocations(spark, d).where("organization_id = 1")
+    return P.either(a, F.col("project_id").isNull(), F.col("integration_id").isin(1, 2) & (F.col("currency") != "")).select("account_code", "integration_id").distinct()
 
 
 @query("u8_paged_pulls", "SELECT DISTINCT bill_id FROM bills WHERE bill_date BETWEEN DATE '1995-01-01' AND DATE '1995-03-31'")
@@ -223,10 +222,14 @@ def w13(spark, d):
     return P.chart_scale(s, "v", [F.desc("v"), F.asc("id")]).select("id", "offset", "width")
 
 
-@query("o12_axis_intervals", "SELECT 20.0::DOUBLE a, 2.5::DOUBLE b, 0.1::DOUBLE c, 1.0::DOUBLE d", False)
+AXIS = """ranges AS (SELECT c_nationkey AS nation, greatest(max(c_acctbal), 0)::DOUBLE hi, least(min(c_acctbal), 0)::DOUBLE lo FROM customer GROUP BY 1),
+steps AS (SELECT *, (hi - lo) / 5 AS target, pow(10.0, floor(log10((hi - lo) / 5))) AS scale FROM ranges),
+nice AS (SELECT *, scale * CASE WHEN target / scale <= 1 THEN 1 WHEN target / scale <= 2 THEN 2 WHEN target / scale <= 2.5 THEN 2.5 WHEN target / scale <= 5 THEN 5 ELSE 10 END AS iv FROM steps)"""
+
+
+@query("o12_axis_intervals", f"WITH {AXIS} SELECT nation, 0 - ceil(-lo / iv) * iv AS low, ceil(hi / iv) * iv AS high, iv AS interval, CAST(round((ceil(hi / iv) + ceil(-lo / iv))) + 1 AS BIGINT) AS n_ticks FROM nice", False)
 def o12(spark, d):
-    got = [P.nice_interval(0, 87), P.nice_interval(-3, 8), P.nice_interval(0, 0.5), P.nice_interval(5, 5)]
-    return spark.range(1).select(*(F.lit(float(x)).alias(n) for x, n in zip(got, "abcd")))
+    return P.axis(A.table(spark, d, "customer").withColumnRenamed("c_nationkey", "nation"), "c_acctbal", "nation")
 
 
 @query("n6_row_status", "SELECT bill_id, CASE WHEN bill_id % 4 = 0 OR paid >= amount THEN 'paid' WHEN paid > 0 THEN 'partially_paid' ELSE 'unpaid' END status FROM (SELECT *, CASE WHEN bill_id % 3 = 0 THEN 0 WHEN bill_id % 3 = 1 THEN amount ELSE 1 END paid FROM bills)")
