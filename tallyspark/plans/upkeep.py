@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dates as D, fingerprint as FP, numeric as N
-from ..operators import events as E, ledger, predicates as P, upsert as U
+from ..operators import events as E, ledger, predicates as P, trees, upsert as U
 from ..sources import adapters as A
+from ..sources.shared import shared_dir
+from ..sources.versioned import Table
 from .registry import doubles, query
 
 NOW = dt.date(1998, 6, 15)
@@ -379,6 +382,35 @@ def m17(spark, d):
     return U.last_write(o.select("key", "result").limit(0), o, "key", "result", "o_orderkey")
 
 
+# Trees: a first pull of two batches in three, then one of every second batch with other amounts and some batches and lines gone.
+TREE = """nodes AS (SELECT batch_id, CAST(batch_id AS VARCHAR) path, 'batch' kind, currency v FROM batches UNION ALL SELECT batch_id, concat(batch_id, '/', line), 'entry', CAST(min(amount) AS VARCHAR) FROM entries GROUP BY batch_id, line
+ UNION ALL SELECT batch_id, concat(batch_id, '/', line, '/', dimension_code), 'allocation', min(account_code) FROM allocations GROUP BY batch_id, line, dimension_code),
+one AS (SELECT * FROM nodes WHERE batch_id % 3 <> 0), two AS (SELECT n.batch_id, path, kind, CASE WHEN kind = 'entry' AND batch_id % 10 = 0 THEN v || '0' ELSE v END v FROM nodes n WHERE batch_id % 2 = 0),
+gone AS (SELECT CAST(batch_id AS VARCHAR) path FROM batches WHERE batch_id % 7 = 0 UNION ALL SELECT concat(batch_id, '/', line) FROM entries WHERE batch_id % 11 = 0 AND line = 2),
+put AS (SELECT coalesce(t.path, o.path) path, coalesce(t.kind, o.kind) kind, CASE WHEN t.path IS NULL THEN o.v ELSE t.v END v, CASE WHEN o.path IS NULL THEN 'created' WHEN t.path IS NULL THEN 'kept' WHEN o.v = t.v THEN 'unchanged' ELSE 'updated' END AS action
+ FROM one o FULL JOIN two t ON t.path = o.path)"""
+
+
+@query("m1_tree_upsert", f", {TREE} SELECT * FROM put b WHERE action <> 'kept' OR NOT EXISTS (SELECT 1 FROM gone g WHERE g.path IN (b.path, regexp_extract(b.path, '^[^/]*'), regexp_extract(b.path, '^[^/]*/[^/]*')))")
+def m1_tree(spark, d):
+    batches, entries = A.batches(spark, d), A.entries(spark, d)
+    levels = [(batches, "batch", ["batch_id"], "currency"), (entries, "entry", ["batch_id", "line"], "amount"), (A.allocations(spark, d), "allocation", ["batch_id", "line", "dimension_code"], "account_code")]
+    all_ = None
+    for rows, kind, ids, value in levels:
+        part = trees.nodes(rows.groupBy(*ids).agg(F.min(value).alias("v")), kind, ids, ["v"])  # lines repeat in the table
+        all_ = part if all_ is None else all_.unionByName(part)
+    number = F.col("root").cast("long")
+    table = Table(spark, f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", trees.NODE, "root", 16)
+    first = trees.upsert(table, all_.where(number % 3 != 0))
+    more = F.when((F.col("kind") == "entry") & (number % 10 == 0), F.map_from_arrays(F.array(F.lit("v")), F.array(F.concat(F.col("fields")["v"], F.lit("0"))))).otherwise(F.col("fields"))
+    second = all_.where(number % 2 == 0).withColumn("fields", more)
+    root = F.col("batch_id").cast("string").alias("root")
+    gone = batches.where("batch_id % 7 = 0").select(root, F.col("batch_id").cast("string").alias("path")).unionByName(entries.where("batch_id % 11 = 0 and line = 2").select(root, F.concat_ws("/", "batch_id", "line").alias("path")))
+    last = trees.upsert(table, second, gone, first)
+    actions = trees.compared(table.rows(first), second, gone).select("path", "action")
+    return table.rows(last).join(actions, "path").select("path", "kind", F.col("fields")["v"].alias("v"), "action")
+
+
 # Folds of ordered events: an event's type is the verb.
 VERBS = {"view": "confirm", "signup": "reject", "purchase": "correct", "error": "acknowledge", "click": "approve"}
 
