@@ -122,11 +122,13 @@ def links(spark, d):
 
 HELD = "regexp_matches(lower({0}), '(^|[^a-z0-9])' || code || '([^a-z0-9]|$)')"
 CODES = f"""mail AS ({MESSAGES}), own_codes AS (SELECT project_id, CASE WHEN project_id % 3 = 0 THEN lower(code) || '-a' ELSE lower(code) END code FROM projects),
-found AS ({" UNION ALL ".join(f"SELECT message_id, project_id, '{s}' AS source, 90 confidence FROM mail JOIN own_codes ON contains(lower({c}), code) AND {HELD.format(c)}" for c, s in (("subject", "code_subject"), ("body", "code_body"), ("filename", "code_attachment")))}),
+texts AS (SELECT message_id, 'code_subject' AS source, lower(subject) t FROM mail UNION ALL SELECT message_id, 'code_body', lower(body) FROM mail UNION ALL SELECT message_id, 'code_attachment', lower(filename) FROM mail),
+runs AS (SELECT message_id, source, t, unnest(list_filter(list_distinct(string_split_regex(t, '[^a-z0-9]+')), lambda x: regexp_matches(x, '^[0-9]+$'))) AS run FROM texts),
+found AS (SELECT message_id, project_id, source, 90 confidence FROM runs JOIN own_codes ON run = split_part(code, '-', 1) AND {HELD.format("t")}),
 confirmed AS (SELECT DISTINCT message_id, project_id FROM found WHERE source = 'code_subject'),
 threads AS (SELECT m.message_id, min(c.project_id) project_id, 'thread' AS source, 70 confidence FROM mail m JOIN mail o ON o.thread_id = m.thread_id AND o.message_id <> m.message_id JOIN confirmed c ON c.message_id = o.message_id GROUP BY m.message_id HAVING count(DISTINCT c.project_id) = 1),
 documented AS (SELECT m.message_id, min(c.project_id) project_id, 'document' AS source, 80 confidence FROM mail m JOIN mail o ON o.document_id = m.document_id AND o.message_id <> m.message_id JOIN confirmed c ON c.message_id = o.message_id GROUP BY m.message_id HAVING count(*) = 1),
-named AS (SELECT message_id, project_id, 'name' AS source, 75 confidence FROM mail JOIN projects ON contains(lower(subject), lower(name)) UNION ALL SELECT message_id, project_id, 'name', 75 FROM mail JOIN projects ON contains(lower(body), lower(name))),
+named AS (SELECT message_id, project_id, 'name' AS source, 75 confidence FROM (SELECT message_id, unnest(list_distinct(regexp_extract_all(lower(t), 'customer#[0-9]{{9}}'))) n FROM mail, unnest([subject, body]) AS f(t)) JOIN projects ON lower(name) = n),
 pieces AS (SELECT * FROM found UNION ALL SELECT * FROM named UNION ALL SELECT * FROM threads UNION ALL SELECT * FROM documented),
 boosted AS (SELECT * FROM pieces UNION ALL SELECT f.message_id, f.project_id, 'participant', 5 FROM (SELECT DISTINCT message_id, project_id FROM pieces) f JOIN mail m USING (message_id) JOIN projects p ON p.project_id = f.project_id WHERE p.project_id % 5 <> 0 AND lower(m.sender) = lower('p' || (p.project_id % 40) || '@X.ee'))"""
 

@@ -391,7 +391,7 @@ put AS (SELECT coalesce(t.path, o.path) path, coalesce(t.kind, o.kind) kind, CAS
  FROM one o FULL JOIN two t ON t.path = o.path)"""
 
 
-@query("m1_tree_upsert", f", {TREE} SELECT * FROM put b WHERE action <> 'kept' OR NOT EXISTS (SELECT 1 FROM gone g WHERE g.path IN (b.path, regexp_extract(b.path, '^[^/]*'), regexp_extract(b.path, '^[^/]*/[^/]*')))")
+@query("m1_tree_upsert", f", {TREE} SELECT * FROM put b WHERE action <> 'kept' OR NOT (path IN (SELECT path FROM gone) OR regexp_extract(path, '^[^/]*') IN (SELECT path FROM gone) OR regexp_extract(path, '^[^/]*/[^/]*') IN (SELECT path FROM gone))")
 def m1_tree(spark, d):
     batches, entries = A.batches(spark, d), A.entries(spark, d)
     levels = [(batches, "batch", ["batch_id"], "currency"), (entries, "entry", ["batch_id", "line"], "amount"), (A.allocations(spark, d), "allocation", ["batch_id", "line", "dimension_code"], "account_code")]
