@@ -24,7 +24,10 @@ def _columns(docs: DataFrame, changed=None) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that score 0.5 or more go. The lexicon is learned from the labelled rows."""
+    """Rows that score 0.5 or more go. The lexicon is learned from the labelled rows.
+
+    A null or empty text scores 0 and stays; equal rows score alike and stay or go together; other nulls change nothing.
+    """
     lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _columns(toxicity.with_score(docs, lexicon).where("_score < 0.5"))
 
@@ -42,13 +45,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages of 50 words or more that a smaller doc_id has too go."""
+    """Words of passages of 50 words or more that a smaller doc_id has too go.
+
+    A null or empty text stays as it is, and so does a row without a doc_id, which no other is smaller than; rows of one
+    doc_id keep the same words. A document of which nothing is left stays, empty.
+    """
     kept = substrings.remove_repeats(docs.select(*COLUMNS))
     return _columns(kept, F.col("_n_removed") > 0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining texts in sequences of 2048 ids."""
+    """Pieces of the remaining texts in sequences of 2048 ids.
+
+    A null or empty text is one piece that holds the end id alone; rows without a doc_id and repeated rows are packed one
+    by one; an empty table gives no row.
+    """
     return packing.pack(stage(packing.pieces(docs).drop("ids"), "pieces"))
 
 
