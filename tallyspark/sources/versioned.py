@@ -52,6 +52,11 @@ class Table:
     def folders(self, version: int) -> dict[int, str]:
         return {int(b): p for b, p in self._read(version)["buckets"].items()} if version else {}
 
+    def upto(self, version: int | None = None) -> int:
+        """The number of the last change that a version holds; -1 where its changes had none."""
+        version = self.version() if version is None else version
+        return self._read(version).get("upto", -1) if version else -1
+
     def bucket(self, key=None):
         return F.pmod(F.xxhash64(key if key is not None else F.col(self.key)), F.lit(self.buckets)).cast("int")
 
@@ -61,19 +66,26 @@ class Table:
         paths = [p for b, p in sorted(self.folders(version).items()) if buckets is None or b in buckets]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def change(self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], base: int | None = None) -> int:
-        """The version after merge(rows of the touched buckets, changes): the new rows of these buckets. changes has the key."""
+    def change(self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], base: int | None = None, number: int | None = None) -> int:
+        """The version after merge(rows of the touched buckets, changes): the new rows of these buckets. changes has the key.
+
+        number: the change's place in a log, such as the epoch of a stream; one that the table holds already changes nothing.
+        """
         base = self.version() if base is None else base
+        upto = self.upto(base)
+        if number is not None and number <= upto:
+            return base
+        number = upto if number is None else number
         touched = {r.b for r in changes.select(self.bucket().alias("b")).distinct().collect()}  # numbers of buckets
         if not touched:
-            return base
+            return base if number == upto else self.publish(base, self.folders(base), number)
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         merge(self.rows(base, touched), changes).withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(folder)
         written = {int(s.getPath().getName().partition("=")[2]) for s in self.fs.listStatus(self._at(folder)) if s.getPath().getName().startswith("bucket=")}
         folders = {b: p for b, p in self.folders(base).items() if b not in touched} | {b: f"{folder}/bucket={b}" for b in written}
-        return self.publish(base, folders)
+        return self.publish(base, folders, number)
 
-    def publish(self, base: int, folders: dict[int, str]) -> int:
+    def publish(self, base: int, folders: dict[int, str], upto: int = -1) -> int:
         """Make `folders` the version after `base`, or refuse."""
         there = self._manifests()
         newest = there[-1][0] if there else 0
@@ -84,7 +96,7 @@ class Table:
         except Exception as e:
             raise Refused(f"version {newest + 1} is being written") from e
         try:
-            out.write(bytearray((json.dumps({"base": base, "buckets": folders}) + END).encode()))
+            out.write(bytearray((json.dumps({"base": base, "upto": upto, "buckets": folders}) + END).encode()))
         finally:
             out.close()
         return newest + 1
