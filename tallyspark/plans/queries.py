@@ -11,7 +11,7 @@ from ..operators import ledger, matching, messages as M, upsert
 from ..sources import adapters as A
 from ..sources.shared import shared_dir, written
 from ..streaming import state
-from . import allocations, changes, finance, match, outer, text_fields, upkeep  # noqa: F401
+from . import allocations, changes, finance, mailboxes, match, outer, text_fields, upkeep  # noqa: F401
 from .registry import QUERIES, SQL, doubles, query  # noqa: F401
 
 def dimensions(spark, d):
