@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -297,5 +298,23 @@ def x11(spark, d):
     return out.groupBy("user_id").agg(F.max("n_moved").alias("n_moved"), (F.max("n_moved") + F.max("n_refused")).alias("n_seen"))
 
 
+LIFE = """seen AS (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('error', 'purchase') THEN 'met' WHEN event_type <> 'signup' THEN 'clear' END verb FROM events WHERE ts IS NOT NULL),
+moved AS (SELECT *, lag(verb) OVER w before FROM seen WHERE verb IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+gone AS (SELECT *, max(CASE WHEN verb = 'clear' AND before = 'met' THEN epoch_ms(ts) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) resolved FROM moved)"""
+
+
+@query(
+    "x7_stream_alert_life",
+    f"""WITH {LIFE} SELECT CAST(user_id AS VARCHAR) fingerprint, event_id seq, CASE WHEN verb = 'met' AND before = 'met' THEN 'updated' WHEN verb = 'met' AND epoch_ms(ts) < resolved + 43200000 THEN 'reopened'
+ WHEN verb = 'met' THEN 'opened' WHEN before = 'met' THEN 'resolved' ELSE 'unchanged' END AS action FROM gone UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, 'unchanged' FROM seen WHERE verb IS NULL""",
+    False,
+)
+def x7_stream(spark, d):
+    verb = "CASE WHEN event_type IN ('error', 'purchase') THEN 'met' WHEN event_type <> 'signup' THEN 'clear' END AS verb"
+    seen = events_stream(spark, d).selectExpr("CAST(user_id AS STRING) AS fingerprint", "ts", "event_id AS seq", verb, "CAST(NULL AS TIMESTAMP) AS until")
+    with state.rocks(spark):
+        return state.run_to_table(state.alert_states(seen, timedelta(hours=12)), stream_dir(spark)).select("fingerprint", "seq", "action")
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     return finance.a1(spark, d).orderBy(F.desc("revenue"), "project_id")
