@@ -1,12 +1,13 @@
-"""Mail queries: documents as MIME messages, parsed again, and a sync loop over them as a stream."""
+"""Mail and output queries: documents as MIME messages, parsed again, a sync loop over them as a stream, split outputs."""
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources import adapters as A, mail
+from ..sources import adapters as A, mail, outputs
 from ..sources.shared import shared_dir
 from .registry import query
 
@@ -50,3 +51,18 @@ def s4(spark, d) -> DataFrame:
 def x12(spark, d) -> DataFrame:
     stream = spark.readStream.schema(A.table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*")
     return mail.progress(mail.sync(stream.selectExpr(*RAW), f"{shared_dir(spark)}/mail-{uuid.uuid4().hex}"))
+
+
+KINDS = {"all": "true", "pending": "status = 'pending'", "confirmed": "status = 'confirmed'", "rejected": "status = 'rejected'", "sales": "kind = 'sale'", "large_purchases": "kind = 'purchase' AND amount > 200000"}
+
+
+@query(
+    "s14_split_outputs",
+    ", " + "kinds AS (" + " UNION ALL ".join(f"SELECT '{k}' AS output, * FROM bills WHERE {c}" for k, c in KINDS.items()) + ") SELECT output, count(*) n, CAST(sum(amount) AS DOUBLE) total, min(number) AS first_number FROM kinds GROUP BY output",
+)
+def s14(spark, d) -> DataFrame:
+    path = f"{shared_dir(spark)}/outputs-{uuid.uuid4().hex}"
+    outputs.publish(A.bills(spark, d), path, {k: F.expr(c) for k, c in KINDS.items()})
+    schema = ", ".join(f"{c} {t}" for c, t in A.bills(spark, d).dtypes)
+    found = [outputs.read(spark, path, k, schema).withColumn("output", F.lit(k)) for k in KINDS]
+    return reduce(DataFrame.unionByName, found).groupBy("output").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"), F.min("number").alias("first_number"))
