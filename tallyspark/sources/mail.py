@@ -96,7 +96,9 @@ def parts(raw: DataFrame, column: str = "content") -> DataFrame:
     @F.pandas_udf(PARTS)
     def parse(contents: pd.Series) -> pd.DataFrame:
         import re
-        from email import message_from_bytes, policy
+        from email import message_from_bytes
+        from email.errors import HeaderParseError
+        from email.header import decode_header, make_header
         from email.utils import getaddresses, parsedate_to_datetime
 
         def day(text):
@@ -106,20 +108,33 @@ def parts(raw: DataFrame, column: str = "content") -> DataFrame:
                 return None
             return at.tz_localize("UTC") if at.tzinfo is None else at.tz_convert("UTC")
 
+        def unfold(value):
+            return re.sub(r"\r?\n(?=[ \t])", "", str(value or ""))
+
+        def decoded(value):
+            """A header's text with its encoded words read; one that can't be read stays as it is."""
+            text = unfold(value)
+            if "=?" not in text:
+                return text
+            try:
+                return str(make_header(decode_header(text)))
+            except (HeaderParseError, LookupError, ValueError):
+                return text
+
         def one(raw):
             if raw is None:
                 return {"error": "no content"}
-            m = message_from_bytes(raw, policy=policy.default)
-            head = lambda name: str(m.get(name) or "")
-            people = lambda name: [{"name": n, "email": a} for n, a in getaddresses([head(name)]) if a]
+            m = message_from_bytes(raw)
+            head = lambda name: decoded(m.get(name))
+            people = lambda name: [{"name": decoded(n), "email": a} for n, a in getaddresses([unfold(m.get(name))]) if a]
             bodies, files = {}, []
             try:
                 for part in (p for p in m.walk() if not p.is_multipart()):
                     kind = part.get_content_type()
                     if part.get_content_disposition() == "attachment":
-                        files.append({"name": part.get_filename() or "", "type": kind, "size": len(part.get_payload(decode=True) or b"")})
+                        files.append({"name": decoded(part.get_filename()), "type": kind, "size": len(part.get_payload(decode=True) or b"")})
                     elif kind in ("text/plain", "text/html") and not bodies.get(kind):
-                        bodies[kind] = part.get_content()
+                        bodies[kind] = (part.get_payload(decode=True) or b"").decode(part.get_content_charset("ascii"), "replace")
             except (LookupError, ValueError) as e:
                 return {"error": f"{type(e).__name__}: {e}"}
             sender, subject = (people("From") or [{"name": "", "email": ""}])[0], head("Subject")

@@ -86,3 +86,12 @@ def test_parts(spark):
     assert rows[2].thread_key == "töö 2" and rows[2].attachments == []
     assert (rows[3].thread_key, rows[3].body_text, rows[3].sender_email, rows[3].sent_at) == ("<p@x>", "hi", "", None)
     assert rows[4].error == "no content" and rows[5].error is None and "no-such" in rows[6].error
+
+
+def test_headers(spark):
+    raw = b"From: =?utf-8?Q?M=C3=A4ri?= <m@x.ee>\r\nSubject: =?utf-8?B?w5Y=?=\r\n folded\r\nTo: a@y.ee,\r\n b@y.ee\r\nDate: never\r\nContent-Type: text/html; charset=latin-1\r\n\r\n\xf6"
+    bad = b"Subject: =?no-such?B?w5Y=?=\r\n\r\n\xc3\xb6"
+    one, two = sorted(mail.parts(spark.createDataFrame([(1, raw), (2, bad)], "uid long, content binary")).collect())
+    assert (one.sender_name, one.sender_email, one.subject, one.thread_key) == ("Märi", "m@x.ee", "Ö folded", "ö folded")
+    assert [a.email for a in one.recipients] == ["a@y.ee", "b@y.ee"] and one.sent_at is None and (one.body_text, one.body_html) == ("", "ö")
+    assert two.subject == "=?no-such?B?w5Y=?=" and two.body_text == "��" and two.error is None
