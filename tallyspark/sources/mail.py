@@ -166,19 +166,28 @@ def sync(raw: DataFrame, path: str) -> DataFrame:
     """Store what a stream of RAW rows holds now, each message once; path is a shared folder of the sync's own.
 
     A message that can't be read stops the sync: those before it in its mailbox, and all of mailboxes without a failure, are
-    stored, and the same batch is tried again next time. A batch replaces what it wrote before.
+    stored, and the same batch is tried again next time. A batch replaces what it wrote before. Messages are written once:
+    a batch without a failure is moved to its place, and only one with a failure is filtered and written again.
     """
+    jvm = raw.sparkSession._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(raw.sparkSession._jsc.hadoopConfiguration())
 
     def store(rows: DataFrame, number: int) -> None:
         out, found = f"{path}/messages/batch={number}", f"{path}/parsed/batch={number}"
         parts(rows).write.mode("overwrite").parquet(found)
         parsed = rows.sparkSession.read.parquet(found)
         failed = parsed.where("error is not null").groupBy("mailbox").agg(F.min("uid").alias("_stop"))
-        good = parsed.join(failed, "mailbox", "left").where("_stop is null or uid < _stop").drop("_stop", "error")
-        good.write.mode("overwrite").parquet(out)
         first = failed.orderBy("mailbox").first()
-        if first is not None:
-            raise SyncStopped(f"{first['mailbox']}: message {first['_stop']}")
+        if first is None:
+            fs.delete(at(out), True)
+            fs.mkdirs(at(f"{path}/messages"))
+            if not fs.rename(at(found), at(out)):
+                raise OSError(f"{found} can't be moved to {out}")
+            return
+        good = parsed.join(failed, "mailbox", "left").where("_stop is null or uid < _stop").drop("_stop")
+        good.write.mode("overwrite").parquet(out)
+        raise SyncStopped(f"{first['mailbox']}: message {first['_stop']}")
 
     query = raw.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()
@@ -186,7 +195,7 @@ def sync(raw: DataFrame, path: str) -> DataFrame:
 
 
 def stored(raw: DataFrame, path: str) -> DataFrame:
-    return raw.sparkSession.read.parquet(f"{path}/messages/batch=*")
+    return raw.sparkSession.read.parquet(f"{path}/messages/batch=*").drop("error")
 
 
 def progress(messages: DataFrame) -> DataFrame:
