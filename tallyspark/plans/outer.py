@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import adapters as A, files
+from ..sources.shared import spread
 from .registry import doubles, query
 
 IBAN = "EE382200221020145685"
@@ -34,7 +35,7 @@ def s13(spark, d):
     tag = lambda t, c: F.concat(F.lit(f"<{t}>"), c, F.lit(f"</{t}>"))
     total = F.when(F.col("bill_id") % 3 == 0, tag("PayableAmount", F.regexp_replace(F.col("amount").cast("string"), r"\.", ","))).otherwise(tag("totalsum", F.col("amount").cast("string")))
     x = F.concat(F.lit("<E xmlns='urn:x'>"), total, F.when(F.col("bill_id") % 2 == 0, F.lit("<TaxAmount>1,50</TaxAmount>")).otherwise(""), tag("IssueDate", F.date_format("bill_date", "dd.MM.yyyy")), tag("RegNumber", F.col("bill_id").cast("string")), tag("IBAN", "iban"), F.lit("</E>"))
-    return files.e_invoice(A.bills(spark, d).select("bill_id", x.alias("x")), "x", "bill_id")
+    return files.e_invoice(spread(A.bills(spark, d)).select("bill_id", x.alias("x")), "x", "bill_id")
 
 
 @query("s16_payments", f"""SELECT bill_id payment_id, CASE WHEN bill_id % 9 = 0 THEN 'amount' WHEN bill_id % 5 = 0 THEN 'iban' END error, CASE WHEN bill_id % 9 <> 0 AND bill_id % 5 <> 0 THEN CAST(amount AS DOUBLE) END amount, greatest(bill_date, DATE '1996-06-30') execution_date,

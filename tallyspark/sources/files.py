@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.fields import normal_date
@@ -148,17 +151,35 @@ E_INVOICE = {
 }
 
 
+def _tag_texts(xml: str | None, tags: list[str]) -> dict[str, str]:
+    """Tag in lower case -> whole text of the first element of that name whose own first text isn't blank; read once."""
+    wanted, out = {t.lower() for t in tags}, {}
+    for e in ET.fromstring(xml).iter() if xml is not None else ():
+        tag = e.tag.rpartition("}")[2].lower()
+        if tag in wanted and tag not in out and (e.text or next((x.tail for x in e if x.tail), "")).strip(" \t\r\n"):
+            out[tag] = "".join(e.itertext())
+    return out
+
+
 def e_invoice(raw: DataFrame, column: str, *keep: str) -> DataFrame:
     """Fields of electronic bills in XML by their first tag that is there, whatever its case and namespace."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    of = lambda tag: F.xpath_string(column, F.lit(f"string((//*[translate(local-name(), '{upper}', '{lower}') = '{tag.lower()}' and normalize-space(text()) != ''])[1])"))
-    found = {k: first_filled(*(of(t) for t in tags)) for k, tags in E_INVOICE.items()}
+    tags = [tag for of in E_INVOICE.values() for tag in of]
+    rows = raw.select(*keep, F.col(column).cast("string").alias("_xml"))
+
+    def each(batches):
+        for b in batches:
+            read = [_tag_texts(x, tags) for x in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array([r.get(t.lower()) for r in read], pa.string()) for t in tags)], [*keep, *tags])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[: len(keep)]), *(f"`{t}` string" for t in tags)])
+    texts = rows.mapInArrow(each, schema)
+    found = {k: first_filled(*(F.col(t) for t in of)) for k, of in E_INVOICE.items()}
     for k in ("amount_total", "vat_amount"):
         found[k] = normalize_amount(found[k])
     for k in ("invoice_date", "due_date"):
         found[k] = normal_date(found[k])
     found["payment_details"] = F.regexp_replace(found["payment_details"], " ", "")
-    return raw.select(*keep, *(c.alias(k) for k, c in found.items()))
+    return texts.select(*keep, *(c.alias(k) for k, c in found.items()))
 
 
 def archive_manifest(bills: DataFrame) -> DataFrame:
