@@ -8,7 +8,7 @@ from operator import or_
 
 from pyspark.sql import functions as F
 
-from .numeric import normalize_amount
+from .numeric import let, normalize_amount
 from .text import STRONG_SUFFIXES, cut_suffix, first_subject
 
 # Labels of amounts and dates, in order.
@@ -64,59 +64,73 @@ def lines(c):
     return F.split(c, r"\r\n|\n|\r")
 
 
+def trimmed(c):
+    """The lines of a text without blanks at their ends."""
+    return F.transform(lines(c), lambda x: F.trim(x))
+
+
 def last_of(c, pattern, group: int = 1):
-    found = F.regexp_extract_all(c, F.lit(pattern), group)
-    return F.coalesce(F.element_at(F.when(F.size(found) > 0, found), -1), F.lit(""))
+    return F.coalesce(F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), group), F.lit(-1)), F.lit(""))
 
 
 def labelled_amount(text, labels: list[str], vat: bool = False):
     """The last amount on the first line that holds a label and an amount; else the last one close behind a label."""
-    fits = lambda x: has_any(F.lower(x), labels) & x.rlike(AMOUNT) & (~F.lower(x).rlike(WITHOUT_VAT) if vat else F.lit(True))
+    fits = lambda x: let(F.lower(x), lambda low: has_any(low, labels) & (~low.rlike(WITHOUT_VAT) if vat else F.lit(True))) & x.rlike(AMOUNT)
     line = F.get(F.filter(lines(text), fits), 0)
     near = last_of(text, rf"(?i)(?:{'|'.join(map(re.escape, labels))})[^\d]{{0,60}}{AMOUNT}")
-    return normalize_amount(F.when(line.isNotNull(), last_of(line, AMOUNT)).otherwise(near))
+    return normalize_amount(let(line, lambda x: F.when(x.isNotNull(), last_of(x, AMOUNT)).otherwise(near)))
 
 
 def gross_amount(text, total, vat):
     """total plus vat where the text holds that amount too, else total."""
-    t, v = total.try_cast("double"), vat.try_cast("double")
-    gross = F.bround(t + v, 2)
-    seen = F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), 1), lambda x: normalize_amount(x).try_cast("double"))
-    holds = F.exists(seen, lambda x: F.coalesce(F.abs(x - gross) < 0.005, F.lit(False)))
-    return F.when((v > 0) & holds, F.format_string("%.2f", gross)).otherwise(total)
+    cents = lambda x: normalize_amount(x).try_cast("double")
+
+    def of(x):
+        t, v = x["total"].try_cast("double"), x["vat"].try_cast("double")
+        return F.struct(x["total"].alias("total"), v.alias("vat"), F.bround(t + v, 2).alias("gross"))
+
+    def pick(x):
+        holds = F.exists(F.regexp_extract_all(text, F.lit(AMOUNT), 1), lambda y: F.coalesce(F.abs(cents(y) - x["gross"]) < 0.005, F.lit(False)))
+        return F.when((x["vat"] > 0) & holds, F.format_string("%.2f", x["gross"])).otherwise(x["total"])
+
+    return let(let(F.struct(total.alias("total"), vat.alias("vat")), of), pick)
 
 
 def normal_date(c):
     """Year, month and day of d.m.y, with two or four digits of the year, or y.m.d, as yyyy-MM-dd."""
-    p = F.split(F.translate(F.trim(c), "./", "--"), "-")
-    first = F.length(p[0]) == 4
-    year = F.when(first, p[0]).when(F.length(p[2]) == 2, F.concat(F.lit("20"), p[2])).otherwise(p[2])
-    day = F.when(first, p[2]).otherwise(p[0])
-    return F.when(F.size(p) == 3, F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(p[1], 2, "0"), F.lpad(day, 2, "0"))).otherwise(c)
+
+    def of(c, p):
+        first = F.length(p[0]) == 4
+        year = F.when(first, p[0]).when(F.length(p[2]) == 2, F.concat(F.lit("20"), p[2])).otherwise(p[2])
+        day = F.when(first, p[2]).otherwise(p[0])
+        return F.when(F.size(p) == 3, F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(p[1], 2, "0"), F.lpad(day, 2, "0"))).otherwise(c)
+
+    return let(c, lambda c: let(F.split(F.translate(F.trim(c), "./", "--"), "-"), lambda p: of(c, p)))
 
 
 def labelled_date(text, labels: list[str]):
     found = F.regexp_extract(text, rf"(?i)(?:{'|'.join(map(re.escape, labels))})[^\d]{{0,40}}{DATE}", 1)
-    return F.when(found != "", normal_date(found)).otherwise("")
+    return let(found, lambda x: F.when(x != "", normal_date(x)).otherwise(""))
 
 
 def date_near_number(text):
     """The last date on the first line that names a bill and holds one, else a line that is one within three below such a line."""
     head = lambda x: x.rlike(r"(?i)\b(arve|invoice)\b")
-    all_ = F.transform(lines(text), lambda x: F.trim(x))
-    same = F.get(F.filter(all_, lambda x: head(x) & x.rlike(DATE)), 0)
-    below = F.transform(all_, lambda x, i: F.when(head(x), F.get(F.filter(F.slice(all_, i + 2, F.lit(3)), lambda y: y.rlike(rf"^{DATE}$")), 0)))
-    other = F.get(F.filter(below, lambda x: x.isNotNull()), 0)
-    return F.when(same.isNotNull(), normal_date(last_of(same, DATE))).otherwise(F.coalesce(normal_date(other), F.lit("")))
+
+    def of(all_):
+        same = F.get(F.filter(all_, lambda x: head(x) & x.rlike(DATE)), 0)
+        below = F.transform(all_, lambda x, i: F.when(head(x), F.get(F.filter(F.slice(all_, i + 2, F.lit(3)), lambda y: y.rlike(rf"^{DATE}$")), 0)))
+        other = F.get(F.filter(below, lambda x: x.isNotNull()), 0)
+        return let(same, lambda x: F.when(x.isNotNull(), normal_date(last_of(x, DATE))).otherwise(F.coalesce(normal_date(other), F.lit(""))))
+
+    return let(trimmed(text), of)
 
 
 def bill_number(text):
     """Series and number, else the first of six patterns that is found."""
     series = F.concat(F.regexp_extract(text, SERIES, 1), F.regexp_extract(text, SERIES, 2))
-    out = F.when(series != "", series)
-    for p in NUMBER_PATTERNS:
-        out = F.coalesce(out, F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit("")))
-    return F.btrim(F.coalesce(out, F.lit("")), F.lit(" .:-"))
+    out = [F.nullif(c, F.lit("")) for c in (series, *(F.regexp_extract(text, "(?i)" + p, 1) for p in NUMBER_PATTERNS))]
+    return F.btrim(F.coalesce(*out, F.lit("")), F.lit(" .:-"))
 
 
 def number_from_name(name, text):
@@ -133,20 +147,19 @@ def clean_name(c):
 def issuer_name(text, own: str):
     """A party's name by layout: below a line of seller and buyer, before a registry code on its line, or within eight lines
     above one; names that hold `own`, letters and digits alone, are the reader's own company."""
-    all_ = F.transform(lines(text), lambda x: F.trim(x))
     is_own = lambda x: F.regexp_replace(F.lower(x), "[^0-9a-z]+", "").contains(own)
     company = lambda x: F.trim(F.regexp_extract(clean_name(x), r"(?iU)^(.+?\b(?:AB|AS|OÜ|OU|UAB|SIA|GmbH|Ltd|LLC))\b", 1))
-    under = F.flatten(F.transform(all_, lambda x, i: F.when(x.rlike(r"(?i)\bseller\b.*\bbuyer\b"), F.transform(F.slice(all_, i + 2, F.lit(4)), company)).otherwise(F.array().cast("array<string>"))))
+    first = lambda xs: F.get(F.filter(xs, lambda x: F.coalesce(x, F.lit("")) != ""), 0)
+    under = lambda all_: F.flatten(F.transform(all_, lambda x, i: F.when(x.rlike(r"(?i)\bseller\b.*\bbuyer\b"), F.transform(F.slice(all_, i + 2, F.lit(4)), company)).otherwise(F.array().cast("array<string>"))))
     named = lambda x: F.when(x.rlike(NAME_AND_CODE), clean_name(F.regexp_extract(x, NAME_AND_CODE, 1)))
     good = lambda x: (x != "") & ~is_own(x) & ~x.rlike(NO_NAME) & x.rlike(FORM)
 
-    def at(x, i):
-        inline = F.when(F.coalesce((named(x) != "") & ~is_own(named(x)), F.lit(False)), named(x))
+    def at(all_, x, i):
+        inline = let(named(x), lambda n: F.when(F.coalesce((n != "") & ~is_own(n), F.lit(False)), n))
         above = F.transform(F.reverse(F.slice(all_, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8)))), clean_name)
         return F.coalesce(inline, F.when(x.rlike(REGISTRY), F.get(F.filter(above, good), 0)))
 
-    first = lambda xs: F.get(F.filter(xs, lambda x: F.coalesce(x, F.lit("")) != ""), 0)
-    return F.coalesce(first(under), first(F.transform(all_, at)), F.lit(""))
+    return let(trimmed(text), lambda all_: F.coalesce(first(under(all_)), first(F.transform(all_, lambda x, i: at(all_, x, i))), F.lit("")))
 
 
 def _window(all_, name, size: int, pattern: str):
@@ -156,15 +169,18 @@ def _window(all_, name, size: int, pattern: str):
 
 
 def tax_number(text, name):
-    all_ = F.transform(lines(text), lambda x: F.trim(x))
-    return F.upper(F.coalesce(_window(all_, name, 8, TAX), last_of(text, TAX)))
+    spot = let(trimmed(text), lambda all_: let(name, lambda n: _window(all_, n, 8, TAX)))
+    return F.upper(F.coalesce(spot, last_of(text, TAX)))
 
 
 def registry_code(text, name, own: str):
-    all_ = F.transform(lines(text), lambda x: F.trim(x))
     is_own = lambda x: F.regexp_replace(F.lower(x), "[^0-9a-z]+", "").contains(own)
-    other = F.get(F.filter(all_, lambda x: x.rlike(REGISTRY) & ~is_own(x)), 0)
-    return F.coalesce(_window(all_, name, 6, REGISTRY), F.regexp_extract(other, REGISTRY, 1), F.lit(""))
+
+    def of(all_):
+        other = F.get(F.filter(all_, lambda x: x.rlike(REGISTRY) & ~is_own(x)), 0)
+        return F.coalesce(let(name, lambda n: _window(all_, n, 6, REGISTRY)), F.regexp_extract(other, REGISTRY, 1), F.lit(""))
+
+    return let(trimmed(text), of)
 
 
 def account_number(text):
@@ -180,21 +196,21 @@ def account_number(text):
 
 def extract(text, own: str):
     """All fields of a bill's text as a struct."""
-    t = compact(text)
-    name = issuer_name(t, own)
-    vat = labelled_amount(t, VAT_LABELS, vat=True)
-    when = labelled_date(t, DATE_LABELS)
-    return F.struct(
-        name.alias("issuer_name"),
-        bill_number(t).alias("invoice_number"),
-        gross_amount(t, labelled_amount(t, TOTAL_LABELS), vat).alias("amount_total"),
-        vat.alias("vat_amount"),
-        account_number(t).alias("payment_details"),
-        labelled_date(t, DUE_LABELS).alias("due_date"),
-        F.when(when != "", when).otherwise(date_near_number(t)).alias("invoice_date"),
-        registry_code(t, name, own).alias("issuer_reg_code"),
-        tax_number(t, name).alias("issuer_vat_no"),
-    )
+
+    def of(t, name, vat):
+        return F.struct(
+            name.alias("issuer_name"),
+            bill_number(t).alias("invoice_number"),
+            gross_amount(t, labelled_amount(t, TOTAL_LABELS), vat).alias("amount_total"),
+            vat.alias("vat_amount"),
+            account_number(t).alias("payment_details"),
+            labelled_date(t, DUE_LABELS).alias("due_date"),
+            let(labelled_date(t, DATE_LABELS), lambda day: F.when(day != "", day).otherwise(date_near_number(t))).alias("invoice_date"),
+            registry_code(t, name, own).alias("issuer_reg_code"),
+            tax_number(t, name).alias("issuer_vat_no"),
+        )
+
+    return let(compact(text), lambda t: let(issuer_name(t, own), lambda name: let(labelled_amount(t, VAT_LABELS, vat=True), lambda vat: of(t, name, vat))))
 
 
 def merge(first, second, names: list[str]):

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+def let(c, f):
+    """f of c's value: c is computed once, however often f names it, inside of lambdas too."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def parse_decimal(c):
     """Comma for the point; what is no number is 0."""
     return F.coalesce(F.regexp_replace(c, ",", ".").try_cast("decimal(20,6)"), F.lit(0).cast("decimal(20,6)"))
@@ -12,9 +17,8 @@ def parse_decimal(c):
 
 def normalize_amount(c):
     """Text without spaces; with both marks dots are thousands; the comma is the decimal mark."""
-    c = F.regexp_replace(c, "[  ]", "")
-    both = c.contains(",") & c.contains(".")
-    return F.regexp_replace(F.when(both, F.regexp_replace(c, r"\.", "")).otherwise(c), ",", ".")
+    dots = lambda c: F.when(c.contains(",") & c.contains("."), F.regexp_replace(c, r"\.", "")).otherwise(c)
+    return F.regexp_replace(let(F.regexp_replace(c, "[  ]", ""), dots), ",", ".")
 
 
 def amounts_equal(a, b, cents: float = 0.01):
