@@ -41,9 +41,10 @@ def margin(result, revenue):
     return F.when(revenue != 0, F.bround(result.cast("double") / revenue.cast("double") * 100, 2))
 
 
-def display_amount(c):
-    """1 234,56: half up to 2 places, spaces for thousands."""
-    return F.translate(F.format_number(F.round(c, 2), 2), ",.", " ,")
+def display_amount(c, grouping: bool = True):
+    """1 234,56: half up to 2 places, spaces for thousands unless grouping is off."""
+    shown = F.round(c, 2)
+    return F.translate(F.format_number(shown, 2) if grouping else shown.cast("decimal(38,2)").cast("string"), ",.", " ,")
 
 
 def row_status(flag_text, total, paid):
@@ -52,9 +53,9 @@ def row_status(flag_text, total, paid):
     return F.when(is_paid, "paid").when((paid > 0) & (paid < total), "partially_paid").otherwise("unpaid")
 
 
-def display_percent(c):
+def display_percent(c, grouping: bool = True):
     """12,50%, or - for null."""
-    return F.coalesce(F.concat(display_amount(c), F.lit("%")), F.lit("-"))
+    return F.coalesce(F.concat(display_amount(c, grouping), F.lit("%")), F.lit("-"))
 
 
 def flag(c):
