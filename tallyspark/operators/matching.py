@@ -61,12 +61,13 @@ def _both(kind: str, c):
 
 
 def held_names(names: DataFrame, others: DataFrame, shorter: bool = False) -> DataFrame:
-    """(party, held): the others(party) that are parts of each of names(party), all distinct; shorter: only true parts.
+    """(party, held): the others(party) that are parts of each of names(party), all distinct; shorter: only true parts. An empty
+    text is no part.
 
     Parts are looked up among the others as whole texts, of the lengths these have: there are no more pairs than parts.
     """
     sizes = others.agg(F.collect_set(F.length("party")).alias("sizes"))
-    parts = F.expr(f"""array_distinct(flatten(transform(filter(sizes, n -> n {'<' if shorter else '<='} length(party)),
+    parts = F.expr(f"""array_distinct(flatten(transform(filter(sizes, n -> n > 0 AND n {'<' if shorter else '<='} length(party)),
      n -> transform(sequence(1, length(party) - n + 1), i -> substr(party, i, n)))))""")
     found = names.crossJoin(sizes).select("party", F.explode(parts).alias("held"))
     return found.join(others.select(F.col("party").alias("held")), "held").select("party", "held")
