@@ -1,13 +1,14 @@
 """Many patterns in many texts: one automaton over all patterns reads each text once.
 
-Patterns up to HELD letters in all, counted first, go to the tasks as one list; more are dealt by a hash into shards of
+Patterns up to HELD letters in all, counted first, go to the tasks as one Arrow table; more are dealt by a hash into shards of
 about that size, of which each reads the texts once more. No text, and no part of one, is shuffled: what leaves a task is
 the patterns found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -19,17 +20,21 @@ HELD = 2_000_000
 class Automaton:
     """Ids of patterns by text; `alone`: no letter a-z or digit may stand on either side."""
 
-    def __init__(self, patterns: list[tuple[int, str]], alone: bool):
+    def __init__(self, patterns: Iterable[tuple[int, str]], alone: bool):
         import ahocorasick
 
-        self.alone, self.found = alone, ahocorasick.Automaton()
-        ids: dict[str, list[int]] = {}
+        self.alone, self.found = alone, ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        # a pattern's number in the automaton -> its length and first id; the other ids of a pattern that occurs again
+        self.sizes, self.first, self.more = array("q"), array("q"), {}
         for i, p in patterns:
-            ids.setdefault(p, []).append(i)
-        ids.pop("", None)
-        for p, of in ids.items():
-            self.found.add_word(p, (len(p), of))
-        self.empty = not ids
+            k = self.found.get(p, -1) if p else None
+            if k == -1:
+                self.found.add_word(p, len(self.first))
+                self.sizes.append(len(p))
+                self.first.append(i)
+            elif k is not None:
+                self.more.setdefault(k, []).append(i)
+        self.empty = not self.first
         self.found.make_automaton()
 
     @staticmethod
@@ -40,13 +45,27 @@ class Automaton:
         out: set[int] = set()
         if self.empty:
             return out
-        for end, (n, of) in self.found.iter(text):
+        for end, k in self.found.iter(text):
+            n = self.sizes[k]
             if self.alone and (end >= n and self._joins(text[end - n]) or end + 1 < len(text) and self._joins(text[end + 1])):
                 continue
-            out.update(of)
+            out.add(self.first[k])
+            out.update(self.more.get(k, ()))
         return out
 
 
+def _packed(patterns: DataFrame, normal: Callable[[str], str]) -> pa.Table:
+    """patterns(pattern_id, pattern) as one Arrow table of normal patterns: objects live for a slice at a time only."""
+    own = patterns.toArrow()
+    slices = [pa.record_batch([b.column(0), pa.array([normal(x) for x in b.column(1).to_pylist()], pa.string())], ["id", "pattern"]) for b in own.to_batches(max_chunksize=10_000)]
+    return pa.Table.from_batches(slices, pa.schema([("id", pa.int64()), ("pattern", pa.string())]))
+
+
+def _pairs(packed: pa.Table) -> Iterator[tuple[int, str]]:
+    for b in packed.to_batches(max_chunksize=10_000):
+        yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+
+
 def find(rows: DataFrame, key: str, fields: list[str], patterns: DataFrame, alone: bool = False, normal: Callable[[str], str] = str.lower, held: int | None = None) -> DataFrame:
     """(key, field, pattern_id): which of patterns(pattern_id, pattern) stand in which fields of rows; `normal` makes patterns
     and texts comparable. An empty or null pattern, and a null text, is found nowhere."""
@@ -57,9 +76,9 @@ def find(rows: DataFrame, key: str, fields: list[str], patterns: DataFrame, alon
     given = rows.select(F.col(key).cast("long").alias(key), *fields)
     schema = f"{key} long, field string, pattern_id long"
 
-    def searched(some: list[tuple[int, str]]) -> DataFrame:
+    def searched(some: pa.Table) -> DataFrame:
         def each(batches):
-            machine = Automaton(some, alone)
+            machine = Automaton(_pairs(some), alone)
             for b in batches:
                 ids = b.column(0).to_pylist()
                 for f, column in zip(fields, b.columns[1:]):
@@ -70,7 +89,7 @@ def find(rows: DataFrame, key: str, fields: list[str], patterns: DataFrame, alon
         return given.mapInArrow(each, schema)
 
     out = None
-    for k in range(shards):  # each list is bounded by `held` letters
-        part = searched([(r.pattern_id, normal(r.pattern)) for r in own.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k).collect()])
+    for k in range(shards):  # each table is bounded by `held` letters
+        part = searched(_packed(own.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k), normal))
         out = part if out is None else out.unionByName(part)
     return out
