@@ -32,8 +32,9 @@ class Weights:
     number_of: str = "right"  # the side whose number is looked for among the other's tokens
 
 
-#: Right rows that a key may have and still be joined alone.
-LIGHT = 64
+#: Right rows that a key may have and still be joined alone: a left row meets up to so many for each of its values, so the
+#: limit is what pairs can grow to.
+LIGHT = 8
 BANK_BILL = Weights(50, 45, 35, 20, account=35)
 LEDGER_BANK = Weights(50, 45, 35, 30, company=True, number_of="left")
 LEDGER_MAIL = Weights(45, 50, 35, 20, number_of="left")
@@ -164,9 +165,10 @@ def score(pairs: DataFrame, w: Weights) -> DataFrame:
 
 
 def best_matches(left: DataFrame, right: DataFrame, w: Weights, threshold: int = 50, light: int | None = None) -> DataFrame:
-    """(l, r, score, reasons): the best right row of each left row that reaches the threshold; ties go to the first."""
+    """(l, r, score, reasons): the best right row of each left row that reaches the threshold; ties go to the first. left may be
+    keyed() already, for several matches of equal evidence on its side."""
     tag = lambda df, t: df.select(*(F.col(c).alias(f"{t}_{c}" if c != "id" else t) for c in df.columns if c != "kind"))
-    left, right = keyed(left, w, True), keyed(right, w, False)
+    left, right = left if "keys" in left.columns else keyed(left, w, True), keyed(right, w, False)
     pairs = candidates(left, right, w, threshold, light)
     plain = ["id", "amount", "party", "number", "account", "tokens", "tie"]
     pairs = pairs.join(tag(left.select(*plain), "l"), "l").join(tag(right.select(*plain), "r"), "r")

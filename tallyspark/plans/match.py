@@ -42,12 +42,12 @@ def mail_side(spark, d) -> DataFrame:
     return M.side(mail(spark, d), "bill_id", "amount", "issuer", ["number", "subject", "attachment_names"], "number", order=["bill_date"])
 
 
-def to_bank(spark, d, threshold: int = 50) -> DataFrame:
-    return M.best_matches(ledger_side(spark, d), bank_side(spark, d, debits=True), M.LEDGER_BANK, threshold)
+def to_bank(spark, d, threshold: int = 50, rows: DataFrame | None = None) -> DataFrame:
+    return M.best_matches(ledger_side(spark, d) if rows is None else rows, bank_side(spark, d, debits=True), M.LEDGER_BANK, threshold)
 
 
-def to_mail(spark, d) -> DataFrame:
-    return M.best_matches(ledger_side(spark, d), mail_side(spark, d), M.LEDGER_MAIL)
+def to_mail(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    return M.best_matches(ledger_side(spark, d) if rows is None else rows, mail_side(spark, d), M.LEDGER_MAIL)
 
 
 TOK = r"""list_sort(list_distinct(list_filter(list_transform(list_transform(regexp_extract_all(lower({0}), '\b[a-z]{{0,8}}\d[a-z0-9./-]{{2,}}\b'), lambda x: trim(x, ' ._-')),
@@ -104,7 +104,8 @@ COMPARED = f""", {SIDES}, {J9}, {J10}, compared AS (SELECT l.id, payment_status,
 
 
 def compared(spark, d):
-    bank, mails = to_bank(spark, d), to_mail(spark, d)
+    rows = M.keyed(ledger_side(spark, d), M.LEDGER_BANK, True)  # the same keys for LEDGER_MAIL: texts are read once
+    bank, mails = to_bank(spark, d, rows=rows), to_mail(spark, d, rows=rows)
     return M.comparison(ledger(spark, d).select(F.col("bill_id").alias("id"), "payment_status"), bank, mails), bank, mails
 
 

@@ -79,6 +79,24 @@ def test_candidates_are_linear(spark):
     assert counts[1] < 3 * counts[0]
 
 
+def test_candidates_of_repeated_amounts(spark):
+    """60 right rows of each amount and no other evidence: a left row meets few of them, the first among these."""
+    own = lambda at, n: spark.createDataFrame([(k, "a", Decimal(100 + k % 5), f"p{at}{k}", None, None, [f"{at}{k}"], (k,)) for k in range(n)], SIDE)
+    left, right = own("l", 50), own("r", 300)
+    pairs = M.candidates(M.keyed(left, M.LEDGER_BANK, True), M.keyed(right, M.LEDGER_BANK, False), M.LEDGER_BANK, 50)
+    assert pairs.count() <= 10 * left.count()
+    assert {(x.l, x.r) for x in M.best_matches(left, right, M.LEDGER_BANK).collect()} == {(k, k % 5) for k in range(50)}
+
+
+def test_keyed_side_serves_both_matches(spark):
+    """A ledger side keyed once gives what a side keyed for each match gives."""
+    rng = np.random.default_rng(5)
+    left, right = (spark.createDataFrame(rows(rng, n, 12, 5), SIDE) for n in (60, 80))
+    once = M.keyed(left, M.LEDGER_BANK, True)
+    for w in (M.LEDGER_BANK, M.LEDGER_MAIL):
+        assert set(M.best_matches(once, right, w).collect()) == set(M.best_matches(left, right, w).collect())
+
+
 def test_names_within_names(spark):
     frame = lambda names: spark.createDataFrame([(x,) for x in names], "party string")
     longer, shorter = ["ab", "xabx", "abc", "a", "zz"], ["ab", "a", "bx", "zzz", ""]
