@@ -8,7 +8,7 @@ one version or none.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 NODE = "root string, path string, kind string, fields map<string,string>"
 
@@ -27,14 +27,18 @@ def _entries(c):
 def compared(stored: DataFrame, incoming: DataFrame, removed: DataFrame) -> DataFrame:
     """Every node of either side with its `action`: created, updated, unchanged, kept or removed. removed(root, path). A path
     stands once on each side."""
-    gone = removed.groupBy("root").agg(F.collect_set("path").alias("_gone"))
-    i = incoming.select("root", "path", F.col("kind").alias("_kind"), F.col("fields").alias("_fields"))
-    both = stored.join(i, ["root", "path"], "full_outer").join(gone, "root", "left")
-    out = F.exists(F.coalesce("_gone", F.array().cast("array<string>")), lambda g: (F.col("path") == g) | F.startswith(F.col("path"), F.concat(g, F.lit("/"))))
-    new = F.col("_kind").isNotNull()
-    same = _entries("fields").eqNullSafe(_entries("_fields"))
-    action = F.when(new & F.col("kind").isNull(), "created").when(new & same, "unchanged").when(new, "updated").when(out, "removed").otherwise("kept")
-    return both.select("root", "path", F.coalesce("_kind", "kind").alias("kind"), F.when(new, F.col("_fields")).otherwise(F.col("fields")).alias("fields"), action.alias("action"))
+    node, no_node = F.struct("kind", "fields"), F.lit(None).cast("struct<kind:string,fields:map<string,string>>")
+    part = lambda rows, old, new, out: rows.select("root", "path", old.alias("_old"), new.alias("_new"), F.lit(out).alias("_out"))
+    rows = part(stored, node, no_node, False).unionByName(part(incoming, no_node, node, False)).unionByName(part(removed, no_node, no_node, True))
+    # one shuffle by root: paths of both sides meet in it, and so do the paths that its removed ones hold
+    one = rows.repartition("root").groupBy("root", "path").agg(F.first("_old", True).alias("_old"), F.first("_new", True).alias("_new"), F.max("_out").alias("_out"))
+    one = one.withColumn("_gone", F.collect_set(F.when(F.col("_out"), F.col("path"))).over(W.partitionBy("root")))
+    old, new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    out = F.exists("_gone", lambda g: (F.col("path") == g) | F.startswith(F.col("path"), F.concat(g, F.lit("/"))))
+    same = _entries(F.col("_old.fields")).eqNullSafe(_entries(F.col("_new.fields")))
+    action = F.when(new & ~old, "created").when(new & same, "unchanged").when(new, "updated").when(out, "removed").otherwise("kept")
+    newest = F.coalesce("_new", "_old")
+    return one.where(old | new).select("root", "path", F.coalesce("_new.kind", "_old.kind").alias("kind"), newest["fields"].alias("fields"), action.alias("action"))
 
 
 def upsert(table, incoming: DataFrame, removed: DataFrame | None = None, base: int | None = None) -> int:

@@ -80,7 +80,7 @@ class Table:
         if not touched:
             return base if number == upto else self.publish(base, self.folders(base), number)
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        merge(self.rows(base, touched), changes).withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        merge(self.rows(base, touched), changes).withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(folder)
         written = {int(s.getPath().getName().partition("=")[2]) for s in self.fs.listStatus(self._at(folder)) if s.getPath().getName().startswith("bucket=")}
         folders = {b: p for b, p in self.folders(base).items() if b not in touched} | {b: f"{folder}/bucket={b}" for b in written}
         return self.publish(base, folders, number)

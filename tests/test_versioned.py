@@ -83,3 +83,14 @@ def test_actions(spark):
     got = {r.path: r.action for r in trees.compared(stored, incoming, removed).collect()}
     assert got == {"b": "unchanged", "b/e": "updated", "b/e/a": "kept", "c": "removed", "c/e": "removed", "d": "created"}
     assert trees.nodes(spark.createDataFrame([("a/b", 1, 2.5)], "k string, n int, v double"), "entry", ["k", "n"], ["v"]).select("root", "path", F.col("fields")["v"]).first()[:] == ("a%2Fb", "a%2Fb/1", "2.5")
+
+
+def test_one_shuffle_compares(spark):
+    """Both sides and the removed paths meet by their root in one shuffle; a removed branch goes, but for what comes in."""
+    stored = frame(spark, {"b1": {"v": "1"}, "b1/2": {"v": "1"}, "b1/2/x": {"v": "1"}, "b1/20": {"v": "1"}, "b2": {"v": "1"}})
+    incoming = frame(spark, {"b1/2/y": {"v": "2"}, "b2": {"v": "1"}, "b1": {"v": "3"}})
+    removed = spark.createDataFrame([("b1", "b1/2"), ("b2", "b2"), ("b3", "b3")], "root string, path string")
+    done = trees.compared(stored, incoming, removed)
+    got = {r.path: (r.action, r.fields["v"]) for r in done.collect()}
+    assert got == {"b1": ("updated", "3"), "b1/2": ("removed", "1"), "b1/2/x": ("removed", "1"), "b1/20": ("kept", "1"), "b1/2/y": ("created", "2"), "b2": ("unchanged", "1")}
+    assert str(done._jdf.queryExecution().executedPlan().toString()).split("== Initial Plan ==")[-1].count("Exchange ") == 1
