@@ -18,6 +18,8 @@ ADDRESS = "array<struct<name:string,email:string>>"
 PARTS = f"""internet_message_id string, thread_key string, subject string, sender_email string, sender_name string, recipients {ADDRESS}, cc {ADDRESS}, bcc {ADDRESS},
  sent_at timestamp, body_text string, body_html string, attachments array<struct<name:string,type:string,size:long>>, error string"""
 
+#: Bytes of messages that are parsed before their parts leave the task's Python.
+SLICE = 4_000_000
 COLUMNS = "internet_message_id thread_key subject sender_email sender_name recipients cc bcc sent_at body_text body_html attachments error".split()
 
 
@@ -90,11 +92,11 @@ def parts(raw: DataFrame, column: str = "content") -> DataFrame:
     """MIME bytes -> headers, addresses, both bodies and the attachments' names, types and sizes, in the place of `column`.
 
     The thread is the message's references, else what it answers, else its subject without re:, fw: and fwd:. A message
-    without bytes, or one whose text can't be decoded, has an error and nulls.
+    without bytes, or one whose text can't be decoded, has an error and nulls. A task holds the parts of SLICE bytes of
+    messages at a time, however many rows a batch has.
     """
 
-    @F.pandas_udf(PARTS)
-    def parse(contents: pd.Series) -> pd.DataFrame:
+    def parsed(contents: pd.Series) -> pd.DataFrame:
         import re
         from email import message_from_bytes
         from email.errors import HeaderParseError
@@ -158,6 +160,20 @@ def parts(raw: DataFrame, column: str = "content") -> DataFrame:
         out["sent_at"] = pd.to_datetime(out["sent_at"], utc=True)
         return out
 
+    most = SLICE
+
+    @F.pandas_udf(PARTS)
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for contents in batches:
+            start = held = 0
+            for i, raw in enumerate(contents):
+                n = len(raw or b"")
+                if i > start and held + n > most:
+                    yield parsed(contents.iloc[start:i])
+                    start, held = i, 0
+                held += n
+            yield parsed(contents.iloc[start:])
+
     others = [c for c in raw.columns if c != column]
     return raw.withColumn("_m", parse(column)).select(*others, "_m.*")
 

@@ -95,3 +95,14 @@ def test_headers(spark):
     assert (one.sender_name, one.sender_email, one.subject, one.thread_key) == ("Märi", "m@x.ee", "Ö folded", "ö folded")
     assert [a.email for a in one.recipients] == ["a@y.ee", "b@y.ee"] and one.sent_at is None and (one.body_text, one.body_html) == ("", "ö")
     assert two.subject == "=?no-such?B?w5Y=?=" and two.body_text == "��" and two.error is None
+
+
+@pytest.mark.parametrize("most", [1, 2_000_000, 4_000_000])
+def test_messages_are_parsed_in_slices(spark, monkeypatch, most):
+    """Rows of a batch are dealt by their bytes; all come back in order, empty ones and none too."""
+    monkeypatch.setattr(mail, "SLICE", most)
+    big = b"Subject: s\r\n\r\n" + b"x" * 1_500_000
+    rows = spark.createDataFrame([(k, None if k % 5 == 4 else b"Subject: %d\r\n\r\nb" % k if k % 2 else big) for k in range(12)], "uid long, content binary").coalesce(1)
+    got = {r.uid: (r.subject, r.error, r.n) for r in mail.parts(rows).selectExpr("uid", "subject", "error", "length(body_text) AS n").collect()}
+    assert got == {k: (None, "no content", None) if k % 5 == 4 else (str(k), None, 1) if k % 2 else ("s", None, 1_500_000) for k in range(12)}
+    assert mail.parts(rows.limit(0)).count() == 0
