@@ -7,6 +7,7 @@ every window around them is hashed with 128 bits, and a window goes where a smal
 
 Before each shuffle a task settles what its own documents decide: a passage that many of them share leaves a task as one
 row, so no key gathers more rows than there are task chunks (or than one document repeats it). Positions travel packed.
+Shuffle files of a stage go when its table is written.
 
 Defined cases: null, empty or short text loses nothing; windows within one document don't count; rows with a null doc_id
 stay as they are and remove nothing elsewhere; rows of equal doc_id do not remove each other's words; extra columns stay;
@@ -231,8 +232,10 @@ def _by_hash(rows: DataFrame, anchors: bool) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
     """(doc_id, tkey, spots): for documents that lose words, the packed starts of the windows that a smaller doc_id has."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tkey")).where("doc_id is not null and text is not null")
-    near = stage(_by_hash(texts.mapInArrow(_anchors(window, period, difference_cover(period)), ANCHORS), True), "anchors")
-    both = texts.join(near, ["doc_id", "tkey"]).select("doc_id", "text", "tkey", "spots")
+    # anchors only say where to look, so 16 bits of a row's key do to tell rows of equal doc_id apart
+    few = F.col("tkey").bitwiseAND(0xFFFF)
+    near = stage(_by_hash(texts.withColumn("tkey", few).mapInArrow(_anchors(window, period, difference_cover(period)), ANCHORS), True), "anchors")
+    both = texts.withColumn("few", few).join(near.withColumnRenamed("tkey", "few"), ["doc_id", "few"]).select("doc_id", "text", "tkey", "spots")
     return stage(_by_hash(both.mapInArrow(_windows(window, period), ANCHORS), False), "windows")
 
 
