@@ -57,17 +57,21 @@ def distance_for(term: str, stem: bool = False) -> int:
 
 
 class Trie:
-    """Terms by their letters; a node is [children, term or None, stem or None, largest distance below]."""
+    """Terms by their letters; a node is [children, term or None, stem or None, largest distance below, letters that all
+    terms below have]."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.root, self.weight = [{}, None, None, 0], {**stems, **words}
+        self.root, self.weight = [{}, None, None, 0, -1], {**stems, **words}
+        self.bit = {c: 1 << i for i, c in enumerate(sorted({c for t in self.weight for c in t}))}
         for slot, terms in ((1, words), (2, stems)):
             for t in terms:
-                node, far = self.root, distance_for(t, slot == 2)
+                node, far, letters = self.root, distance_for(t, slot == 2), sum(self.bit[c] for c in set(t))
                 for c in t:
                     node[3] = max(node[3], far)
-                    node = node[0].setdefault(c, [{}, None, None, 0])
-                node[slot], node[3] = t, max(node[3], far)
+                    node[4] &= letters
+                    node = node[0].setdefault(c, [{}, None, None, 0, -1])
+                node[slot], node[3], node[4] = t, max(node[3], far), node[4] & letters
+        self.all = sum(self.bit.values())
 
     def exact(self, word: str) -> str | None:
         """The term that the word is, or the longest stem that it starts with."""
@@ -84,23 +88,31 @@ class Trie:
 
         The automaton's state is, for each number of edits, the set of lengths of the word's prefixes that the trie's
         path is that many edits away from, as bits. An edit is an insertion, deletion, substitution or swap of
-        neighbours. A path ends where no state is left within the largest distance of the terms below it. A stem accepts
-        at any prefix of the word, a term at the whole.
+        neighbours. A path ends where no state is left within the largest distance of the terms below it, and isn't begun
+        where the word lacks more of the letters that all of them have: an edit makes up for one such letter at most. A stem
+        accepts at any prefix of the word, a term at the whole.
         """
         n, at, best = len(word), {}, None
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
+        get, lacks = at.get, self.all
+        for c in at:
+            lacks &= ~self.bit.get(c, 0)
         whole, most = 1 << n, (2 << n) - 1
-        start = tuple((2 << k) - 1 & most for k in range(3))
-        todo = [(self.root, "", start, (0, 0, 0))]
+        todo = [(self.root, "", 1, 3 & most, 7 & most, 0, 0)]
         while todo:
-            node, c, row, prior = todo.pop()
-            swap = at.get(c, 0) >> 1
+            node, c, s0, s1, s2, p0, p1 = todo.pop()
+            swap = get(c, 0) >> 1
             for d, child in node[0].items():
-                far, m = child[3], at.get(d, 0)
-                r0 = (row[0] & m) << 1
-                r1 = ((row[1] & m) << 1 | row[0] << 1 | row[0] | r0 << 1 | (prior[0] & m & swap) << 2) & most if far else 0
-                r2 = ((row[2] & m) << 1 | row[1] << 1 | row[1] | r1 << 1 | (prior[1] & m & swap) << 2) & most if far == 2 else 0
+                far = child[3]
+                if (child[4] & lacks).bit_count() > far:
+                    continue
+                m, r1, r2 = get(d, 0), 0, 0
+                r0 = (s0 & m) << 1
+                if far:
+                    r1 = ((s1 & m) << 1 | s0 << 1 | s0 | r0 << 1 | (p0 & m & swap) << 2) & most
+                    if far == 2:
+                        r2 = ((s2 & m) << 1 | s1 << 1 | s1 | r1 << 1 | (p1 & m & swap) << 2) & most
                 new = (r0, r1, r2)
                 if not new[far]:  # the states of fewer edits are among those of more
                     continue
@@ -112,7 +124,7 @@ class Trie:
                                     best = (k, t)
                                 break
                 if child[0]:
-                    todo.append((child, d, new, row))
+                    todo.append((child, d, r0, r1, r2, s0, s1))
         return best and (best[1], best[0])
 
 
@@ -184,7 +196,8 @@ class Scorer:
         any_hit = False
         for w in words - self.clean:
             if w not in self.hits:
-                if (x := self.weigh(w)) > 0:
+                core = w.strip(EDGE)  # all that weigh() sees of a word
+                if (x := 0.0 if core in self.clean else self.hits.get(core) or self.weigh(core)) > 0:
                     self.hits[w] = x
                 else:
                     self.clean.add(w)
