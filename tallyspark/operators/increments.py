@@ -14,6 +14,7 @@ from operator import or_
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import margin
+from ..sources.shared import written
 from ..sources.versioned import Table
 from . import ledger
 
@@ -56,7 +57,8 @@ def apply(cells: Table, changes: DataFrame, number: int | None = None) -> int:
         held = F.when(F.col("n") >= 0, F.col("n")).otherwise(F.raise_error("a change removes allocations that are not there").cast("long"))
         return _summed(old.unionByName(new)).withColumn("n", held).where("n > 0")
 
-    return cells.change(changes, merge, number=number)
+    # the touched buckets are looked up first, so what changes is summed once and read twice
+    return cells.change(written(changes, "changes"), merge, number=number)
 
 
 def results(cells: DataFrame, projects: DataFrame, classification: DataFrame, periods: list[tuple], currency: str | None = None) -> DataFrame:
