@@ -8,6 +8,8 @@ from operator import or_
 
 from pyspark.sql import functions as F
 
+from .numeric import let
+
 # Legal forms that say nothing about a company, as words of a-z and digits, and suffixes of attachments
 # that count.
 COMPANY_STOP = ["aktsiaselts", "as", "fie", "mtu", "osauehing", "osauhing", "ou", "oy", "sa"]
@@ -105,19 +107,30 @@ def guess_language(subject, body):
 
 def clean_body(c, most: int | None = None):
     """Lines without quotes, header lines and blanks up to a signature; the whole body unless `most` characters are asked for."""
-    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(x))
-    end = F.array_position(F.transform(lines, lambda x: F.lower(x).isin(SIGNATURES)), F.lit(True))
-    body = F.when(end > 0, F.slice(lines, F.lit(1), (end - 1).cast("int"))).otherwise(lines)
-    kept = F.filter(body, lambda x: (x != "") & ~x.startswith(">") & ~reduce(or_, (F.lower(x).startswith(h) for h in HEADERS)))
-    text = F.array_join(kept, "\n")
+    sign, head = max(map(len, SIGNATURES)), max(map(len, HEADERS))  # lower case has never fewer letters
+    signature = lambda x: F.when(F.length(x) <= sign, F.lower(x).isin(SIGNATURES)).otherwise(False)
+    header = lambda x: F.exists(F.array(F.lower(F.left(x, F.lit(head)))), lambda y: reduce(or_, (y.startswith(h) for h in HEADERS)))
+    until = lambda lines, end: F.when(end > 0, F.slice(lines, F.lit(1), (end - 1).cast("int"))).otherwise(lines)
+    body = let(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda lines: let(F.array_position(F.transform(lines, signature), F.lit(True)), lambda end: until(lines, end)))
+    text = F.array_join(F.filter(body, lambda x: (x != "") & ~x.startswith(">") & ~header(x)), "\n")
     return text if most is None else F.substring(text, 1, most)
 
 
+def running_sums(n, block: int = 32):
+    """Sums of what stands before each of an array's whole numbers: within blocks and over blocks, for an array that grows by
+    one is copied each time."""
+    sums = lambda n, first: F.aggregate(n, F.array(first).cast("array<int>"), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    cut = lambda n: F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / block).cast("int")), lambda k: F.slice(n, k * block + 1, F.lit(block)))
+    total = lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)
+    inner = lambda b, first: F.slice(sums(b, first), F.lit(1), F.size(b))
+    return let(let(n, cut), lambda bs: let(sums(F.transform(bs, total), F.lit(0)), lambda firsts: F.flatten(F.transform(bs, lambda b, k: inner(b, F.get(firsts, k))))))
+
+
 def sentences(c):
     """Array of (text, start, end): runs between . ? ! and line ends, the mark included; 0-based, end open."""
     parts = F.regexp_extract_all(c, F.lit(r"([^.?!\n]+[.?!\n]?|[.?!\n])"), 1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
-    run = F.aggregate(parts, zero, lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(F.struct(F.regexp_replace(x, r"^\s+|\s+$", "").alias("text"), a["at"].alias("start"), (a["at"] + F.length(x)).alias("end")))).alias("out")), lambda a: a["out"])
+    row = lambda x, at: F.struct(F.btrim(x, F.lit(" \t\n\x0b\f\r")).alias("text"), at.alias("start"), (at + F.length(x)).alias("end"))
+    run = let(parts, lambda p: let(running_sums(F.transform(p, F.length)), lambda at: F.transform(p, lambda x, i: row(x, F.get(at, i)))))
     return F.filter(run, lambda s: s["text"] != "")
 
 

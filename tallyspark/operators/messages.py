@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.numeric import let
 from ..functions.text import clean_body, confidence_band, sentences
 from .patterns import find
 
@@ -137,13 +136,13 @@ def persist_suggestions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def _any(c, marks):
-    return reduce(or_, (c.contains(m) for m in marks))
+    return c.rlike("|".join(map(re.escape, marks)))  # one call: many of contains make generated code too long to be compiled
 
 
 def due_date(low, at):
     """The date that a sentence in lower case names: written out, or else tomorrow or the next such weekday after `at`."""
-    iso = F.regexp_extract(low, r"(?U)\b(20[0-9]{2}-[0-9]{2}-[0-9]{2})\b", 1)
-    local = F.regexp_extract(low, r"(?U)\b([0-9]{1,2}\.[0-9]{1,2}\.20[0-9]{2})\b", 1)
+    written = lambda pattern: F.when(low.contains("20"), F.regexp_extract(low, rf"(?U)\b({pattern})\b", 1)).otherwise("")
+    iso, local = written("20[0-9]{2}-[0-9]{2}-[0-9]{2}"), written(r"[0-9]{1,2}\.[0-9]{1,2}\.20[0-9]{2}")
     out = F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")).when(local != "", F.try_to_date(local, "d.M.yyyy")).when(_any(low, TOMORROW), F.date_add(at, 1))
     for k, name in enumerate(WEEKDAYS):
         out = out.when(low.contains(f"by {name}"), F.date_add(at, (F.pmod(F.lit(k - 1) - F.weekday(at), F.lit(7)) + 1).cast("int")))
@@ -155,22 +154,34 @@ def extract(messages: DataFrame, text: str = "body") -> DataFrame:
 
     The text is the subject, where there is one, and the cleaned body on the next line. Dates relative to the message need
     its date in a column `at`; an impossible date is none. A message without any candidate may be for information only.
+    A sentence's lower case is worked out once, in the array of sentences: of a column, each mark would do it again. Only
+    sentences that may hold a mark or a date become rows.
     """
     own = lambda c, kind: F.col(c) if c in messages.columns else F.lit(None).cast(kind)
     parts = F.array(own("subject", "string"), clean_body(F.col(text)))
     m = messages.select("message_id", F.trim(F.array_join(F.filter(parts, lambda x: x != ""), "\n")).alias("t"), own("at", "date").cast("date").alias("at"))
-
-    def of(s):
-        low, when = F.lower(s["text"]), due_date(F.lower(s["text"]), F.col("at"))
-        row = lambda kind, confidence, due: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(confidence).alias("confidence"), s["text"].alias("excerpt"), due.alias("due_date"))
-        none = F.lit(None).cast("date")
-        found = [F.when(_any(low, marks), row(kind, c, when if kind in ("task_request", "commitment") else none)) for kind, c, marks in LEXICON]
-        return F.filter(F.array(*found, F.when(when.isNotNull(), row("deadline", DEADLINE, when))), lambda x: x.isNotNull())
-
-    found = m.select("message_id", "t", F.flatten(F.transform(sentences(F.col("t")), of)).alias("c"))
-    head = F.struct(F.lit("information_only").alias("kind"), F.lit(0).alias("start"), F.least(F.length("t"), F.lit(240)).alias("end"), F.lit(INFORMATION[0]).alias("confidence"), F.substring("t", 1, 240).alias("excerpt"), F.lit(None).cast("date").alias("due_date"))
-    whole = F.when(F.size("c") > 0, F.col("c")).when(_any(F.lower("t"), INFORMATION[1]), F.array(head))
-    return found.select("message_id", F.explode(whole).alias("c")).select("message_id", "c.*")
+    marks = [x for _, _, own in LEXICON for x in own]
+    marked = lambda low: _any(low, marks)
+    sentence = lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["text"]).alias("low"))
+    maybe = F.array(*(F.lit(x) for x in [*marks, "20", *TOMORROW, *(f"by {x}" for x in WEEKDAYS)]))
+    some = lambda held: F.when(F.size(held) > 0, F.filter(F.transform(sentences(F.col("t")), sentence), lambda s: F.exists(held, lambda x: s["low"].contains(x))))
+
+    # a message for information only is a row of its first letters in place of its sentences
+    m = m.withColumn("s", let(let(F.lower("t"), lambda low: F.filter(maybe, lambda x: low.contains(x))), some))
+    m = m.select("message_id", "at", "t", "s", _any(F.lower("t"), INFORMATION[1]).alias("info"))
+    plain = ~F.coalesce(F.exists("s", lambda s: marked(s["low"]) | due_date(s["low"], F.col("at")).isNotNull()), F.lit(False))
+    head = F.struct(F.substring("t", 1, 240).alias("text"), F.lit(0).alias("start"), F.least(F.length("t"), F.lit(240)).alias("end"), F.lit("").alias("low"))
+    m = m.select("message_id", "at", "s", F.when(F.col("info") & plain, head).alias("head"))
+    rows = m.select("message_id", "at", F.col("head").isNotNull().alias("info"), F.explode(F.when(F.col("head").isNotNull(), F.array("head")).otherwise(F.col("s"))).alias("s"))
+    dated = rows.select("message_id", "at", "info", "s.*").withColumn("due", F.when(~F.col("info"), due_date(F.col("low"), F.col("at"))))
+    hits = dated.where(F.col("info") | F.col("due").isNotNull() | marked(F.col("low")))
+
+    none = F.lit(None).cast("date")
+    row = lambda kind, confidence, due: F.struct(F.lit(kind).alias("kind"), "start", "end", F.lit(confidence).alias("confidence"), F.col("text").alias("excerpt"), due.alias("due_date"))
+    found = [F.when(_any(F.col("low"), marks), row(kind, c, F.col("due") if kind in ("task_request", "commitment") else none)) for kind, c, marks in LEXICON]
+    kinds = F.array_compact(F.array(*found, F.when(F.col("due").isNotNull(), row("deadline", DEADLINE, F.col("due")))))
+    kinds = F.when(F.col("info"), F.array(row("information_only", INFORMATION[0], none))).otherwise(kinds)
+    return hits.select("message_id", F.explode(kinds).alias("c")).select("message_id", "c.*")
 
 
 def thread_summary(messages: DataFrame) -> DataFrame:

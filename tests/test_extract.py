@@ -67,3 +67,14 @@ def test_on_documents(spark):
     rows = m.select("message_id", "subject", clean_body(F.col("body")).alias("body")).collect()
     got = Counter(map(tuple, messages.extract(m).collect()))
     assert got == Counter((r.message_id, *x) for r in rows for x in plain(r.subject, r.body, AT)) and got
+
+
+def test_marks_are_looked_for_once(spark):
+    """A sentence's lower case is worked out in one place, and where a long text's sentences start is not summed part by part."""
+    body = "".join(f"Line {i} ok.{' ' * (i % 3)}\n" for i in range(700)) + "Approved? Fyi"
+    rows = spark.createDataFrame([(1, body, AT)], "message_id long, body string, at date")
+    df = messages.extract(rows)
+    got = Counter(map(tuple, df.collect()))
+    assert got == Counter((1, *x) for x in plain(None, re.sub(r" +\n", "\n", body), AT)) and got
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("lower(") <= 12, plan.count("lower(")
