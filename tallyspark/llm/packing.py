@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -31,11 +33,21 @@ VOCAB, CAPACITY, GRAIN, END = "word_bpe_49k.json", 2048, 256, 1
 PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
+# The tokenizer's own rules for words of Latin-1 letters, which are composed and in lower case: how it splits them and the
+# letters that stand for bytes.
+LATIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xfe]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)}.difference(SHOWN)))}
+LETTERS = str.maketrans({chr(i): "".join(BYTES[b] for b in chr(i).encode()) for i in range(128, 256)})
+
+
 class Words(dict):
     """Ids, as little-endian uint32 bytes, of words by a tokenizer that never joins what white space separates.
 
     Words are kept in two generations of at most `size` each; the older one is dropped whole. The model lower-cases, so
-    words are looked up in lower case.
+    words are looked up in lower case. Words of Latin-1 letters are split here and their parts looked up or given to the
+    model by itself, without the tokenizer's passes before it, which take most of its time; all others take the whole way.
     """
 
     def __init__(self, name: str = VOCAB, size: int = 400_000):
@@ -44,7 +56,17 @@ class Words(dict):
 
         self.model = Tokenizer.from_file(public_tokenizers.path(name))
         self.model.encode_special_tokens = True
-        self.size, self.old = size, {}
+        self.size, self.old, self.parts = size, {}, {}
+
+    def latin(self, word: str) -> bytes:
+        """Ids of a word of Latin-1 letters, by its parts."""
+        out, parts, tokenize = [], self.parts, self.model.model.tokenize
+        for p in PARTS.findall(word.lower()):
+            ids = parts.get(p)
+            if ids is None:
+                ids = parts[p] = array("I", [t.id for t in tokenize(p if p.isascii() else p.translate(LETTERS))]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def learn(self, words: set[bytes]) -> None:
         """Take in the ids of words: from the older generation, or from the model, many words a call."""
@@ -53,7 +75,15 @@ class Words(dict):
             self.clear()
         lack = words.difference(self)
         self.update((w, self.old[w]) for w in lack if w in self.old)
-        new = list(lack.difference(self))
+        if len(self.parts) >= self.size // 2:
+            self.parts = {}
+        new = []
+        for w in lack.difference(self):
+            word = w.decode()
+            if LATIN.fullmatch(word):
+                self[w] = self.latin(word)
+            else:
+                new.append(w)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             got = self.model.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
