@@ -36,3 +36,30 @@ def test_evidence_of_each_field(spark):
     assert sorted((r.message_id, r.project_id, r.source) for r in names.collect()) == [(1, 7, "name"), (1, 7, "name"), (2, 7, "name")]
     found = messages.combine_evidence(codes.unionByName(names)).collect()
     assert {(r.message_id, r.source, r.n_evidence, r.confidence, r.band) for r in found} == {(1, "code_attachment", 4, 99, "exact"), (2, "name", 1, 75, "medium")}
+
+
+def test_texts_are_read_once(spark):
+    """More patterns than a task holds don't make the texts be read more often, and the result stays the same."""
+    frame = spark.createDataFrame
+    texts = frame([(k, f"north {k}-a, {k + 1}x {k + 2}") for k in range(300)], "m long, s string")
+    some = frame([(k, f"{k}-A" if k % 3 == 0 else str(k)) for k in range(400)], "pattern_id long, pattern string")
+    got, want = (patterns.find(texts, "m", ["s"], some, True, held=h) for h in (100, None))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 300
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # one for the texts, one for the patterns
+
+
+def test_places_across_pieces(monkeypatch):
+    monkeypatch.setattr(patterns, "LETTERS", 7)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab1 Õ\U0001f600\x00"), int(rng.integers(0, 60)))) for _ in range(200)] + ["ab" * 60]
+    own = {t[i : i + n] for t in texts for i in (0, 3, 11) for n in (1, 2, 3, 5, 9, 70, 100)} - {""}
+    lengths = {}
+    for n in {len(p) for p in own}:
+        lengths.setdefault(patterns._end(n), []).append(n)
+    bitmap = np.zeros((1 << patterns.BITS) // 8, np.uint8)
+    for b in patterns._bits(own):
+        bitmap[b >> 3] |= 1 << (b & 7)
+    got = patterns._candidates(texts, bitmap, lengths, False)
+    want = {(i, p) for i, t in enumerate(texts) for p in own if p in t}
+    assert {x for x in got if x[1] in own} == want and len(got) < 1.01 * len(want)
